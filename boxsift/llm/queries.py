@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxsift.llm import quality_rules
-from boxsift.llm.common import table
+from boxsift.llm import mixing, quality_rules, token_output
+from boxsift.llm.common import shared_dir, table, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,3 +55,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND (letters = 0 OR capitals / letters <= {_BOUND["capitals"].high}) AS kept
 FROM r
 """
+
+
+@query
+def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+ORACLE_SQL["op2_pareto_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS INT) + 1] AS DOUBLE) AS weight,
+             3 * source_size AS cap FROM p),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source ASC NULLS LAST) AS k FROM w),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+f AS (SELECT (SELECT arg_min(level, k) FROM l WHERE cap > weight * level) AS level),
+t AS (SELECT source, source_size, CASE WHEN cap <= weight * l.level THEN CAST(cap AS DOUBLE) ELSE weight * f.level END AS target FROM l, f),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t),
+s AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS certain, target - floor(ratio) * source_size AS rest,
+             greatest(least(ratio - floor(ratio), 1.0::DOUBLE - 1e-9::DOUBLE), 1e-9::DOUBLE) AS p FROM r),
+u AS (SELECT d.*, source_size, target, certain, rest, p,
+             (CAST(CAST('0x' || md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:12] AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rank FROM u),
+run AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+               sum(size) OVER (PARTITION BY source) AS everything FROM q),
+g AS (SELECT *, rest > 0 AND (everything <= rest OR 2 * before + size <= 2 * rest) AS one FROM run),
+x AS (SELECT *, bool_or(one) OVER (PARTITION BY source, rank, doc_id, size) AS drawn FROM g)
+SELECT doc_id, size, source_size, target, (certain + CAST(drawn AS BIGINT)) * size AS taken, source, certain + CAST(drawn AS BIGINT) AS copies
+FROM x
+"""
+
+
+@query
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, token_file("word_bpe_49k.json"), end_id=2, by_word=True)
+    return token_output.checksums(token_output.read_tokens(spark, path))
