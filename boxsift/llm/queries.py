@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxsift.llm import mixing, quality_rules, token_output
+from boxsift.llm import mixing, quality_rules, secrets, token_output, warc
 from boxsift.llm.common import shared_dir, table, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,26 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
     token_output.write_tokens(table(spark, sf_dir, "documents"), path, token_file("word_bpe_49k.json"), end_id=2, by_word=True)
     return token_output.checksums(token_output.read_tokens(spark, path))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "warc")
+    index = warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), folder)
+    return warc.without_payload(warc.read_records(index, folder, with_payload=False))
+
+
+ORACLE_SQL["op10_warc"] = r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id, count(*) OVER (PARTITION BY payload_digest) AS n FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND n > 1 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to
+FROM r
+"""
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), token_file("byte_bpe_50k.tiktoken")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
