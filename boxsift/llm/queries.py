@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxsift.llm import mixing, quality_rules, secrets, token_output, warc
+from boxsift.llm import mixing, quality_rules, secrets, token_output, url_filter, warc
 from boxsift.llm.common import shared_dir, table, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,11 @@ FROM r
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), token_file("byte_bpe_50k.tiktoken")))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title>(.*?)</title>", 1)
+    pages = table(spark, sf_dir, "pages")
+    model = url_filter.train(pages.select("url", title.alias("title")))
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "words", "bad_score")
