@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxsift.llm import mixing, quality_rules, secrets, token_output, url_filter, warc
+from boxsift.llm import language_id, mixing, quality_rules, secrets, token_output, url_filter, warc
 from boxsift.llm.common import shared_dir, table, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     model = url_filter.train(pages.select("url", title.alias("title")))
     return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "words", "bad_score")
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", language_id.held_out(F.col("doc_id")).alias("held_out"))
+    return language_id.predict(rows, model, keep=("doc_id", "held_out"))
