@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxsift.llm import language_id, mixing, quality_rules, secrets, token_output, url_filter, warc
+from boxsift.llm import language_id, mixing, ngram_join, quality_rules, secrets, token_output, url_filter, warc
 from boxsift.llm.common import shared_dir, table, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", "text", language_id.held_out(F.col("doc_id")).alias("held_out"))
     return language_id.predict(rows, model, keep=("doc_id", "held_out"))
+
+
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
