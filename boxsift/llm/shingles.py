@@ -41,11 +41,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts, in order, and the place of the text that has it."""
+#: Parting bytes for words of letters and digits: every ASCII byte but those.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_hashes(raw: list[bytes], between: np.ndarray = _PARTS) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts, in order, and the place of the text that has it; between marks parting bytes."""
     sizes = np.array([len(r) + 1 for r in raw])
     data = _LOWER[np.frombuffer(b"\n".join([*raw, b""]), "u1")]
-    parts = _PARTS[data]
+    parts = between[data]
     edge = np.diff(np.concatenate([[True], parts, [True]]).astype("i1"))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((data.astype("u8") + np.uint64(1)) * _powers(_BASE, len(data)), dtype="u8")])

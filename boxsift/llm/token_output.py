@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 1000
 #: Words a worker keeps the ids of; beyond it, the store starts anew.
-WORD_STORE = 1_500_000
+WORD_STORE = 700_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
 PARTS = "part int, base long, n_tokens long, n_docs long"
 
@@ -48,10 +49,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.by_word = np.array([end_id], "<u4").tobytes(), by_word
         self.store: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab() if by_word else {}
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids_of_words(self, words: list[bytes], run: int = 500) -> list[bytes]:
+        """ids of each word. Words of letters end in one token that marks a word's end, so a run of them is encoded at once."""
+        texts = [w.decode() for w in words]
+        out: dict[int, bytes] = {}
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        runs = [plain[a : a + run] for a in range(0, len(plain), run)]
+        for places, raw in zip(runs, self._ids([" ".join([texts[k] for k in places]) for places in runs])):
+            ends = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
+            if len(ends) == len(places):
+                out.update({k: raw[4 * a : 4 * b] for k, a, b in zip(places, [0, *ends[:-1].tolist()], ends.tolist())})
+        rest = [k for k in range(len(words)) if k not in out]
+        out.update(zip(rest, self._ids([texts[k] for k in rest])))
+        return [out[k] for k in range(len(words))]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [x + self.end for x in self._ids([t or "" for t in texts])]
@@ -66,15 +84,21 @@ class Encoder:
         new = set().union(*split).difference(store) if split else set()
         cut = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
         whole = [*{*(w for w in new if w not in cut), *(w for w in cut.values() if w not in store), b".", b","}]
-        store.update(zip(whole, self._ids([w.decode() for w in whole])))
+        store.update(zip(whole, self._ids_of_words(whole)))
         store.update({w: store[stem] + store[w[-1:]] for w, stem in cut.items()})
         get = store.__getitem__
         return [b"".join(map(get, words)) + self.end for words in split]
 
 
+@lru_cache(1)
+def encoder(path: str, end_id: int, by_word: bool) -> Encoder:
+    """One for each Python worker, so that its store serves all tasks that the worker runs."""
+    return Encoder(path, end_id, by_word)
+
+
 def _encoded(path: str, end_id: int, by_word: bool, rows: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = Encoder(path, end_id, by_word), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(path, end_id, by_word), TaskContext.get().partitionId(), 0
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
                 b = whole.slice(k, rows)
