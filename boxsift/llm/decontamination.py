@@ -35,11 +35,15 @@ from boxsift.llm.shingles import PUNCTUATION, text_chunks, word_hashes
 
 TERMS = 1 << 14
 RANK, OVERSAMPLE = 48, 8
-#: A passage is two blocks of words; passages overlap by a block.
-BLOCK = 16
+#: Passages are made of blocks of words: long ones of four, that start at every second block, and short ones of two, that
+#: start at every block. Items of up to SHORT_PASSAGE_ITEM words are sought among the short ones.
+BLOCK, LONG, SHORT = 8, 4, 2
+SHORT_PASSAGE_ITEM = 24
 #: Words in a larger share of the documents weigh nothing.
 MAX_DF = 0.1
-COSINE, SURE, LIKELY, ANSWER = 0.45, 0.8, 0.5, 0.8
+COSINE, SURE, LIKELY, ANSWER = 0.35, 0.8, 0.5, 0.8
+#: Share of an item passage's weighty words that a candidate passage must have.
+SHARED = 0.4
 SHORT_ITEM = 8
 ITEM_BLOCK = 20_000
 #: Sums that meet in one group of the tree.
@@ -65,7 +69,7 @@ def _summed(docs: DataFrame, task, kind: str, slots: int) -> np.ndarray:
     """Sum over all tasks of the array that task makes of its chunks, met slot by slot; of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = task(raw for _, raw in text_chunks(batches, most=2 << 20))
+        total = task(raw for _, raw in text_chunks(batches, most=2 << 20, lower=True))
         if total is not None:
             pieces = np.array_split(total.reshape(-1), slots)
             part = TaskContext.get().partitionId()
@@ -82,11 +86,11 @@ def terms_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, (h >> np.uint64(50)).astype("i4"), owner
 
 
-def _blocks(owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _blocks(owner: np.ndarray, n: int, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the words' texts: the place of each word in its text, the first word of each block, and the block's text."""
     first = np.searchsorted(owner, np.arange(n))
     place = np.arange(len(owner)) - first[owner]
-    start = np.flatnonzero(place % BLOCK == 0)
+    start = np.flatnonzero(place % size == 0)
     return place, start, owner[start]
 
 
@@ -95,20 +99,43 @@ class LatentSpace:
     idf: np.ndarray
     basis: np.ndarray  # terms x rank
 
-    def passages(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Unit vectors of all passages, their texts and first words, and the hashes of all words."""
+    def blocks(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums, word sets, first words and texts of all blocks; hashes and texts of all words.
+
+        A word set is 256 bits, one for each weighty word by its hash.
+        """
         h, term, owner = terms_of(raw)
-        if not len(h):
-            return np.empty((0, self.basis.shape[1]), "f4"), np.empty(0, "i8"), np.empty(0, "i8"), h
         _, start, of = _blocks(owner, len(raw))
-        sums = _block_sums(self.basis, self.idf, term, start, len(h))
-        pair = np.flatnonzero(of[1:] == of[:-1])
-        alone = np.flatnonzero(np.bincount(of, minlength=len(raw))[of] == 1)
-        v = np.concatenate([sums[pair] + sums[pair + 1], sums[alone]])
-        at = np.concatenate([pair, alone])
-        norm = np.linalg.norm(v, axis=1)
-        some = norm > 1e-9
-        return v[some] / norm[some, None], of[at][some], start[at][some], h
+        used = np.flatnonzero(self.idf[term])
+        sets = np.zeros((len(start), 4), "u8")
+        if len(used):
+            bits = np.zeros((len(used), 4), "u8")
+            bits[np.arange(len(used)), (h[used] & np.uint64(3)).astype("i8")] = np.uint64(1) << ((h[used] >> np.uint64(2)) & np.uint64(63))
+            block = np.searchsorted(start, used, side="right") - 1
+            cut = np.flatnonzero(np.diff(block, prepend=-1))
+            sets[block[cut]] = np.bitwise_or.reduceat(bits, cut)
+        return _block_sums(self.basis, self.idf, term, start, len(h)), sets, start, of, h, owner
+
+
+def passages(sums: np.ndarray, sets: np.ndarray, of: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, word sets and first blocks of the passages of so many blocks; a text's last ones may be shorter."""
+    if not len(of):
+        return sums, sets, np.empty(0, "i8")
+    first = np.searchsorted(of, of)  # first block of the block's text
+    at = np.flatnonzero((np.arange(len(of)) - first) % stride == 0)
+    # A passage that only repeats the end of the one before it is left out.
+    size = np.bincount(of)[of[at]]
+    place = at - first[at]
+    at = at[(place == 0) | (place + length - stride < size)]
+    v, bits = sums[at].copy(), sets[at].copy()
+    for k in range(1, length):
+        ok = np.flatnonzero(at + k < len(of))
+        ok = ok[of[at[ok] + k] == of[at[ok]]]
+        v[ok] += sums[at[ok] + k]
+        bits[ok] |= sets[at[ok] + k]
+    norm = np.linalg.norm(v, axis=1)
+    some = norm > 1e-9
+    return v[some] / norm[some, None], bits[some], at[some]
 
 
 def _block_sums(rows: np.ndarray, weight: np.ndarray, term: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
@@ -157,7 +184,7 @@ def fit_space(docs: DataFrame, rank: int = RANK, seed: int = 11) -> LatentSpace:
             _, term, owner = terms_of(raw)
             if not len(term):
                 continue
-            _, start, _ = _blocks(owner, len(raw))
+            _, start, _ = _blocks(owner, len(raw), LONG * BLOCK)
             y = _block_sums(omega, idf, term, start, len(term))
             w = idf[term]
             used = np.flatnonzero(w)
@@ -205,8 +232,9 @@ class Item:
 
 
 def make_item(item_id: int, text: str | None) -> Item:
-    words = word_hashes([(text or "").encode()], PUNCTUATION)[0].tolist()
-    sentences = [x for x in (text or "").replace("\n", ". ").split(". ") if any(c.isalnum() for c in x)]
+    text = (text or "").lower()
+    words = word_hashes([text.encode()], PUNCTUATION)[0].tolist()
+    sentences = [x for x in text.replace("\n", ". ").split(". ") if any(c.isalnum() for c in x)]
     answer = word_hashes([sentences[-1].encode()], PUNCTUATION)[0].tolist() if sentences else []
     return Item(item_id, words, _masks(words), answer, _masks(answer))
 
@@ -233,36 +261,35 @@ def compare(item: Item, region: list[int]) -> tuple[float, float] | None:
     return (whole, answer) if whole >= SURE or (whole >= LIKELY and answer >= ANSWER) else None
 
 
-def _searched(space: LatentSpace, items: list[Item], vectors: np.ndarray, owner: np.ndarray, cosine: float):
-    longest = max((len(i.words) for i in items), default=0)
+def _searched(space: LatentSpace, items: list[Item], sought: list[tuple], cosine: float):
+    """sought: passage length and stride in blocks; vectors, word sets and items of the item passages; for long and short items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, raw in text_chunks(batches, most=1 << 20):
-            v, of, start, h = space.passages(raw)
+        for b, raw in text_chunks(batches, most=1 << 20, lower=True):
+            sums, sets, start, of, h, word_of = space.blocks(raw)
+            edges = np.searchsorted(word_of, np.arange(len(raw) + 1))
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            ends = np.searchsorted(of_words := word_owner(h, raw), np.arange(len(raw)), side="right") if len(h) else None
-            for k in range(0, len(v), 8192):
-                near = v[k : k + 8192] @ vectors.T
-                for p, q in zip(*(x.tolist() for x in np.nonzero(near >= cosine))):
-                    item, text = int(owner[q]), int(of[k + p])
-                    if found.get((text, item), (0, 0, 0))[1] >= 1:
-                        continue
-                    size = len(items[item].words)
-                    first = int(np.searchsorted(of_words, text))
-                    a, z = max(first, int(start[k + p]) - size), min(int(ends[text]), int(start[k + p]) + 2 * BLOCK + size)
-                    got = compare(items[item], h[a:z].tolist())
-                    if got and got > found.get((text, item), (0, 0, 0))[1:]:
-                        found[text, item] = (float(near[p, q]), *got)
+            for length, stride, vectors, item_sets, owner in sought:
+                v, bits, at = passages(sums, sets, of, length, stride)
+                least = SHARED * np.bitwise_count(item_sets).sum(1)
+                for k in range(0, len(v), 4096):
+                    near = v[k : k + 4096] @ vectors.T
+                    p, q = np.nonzero(near >= cosine)
+                    alike = np.bitwise_count(bits[k + p] & item_sets[q]).sum(1) >= least[q]
+                    for p, q in zip(p[alike].tolist(), q[alike].tolist()):
+                        item, block = int(owner[q]), int(at[k + p])
+                        text, size = int(of[block]), len(items[item].words)
+                        if found.get((text, item), (0, 0, 0))[1] >= 1:
+                            continue
+                        a = max(edges[text], start[block] - size)
+                        got = compare(items[item], h[a : min(edges[text + 1], start[block] + length * BLOCK + size)].tolist())
+                        if got and got > found.get((text, item), (0, 0, 0))[1:]:
+                            found[text, item] = (float(near[p, q]), *got)
             keys = sorted(found)
             ids = b.column("doc_id").take(pa.array([t for t, _ in keys], pa.int64()))
-            rest = [found[k] for k in keys]
-            columns = [ids, pa.array([items[i].item_id for _, i in keys], pa.int64()), *(pa.array([r[j] for r in rest], pa.float64()) for j in range(3))]
+            columns = [ids, pa.array([items[i].item_id for _, i in keys], pa.int64()), *(pa.array([found[x][j] for x in keys], pa.float64()) for j in range(3))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
-    def word_owner(h: np.ndarray, raw: list[bytes]) -> np.ndarray:
-        return word_hashes(raw, PUNCTUATION)[1]
-
-    assert longest >= 0
     return run
 
 
@@ -275,17 +302,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, space: LatentSpace | None
     out = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        made = [make_item(r["item_id"], r["text"]) for r in block.orderBy("item_id", "text").collect()]
-        vectors, owner = item_vectors(space, [r for r in block.orderBy("item_id", "text").collect()])
-        found = rows.mapInArrow(_searched(space, made, vectors, owner, cosine), "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
+        listed = block.orderBy("item_id", "text").collect()
+        made = [make_item(r["item_id"], r["text"]) for r in listed]
+        sought = item_passages(space, [(r["text"] or "").lower().encode() for r in listed], made)
+        found = rows.mapInArrow(_searched(space, made, sought, cosine), "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
         out = found if out is None else out.union(found)
     return out
 
 
-def item_vectors(space: LatentSpace, rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """Passage vectors of the items and the item of each."""
-    v, of, _, _ = space.passages([(r["text"] or "").encode() for r in rows])
-    return v, of
+def item_passages(space: LatentSpace, raw: list[bytes], items: list[Item]) -> list[tuple]:
+    sums, sets, _, of, _, _ = space.blocks(raw)
+    short = np.array([len(i.words) <= SHORT_PASSAGE_ITEM for i in items], bool)
+    out = []
+    for length, stride, some in ((LONG, LONG // 2, ~short), (SHORT, 1, short)):
+        v, bits, at = passages(sums, sets, of, length, stride)
+        mine = some[of[at]] if len(at) else np.empty(0, bool)
+        out.append((length, stride, v[mine], bits[mine], of[at][mine]))
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

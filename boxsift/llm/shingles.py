@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = np.arange(256, dtype="u1")
 _LOWER[65:91] += 32
@@ -102,10 +103,14 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with some megabytes of text each (one text at least), and the texts as bytes; null is empty."""
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with some megabytes of text each (one text at least), and the texts as bytes; null is empty.
+
+    lower turns all letters to lower case, not those of ASCII alone.
+    """
     for b in batches:
-        raw = [x or b"" for x in b.column(column).cast(pa.binary()).to_pylist()]
+        texts = pc.utf8_lower(b.column(column)) if lower else b.column(column)
+        raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
         first, size = 0, 0
         for k, r in enumerate(raw):
             if size and size + len(r) > most:
