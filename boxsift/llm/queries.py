@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxsift.llm import decontamination, language_id, mixing, ngram_join, quality_rules, secrets, token_output, url_filter, warc
+from boxsift.llm import decontamination, language_id, mixing, ngram_join, quality_classifier, quality_rules, secrets, token_output, url_filter, warc
 from boxsift.llm.common import shared_dir, table, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))

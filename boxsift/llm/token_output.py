@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 1000
-#: Words a worker keeps the ids of; beyond it, the store starts anew.
-WORD_STORE = 700_000
+#: Words a worker keeps the ids of: a new half, and the half before it, whose words move over as they are met.
+WORD_STORE = 800_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
 PARTS = "part int, base long, n_tokens long, n_docs long"
 
@@ -49,6 +49,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end, self.by_word = np.array([end_id], "<u4").tobytes(), by_word
         self.store: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab() if by_word else {}
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -78,16 +79,20 @@ class Encoder:
             raw = (t or "").encode()
             raw = raw if b"<|" in raw else raw.lower()  # ASCII letters; the strings of special tokens stay as they are
             split.append(raw.replace(b"\n", b" ").split(b" "))
-        if len(self.store) > WORD_STORE:
-            self.store.clear()
+        if len(self.store) > WORD_STORE // 2:
+            self.store, self.older = {}, self.store
         store = self.store
-        new = set().union(*split).difference(store) if split else set()
-        cut = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-        whole = [*{*(w for w in new if w not in cut), *(w for w in cut.values() if w not in store), b".", b","}]
-        store.update(zip(whole, self._ids_of_words(whole)))
-        store.update({w: store[stem] + store[w[-1:]] for w, stem in cut.items()})
-        get = store.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        found = [list(map(store.get, words)) for words in split]  # one look a word
+        new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
+        if new:
+            store.update({w: ids for w in new if (ids := self.older.get(w)) is not None})
+            new.difference_update(store)
+            cut = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
+            whole = [*{*(w for w in new if w not in cut), *(w for w in cut.values() if w not in store), b".", b","}]
+            store.update(zip(whole, self._ids_of_words(whole)))
+            store.update({w: store[stem] + store[w[-1:]] for w, stem in cut.items()})
+            found = [[store[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids for words, ids in zip(split, found)]
+        return [b"".join(ids) + self.end for ids in found]
 
 
 @lru_cache(1)
