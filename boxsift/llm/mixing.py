@@ -63,8 +63,12 @@ def mix(
     max_repeat: int = MAX_REPEAT,
     seed: int = 7,
     text: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) for each document; taken = copies * size."""
+    """(doc_id, size, source, source_size, target, copies, taken) for each document; taken = copies * size.
+
+    With carry, also row: the document's own columns as one struct, so that no name can clash.
+    """
     sizes = written(docs.select("doc_id", "source", word_count(F.col(text)).alias("size")), "mix-sizes")
     shares = targets(sizes, weights, max_repeat)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -75,11 +79,15 @@ def mix(
     u = uniform(F.col("doc_id"), seed)
     p = F.greatest(F.least(F.col("odds_of"), F.lit(1.0 - 1e-9)), F.lit(1e-9))
     same = F.col("d.source").eqNullSafe(F.col("s.source"))
-    ranked = sizes.alias("d").join(shares.alias("s"), same).select(
-        "doc_id", "d.source", "size", "source_size", "target", "certain", "rest", ((u / (1 - u)) / (p / (1 - p))).alias("rank")
-    )
-    cell = F.floor(F.col("rank") / (1 + F.col("rank")) * F.lit(float(2 ** (2 * CELL_BITS)))).cast("long")
-    ranked = ranked.withColumn("cell", cell).withColumn("coarse", F.shiftright("cell", CELL_BITS))
+
+    def with_rank(rows: DataFrame) -> DataFrame:
+        own = ["row"] if "row" in rows.columns else []
+        rank = ((u / (1 - u)) / (p / (1 - p))).alias("rank")
+        out = rows.alias("d").join(shares.alias("s"), same).select("doc_id", "d.source", "size", "source_size", "target", "certain", "rest", rank, *own)
+        cell = F.floor(F.col("rank") / (1 + F.col("rank")) * F.lit(float(2 ** (2 * CELL_BITS)))).cast("long")
+        return out.withColumn("cell", cell).withColumn("coarse", F.shiftright("cell", CELL_BITS))
+
+    ranked = with_rank(sizes)
 
     def crossing(cells: DataFrame, key: str, start: Column) -> DataFrame:
         """Of each source the cell in which the running sum of words passes the rest, and the sum before it."""
@@ -103,8 +111,9 @@ def mix(
     cut = written(last.groupBy("source").agg(F.max(F.when(F.col("drawn"), F.struct("rank", "doc_id", "size", "nth"))).alias("upto")), "mix-cut")
 
     # A source without a crossing cell takes all of its documents or, with nothing left to draw, none.
+    rows = with_rank(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.struct(*docs.columns).alias("row"))) if carry else ranked
     out = (
-        keyed(ranked)
+        keyed(rows)
         .join(second.select("source", F.col("cell").alias("cut_cell")).alias("b"), at("a", "b"), "left")
         .join(cut.alias("c"), at("a", "c"), "left")
     )
@@ -117,7 +126,13 @@ def mix(
         .otherwise(F.coalesce(F.col("c.upto").isNotNull() & (here <= upto), F.lit(False)))
     )
     copies = (F.col("certain") + drawn.cast("long")).cast("long")
-    return out.select("a.doc_id", "a.size", "a.source", "source_size", "target", copies.alias("copies"), (copies * F.col("a.size")).alias("taken"))
+    return out.select("a.doc_id", "a.size", "a.source", "source_size", "target", copies.alias("copies"), (copies * F.col("a.size")).alias("taken"), *(["a.row"] if carry else []))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as the mix takes it, with its own columns only."""
+    rows = mix(docs, carry=True, **options).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def _all(tests) -> Column:

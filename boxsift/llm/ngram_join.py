@@ -321,3 +321,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     return out
+
+
+def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the smallest of its component; of rows that share a
+    doc_id one stays. Rows with a null doc_id stay."""
+    found = written(jaccard_components(docs, n, percent), "join-components")
+    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "join-gone")
+    kept = docs.join(small(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    twice = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")), "join-twice")
+    if twice.isEmpty():
+        return kept
+    again = F.col("doc_id") == F.col("twice_id")
+    return kept.join(small(twice), again, "left_anti").union(kept.join(small(twice), again, "left_semi").dropDuplicates(["doc_id"]))

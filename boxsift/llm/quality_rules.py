@@ -125,3 +125,9 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     out = measures(df, text).withColumn("failed_rules", F.array_compact(names))
     base = F.exists("failed_rules", lambda x: x.isin(*BASE))
     return out.withColumns({"base_failed": base, "kept": F.size("failed_rules") == 0})
+
+
+def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df that pass all rules, with their own columns only; no name can clash."""
+    judged = apply_rules(df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("__text")), "__text", rules)
+    return judged.where("kept").select("row.*")
