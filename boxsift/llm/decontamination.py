@@ -46,6 +46,8 @@ COSINE, SURE, LIKELY, ANSWER = 0.35, 0.8, 0.5, 0.8
 SHARED = 0.4
 SHORT_ITEM = 8
 ITEM_BLOCK = 20_000
+#: Words whose vectors are summed at a time.
+STRETCH = 16_384
 #: Sums that meet in one group of the tree.
 FAN_IN = 64
 
@@ -69,7 +71,7 @@ def _summed(docs: DataFrame, task, kind: str, slots: int) -> np.ndarray:
     """Sum over all tasks of the array that task makes of its chunks, met slot by slot; of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = task(raw for _, raw in text_chunks(batches, most=2 << 20, lower=True))
+        total = task(raw for _, raw in text_chunks(batches, most=1 << 20, lower=True))
         if total is not None:
             pieces = np.array_split(total.reshape(-1), slots)
             part = TaskContext.get().partitionId()
@@ -97,7 +99,7 @@ def _blocks(owner: np.ndarray, n: int, size: int = BLOCK) -> tuple[np.ndarray, n
 @dataclass
 class LatentSpace:
     idf: np.ndarray
-    basis: np.ndarray  # terms x rank
+    basis: np.ndarray  # terms x rank, each row times the term's idf
 
     def blocks(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sums, word sets, first words and texts of all blocks; hashes and texts of all words.
@@ -114,7 +116,7 @@ class LatentSpace:
             block = np.searchsorted(start, used, side="right") - 1
             cut = np.flatnonzero(np.diff(block, prepend=-1))
             sets[block[cut]] = np.bitwise_or.reduceat(bits, cut)
-        return _block_sums(self.basis, self.idf, term, start, len(h)), sets, start, of, h, owner
+        return _block_sums(self.basis, used, term, start), sets, start, of, h, owner
 
 
 def passages(sums: np.ndarray, sets: np.ndarray, of: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,15 +140,14 @@ def passages(sums: np.ndarray, sets: np.ndarray, of: np.ndarray, length: int, st
     return v[some] / norm[some, None], bits[some], at[some]
 
 
-def _block_sums(rows: np.ndarray, weight: np.ndarray, term: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    """Weighted sum of the rows of each block's terms; words without weight are left out."""
-    w = weight[term]
-    used = np.flatnonzero(w)
+def _block_sums(rows: np.ndarray, used: np.ndarray, term: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each block's terms, over the places in used; taken in stretches that stay in a cache."""
     out = np.zeros((len(start), rows.shape[1]), "f4")
-    if len(used):
-        block = np.searchsorted(start, used, side="right") - 1
-        cut = np.flatnonzero(np.diff(block, prepend=-1))
-        out[block[cut]] = np.add.reduceat(rows[term[used]] * w[used, None], cut)
+    block = np.searchsorted(start, used, side="right") - 1
+    for k in range(0, len(used), STRETCH):
+        part = block[k : k + STRETCH]
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        out[part[cut]] += np.add.reduceat(rows[term[used[k : k + STRETCH]]], cut)
     return out
 
 
@@ -176,6 +177,7 @@ def fit_space(docs: DataFrame, rank: int = RANK, seed: int = 11) -> LatentSpace:
     idf = np.where((df > 0) & (df <= max(MAX_DF * n, 2)), np.log((1 + n) / (1 + df)) + 1, 0).astype("f4")
     width = rank + OVERSAMPLE
     omega = np.random.default_rng(seed).standard_normal((TERMS, width)).astype("f4")
+    weighted = omega * idf[:, None]
 
     def task(chunks: Iterator[list[bytes]]) -> np.ndarray | None:
         total = None
@@ -185,30 +187,32 @@ def fit_space(docs: DataFrame, rank: int = RANK, seed: int = 11) -> LatentSpace:
             if not len(term):
                 continue
             _, start, _ = _blocks(owner, len(raw), LONG * BLOCK)
-            y = _block_sums(omega, idf, term, start, len(term))
-            w = idf[term]
-            used = np.flatnonzero(w)
+            used = np.flatnonzero(idf[term])
+            y = _block_sums(weighted, used, term, start)
             block = np.searchsorted(start, used, side="right") - 1
-            square = np.bincount(block, w[used] ** 2, len(start))
+            square = np.bincount(block, idf[term[used]] ** 2, len(start))
             y /= np.maximum(square, 1e-9)[:, None].astype("f4")  # rows of unit length, on both sides
             order = np.argsort(term[used].astype("u2"), kind="stable")
-            sorted_terms = term[used][order]
-            cut = np.flatnonzero(np.diff(sorted_terms, prepend=-1))
-            if len(cut):
-                total[sorted_terms[cut]] += np.add.reduceat(y[block[order]] * w[used][order][:, None], cut)
+            sorted_terms, sorted_blocks = term[used][order], block[order]
+            for k in range(0, len(used), STRETCH):
+                terms = sorted_terms[k : k + STRETCH]
+                cut = np.flatnonzero(np.diff(terms, prepend=-1))
+                total[terms[cut]] += np.add.reduceat(y[sorted_blocks[k : k + STRETCH]], cut)
+        if total is not None:
+            total *= idf[:, None]  # a term's weight is the same at each of its places
         return total
 
     z = _summed(docs, task, "f4", 16)
     if not len(z):
-        return LatentSpace(idf, omega[:, 1 : rank + 1])
+        return LatentSpace(idf, weighted[:, 1 : rank + 1])
     z = z.reshape(TERMS, width).astype("f8")
     values, vectors = np.linalg.eigh((omega.T @ z + z.T @ omega) / 2)
     good = values > max(values.max(), 0) * 1e-9
     if not good.any():
-        return LatentSpace(idf, omega[:, 1 : rank + 1])
+        return LatentSpace(idf, weighted[:, 1 : rank + 1])
     u, s, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     keep = slice(1, rank + 1) if len(s) > 1 else slice(0, 1)
-    return LatentSpace(idf, (u[:, keep] / np.maximum(s[keep], s[0] * 1e-6)).astype("f4"))
+    return LatentSpace(idf, (u[:, keep] / np.maximum(s[keep], s[0] * 1e-6) * idf[:, None]).astype("f4"))
 
 
 def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> int:
