@@ -1 +1 @@
-"""plans of the engine."""
+"""Plans of the engine: whole evaluations put together from the operators."""

@@ -1,6 +1,362 @@
-"""Registered queries of the rule engine, with the SQL that DuckDB runs beside them."""
+"""Registered queries of the rule engine, each over its whole table, with the SQL that DuckDB runs beside them.
+
+Arrays are joined to text in results, so that both engines give plain columns.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boxsift import oracles
+from boxsift.functions import geometry as G
+from boxsift.functions import text as T
+from boxsift.operators import evidence as E
+from boxsift.operators import planning as P
+from boxsift.operators import readings as D
+from boxsift.operators import regions as R
+from boxsift.plans.evaluate import Evaluation, evaluate
+from boxsift.rules import RuleSet
+from boxsift.sources import boxes as B
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
+RULES = RuleSet()
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def joined(a: Column | str) -> Column:
+    return F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.from_lineitem(spark, sf_dir)
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.evidence(boxes(spark, sf_dir), RULES)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, id, text) of documents and of conversation turns."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    return docs.union(turns)
+
+
+# Sources
+
+
+@query
+def text_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.from_text(table(spark, sf_dir, "documents"), "doc_id", "text").select("request_id", "block_index", "text", "x1", "y1", "confidence")
+
+
+@query
+def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File name of a fetched image: md5 of request and url, and the url's suffix."""
+    pages = table(spark, sf_dir, "pages")
+    rid = B.request_name(F.when(F.col("page_id") % 5 == 0, "").otherwise(F.col("page_id").cast("string")))
+    suffix = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), r"/[^/]*?(\.[A-Za-z0-9]+)$", 1)
+    name = F.concat(F.md5(F.concat_ws(":", rid, "url")), F.when(suffix == "", ".jpg").otherwise(suffix))
+    return pages.select("page_id", rid.alias("request_id"), name.alias("file_name"))
+
+
+# Evidence
+
+
+@query
+def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return boxes(spark, sf_dir).select("request_id", "block_index", joined(T.hits(t, RULES.medical_keywords)).alias("medical"), joined(T.hits(t, RULES.illegal_keywords)).alias("illegal"))
+
+
+@query
+def alias_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return boxes(spark, sf_dir).select("request_id", "block_index", joined(T.alias_hits(t, RULES.medical_aliases)).alias("medical"), joined(T.alias_hits(t, RULES.illegal_aliases)).alias("illegal"))
+
+
+@query
+def noise_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = found(spark, sf_dir)
+    return rows.select("request_id", "block_index", joined("noise_hits").alias("noise"), joined(P.noise_of_reading(F.col("text"), RULES)).alias("reading_noise"))
+
+
+@query
+def phone_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir).select("request_id", "block_index", joined("phones").alias("phones"))
+
+
+@query
+def wechat_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir).select("request_id", "block_index", joined("wechat_ids").alias("wechat_ids"))
+
+
+@query
+def qq_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(spark, sf_dir).select("request_id", "block_index", joined("qqs").alias("qqs"))
+
+
+@query
+def block_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = E.annotations(found(spark, sf_dir))
+    return rows.select("request_id", "block_index", "matched", *[joined(c).alias(c) for c in ("hit_keywords", "hit_rules", "clue_types")])
+
+
+@query
+def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = E.documents(E.annotations(found(spark, sf_dir)))
+    return docs.select("request_id", "n_blocks", "ocr_text", *[joined(c).alias(c) for c in ("phones", "wechat_ids", "qqs", "hit_keywords", "hit_rules")])
+
+
+# Text
+
+
+@query
+def meaningful_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return texts(spark, sf_dir).select("kind", "id", T.is_meaningful(t).alias("meaningful"), T.solid_length(t).cast("long").alias("solid_length"), T.has_phone_digits(t).alias("phone_digits"), T.has_partial_contact(t).alias("partial_contact"))
+
+
+@query
+def punctuation_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = B.from_text(table(spark, sf_dir, "documents"), "doc_id", "text")
+    words = lines.select("request_id", "block_index", F.posexplode(F.split("text", " ")).alias("word_index", "word"))
+    return words.groupBy("request_id").agg(F.count("*").alias("words"), F.count_if(T.is_punctuation_noise(F.col("word"))).alias("noise_words"))
+
+
+@query
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes(spark, sf_dir).select("request_id", "block_index", T.normalized(F.col("text")).alias("normalized"))
+
+
+@query
+def similar_text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar texts among the boxes of a request."""
+    rows = boxes(spark, sf_dir).select("request_id", "block_index", T.normalized(F.col("text")).alias("t"))
+    same = (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.block_index") < F.col("b.block_index"))
+    pairs = rows.alias("a").join(rows.alias("b"), same)
+    return pairs.where(T.is_similar(F.col("a.t"), F.col("b.t"))).select("a.request_id", F.col("a.block_index").alias("a_index"), F.col("b.block_index").alias("b_index"))
+
+
+# Geometry
+
+
+@query
+def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = G.box_of_points(F.col("points"))
+    x, y = G.center(b)
+    wide = G.expanded(b, 10, 20)
+    inside = G.clipped(b, F.lit(500), F.lit(600))
+    return boxes(spark, sf_dir).select("request_id", "block_index", *[v.alias(k) for k, v in b.items()], x.alias("center_x"), y.alias("center_y"), wide["x1"].alias("wide_x1"), wide["y2"].alias("wide_y2"), *[v.alias(f"clip_{k}") for k, v in inside.items()], G.angle(F.col("points")).alias("angle"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = boxes(spark, sf_dir).select("request_id", "block_index", "x1", "y1", "x2", "y2")
+    return rows.alias("a").join(rows.alias("b"), (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.block_index") < F.col("b.block_index")))
+
+
+@query
+def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = G.columns_of("a"), G.columns_of("b")
+    rows = pairs(spark, sf_dir).where(G.intersects(a, b))
+    return rows.select("a.request_id", F.col("a.block_index").alias("a_index"), F.col("b.block_index").alias("b_index"), F.round(G.iou(a, b), 6).alias("iou"), G.centers_close(a, b).alias("close"), F.round(G.distance(a, b), 4).alias("distance"))
+
+
+@query
+def nearby_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which b's center lies in a, padded by 14 % of its sides and 12 pixels at least, or whose overlap is 0.08."""
+    a, b = G.columns_of("a"), G.columns_of("b")
+    pad = lambda lo, hi: F.greatest(F.lit(12), ((a[hi] - a[lo]) * 0.14).cast("int"))
+    x, y = G.center(b)
+    near = G.contains_point(G.expanded(a, pad("x1", "x2"), pad("y1", "y2")), x, y) | (G.iou(a, b) >= 0.08)
+    return pairs(spark, sf_dir).where(near).select("a.request_id", F.col("a.block_index").alias("a_index"), F.col("b.block_index").alias("b_index"))
+
+
+@query
+def card_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a card: range join of cards, here the first box of each request grown to a card, with the request's boxes."""
+    rows = boxes(spark, sf_dir).select("request_id", "block_index", "x1", "y1", "x2", "y2")
+    cards = rows.where("block_index = 0").select("request_id", (F.col("x1") - 40).alias("x1"), (F.col("y1") - 60).alias("y1"), (F.col("x2") + 40).alias("x2"), (F.col("y2") + 60).alias("y2"))
+    c, b = G.columns_of("c"), G.columns_of("b")
+    pad = lambda lo, hi: F.greatest(F.lit(10), F.floor((c[hi] - c[lo]) / 8).cast("int"))
+    wide, (x, y) = G.expanded(c, pad("x1", "x2"), pad("y1", "y2")), G.center(b)
+    within = G.contains_point(wide, x, y) | G.intersects(wide, b)
+    return cards.alias("c").join(rows.alias("b"), (F.col("c.request_id") == F.col("b.request_id")) & within).select("b.request_id", "b.block_index")
+
+
+# Joins within a request
+
+
+@query
+def core_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword boxes, and boxes within 90 pixels of one that are neither noise nor a contact."""
+    rows = found(spark, sf_dir).select("request_id", "block_index", "x1", "y1", "x2", "y2", E.has_keyword().alias("keyword"), (E.some("noise_hits") & ~E.has_keyword()).alias("noise_only"), E.has_contact().alias("contact"))
+    words = rows.where("keyword")
+    near = (F.col("a.request_id") == F.col("b.request_id")) & (G.distance(G.columns_of("a"), G.columns_of("b")) <= R.CORE_DISTANCE)
+    beside = rows.where("NOT keyword AND NOT noise_only AND NOT contact").alias("a").join(words.alias("b"), near, "left_semi")
+    return words.union(beside).select("request_id", "block_index", "keyword")
+
+
+def evaluated(spark: SparkSession, sf_dir: str) -> Evaluation:
+    return evaluate(boxes(spark, sf_dir), RULES)
+
+
+@query
+def text_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.text_regions(R.nested(found(spark, sf_dir)), RULES)
+    rows = rows.select("request_id", F.posexplode("regions").alias("region", "r"))
+    return rows.select("request_id", "region", "r.anchor", joined("r.members").alias("members"), "r.x1", "r.y1", "r.x2", "r.y2")
+
+
+@query
+def contact_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluated(spark, sf_dir).regions.select("request_id", "region", F.explode("attachments").alias("a"))
+    return rows.select("request_id", "region", "a.block_index", "a.score", (F.col("a.score") >= R.ATTACHED).alias("accepted"))
+
+
+@query
+def region_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluated(spark, sf_dir).regions
+    return rows.select("request_id", "region", "combined", "risk_score", *[joined(c).alias(c) for c in ("medical", "illegal", "phones", "wechat_ids", "qqs", "hit_rules")])
+
+
+@query
+def ad_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ads = evaluated(spark, sf_dir).ads
+    return ads.select("request_id", "position", "ad_index", "risk_score", "risk_level", "suspicious", "x1", "y1", "x2", "y2", joined("block_indices").alias("block_indices"), joined("hit_rules").alias("hit_rules"))
+
+
+def _told(documents: DataFrame) -> DataFrame:
+    lists = ("phones", "wechat_ids", "qqs", "hit_keywords", "hit_rules")
+    return documents.select("request_id", "n_blocks", F.size("ads").alias("n_ads"), "risk_score", "risk_level", "suspicious", "empty_reason", *[joined(c).alias(c) for c in lists])
+
+
+@query
+def spatial_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(evaluated(spark, sf_dir).documents)
+
+
+@query
+def empty_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluated(spark, sf_dir).documents.groupBy("empty_reason").agg(F.count("*").alias("requests"))
+
+
+@query
+def text_only_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that come as text: the generated boxes' texts joined by line breaks, and evaluated line by line."""
+    joined_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda b: b["text"]), "\n")
+    requests = boxes(spark, sf_dir).groupBy("request_id").agg(joined_text.alias("ocr_text"))
+    return _told(evaluate(B.from_text(requests, "request_id", "ocr_text"), RULES).documents)
+
+
+@query
+def draw_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of suspicious requests: boxes that matched or belong to an ad, red for risk words, else yellow."""
+    done = evaluated(spark, sf_dir)
+    shown = done.documents.where("suspicious").select("request_id", F.array_distinct(F.flatten(F.transform("ads", lambda a: a["block_indices"]))).alias("inside"))
+    rows = done.blocks.join(shown, "request_id").where(F.col("matched") | F.array_contains("inside", F.col("block_index")))
+    colour = F.when(F.array_contains("clue_types", "risk_word"), "red").otherwise("yellow")
+    return rows.select("request_id", "block_index", colour.alias("colour"), "x1", "y1", "x2", "y2")
+
+
+# Readings
+
+
+@query
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.readings(boxes(spark, sf_dir))
+    return rows.select("request_id", joined(F.transform(D.reading_order(F.col("readings")), lambda b: b["block_index"])).alias("ordered"), D.average_confidence(F.transform("readings", lambda b: b["confidence"])).alias("confidence"))
+
+
+@query
+def ocr_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.readings(boxes(spark, sf_dir))
+    return rows.select("request_id", joined(F.transform(D.without_duplicates(F.col("readings")), lambda b: b["block_index"])).alias("kept"))
+
+
+@query
+def round_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of even index are the first round, the others a closer look."""
+    rows = D.readings(boxes(spark, sf_dir))
+    first, focus = (F.filter("readings", lambda b, k=k: b["block_index"] % 2 == k) for k in (0, 1))
+    return rows.select("request_id", joined(F.transform(D.merge_rounds(first, focus), lambda b: b["block_index"])).alias("kept"))
+
+
+@query
+def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = D.clusters(D.readings(boxes(spark, sf_dir)))
+    return rows.select("request_id", F.posexplode("clusters").alias("cluster", "members")).select("request_id", "cluster", joined("members").alias("members"))
+
+
+# Planning
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first round says of a request; every third one has a card."""
+    done = evaluated(spark, sf_dir)
+    listed = done.blocks.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "text", "x1", "y1", "x2", "y2"))).alias("b"))
+    rows = done.documents.select("request_id", "phones", "wechat_ids", "qqs", "hit_keywords", "hit_rules", "risk_score").join(listed, "request_id")
+    rows = rows.withColumn("texts", F.transform("b", lambda x: x["text"]))
+    return rows.select(
+        "*",
+        F.size("hit_keywords").alias("keyword_count"),
+        P.has_contact().alias("has_contact"),
+        F.exists("texts", T.has_partial_contact).alias("has_partial_contact"),
+        (F.col("request_id") % 3 == 0).alias("has_card"),
+        F.lit(False).alias("has_oblique"),
+        P.solid_text().alias("solid_length"),
+        F.size("b").alias("box_count"),
+        F.aggregate("texts", F.lit(0), lambda a, t: a + F.length(T.strip(t))).alias("text_length"),
+        P.low_semantic_confidence(RULES).alias("low_confidence"),
+    )
+
+
+@query
+def semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(spark, sf_dir).select("request_id", P.semantic_score(RULES).alias("semantic_score"), "solid_length", "low_confidence")
+
+
+@query
+def retry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(spark, sf_dir).select("request_id", P.retry_reason(P.RetrySettings()).alias("reason"))
+
+
+@query
+def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variants to try over the frame of all boxes, as a rectangle taken from the card where there is one."""
+    b = R.bounds(F.col("b"))
+    rows = features(spark, sf_dir).withColumns({"width": b["x2"] - b["x1"], "height": b["y2"] - b["y1"], "shape": F.when(F.col("request_id") % 2 == 0, "trapezoid").otherwise("rectangle"), "angle": F.lit(0.0), "source": F.when(F.col("has_card"), "card_candidate").otherwise("cluster")})
+    return rows.select("request_id", joined(P.retry_variants(P.RetrySettings())).alias("variants"))
+
+
+@query
+def ocr_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views of an image for each part: sides from the part's numbers."""
+    w, h = (300 + (F.col("p_partkey") * 37) % 2200).cast("int"), (300 + (F.col("p_partkey") * 53) % 2400).cast("int")
+    rows = table(spark, sf_dir, "part").select("p_partkey", w.alias("w"), h.alias("h"))
+    kinds = {"initial": P.initial_views, "tile": P.tile_views, "scan": P.scan_views}
+    out = None
+    for kind, make in kinds.items():
+        one = rows.select("p_partkey", F.lit(kind).alias("kind"), F.inline(make(F.col("w"), F.col("h"))))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query
+def view_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features(spark, sf_dir).join(D.readings(boxes(spark, sf_dir)), "request_id")
+    side = (600 + F.col("request_id") % 1500).cast("int")
+    confidence = D.average_confidence(F.transform("readings", lambda b: b["confidence"]))
+    return rows.select("request_id", P.scan_due(side).alias("scan"), P.rotation_due(side, RULES).alias("rotation"), P.tiles_due(side, confidence).alias("tiles"))
