@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ PARTS = "part int, base long, n_tokens long, n_docs long"
 
 
 class Encoder:
-    """ids of whole texts as little-endian bytes, with the end id appended.
+    """ids of whole texts, with the end id appended.
 
     by_word is for vocabularies that drop white space: no token spans it, so the ids of a text are those of its words
     in turn, and a word is encoded once. A last full stop or comma after a letter is a token of its own there.
@@ -47,7 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.by_word = np.array([end_id], "<u4").tobytes(), by_word
+        self.end, self.by_word = end_id, by_word
         self.store: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab() if by_word else {}
@@ -71,28 +72,46 @@ class Encoder:
         out.update(zip(rest, self._ids([texts[k] for k in rest])))
         return [out[k] for k in range(len(words))]
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts in one stretch, the end ids included, and the number of ids of each text; null is empty."""
+        texts = texts.fill_null("")
         if not self.by_word:
-            return [x + self.end for x in self._ids([t or "" for t in texts])]
-        split = []
-        for t in texts:
-            raw = (t or "").encode()
-            raw = raw if b"<|" in raw else raw.lower()  # ASCII letters; the strings of special tokens stay as they are
-            split.append(raw.replace(b"\n", b" ").split(b" "))
+            ids = self._ids(texts.to_pylist())
+            raw, n = np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids], "i8")
+        else:
+            raw, n = self._by_word(texts)
+        out = np.full(len(raw) + len(n), self.end, "<i4")
+        out[np.arange(len(raw)) + np.repeat(np.arange(len(n)), n)] = raw
+        return out, n + 1
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words are looked up once for all texts, and the ids of a text gathered from them."""
+        # ASCII letters in lower case; the strings of special tokens stay as they are.
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        ids = self._look_up(words.dictionary.cast(pa.binary()).to_pylist())
+        size = np.array([len(x) // 4 for x in ids], "i8")
+        values, first = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(size) - size
+        place = words.indices.to_numpy()
+        n = size[place]
+        source = np.repeat(first[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        edges = np.concatenate([[0], np.cumsum(n)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return values[source], np.diff(edges)
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """ids of distinct words, from the store where it has them."""
         if len(self.store) > WORD_STORE // 2:
             self.store, self.older = {}, self.store
         store = self.store
-        found = [list(map(store.get, words)) for words in split]  # one look a word
-        new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
-        if new:
-            store.update({w: ids for w in new if (ids := self.older.get(w)) is not None})
-            new.difference_update(store)
-            cut = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-            whole = [*{*(w for w in new if w not in cut), *(w for w in cut.values() if w not in store), b".", b","}]
-            store.update(zip(whole, self._ids_of_words(whole)))
-            store.update({w: store[stem] + store[w[-1:]] for w, stem in cut.items()})
-            found = [[store[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids for words, ids in zip(split, found)]
-        return [b"".join(ids) + self.end for ids in found]
+        new = [w for w in words if w not in store]
+        store.update({w: ids for w in new if (ids := self.older.get(w)) is not None})
+        new = [w for w in new if w not in store]
+        cut = {w: w[:-1] for w in new if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
+        whole = [*{*(w for w in new if w not in cut), *(w for w in cut.values() if w not in store), b".", b","}]
+        store.update(zip(whole, self._ids_of_words(whole)))
+        store.update({w: store[stem] + store[w[-1:]] for w, stem in cut.items()})
+        return [store[w] for w in words]
 
 
 @lru_cache(1)
@@ -101,16 +120,14 @@ def encoder(path: str, end_id: int, by_word: bool) -> Encoder:
     return Encoder(path, end_id, by_word)
 
 
-def _encoded(path: str, end_id: int, by_word: bool, rows: int = 256):
+def _encoded(path: str, end_id: int, by_word: bool, rows: int = 1024):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(path, end_id, by_word), TaskContext.get().partitionId(), 0
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
                 b = whole.slice(k, rows)
-                ids = encode(b.column("text").to_pylist())
-                n = np.array([len(x) // 4 for x in ids], "i8")
+                values, n = encode(b.column("text"))
                 offsets = np.concatenate([[0], np.cumsum(n)])
-                values = np.frombuffer(b"".join(ids), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
                 columns = [pa.array(np.full(len(n), part, "i4")), b.column("doc_id"), pa.array(at + offsets[:-1]), pa.array(n), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "local_start", "n_tokens", "tokens"])
