@@ -32,6 +32,8 @@ MAX_LANGUAGES = 256
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 EPOCHS, RATE, BATCH = 30, 20.0, 32
+#: Few texts are gone over more often, up to so many steps.
+LEAST_STEPS = 1500
 REJECTED_SHARE = 0.01
 UNKNOWN = "und"
 
@@ -125,8 +127,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 3) -> LanguageModel:
     weight = (share.sum() / np.maximum(share, 1) / len(languages)).clip(0, 20)
     E = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype("f4")
     W, bias = np.zeros((DIMENSIONS, len(languages)), "f4"), np.zeros(len(languages), "f4")
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, LEAST_STEPS * BATCH // max(len(train), 1)) if len(train) else 0
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(train), BATCH):
             rows = train[at : at + BATCH]
             x = np.stack([bags[r][1] @ E[bags[r][0]] for r in rows])
