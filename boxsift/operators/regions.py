@@ -235,7 +235,7 @@ def ads(regions: DataFrame, rules: RuleSet) -> DataFrame:
     at the end. ad_index is given before the weaker one goes, so numbers can repeat.
     """
     signal = (F.size("medical") > 0) | (F.size("illegal") > 0) | (F.size("phones") > 0) | (F.size("wechat_ids") > 0) | (F.size("qqs") > 0) | (F.col("risk_score") > 0)
-    rows = members(regions.where(signal))
+    rows = members(regions)
     frame = upright_frame(F.col("ad_boxes"))
     suspicious = (F.col("risk_score") >= rules.suspicious_score) | ((F.size("medical") > 0) & (F.size("illegal") > 0))
     ad = F.struct(
@@ -247,7 +247,8 @@ def ads(regions: DataFrame, rules: RuleSet) -> DataFrame:
         level(F.col("risk_score"), rules).alias("risk_level"),
         suspicious.alias("suspicious"),
     ).cast(AD)
-    listed = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("region", ad.alias("ad")))).alias("listed"))
+    # A filter on the rows would be pushed below, with all that the score is made of; null structs are not collected.
+    listed = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.when(signal, F.struct("region", ad.alias("ad"))))).alias("listed"))
     numbered = lambda a, n: F.struct(n.alias("ad_index"), *[a[f].alias(f) for f in ("x1", "y1", "x2", "y2", "block_indices", "hit_keywords", "hit_rules", "phones", "wechat_ids", "qqs", "risk_score", "risk_level", "suspicious")]).cast(AD)
 
     def add(kept: Column, row: Column) -> Column:
