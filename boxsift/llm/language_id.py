@@ -111,14 +111,16 @@ def fit(texts: list[str], labels: list[str], seed: int = 3) -> LanguageModel:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     rng, is_letter = np.random.default_rng(seed), letter_table()
     y = np.array([languages.index(x) for x in labels])
-    ids, owner = subwords(texts, is_letter)
-    bounds = np.searchsorted(owner[(order := np.argsort(owner, kind="stable"))], np.arange(len(texts) + 1))
-    ids = ids[order]
-    # Each text as distinct buckets and their shares of its groups.
+    # Each text as distinct buckets and their shares of its groups; some texts at a time, to keep the driver small.
     bags = []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        u, c = np.unique(ids[a:b], return_counts=True)
-        bags.append((u, (c / max(1, b - a)).astype("f4")))
+    for k in range(0, len(texts), 100):
+        part = texts[k : k + 100]
+        ids, owner = subwords(part, is_letter)
+        order = np.argsort(owner, kind="stable")
+        bounds = np.searchsorted(owner[order], np.arange(len(part) + 1))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            u, c = np.unique(ids[order[a:b]], return_counts=True)
+            bags.append((u, (c / max(1, b - a)).astype("f4")))
     used = np.array([len(u) > 0 for u, _ in bags])
     shuffled = rng.permutation(np.flatnonzero(used))
     n_held = len(shuffled) // 5
@@ -143,7 +145,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 3) -> LanguageModel:
                 E[bags[r][0]] -= rate * bags[r][1][:, None] * d
     model = LanguageModel(languages, E @ W, bias)
     if n_held:
-        z, _ = model.logits([texts[k] for k in held], is_letter)
+        z = np.concatenate([model.logits([texts[k] for k in held[a : a + 100]], is_letter)[0] for a in range(0, n_held, 100)])
         model.temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(softmax(z / t)[np.arange(n_held), y[held]] + 1e-12).mean())
         p = softmax(z / model.temperature)
         right = p.max(1)[p.argmax(1) == y[held]]
