@@ -143,3 +143,14 @@ SELECT doc.request_id, n_blocks, CASE WHEN ad.request_id IS NULL THEN 0 ELSE 1 E
     WHEN noisy THEN 'noise_keywords' ELSE 'all_groups_filtered' END AS empty_reason, {_LISTED},
   {_joined(_set("list_concat(hit_keywords, coalesce(medical, []), coalesce(illegal, []))"))} AS hit_keywords, {_joined(_set("list_concat(hit_rules, coalesce(rules, []))"))} AS hit_rules
 FROM doc LEFT JOIN ad ON doc.request_id = ad.request_id"""
+
+_KINDS = {"card": ((32, 0.18), (24, 0.18), (28, 0.14), (36, 0.18)), "wide": ((80, 0.85), (60, 0.35), (70, 0.40), (120, 0.95)), "box": ((24, 1.0), (24, 1.0), (28, 1.0), (28, 1.0)),
+          "turned": ((12, 0.10), (12, 0.10), (8, 0.04), (20, 0.28)), "side": ((12, 0.14),) * 4}
+_FRAMES = " UNION ALL ".join(
+    f"SELECT request_id, block_index, '{k}' AS kind, x1 - greatest({p[0][0]}, CAST(trunc(w * {p[0][1]}::DOUBLE) AS INT)) AS a, y1 - greatest({p[2][0]}, CAST(trunc(h * {p[2][1]}::DOUBLE) AS INT)) AS b, "
+    f"x2 + greatest({p[1][0]}, CAST(trunc(w * {p[1][1]}::DOUBLE) AS INT)) AS c, y2 + greatest({p[3][0]}, CAST(trunc(h * {p[3][1]}::DOUBLE) AS INT)) AS d FROM s"
+    for k, p in _KINDS.items()
+)
+SQL["focus_frames"] = f"""WITH {BOXES}, s AS (SELECT *, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h FROM box), f AS ({_FRAMES}),
+g AS (SELECT *, least(greatest(0, a), 899) AS x1, least(greatest(0, b), 999) AS y1 FROM f)
+SELECT request_id, block_index, kind, x1, y1, least(greatest(x1 + 1, c), 900) AS x2, least(greatest(y1 + 1, d), 1000) AS y2 FROM g"""

@@ -14,6 +14,7 @@ from boxsift import oracles
 from boxsift.functions import geometry as G
 from boxsift.functions import text as T
 from boxsift.operators import evidence as E
+from boxsift.operators import focus as X
 from boxsift.operators import planning as P
 from boxsift.operators import readings as D
 from boxsift.operators import regions as R
@@ -360,3 +361,38 @@ def view_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = (600 + F.col("request_id") % 1500).cast("int")
     confidence = D.average_confidence(F.transform("readings", lambda b: b["confidence"]))
     return rows.select("request_id", P.scan_due(side).alias("scan"), P.rotation_due(side, RULES).alias("rotation"), P.tiles_due(side, confidence).alias("tiles"))
+
+
+@query
+def focus_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames for a closer look at a box in an image of 900 x 1000: as a card, as a wide card, as a small box, turned."""
+    b, w, h = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}, F.lit(900), F.lit(1000)
+    kinds = {"card": X.card_frame(b, w, h), "wide": X.card_frame(b, w, h, wide=True), "box": X.box_frame(b, w, h), "turned": X.variant_frame(b, "rotate_180", w, h), "side": X.variant_frame(b, "rotate_90", w, h)}
+    rows = [F.struct(F.lit(k).alias("kind"), *[v.alias(c) for c, v in f.items()]) for k, f in kinds.items()]
+    return boxes(spark, sf_dir).select("request_id", "block_index", F.inline(F.array(*rows)))
+
+
+@query
+def focus_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best cluster of each request for a closer look, in an image of 900 x 1000 without cards."""
+    told = features(spark, sf_dir).select("request_id", "keyword_count", "has_contact", "has_oblique", "low_confidence", (F.col("solid_length") <= 8).alias("low_recall"))
+    marked = E.annotations(found(spark, sf_dir)).select(
+        "request_id", "block_index", "text", F.size("hit_keywords").alias("k"), F.size(F.array_intersect("clue_types", T.strings(("phone", "wechat", "qq")))).alias("c"), T.has_contact_digits(F.col("text")).cast("int").alias("d")
+    )
+    spans = D.clusters(D.readings(boxes(spark, sf_dir)))
+    one = spans.select("request_id", "readings", F.posexplode("clusters").alias("ordinal", "members"))
+    one = one.withColumn("own", F.transform("members", lambda i: F.get("readings", i)))
+    b = R.bounds(F.col("own"))
+    frame = X.cluster_frame(b, F.lit(900), F.lit(1000))
+    area = F.aggregate("own", F.lit(0), lambda a, r: a + F.greatest(F.lit(1), (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])))
+    one = one.select("request_id", "ordinal", "members", area.alias("text_area"), X.frame_shape(b).alias("shape"), F.array_join(F.transform("own", lambda r: r["text"]), "").alias("joined"), *[v.alias(k) for k, v in frame.items()])
+    counts = one.select("request_id", "ordinal", F.explode("members").alias("block_index")).join(marked, ["request_id", "block_index"])
+    counts = counts.groupBy("request_id", "ordinal").agg(F.sum("k").alias("keywords"), F.sum("c").alias("contacts"), F.sum("d").alias("digits"), F.count("*").alias("boxes"))
+    rows = one.join(counts, ["request_id", "ordinal"]).join(told, "request_id")
+    rows = rows.withColumns({
+        "region_area": F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), "angle": F.lit(0.0), "source": F.lit("text_cluster"), "overlap": F.lit(0.0),
+        "card_area": F.lit(None).cast("int"), "preset": F.lit(False), "image_area": F.lit(900_000), "oblique": F.lit(0), "has_card": F.lit(False),
+        "noisy": F.size(P.noise_of_reading(F.col("joined"), RULES)) > 0,
+    })
+    rows = rows.where("keyword_count = 0 OR keywords > 0 OR digits > 0").withColumn("score", X.focus_score())
+    return X.best_frames(rows).select("request_id", "ordinal", "score", "x1", "y1", "x2", "y2", joined("members").alias("members"))
