@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from boxsift.llm.common import written
 from boxsift.llm.shingles import text_chunks, word_hashes
 
-LABELLED, POOL = 6000, 6000
+LABELLED, POOL = 4000, 4000
 ROUNDS, GAIN = 5, 200
 WORD_DIMS = TRIGRAM_DIMS = 1 << 13
 TEXT_DIMS = WORD_DIMS + TRIGRAM_DIMS
@@ -108,9 +108,9 @@ class Sparse:
 
     @staticmethod
     def of(rows: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
-        none = (np.empty(0, "i8"), np.empty(0, "f4"))
+        none = (np.empty(0, "i4"), np.empty(0, "f4"))
         dims, values = zip(*(rows or [none]))
-        return Sparse(np.concatenate(dims), np.concatenate(values), np.repeat(np.arange(len(rows)), [len(d) for d, _ in rows]), len(rows))
+        return Sparse(np.concatenate(dims), np.concatenate(values), np.repeat(np.arange(len(rows), dtype="i4"), [len(d) for d, _ in rows]), len(rows))
 
 
 def _dot(x, w: np.ndarray) -> np.ndarray:
@@ -183,8 +183,12 @@ def _gathered(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
     """Features of rows, one row for each id and label: as many as ids were chosen."""
     once = rows.dropDuplicates(["doc_id", "quality"]).select("text", "source", "lang", "quality")
     got = once.mapInArrow(_featured, _FEATURES).toArrow()
-    pairs = [(np.array(d, "i8"), np.array(v, "f4")) for d, v in zip(got.column("dims").to_pylist(), got.column("vals").to_pylist())]
-    meta = np.array(got.column("meta").to_pylist(), "f4").reshape(len(pairs), META_DIMS)
+    got = got.combine_chunks()
+    stretch = lambda c: (c.values.to_numpy(), c.offsets.to_numpy()) if len(c) else (np.empty(0), np.zeros(1, "i4"))
+    chunk = lambda name: got.column(name).chunk(0) if got.num_rows else pa.array([], pa.list_(pa.float32()))
+    (dims, at), (values, _), (meta, _) = (stretch(chunk(c)) for c in ("dims", "vals", "meta"))
+    pairs = [(dims[i:j], values[i:j]) for i, j in zip(at[:-1], at[1:])]
+    meta = np.asarray(meta, "f4").reshape(len(pairs), META_DIMS)
     return pairs, meta, np.array(got.column("quality").to_pylist(), "f8")
 
 
