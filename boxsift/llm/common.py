@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Characters that part words; a word is a longest run of any others.
 SPACES = " \t\n\x0b\x0c\r"
+#: Rows of a file of a small table.
+ROWS_OF_FILE = 20_000
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,9 +48,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows of df, written as Parquet into the shared folder and read again: cuts lineage, survives lost executors.
+
+    rows is a bound on their number, if one is known: few rows then make few files.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(1 + rows // ROWS_OF_FILE)
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,3 +67,16 @@ def token_file(name: str, path: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def most_frequent(counts: DataFrame, most: int, name: str) -> DataFrame:
+    """The rows of counts (..., n) with the highest n, most of them at most: whole classes of about equal n, sixteen to a
+    doubling, so that the cut needs a table of classes only and no rows are ranked or sent in excess."""
+    counts = written(counts.withColumn("_class", F.floor(F.log2(F.col("n").cast("double")) * 16)), name)
+    classes = counts.groupBy("_class").agg(F.count("*").alias("rows")).collect()  # some hundreds
+    taken, least = 0, None
+    for r in sorted(classes, key=lambda r: -r["_class"]):
+        if taken + r["rows"] > most:
+            break
+        taken, least = taken + r["rows"], r["_class"]
+    return counts.where(F.lit(False) if least is None else F.col("_class") >= least).drop("_class")

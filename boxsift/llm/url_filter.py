@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxsift.llm.common import most_frequent
+
 VOCABULARY = 50_000
 MAX_WORD = 24
 #: Share of urls taken to be bad before any word is seen.
@@ -119,11 +121,11 @@ def train(pages: DataFrame, blocked: Iterable[str] = BLOCKED_EXAMPLES, allowed:
     """Fit on the labelled examples; unigram counts come from the url paths and titles (``title``) of all pages."""
     _, path = split_url(F.col("url"))
     words = F.explode(F.split(F.lower(F.concat_ws(" ", path, "title")), r"[^\p{L}]+")).alias("word")
-    counted = pages.select(words).where(F.length("word").between(1, MAX_WORD)).groupBy("word").count()
-    top = counted.orderBy(F.desc("count"), "word").limit(vocabulary).collect()  # a vocabulary of fixed size
+    counted = pages.select(words).where(F.length("word").between(1, MAX_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    top = most_frequent(counted, vocabulary, "url-words").collect()  # a vocabulary of fixed size
     bad, good = (Counter(w for x in examples for w in x.split()) for examples in (blocked, allowed))
-    least = max([r["count"] for r in top], default=1)
-    unigrams = {r["word"]: r["count"] for r in top}
+    least = max([r["n"] for r in top], default=1)
+    unigrams = {r["word"]: r["n"] for r in top}
     # A labelled word is known to be a word: it counts as a frequent one.
     unigrams |= {w: max(unigrams.get(w, 0), least // 10 + 1) for w in {*bad, *good}}
     return UrlModel(unigrams, bad, good, prior)
