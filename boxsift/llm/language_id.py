@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PER_LANGUAGE = 600
@@ -154,20 +154,19 @@ def fit(texts: list[str], labels: list[str], seed: int = 3) -> LanguageModel:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fit on a bounded sample of labelled: the rows whose keys hash lowest, within each language.
+    """Fit on a bounded sample of labelled: about per_language rows of each language, those whose keys hash lowest.
 
-    Keys are ranked without their texts, with a limit for each language that Spark applies before the shuffle; only the
-    chosen rows' texts are read and sent to the driver.
+    Languages are counted, and the share of a language's rows that is wanted gives the bound on the hash; so no rows are
+    ranked, and only the chosen rows' texts are read and sent to the driver.
     """
-    keys = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(F.lit("lid"), F.col(key).cast("string")).alias("h"))
-    first = Window.partitionBy("l").orderBy("h", "k")
-    chosen = keys.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).groupBy("l").agg(F.max("h").alias("upto"), F.count("*").alias("n"))
-    bounds = {r["l"]: r["upto"] for r in chosen.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+    counts = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
+    most = counts.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
+    bounds = {r["l"]: min(2**63 - 1, -(2**63) + 2**64 * min(per_language, r["n"]) // r["n"]) for r in most}
     if not bounds:
         return fit([], [])
     upto = F.element_at(F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv]), F.col(lang))
     h = F.xxhash64(F.lit("lid"), F.col(key).cast("string"))
-    # Rows that repeat a chosen key come along; the limit keeps the bound all the same.
+    # Hashes fall a little unevenly, and rows that repeat a chosen key come along; the limit keeps the bound.
     rows = labelled.where(F.col(lang).isin(*bounds) & (h <= upto)).select(F.col(text).alias("t"), F.col(lang).alias("l"), h.alias("h")).orderBy("h", "l", "t").limit(per_language * len(bounds)).collect()
     return fit([r["t"] or "" for r in rows], [r["l"] for r in rows])
 
