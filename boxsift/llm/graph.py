@@ -15,20 +15,21 @@ def components(edges: DataFrame) -> DataFrame:
     A node with very many links is summed map-side and joined between written tables, where Spark splits large keys.
     """
     stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
-        both = written(stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))), "star-both")
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "star-large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "star-least")
+    n = 2 * stars.count()  # no later table has more rows
+    while not _settled(stars):
+        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-low", n)
+        large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), "star-large", n)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "star-least", n)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "star-small")
-        if _sum(small) == _sum(stars):
-            break
-        stars = small
+        stars = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "star-small", n)
     roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return written(roots.union(stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "roots")
+    return written(roots.union(stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "roots", n)
 
 
-def _sum(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)"))).first())
+def _settled(stars: DataFrame) -> bool:
+    """Every node points at one other, and nothing points at a node that points further."""
+    roots = stars.select(F.col("v").alias("u")).distinct()
+    twice = stars.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    return stars.select("u").join(roots, "u", "left_semi").union(twice).isEmpty()

@@ -5,8 +5,8 @@ of their prefixes, the first |x| - ceil(t |x|) + 1 elements. The steps:
 
 1. Equal sets become one class (its smallest doc_id stands for it). Classes with identical prefix and size become one
    group; members are verified against the group's representative and leave the group if they do not link.
-2. Groups that share a prefix element are paired and filtered: by size, by position of the shared element, and by the
-   overlap that the two prefixes still allow. Pairs left over are verified on their texts, representatives first, then
+2. Groups that share a prefix element are paired and filtered: by size, by position of the shared element, by the overlap
+   that the two prefixes still allow, and, of groups of one class, by the difference that their sketches prove. Pairs left over are verified on their texts, representatives first, then
    expanded to all members unless the representatives linked.
 3. Links become components; component_id is the smallest doc_id.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import written
+from boxsift.llm.common import most_frequent, written
 from boxsift.llm.graph import components
 from boxsift.llm.shingles import set_key, shingle_hashes, shingle_sets, text_chunks
 
@@ -40,7 +40,9 @@ WORDS, PERCENT = 5, 80
 #: Elements put last in the order, and how often one must occur in a stretch of STRETCH elements to be counted.
 FREQUENT, LOCAL_COUNT, STRETCH = 1 << 18, 4, 2_000_000
 #: A list up to this length is paired in full; pivots in the rounds over longer ones.
-SHORT_LIST, SECOND_PIVOTS, LATER_PIVOTS = 64, 16, 128
+SHORT_LIST, SECOND_PIVOTS, LATER_PIVOTS = 64, 16, 1024
+#: Bits of a set's parity sketch, a power of two: sets differ in at least as many elements as their sketches in bits.
+SKETCH = 1024
 #: Ids up to this count (16 MB) are broadcast to pick texts; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 
@@ -71,21 +73,24 @@ def _frequent(n: int):
 def frequent_elements(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent of them by count over all documents, sorted by element; and their counts. Of bounded size."""
     counts = docs.select("text").mapInArrow(_frequent(n), "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "element").limit(most).toArrow()
+    got = most_frequent(counts, most, "join-frequent").toArrow()
     element, n_of = got.column("element").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(element)
     return element[order], n_of[order]
 
 
 def _prefixes(n: int, percent: int, element: np.ndarray, count: np.ndarray):
-    """(doc_id, n, set_key, rare, prefix): rare is the number of elements that are not frequent."""
+    """(doc_id, n, set_key, rare, prefix, sketch): rare is the number of elements that are not frequent; sketch has a bit
+    for each of SKETCH classes of elements, set if the set has an odd number of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, raw in text_chunks(batches):
             sets = shingle_sets(raw, n)
-            keys, rare, prefix = [], [], []
+            keys, rare, prefix, sketch = [], [], [], []
             for s in sets:
                 keys.append(set_key(s) if len(s) else None)
+                odd = (np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).astype("u1")
+                sketch.append(np.packbits(odd, bitorder="little").view("<i8"))
                 weight = np.zeros(len(s), "i8")
                 if len(element) and len(s):
                     at = np.minimum(np.searchsorted(element, s), len(element) - 1)
@@ -97,17 +102,23 @@ def _prefixes(n: int, percent: int, element: np.ndarray, count: np.ndarray):
             values = np.concatenate(prefix) if prefix else np.empty(0, "i8")
             columns = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(rare, pa.int64())]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "n", "set_key", "rare", "prefix"])
+            bits = pa.array(sketch, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, lists, bits], ["doc_id", "n", "set_key", "rare", "prefix", "sketch"])
 
     return run
 
 
 def _short_lists(percent: int):
-    """From rows (element, gid, n, at) sorted by element, the pairs (a, b) of every list up to SHORT_LIST; for a longer list
-    also a row with its element alone (long), which is resolved elsewhere. Only SHORT_LIST rows of a list are held."""
+    """From rows (element, gid, n, at, lead) sorted by element, the pairs (a, b) of every list up to SHORT_LIST; for a longer
+    list also a row with its element alone (long), which is resolved elsewhere. Only SHORT_LIST rows of a list are held.
 
-    def near(a: tuple, b: tuple) -> bool:
-        (_, n, at), (_, m, bt) = a, b
+    lead is the first element of the prefix: groups with the same one are paired there, and not again at later elements.
+    """
+
+    def near(a: tuple, b: tuple, element: int) -> bool:
+        (_, n, at, lead), (_, m, bt, other) = a, b
+        if lead == other and lead != element:
+            return False
         if 100 * min(n, m) < percent * max(n, m):
             return False
         return (100 + percent) * (1 + min(n - at - 1, m - bt - 1)) >= percent * (n + m)
@@ -121,7 +132,7 @@ def _short_lists(percent: int):
             alone = np.concatenate([[True], e[1:] != e[:-1]]) & np.concatenate([e[1:] != e[:-1], [True]])
             alone[:1] = alone[-1:] = False
             at = np.flatnonzero(~alone)
-            rows = zip(*(batch.column(c).to_numpy()[at].tolist() for c in ("gid", "n", "at")))
+            rows = zip(*(batch.column(c).to_numpy()[at].tolist() for c in ("gid", "n", "at", "lead")))
             for x, row in zip(e[at].tolist(), rows):
                 if x != element:
                     element, held, long = x, [], False
@@ -132,7 +143,7 @@ def _short_lists(percent: int):
                     long = True
                     continue
                 for other in held:
-                    if other[0] != row[0] and near(other, row):
+                    if other[0] != row[0] and near(other, row, x):
                         a.append(min(other[0], row[0]))
                         b.append(max(other[0], row[0]))
                 held.append(row)
@@ -170,21 +181,22 @@ class _Join:
         self.n, self.percent = n, percent
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.element, self.count = frequent_elements(self.docs, n)
-        kinds = "doc_id long, n long, set_key binary, rare long, prefix array<long>"
+        kinds = "doc_id long, n long, set_key binary, rare long, prefix array<long>, sketch array<long>"
         self.sets = written(self.docs.mapInArrow(_prefixes(n, percent, self.element, self.count), kinds), "join-sets")
+        self.n_docs = self.sets.count()  # bounds the tables that have a row for each document, class or group
         real = self.sets.where("n > 0 AND doc_id IS NOT NULL")
-        classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "rare", "prefix")])
+        classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "rare", "prefix", "sketch")])
         group = F.xxhash64("n", "prefix")
-        self.classes = written(classes.withColumn("gkey", group), "join-classes")
+        self.classes = written(classes.withColumn("gkey", group), "join-classes", self.n_docs)
 
     # Texts
 
     def pick_texts(self, ids: DataFrame) -> None:
         """Keep the texts of the documents in ids (id) at hand for verification."""
-        ids = written(ids.distinct(), "join-ids")
+        ids = written(ids.distinct(), "join-ids", self.n_docs)
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         picked = self.docs.join(ids, self.docs["doc_id"] == ids["id"], "left_semi")
-        self.texts = written(picked.select(F.col("doc_id").alias("id"), "text"), "join-texts")
+        self.texts = written(picked.select(F.col("doc_id").alias("id"), "text"), "join-texts", self.n_docs)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) of pairs (a, b) of documents."""
@@ -196,42 +208,47 @@ class _Join:
 
     def form_groups(self) -> DataFrame:
         """Links found within groups; leaves groups (gid, n, rare, prefix) and members (gid, rep)."""
-        heads = written(self.classes.groupBy("gkey").agg(F.min("rep").alias("gid"), F.count("*").alias("size")), "join-heads")
+        heads = written(self.classes.groupBy("gkey").agg(F.min("rep").alias("gid"), F.count("*").alias("size")), "join-heads", self.n_docs)
         crowd = heads.where("size > 1")
         inside = self.classes.select("gkey", "rep").join(crowd, "gkey").where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-        self.inside = written(inside, "join-inside")
+        self.inside = written(inside, "join-inside", self.n_docs)
         self.pick_texts(self.inside.select(F.col("a").alias("id")).union(self.inside.select("b")))
         checked = self.verify(self.inside)
+        self.alone = self.inside.isEmpty()  # every group is a single class: nothing to expand
         joined = checked.where("linked").groupBy("b").agg(F.min("a").alias("gid"))
-        joined = written(joined, "join-members")
-        members = self.classes.select("rep", "n", "rare", "prefix").join(joined.withColumnRenamed("b", "rep"), "rep", "left")
-        members = written(members.withColumn("gid", F.coalesce("gid", "rep")), "join-groups")
-        self.groups = members.where("rep = gid").select("gid", "n", "rare", "prefix")
+        joined = written(joined, "join-members", self.n_docs)
+        members = self.classes.select("rep", "n", "rare", "prefix", "sketch").join(joined.withColumnRenamed("b", "rep"), "rep", "left")
+        members = written(members.withColumn("gid", F.coalesce("gid", "rep")), "join-groups", self.n_docs)
         self.members = members.select("gid", "rep")
+        self.crowded = written(self.members.where("rep <> gid").select("gid").distinct(), "join-crowded", self.n_docs)
+        # A sketch speaks for a group of one class only.
+        alone = members.where("rep = gid").select("gid", "n", "rare", "prefix", "sketch").join(small(self.crowded).withColumn("crowd", F.lit(True)), "gid", "left")
+        self.groups = alone.withColumn("sketch", F.when(F.col("crowd").isNull(), F.col("sketch"))).drop("crowd")
         return checked.where("linked").select("a", "b")
 
     def postings(self) -> DataFrame:
-        return self.groups.select("gid", "n", "rare", F.posexplode("prefix").alias("at", "element"))
+        return self.groups.select("gid", "n", "rare", F.get("prefix", F.lit(0)).alias("lead"), F.posexplode("prefix").alias("at", "element"))
 
     def could_link(self, a: str, b: str) -> Column:
-        """What sizes and prefixes still allow: beyond both prefixes at most the longer rest is shared."""
+        """What sizes, prefixes and sketches still allow: beyond both prefixes at most the longer rest is shared, and sets
+        that link differ in (100 - percent) / (100 + percent) of their summed sizes at most."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         sizes = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
         p, q = F.col(f"{a}.prefix"), F.col(f"{b}.prefix")
         most = F.size(F.array_intersect(p, q)) + F.greatest(n - F.size(p), m - F.size(q))
-        return sizes & ((100 + self.percent) * most >= self.percent * (n + m))
+        bits = F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        apart = F.coalesce(F.aggregate(bits, F.lit(0), lambda total, k: total + k), F.lit(0))
+        return sizes & ((100 + self.percent) * most >= self.percent * (n + m)) & ((100 + self.percent) * apart <= (100 - self.percent) * (n + m))
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of groups that pass the prefix filter."""
-        g = self.groups.select("gid", "n", "prefix")
+        g = self.groups.select("gid", "n", "prefix", "sketch")
         both = pairs.join(g.alias("x"), F.col("a") == F.col("x.gid")).join(g.alias("y"), F.col("b") == F.col("y.gid"))
         return both.where(self.could_link("x", "y")).select("a", "b")
 
     def expand(self, failed: DataFrame) -> DataFrame:
         """Member pairs of group pairs whose representatives do not link, without the representatives themselves."""
-        m = self.members
-        sizes = m.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select("gid")
-        crowded = written(sizes, "join-crowded")
+        m, crowded = self.members, self.crowded
         left = failed.join(crowded, F.col("a") == F.col("gid"), "left_semi").union(failed.join(crowded, F.col("b") == F.col("gid"), "left_semi")).distinct()
         both = left.join(m.alias("x"), F.col("a") == F.col("x.gid")).join(m.alias("y"), F.col("b") == F.col("y.gid"))
         return both.where("NOT (x.rep = a AND y.rep = b)").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
@@ -239,13 +256,15 @@ class _Join:
     def examine(self, pairs: DataFrame) -> DataFrame:
         """The links that pairs (a, b) of groups, filtered already, turn out to have: representatives, then members."""
         checked = self.verify(pairs)
+        if self.alone:
+            return checked.where("linked").select("a", "b")
         more = written(self.expand(checked.where("NOT linked").select("a", "b")), "join-expanded")
         links = checked.where("linked").select("a", "b")
         return links.union(self.verify(more).where("linked").select("a", "b")) if not more.isEmpty() else links
 
     def short_pairs(self, postings: DataFrame) -> DataFrame:
         """(a, b, long) from the lists of elements that are not frequent."""
-        streamed = postings.select("element", "gid", "n", "at").repartition("element").sortWithinPartitions("element")
+        streamed = postings.select("element", "gid", "n", "at", "lead").repartition("element").sortWithinPartitions("element")
         return written(streamed.mapInArrow(_short_lists(self.percent), "a long, b long, long long").distinct(), "join-short")
 
     def resolve(self, lists: DataFrame, done: DataFrame, links: list[DataFrame]) -> DataFrame:
@@ -254,31 +273,34 @@ class _Join:
         done has the (element, gid) that were compared with all of their list. Pivots are the groups with the fewest
         elements of their own, so the most central; after the first of these rounds, those outside the main component.
         """
-        g = self.groups.select("gid", "n", "prefix")
-        first = True
+        g = self.groups.select("gid", "n", "prefix", "sketch")
+        first, roots, n_lists = True, components(_union(links)), lists.count()
         while True:
-            roots = components(_union(links))
             left = lists.join(small(done), ["element", "gid"], "left_anti").drop("label")
             left = left.join(small(roots).withColumnRenamed("node", "gid"), "gid", "left").withColumn("label", F.coalesce("root", "gid")).drop("root")
             split = left.groupBy("element").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("element")
-            lists = written(left.join(small(written(split, "join-split")), "element", "left_semi"), "join-lists")
+            lists = written(left.join(self.few(split), "element", "left_semi"), "join-lists", n_lists)
             if lists.isEmpty():
                 return roots
             by_label = lists.groupBy("element", "label").agg(F.count("*").alias("k"))
             main = by_label.groupBy("element").agg(F.max(F.struct("k", "label")).alias("m")).select("element", F.col("m.label").alias("main"))
-            lists = written(lists.join(small(written(main, "join-main")), "element"), "join-lists")
-            free = lists if first else lists.where("label <> main")
+            told = lists.join(self.few(main), "element")
+            free = told if first else told.where("label <> main")
             rank = Window.partitionBy("element").orderBy("rare", "gid")
             picked = free.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= (SECOND_PIVOTS if first else LATER_PIVOTS))
-            picked = written(picked.select("element", "gid", "label", "main"), "join-picked")
+            picked = written(picked.select("element", "gid", "label", "main"), "join-picked", n_lists)
             done = picked.select("element", "gid")
             # Lists with the same main component are met at once, so a pair is made once, not at each shared element.
-            p = written(picked.select("main", "gid", "label").distinct().join(g, "gid"), "join-pivots").alias("p")
-            o = written(lists.select("main", "gid", "label").distinct().join(g, "gid"), "join-others").alias("o")
+            p = written(picked.select("main", "gid", "label").distinct().join(g, "gid"), "join-pivots", self.n_docs).alias("p")
+            o = written(told.select("main", "gid", "label").distinct().join(g, "gid"), "join-others", self.n_docs).alias("o")
             met = (F.col("p.main") == F.col("o.main")) & (F.col("p.label") != F.col("o.label")) & self.could_link("p", "o")
             new = p.join(o, met).select(F.least("p.gid", "o.gid").alias("a"), F.greatest("p.gid", "o.gid").alias("b")).distinct()
             links.append(self.examine(written(new, "join-candidates")))
-            lists, first = lists.drop("main"), False
+            first, roots = False, components(_union([roots.select(F.col("node").alias("a"), F.col("root").alias("b")), links[-1]]))
+
+    def few(self, rows: DataFrame) -> DataFrame:
+        """Rows of which each element has one: broadcast while there are few elements."""
+        return F.broadcast(rows) if self.n_elements <= BROADCAST_IDS else rows
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -294,23 +316,33 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     frequent = docs.sparkSession.createDataFrame(pa.table({"element": pa.array(join.element, pa.int64())}))  # FREQUENT at most
     short = join.short_pairs(postings.join(F.broadcast(frequent), "element", "left_anti"))
     elements = written(frequent.union(short.where("long IS NOT NULL").select("long")), "join-elements")
-    lists = written(postings.select("element", "gid", "rare").join(small(elements), "element", "left_semi"), "join-lists")
+    join.n_elements = elements.count()
+    lists = written(postings.select("element", "gid", "rare").join(join.few(elements), "element", "left_semi"), "join-lists")
     pivots = lists.groupBy("element").agg(F.min(F.struct("rare", "gid")).alias("p"), F.count("*").alias("k")).where("k > 1")
     pivots = written(pivots.select("element", F.col("p.gid").alias("pivot")), "join-pivots")
-    star = lists.join(small(pivots), "element").where("gid <> pivot")
+    star = lists.join(join.few(pivots), "element").where("gid <> pivot")
     star = star.select(F.least("gid", "pivot").alias("a"), F.greatest("gid", "pivot").alias("b")).distinct()
     pairs = written(star.union(short.where("a IS NOT NULL").select("a", "b")).distinct(), "join-pairs")
     candidates = written(join.filtered(pairs), "join-candidates")
     # Texts are picked once: of the groups in a candidate pair or a list of two or more, with all of their members.
     looked = candidates.select(F.col("a").alias("id")).union(candidates.select("b"))
-    looked = looked.union(lists.join(small(pivots), "element").select("gid"))
-    looked = written(looked.distinct(), "join-looked-at")
+    looked = looked.union(lists.join(join.few(pivots), "element").select("gid"))
+    looked = written(looked.distinct(), "join-looked-at", join.n_docs)
     join.pick_texts(join.members.join(small(looked), F.col("gid") == F.col("id"), "left_semi").select(F.col("rep").alias("id")))
-    links.append(join.examine(candidates))
+    # First one pair for each group, its smallest partner; then only pairs that this left in different components.
+    chosen = written(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "join-chosen", join.n_docs)
+    links.append(join.examine(chosen))
+    label = small(components(_union(links))).withColumnRenamed("node", "id")
+    others = candidates.join(chosen, ["a", "b"], "left_anti")
+    for side in "ab":
+        named = label.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+        others = others.join(named, side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    others = written(others.where("root_a <> root_b").select("a", "b"), "join-others")
+    links.append(join.examine(others))
     roots = join.resolve(lists, pivots.select("element", F.col("pivot").alias("gid")), links)
     # Classes to components, documents to classes.
     named = join.classes.select("set_key", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    named = written(named.select("set_key", F.coalesce("root", "rep").alias("component_id")), "join-named")
+    named = written(named.select("set_key", F.coalesce("root", "rep").alias("component_id")), "join-named", join.n_docs)
     out = join.sets.select("doc_id", "n", "set_key").join(named, "set_key", "left")
     linked = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
