@@ -130,4 +130,6 @@ def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
 def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of df that pass all rules, with their own columns only; no name can clash."""
     judged = apply_rules(df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("__text")), "__text", rules)
-    return judged.where("kept").select("row.*")
+    # A filter would be pushed below the projections, and each rule's measures worked out anew in it; it cannot be pushed
+    # past a column that is not deterministic.
+    return judged.withColumn("_row_id", F.monotonically_increasing_id()).where("kept AND _row_id >= 0").select("row.*")
