@@ -1,20 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval, then subsequence and answer checks.
 
-1. Document frequencies of hashed words are counted over all documents (one pass).
+1. Passages that have a hashed word are counted over all documents (one pass). A word's weight falls with their number,
+   but no word weighs nothing: where an item is in most of the documents, its words still tell it from other passages.
 2. A randomised SVD of the TF-IDF matrix of all passages: each task adds a^T (a Omega) over its passages a, the sums meet
    in a tree, and a Nystroem step on the driver turns A^T A Omega, of fixed size, into singular vectors (one pass). The
    first vector, the mean direction, is dropped; the others are scaled to unit variance.
 3. Every passage of every document is compared with the passages of the benchmark by cosine in that space; those close
-   enough are candidates. A candidate is checked on its words, in the same task: the longest common subsequence with the
-   item must cover ``SURE`` of it, or ``LIKELY`` of it while the item's answer, its last sentence, is there too, as in a
-   paraphrase (one pass).
+   enough are candidates. So is, whatever the weights, each place where ``GRAM`` words of an item, or all of a shorter
+   item, stand word for word; these are looked up by hash. A candidate is checked on its words, in the same task: the
+   longest common subsequence with the item must cover ``SURE`` of it, or ``LIKELY`` of it while the item's answer, its
+   last sentence, is there too, as in a paraphrase (one pass).
 
 Nothing is shuffled but the sums. Benchmark items are sent to the tasks in blocks of at most ``ITEM_BLOCK``; a larger
 benchmark takes a pass for each block.
 
 Defined results: a null or empty text has no leak; an item without a word is never leaked; an item of fewer than
 ``SHORT_ITEM`` words must be there word for word; repeated rows are judged alike, each on its own; an item listed twice
-is reported twice; an empty table of documents or of items gives no rows; other columns are not read.
+is reported twice; the cosine is null where a pair was found by its words alone; an empty table of documents or of items gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxsift.llm.common import written
-from boxsift.llm.shingles import PUNCTUATION, text_chunks, word_hashes
+from boxsift.llm.shingles import _FACTORS, PUNCTUATION, text_chunks, word_hashes
 
 TERMS = 1 << 14
 RANK, OVERSAMPLE = 48, 8
@@ -39,10 +41,12 @@ RANK, OVERSAMPLE = 48, 8
 #: start at every block. Items of up to SHORT_PASSAGE_ITEM words are sought among the short ones.
 BLOCK, LONG, SHORT = 8, 4, 2
 SHORT_PASSAGE_ITEM = 24
-#: Words in a larger share of the documents weigh nothing.
-MAX_DF = 0.1
+#: Words of an item that stand together and make a place a candidate.
+GRAM = 3
+#: Bits of the table that screens hashes of words that stand together, and matches that are taken up at a time.
+SCREEN, MATCHES = 22, 1 << 20
 COSINE, SURE, LIKELY, ANSWER = 0.35, 0.8, 0.5, 0.8
-#: Share of an item passage's weighty words that a candidate passage must have.
+#: Share of an item passage's words that a candidate passage must have.
 SHARED = 0.4
 SHORT_ITEM = 8
 ITEM_BLOCK = 20_000
@@ -104,7 +108,7 @@ class LatentSpace:
     def blocks(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sums, word sets, first words and texts of all blocks; hashes and texts of all words.
 
-        A word set is 256 bits, one for each weighty word by its hash.
+        A word set is 256 bits, one for each word by its hash.
         """
         h, term, owner = terms_of(raw)
         _, start, of = _blocks(owner, len(raw))
@@ -151,20 +155,23 @@ def _block_sums(rows: np.ndarray, used: np.ndarray, term: np.ndarray, start: np.
     return out
 
 
-def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that have each term, and their number."""
+def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Passages that have each term, and their number."""
 
     def task(chunks: Iterator[list[bytes]]) -> np.ndarray | None:
         total = None
         for raw in chunks:
             _, term, owner = terms_of(raw)
             total = np.zeros(TERMS + 1, "i8") if total is None else total
-            for k in range(0, len(raw), 512):
-                a, b = np.searchsorted(owner, [k, k + 512])
-                seen = np.zeros((min(512, len(raw) - k), TERMS), bool)
-                seen[owner[a:b] - k, term[a:b]] = True
-                total[:-1] += seen.sum(0)
-            total[-1] += len(raw)
+            _, start, _ = _blocks(owner, len(raw), LONG * BLOCK)
+            passage = np.repeat(np.arange(len(start)), np.diff(start, append=len(term)))
+            step = (1 << 32) // TERMS  # passages whose pairs with terms fit 32 bits
+            for k in range(0, len(start), step):
+                a, b = start[k], start[k + step] if k + step < len(start) else len(term)
+                pairs = np.sort((passage[a:b] - k).astype("u4") * np.uint32(TERMS) + term[a:b].astype("u4"))
+                once = pairs[np.flatnonzero(np.diff(pairs, prepend=pairs[0] + np.uint32(1)))]
+                total[:-1] += np.bincount(once % np.uint32(TERMS), minlength=TERMS)
+            total[-1] += len(start)
         return total
 
     got = _summed(docs, task, "i8", 1)
@@ -173,8 +180,8 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit_space(docs: DataFrame, rank: int = RANK, seed: int = 11) -> LatentSpace:
     """Randomised SVD over the passages of all documents."""
-    df, n = document_frequency(docs)
-    idf = np.where((df > 0) & (df <= max(MAX_DF * n, 2)), np.log((1 + n) / (1 + df)) + 1, 0).astype("f4")
+    df, n = passage_frequency(docs)
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype("f4")  # 1 at least
     width = rank + OVERSAMPLE
     omega = np.random.default_rng(seed).standard_normal((TERMS, width)).astype("f4")
     weighted = omega * idf[:, None]
@@ -265,14 +272,72 @@ def compare(item: Item, region: list[int]) -> tuple[float, float] | None:
     return (whole, answer) if whole >= SURE or (whole >= LIKELY and answer >= ANSWER) else None
 
 
+@dataclass
+class Grams:
+    """Hashes of n words that stand together in items, in order, and the items of each: of[at[k] : at[k + 1]]."""
+
+    n: int
+    hashes: np.ndarray
+    at: np.ndarray
+    of: np.ndarray
+    screen: np.ndarray
+
+    def matches(self, h: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First words, among all words of some texts, and items of the places where such words stand."""
+        s = gram_hashes(h, self.n)
+        at = np.flatnonzero(self.screen[s >> np.uint64(64 - SCREEN)])
+        at = at[owner[at] == owner[at + self.n - 1]]
+        k = np.searchsorted(self.hashes, s[at])
+        same = self.hashes[np.minimum(k, len(self.hashes) - 1)] == s[at]
+        at, k = at[same], k[same]
+        size = self.at[k + 1] - self.at[k]
+        ends = np.cumsum(size)
+        first = 0
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + MATCHES, side="right")))
+            some = size[first:last]
+            place = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+            yield np.repeat(at[first:last], some), self.of[np.repeat(self.at[k[first:last]], some) + place]
+            first = last
+
+
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each n words in sequence, of words' hashes."""
+    if len(h) < n:
+        return np.empty(0, "u8")
+    s = h[: len(h) - n + 1] * _FACTORS[0]
+    for k in range(1, n):
+        s += h[k : len(h) - n + 1 + k] * _FACTORS[k]
+    return s
+
+
+def item_grams(items: list[Item]) -> list[Grams]:
+    out = []
+    for n in range(1, GRAM + 1):
+        pairs = [(gram_hashes(np.array(i.words, "u8"), n), k) for k, i in enumerate(items) if min(len(i.words), GRAM) == n]
+        if pairs:
+            hashes, of = np.concatenate([s for s, _ in pairs]), np.concatenate([np.full(len(s), k) for s, k in pairs])
+            order = np.lexsort((of, hashes))
+            hashes, of = hashes[order], of[order]
+            once = np.concatenate([[True], (np.diff(hashes) != 0) | (np.diff(of) != 0)])
+            hashes, of = hashes[once], of[once]
+            distinct, at = np.unique(hashes, return_index=True)
+            screen = np.zeros(1 << SCREEN, bool)
+            screen[distinct >> np.uint64(64 - SCREEN)] = True
+            out.append(Grams(n, distinct, np.append(at, len(of)), of, screen))
+    return out
+
+
 def _searched(space: LatentSpace, items: list[Item], sought: list[tuple], cosine: float):
     """sought: passage length and stride in blocks; vectors, word sets and items of the item passages; for long and short items."""
+    sizes = np.array([len(i.words) for i in items], "i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = item_grams(items)
         for b, raw in text_chunks(batches, most=1 << 20, lower=True):
             sums, sets, start, of, h, word_of = space.blocks(raw)
             edges = np.searchsorted(word_of, np.arange(len(raw) + 1))
-            found: dict[tuple[int, int], tuple[float, float, float]] = {}
+            found: dict[tuple[int, int], tuple[float | None, float, float]] = {}
             for length, stride, vectors, item_sets, owner in sought:
                 v, bits, at = passages(sums, sets, of, length, stride)
                 least = SHARED * np.bitwise_count(item_sets).sum(1)
@@ -289,6 +354,22 @@ def _searched(space: LatentSpace, items: list[Item], sought: list[tuple], cosine
                         got = compare(items[item], h[a : min(edges[text + 1], start[block] + length * BLOCK + size)].tolist())
                         if got and got > found.get((text, item), (0, 0, 0))[1:]:
                             found[text, item] = (float(near[p, q]), *got)
+            for g in grams:
+                for at, item in g.matches(h, word_of):
+                    # Places are cells as long as the item, so that a passage is checked once for all its matches.
+                    text = word_of[at]
+                    cell = (at - edges[text]) // sizes[item]
+                    order = np.lexsort((cell, item, text))
+                    text, item, cell = text[order], item[order], cell[order]
+                    once = (np.diff(text, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0)
+                    for t, i, c in zip(text[once].tolist(), item[once].tolist(), cell[once].tolist()):
+                        had = found.get((t, i), (None, 0, 0))
+                        if had[1] >= 1:
+                            continue
+                        size, first = len(items[i].words), int(edges[t])
+                        got = compare(items[i], h[max(first, first + (c - 1) * size) : min(edges[t + 1], first + (c + 2) * size + GRAM)].tolist())
+                        if got and got > had[1:]:
+                            found[t, i] = (had[0], *got)
             keys = sorted(found)
             ids = b.column("doc_id").take(pa.array([t for t, _ in keys], pa.int64()))
             columns = [ids, pa.array([items[i].item_id for _, i in keys], pa.int64()), *(pa.array([found[x][j] for x in keys], pa.float64()) for j in range(3))]

@@ -165,6 +165,22 @@ def test_leaks(spark, odd_docs, no_docs):
     assert decontamination.find_leaks(docs, blank).isEmpty()
 
 
+def test_leaks_among_copies_and_long_documents(spark):
+    """An item in a third of all rows, and items in documents that have most words."""
+    rng = np.random.default_rng(4)
+    item = " ".join(f"q{k}" for k in range(40)) + ". The answer is forty two."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    prose = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 20_000, n))
+    rows = [(i, f"{prose(60)} {item} {prose(60)}" if i % 3 == 0 else prose(170)) for i in range(90)]
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, 1) for i, _ in rows if i % 3 == 0]
+    item = " ".join(f"v{k}" for k in range(50))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(i, f"{prose(30_001)} {item} {prose(9_000)}" if i < 2 else prose(40_000)) for i in range(8)]
+    found = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(r["doc_id"] for r in found) == [0, 1]
+
+
 def test_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
