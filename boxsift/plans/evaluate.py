@@ -11,6 +11,7 @@ from boxsift.functions.text import sorted_set
 from boxsift.operators import evidence as E
 from boxsift.operators import regions as R
 from boxsift.rules import RuleSet
+from boxsift.sources.boxes import from_requests, request_name
 
 
 @dataclass
@@ -45,3 +46,13 @@ def evaluate(boxes: DataFrame, rules: RuleSet | None = None) -> Evaluation:
     )
     documents = told.withColumn("risk_level", R.level(F.col("risk_score"), rules)).drop("blocks", "n_regions")
     return Evaluation(blocks, regions, ads.select("request_id", F.posexplode("ads").alias("position", "ad")).select("request_id", "position", "ad.*"), documents)
+
+
+def evaluate_requests(requests: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """A document row for each of the keyed requests, with its request_key and its shown id; one without text has no blocks."""
+    rules = rules or RuleSet()
+    told = evaluate(from_requests(requests), rules).documents.withColumnRenamed("request_id", "request_key")
+    rows = requests.select("request_key", request_name(F.col("request_id")).alias("request_id")).join(told, "request_key", "left")
+    empty = {f.name: F.array().cast(f.dataType) for f in told.schema if f.dataType.typeName() == "array"}
+    empty |= {"n_blocks": F.lit(0), "ocr_text": F.lit(""), "risk_score": F.lit(0), "risk_level": R.level(F.lit(0), rules), "suspicious": F.lit(False), "empty_reason": F.lit("no_groups")}
+    return rows.withColumns({c: F.coalesce(c, v.cast(told.schema[c].dataType)) for c, v in empty.items()})

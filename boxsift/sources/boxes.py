@@ -46,9 +46,21 @@ def from_text(rows: DataFrame, request_id: str, text: str) -> DataFrame:
     return boxes.withColumns({c: F.lit(0) for c in ("x1", "y1", "x2", "y2")} | {"confidence": F.lit(0.0)}).withColumn("points", F.array_repeat(F.array(F.lit(0), F.lit(0)), 4))
 
 
+def keyed(requests: DataFrame, path: str) -> DataFrame:
+    """The requests with a unique request_key, written as Parquet to path and read again, so that the keys never change."""
+    rows = requests.withColumn("request_key", F.expr("uuid()"))
+    rows.write.mode("overwrite").parquet(path)
+    return requests.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def from_requests(requests: DataFrame) -> DataFrame:
-    """Boxes of requests as read_requests gives them; the text's lines only where there are no boxes."""
-    rows = valid(requests).withColumn("request_id", request_name(F.col("request_id")))
+    """Boxes of requests as read_requests gives them; the text's lines only where there are no boxes.
+
+    request_id is the request_key of keyed requests. Without keys it is the shown id, so that requests of equal ids, or
+    more than one without an id, must be keyed first.
+    """
+    name = F.col("request_key") if "request_key" in requests.columns else request_name(F.col("request_id"))
+    rows = valid(requests).withColumn("request_id", name)
     own = rows.where("size(ocr_blocks) > 0").select("request_id", F.posexplode("ocr_blocks").alias("block_index", "b"))
     own = own.select("request_id", "block_index", "b.text", F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), "b.points").withColumns(box_of_points(F.col("points")))
     return own.unionByName(from_text(rows.where("coalesce(size(ocr_blocks), 0) < 1"), "request_id", "ocr_text"))

@@ -90,6 +90,19 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).first()["risk_score"] == 53
 
 
+def test_stream_row_for_each_request(spark, tmp_path):
+    """Requests without an id, with the same id, and without text each keep a row of their own."""
+    from boxsift.streaming import evaluate_stream
+
+    (tmp_path / "in").mkdir()
+    lines = ['{"ocr_text": "收药"}', '{"ocr_text": "搬家"}', '{"request_id": "a", "ocr_text": "收药"}', '{"request_id": "a", "ocr_text": "收药"}', '{"request_id": "b", "ocr_text": " "}', '{"request_id": "c"}']
+    (tmp_path / "in" / "1.json").write_text("\n".join(lines) + "\n")
+    evaluate_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["request_id"], r["n_blocks"], r["risk_score"]) for r in rows) == [("a", 1, 53), ("a", 1, 53), ("b", 0, 0), ("c", 0, 0), ("rule-evaluate", 1, 0), ("rule-evaluate", 1, 53)]
+    assert len({r["request_key"] for r in rows}) == 6 and all(r["phones"] == [] and r["ads"] is not None for r in rows)
+
+
 def test_unrelated_requests_change_nothing(spark):
     rows = layout(9, 12)
     alone = evaluate(boxes(spark, [r for r in rows if r[0] < 6])).documents.select("request_id", "risk_score", "hit_rules").collect()
