@@ -45,9 +45,10 @@ SHORT_PASSAGE_ITEM = 24
 GRAM = 3
 #: Bits of the table that screens hashes of words that stand together, and matches that are taken up at a time.
 SCREEN, MATCHES = 22, 1 << 20
-COSINE, SURE, LIKELY, ANSWER = 0.35, 0.8, 0.5, 0.8
-#: Share of an item passage's words that a candidate passage must have.
-SHARED = 0.4
+COSINE, SURE, LIKELY, ANSWER = 0.25, 0.8, 0.5, 0.8
+#: Share of an item passage's words that a candidate passage must have; below LIKELY times the least overlap of two
+#: passages, 24 words of 32.
+SHARED = 0.35
 SHORT_ITEM = 8
 ITEM_BLOCK = 20_000
 #: Words whose vectors are summed at a time.

@@ -181,6 +181,29 @@ def test_leaks_among_copies_and_long_documents(spark):
     assert sorted(r["doc_id"] for r in found) == [0, 1]
 
 
+def test_leaks_short_items_and_paraphrases(spark):
+    """Items of a few words, and half of an item with its answer, at random places in other documents."""
+    rng = np.random.default_rng(6)
+    hosts = [w for w in (words(r["text"]) for r in docs_of(spark).orderBy("doc_id").collect()) if len(w) > 60]
+    items, rows, planted = [], [], set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(120).collect():
+        whole = words(r["text"])
+        answer = len(words([x for x in r["text"].replace("\n", ". ").split(". ") if any(map(str.isalnum, x))][-1]))
+        body = len(whole) - answer
+        kept = sorted(rng.choice(body, min(body, max(0, round(0.55 * len(whole)) - answer)), replace=False))
+        for k, (text, part) in enumerate([(whole[:4], whole[:4]), (whole[:6], whole[:6]), (whole, [whole[j] for j in kept] + whole[body:])]):
+            i, host = 10 * r["item_id"] + k, hosts[rng.integers(len(hosts))]
+            at = rng.integers(len(host))
+            items.append((i, r["text"] if k == 2 else " ".join(text)))
+            rows.append((-1 - len(rows), " ".join(host[:at] + part + host[at:])))
+            planted.add((rows[-1][0], i))
+    docs = docs_of(spark).select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for k, least in ((0, 1), (1, 1), (2, 0.9)):
+        of_kind = {x for x in planted if x[1] % 10 == k}
+        assert len(of_kind & found) >= least * len(of_kind)
+
+
 def test_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(50):
