@@ -7,6 +7,8 @@ neighbours, n log n in the words of one document and never across documents.
 Defined results: a null or empty text has no words and is rejected by the length rule; repeated rows are judged alike,
 each on its own; an empty table gives an empty table; other columns pass through ``apply_rules`` untouched, and a
 column whose name an output would take is replaced by that output.
+
+Stop words are those of English, German, French and Spanish: a text in a language that shares none of them is rejected.
 """
 
 from __future__ import annotations
