@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,18 +37,38 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+#: Folders made for local sessions without a shared one, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; a local session without that setting gets a temporary folder.
+    The cluster names it in spark.checkpoint.dir. Only a session whose executors are threads of the driver may do without
+    it: that one gets a temporary folder, any other an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="boxsift-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that they share with the driver")
+        root = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="boxsift-")
+        _LOCAL[context.applicationId] = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(columns: list[str], name: str = "_") -> str:
+    """name with underscores before it until no column starts with it, in either case of letters."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """The rows of df, written as Parquet into the shared folder and read again: cuts lineage, survives lost executors.
 

@@ -1,12 +1,13 @@
 """Quality rules: a threshold table compiled into Spark projections, without user functions.
 
 Every measure is a built-in expression over the whole text, so a document is judged where it is read: no shuffle, no
-Python. The one measure that looks across a text, repeated 3-word windows, sorts the text's own windows and compares
-neighbours, n log n in the words of one document and never across documents.
+Python. The one measure that looks across a text, repeated 3-word windows, sorts the hashes of the text's own windows and
+compares neighbours word by word, n log n in the words of one document and never across documents.
 
 Defined results: a null or empty text has no words and is rejected by the length rule; repeated rows are judged alike,
 each on its own; an empty table gives an empty table; other columns pass through ``apply_rules`` untouched, and a
-column whose name an output would take is replaced by that output.
+column whose name an output would take is replaced by that output; ``kept_rows`` returns the columns of its input as they
+are, whatever their names. Of rules that share a name the last one counts.
 
 Stop words are those of English, German, French and Spanish: a text in a language that shares none of them is rejected.
 """
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import WORD_PATTERN, spaced, words_of
+from boxsift.llm.common import WORD_PATTERN, columns_of, free_name, words_of
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -56,82 +57,88 @@ RULES = (
 BASE = ("too_few_words", "repeated_windows")
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the counts of each text, and the ratios that the rules bound, added as columns."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"_t": t, "_words": words_of(F.col(text))})
-    df = df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": (F.length("_t") - F.length(F.regexp_replace("_t", f"[{SYMBOLS}]+", ""))).cast("long"),
-            "_lines": F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD_PATTERN)),
-            "_stops": F.size(F.filter(F.split(F.lower(spaced(F.col("_t"))), " "), lambda w: w.isin(*STOP_WORDS))),
-            "_letterless": F.size(F.filter("_words", lambda w: ~w.rlike(r"\p{L}"))),
-            "_capitals": F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")),
-            "_letters": F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")),
-            "_at": F.sequence(F.lit(1), F.greatest(F.size("_words"), F.lit(1))),
-            "_second": F.slice("_words", F.lit(2), F.size("_words")),
-            "_third": F.slice("_words", F.lit(3), F.size("_words")),
-        }
+def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """df with the counts of each text, and the ratios that the rules bound, added as columns; prefix goes before their names."""
+    own = free_name([*df.columns, prefix or "-"])
+    temporary, n = {}, lambda name: prefix + name
+
+    def add(rows: DataFrame, **columns: Column) -> DataFrame:
+        temporary.update({c: f"{own}{c}" for c in columns})
+        return rows.withColumns({f"{own}{c}": v for c, v in columns.items()})
+
+    t = lambda c: F.col(temporary[c])
+    df = add(df, text=F.coalesce(F.col(text), F.lit("")), words=words_of(F.col(text)))
+    df = add(
+        df,
+        lines=F.filter(F.split(t("text"), "\n"), lambda x: x.rlike(WORD_PATTERN)),
+        stops=F.size(F.filter(t("words"), lambda w: F.lower(w).isin(*STOP_WORDS))),
+        letterless=F.size(F.filter(t("words"), lambda w: ~w.rlike(r"\p{L}"))),
+        capitals=F.length(F.regexp_replace(t("text"), r"[^\p{Lu}]+", "")),
+        letters=F.length(F.regexp_replace(t("text"), r"[^\p{L}]+", "")),
+        windows=F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t("words")) - 3, F.lit(0))), lambda i: F.struct(_hash(t("words"), i).alias("h"), i.alias("i")))),
     )
-    # Windows in sorted order: equal ones are neighbours.
-    df = df.withColumn("_windows", F.sort_array(F.arrays_zip("_words", "_second", "_third", "_at")))
-    df = df.withColumn("_next", F.slice("_windows", F.lit(2), F.size("_windows")))
-    same = lambda p: (p["_windows"]["_words"] == p["_next"]["_words"]) & (p["_windows"]["_second"] == p["_next"]["_second"]) & (p["_windows"]["_third"] == p["_next"]["_third"])
-    df = df.withColumn("_pairs", F.filter(F.arrays_zip("_windows", "_next"), same))
-    df = df.withColumn("_starts", F.flatten(F.transform("_pairs", lambda p: F.array(p["_windows"]["_at"], p["_next"]["_at"]))))
+    # Windows in the order of their hashes: equal ones are neighbours, and are compared word by word.
+    def twice(a: Column, k: Column) -> Column:
+        b = F.get(t("windows"), k + 1)
+        same = a["h"] == b["h"]
+        for j in range(3):
+            same = same & (F.get(t("words"), a["i"] + j) == F.get(t("words"), b["i"] + j))
+        return F.when(same, F.array(a["i"], b["i"]))
+
+    df = add(df, starts=F.flatten(F.array_compact(F.transform(t("windows"), twice))))
+    covered = F.array_distinct(F.concat(t("starts"), F.transform(t("starts"), lambda i: i + 1), F.transform(t("starts"), lambda i: i + 2)))
     df = df.withColumns(
         {
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.size(
-                F.array_distinct(F.concat("_starts", F.transform("_starts", lambda i: i + 1), F.transform("_starts", lambda i: i + 2)))
-            ).cast("long"),
+            n("n_words"): F.size(t("words")).cast("long"),
+            n("word_chars"): F.length(F.array_join(t("words"), "")).cast("long"),
+            n("n_symbols"): (F.length(t("text")) - F.length(F.regexp_replace(t("text"), f"[{SYMBOLS}]+", ""))).cast("long"),
+            n("n_dup_lines"): (F.size(t("lines")) - F.size(F.array_distinct(t("lines")))).cast("long"),
+            n("n_repeat_words"): F.size(covered).cast("long"),
+            n("n_lines"): F.size(t("lines")).cast("long"),
         }
     )
-    per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    df = df.withColumn("n_lines", F.size("_lines").cast("long"))
+    per = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    c = lambda name: F.col(n(name))
     ratios = {
-        "repeat_ratio": per("n_repeat_words", "n_words"),
-        "mean_word_chars": per("word_chars", "n_words"),
-        "symbol_ratio": per("n_symbols", "n_words"),
-        "stop_ratio": per("_stops", "n_words"),
-        "dup_line_ratio": per("n_dup_lines", "n_lines"),
-        "line_ratio": per("n_lines", "n_words"),
-        "letterless_ratio": per("_letterless", "n_words"),
-        "capital_ratio": per("_capitals", "_letters"),
+        "repeat_ratio": per(c("n_repeat_words"), c("n_words")),
+        "mean_word_chars": per(c("word_chars"), c("n_words")),
+        "symbol_ratio": per(c("n_symbols"), c("n_words")),
+        "stop_ratio": per(t("stops"), c("n_words")),
+        "dup_line_ratio": per(c("n_dup_lines"), c("n_lines")),
+        "line_ratio": per(c("n_lines"), c("n_words")),
+        "letterless_ratio": per(t("letterless"), c("n_words")),
+        "capital_ratio": per(t("capitals"), t("letters")),
     }
-    temporary = ["_t", "_words", "_lines", "_stops", "_letterless", "_capitals", "_letters", "_at", "_second", "_third", "_windows", "_next", "_pairs", "_starts"]
-    return df.withColumns(ratios).drop(*temporary)
+    return df.withColumns({n(k): v for k, v in ratios.items()}).drop(*temporary.values())
+
+
+def _hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
 
-def compiled(rules: tuple[Rule, ...]) -> dict[str, Column]:
+def compiled(rules: tuple[Rule, ...], prefix: str = "") -> dict[str, Column]:
     """Each rule as a boolean column, true where the rule fails."""
     out = {}
     for r in rules:
-        m, tests = F.col(r.measure), []
-        tests += [m < F.lit(r.low)] if r.low is not None else []
-        tests += [m > F.lit(r.high)] if r.high is not None else []
-        fails = F.lit(False)
-        for x in tests:
-            fails = fails | x
-        out[r.name] = fails
+        m, fails = F.col(prefix + r.measure), F.lit(False)
+        fails = fails | (m < F.lit(r.low)) if r.low is not None else fails
+        out[r.name] = fails | (m > F.lit(r.high)) if r.high is not None else fails
     return out
 
 
-def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, prefix: str = "") -> DataFrame:
     """df with all measures, ``base_failed``, ``kept`` and ``failed_rules``, the names of the rules a row fails."""
-    # The base ratio is compared in integers: no rounding at the bound.
-    failing = compiled(rules) | {"repeated_windows": 100 * F.col("n_repeat_words") > 50 * F.col("n_words")}
-    names = F.array(*[F.when(failing[r.name], F.lit(r.name)) for r in rules])
-    out = measures(df, text).withColumn("failed_rules", F.array_compact(names))
-    base = F.exists("failed_rules", lambda x: x.isin(*BASE))
-    return out.withColumns({"base_failed": base, "kept": F.size("failed_rules") == 0})
+    names = F.array(*[F.when(fails, F.lit(name)) for name, fails in compiled(rules, prefix).items()])
+    out = measures(df, text, prefix).withColumn(f"{prefix}failed_rules", F.array_compact(names))
+    base = F.exists(f"{prefix}failed_rules", lambda x: x.isin(*BASE))
+    return out.withColumns({f"{prefix}base_failed": base, f"{prefix}kept": F.size(f"{prefix}failed_rules") == 0})
 
 
 def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of df that pass all rules, with their own columns only; no name can clash."""
-    judged = apply_rules(df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("__text")), "__text", rules)
+    """The rows of df that pass all rules, with their own columns only; measures get names that no column has."""
+    own = free_name(df.columns, "_rule_")
+    judged = apply_rules(df, text, rules, own)
     # A filter would be pushed below the projections, and each rule's measures worked out anew in it; it cannot be pushed
     # past a column that is not deterministic.
-    return judged.withColumn("_row_id", F.monotonically_increasing_id()).where("kept AND _row_id >= 0").select("row.*")
+    judged = judged.withColumn(f"{own}row", F.monotonically_increasing_id())
+    return judged.where(F.col(f"{own}kept") & (F.col(f"{own}row") >= 0)).select(*columns_of(df))

@@ -21,18 +21,23 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA5A3564E27F8862B, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x9FB21C651E98DF25], "u8")
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes of text that are hashed at a time, and powers that a worker keeps; a longer stretch is one word, made for itself.
+SEGMENT = 1 << 17
+#: Bytes of text in a chunk.
+CHUNK = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = 1 << max(SEGMENT.bit_length(), (n - 1).bit_length())
         have = np.empty(size, "u8")
         have[0], filled = 1, 1
         while filled < size:
             have[filled : 2 * filled] = have[:filled] * np.uint64(pow(base, filled, 1 << 64))
             filled *= 2
-        _POWERS[base] = have
+        if size <= 2 * SEGMENT:
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -53,8 +58,15 @@ def word_hashes(raw: list[bytes], between: np.ndarray = _PARTS) -> tuple[np.ndar
     parts = between[data]
     edge = np.diff(np.concatenate([[True], parts, [True]]).astype("i1"))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((data.astype("u8") + np.uint64(1)) * _powers(_BASE, len(data)), dtype="u8")])
-    h = (sums[end] - sums[start]) * _powers(_INVERSE, len(data))[start]
+    h, k = np.empty(len(start), "u8"), 0
+    while k < len(start):
+        last = max(k + 1, int(np.searchsorted(end, start[k] + SEGMENT, side="right")))
+        a, z = int(start[k]), int(end[last - 1])
+        sums = np.zeros(z - a + 1, "u8")
+        np.cumsum((data[a:z].astype("u8") + np.uint64(1)) * _powers(_BASE, z - a), dtype="u8", out=sums[1:])
+        first, behind = start[k:last] - a, end[k:last] - a
+        h[k:last] = (sums[behind] - sums[first]) * _powers(_INVERSE, z - a)[first]
+        k = last
     h = mixed(h + (end - start).astype("u8") * _FACTORS[4])
     owner = np.searchsorted(np.cumsum(sizes), start, side="right")
     return h, owner
@@ -103,19 +115,17 @@ def set_key(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with some megabytes of text each (one text at least), and the texts as bytes; null is empty.
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with about a megabyte of text each (one text at least), and the texts as bytes; null is empty.
 
-    lower turns all letters to lower case, not those of ASCII alone.
+    lower turns all letters to lower case, not those of ASCII alone. Only a slice's texts are made into bytes at a time.
     """
     for b in batches:
-        texts = pc.utf8_lower(b.column(column)) if lower else b.column(column)
-        raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
-        first, size = 0, 0
-        for k, r in enumerate(raw):
-            if size and size + len(r) > most:
-                yield b.slice(first, k - first), raw[first:k]
-                first, size = k, 0
-            size += len(r) + 1
-        if raw[first:]:
-            yield b.slice(first), raw[first:]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8") + 1)
+        first = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+            part = b.slice(first, last - first)
+            texts = pc.utf8_lower(part.column(column)) if lower else part.column(column)
+            yield part, [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+            first = last
