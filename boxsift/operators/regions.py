@@ -1,7 +1,8 @@
 """Regions of boxes around anchors, their members, contacts and scores, and the fold that drops duplicate regions.
 
-A request is one row with its boxes in an array, so everything below happens within a row after one shuffle on the
-request; order-dependent steps are folds over that array.
+A request is one row with its boxes in one array and its regions in another, so everything below happens within a row
+after one shuffle on the request; steps add fields to the regions, and order-dependent ones are folds. The folds look at
+pairs of a request's boxes or regions: their cost grows with the square of the boxes of one request, not of the table.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ REGION = "struct<anchor:int,members:array<int>,x1:int,y1:int,x2:int,y2:int>"
 def nested(found: DataFrame) -> DataFrame:
     """(request_id, blocks) of evidence, blocks in order with what the later steps ask of a box."""
     box = F.struct(
-        "block_index", "text", "x1", "y1", "x2", "y2", *E.HIT_COLUMNS,
+        "block_index", "text", "x1", "y1", "x2", "y2", "confidence", *E.HIT_COLUMNS,
         G.angle(F.col("points")).alias("angle"),
         E.has_keyword().alias("keyword"),
         E.has_contact().alias("contact"),
@@ -94,91 +95,115 @@ def turned(a: Column, b: Column) -> Column:
     return F.least(d, F.abs(d - 90))
 
 
-def with_contacts(regions: DataFrame) -> DataFrame:
-    """Adds cores and attachments (block_index, score, accepted, ...) to rows of items and blocks."""
-    words = F.filter("items", lambda b: b["keyword"])
-    out = regions.withColumn("words", words)
-    close = lambda b: F.exists("words", lambda c: G.distance(b, c) <= CORE_DISTANCE)
-    beside = F.filter("items", lambda b: ~b["keyword"] & ~b["noise"] & ~b["contact"] & close(b))
-    out = out.withColumn("cores", F.concat("words", F.when(F.size("words") > 0, beside).otherwise(F.slice("words", 1, 0))))
-    frame = bounds(F.col("cores"))
-    mean = lambda f: F.aggregate("cores", F.lit(0.0), lambda acc, c: acc + f(c)) / F.size("cores")
-    out = out.withColumns(
-        {
-            "diag": F.greatest(F.lit(1.0), F.hypot((frame["x2"] - frame["x1"]).cast("double"), (frame["y2"] - frame["y1"]).cast("double"))),
-            "core_angle": median(F.transform("cores", lambda c: c["angle"])),
-            "core_x": F.when(F.size("cores") > 0, mean(lambda c: G.center(c)[0])),
-            "core_y": F.when(F.size("cores") > 0, mean(lambda c: G.center(c)[1])),
-        }
+def with_fields(requests: DataFrame, **fields) -> DataFrame:
+    """requests with fields added to each struct of regions; a field is given as a function of the region."""
+
+    def added(r: Column) -> Column:
+        out = r
+        for name, f in fields.items():
+            out = out.withField(name, f(r))
+        return out
+
+    return requests.withColumn("regions", F.transform("regions", added))
+
+
+def with_contacts(requests: DataFrame) -> DataFrame:
+    """Adds cores and attachments (block_index, score, ...) to regions with items, and accepted, those that score enough."""
+    out = with_fields(requests, words=lambda r: F.filter(r["items"], lambda b: b["keyword"]))
+
+    def cores(r: Column) -> Column:
+        close = lambda b: F.exists(r["words"], lambda c: G.distance(b, c) <= CORE_DISTANCE)
+        beside = F.filter(r["items"], lambda b: ~b["keyword"] & ~b["noise"] & ~b["contact"] & close(b))
+        return F.concat(r["words"], beside)
+
+    out = with_fields(out, cores=cores)
+
+    def diagonal(r: Column) -> Column:
+        frame = bounds(r["cores"])
+        return F.greatest(F.lit(1.0), F.hypot((frame["x2"] - frame["x1"]).cast("double"), (frame["y2"] - frame["y1"]).cast("double")))
+
+    def mean(f):
+        total = lambda r: F.aggregate(r["cores"], F.lit(0.0), lambda acc, c: acc + f(c))
+        return lambda r: F.when(F.size(r["cores"]) > 0, F.try_divide(total(r), F.size(r["cores"])))
+
+    out = with_fields(
+        out,
+        diag=diagonal,
+        core_angle=lambda r: median(F.transform(r["cores"], lambda c: c["angle"])),
+        core_x=mean(lambda c: G.center(c)[0]),
+        core_y=mean(lambda c: G.center(c)[1]),
     )
 
-    def attach(c: Column) -> Column:
-        off = turned(c["angle"], F.col("core_angle"))
+    def attach(r: Column, c: Column) -> Column:
+        off = turned(c["angle"], r["core_angle"])
         align = F.when(off <= 12, 1.0).when(off <= 25, 0.65).otherwise(0.2)
-        nearest = F.array_min(F.transform("cores", lambda k: G.distance(c, k)))
+        nearest = F.array_min(F.transform(r["cores"], lambda k: G.distance(c, k)))
         x, y = G.center(c)
-        below = (y >= F.col("core_y") - 20) & (F.abs(x - F.col("core_x")) <= F.greatest(F.lit(60.0), F.col("diag") * 0.4))
+        below = (y >= r["core_y"] - 20) & (F.abs(x - r["core_x"]) <= F.greatest(F.lit(60.0), r["diag"] * 0.4))
         noisy = c["noise"] | F.exists("blocks", lambda b: b["noise"] & (b["block_index"] != c["block_index"]) & (G.distance(c, b) <= NOISE_DISTANCE))
         raw = (
             align * 0.24
             + F.lit(0.5 * 0.24)  # background similarity without an image
-            + F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), nearest / F.col("diag"))) * 0.20
+            + F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), nearest / r["diag"])) * 0.20
             + F.when(nearest <= CLUSTER_DISTANCE, 1.0).otherwise(0.35) * 0.16
             + F.when(below, 0.8).otherwise(0.4) * 0.16
             - F.when(noisy, 0.35).otherwise(0.0)
         )
         return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4).alias("score"), *[c[k].alias(k) for k in ("block_index", "phones", "wechat_ids", "qqs")])
 
-    likely = F.when(F.size("cores") > 0, F.filter("items", lambda b: b["contact_like"])).otherwise(F.slice("items", 1, 0))
-    out = out.withColumn("attachments", F.transform(likely, attach))
-    return out.withColumn("accepted", F.filter("attachments", lambda a: a["score"] >= ATTACHED))
+    likely = lambda r: F.filter(r["items"], lambda b: b["contact_like"] & (F.size(r["cores"]) > 0))
+    out = with_fields(out, attachments=lambda r: F.transform(likely(r), lambda c: attach(r, c)))
+    return with_fields(out, accepted=lambda r: F.filter(r["attachments"], lambda a: a["score"] >= ATTACHED))
 
 
-def best_contacts(kind: str) -> Column:
-    """Values of the best accepted contact that has the kind; the first of equals."""
-    having = F.filter("accepted", lambda a: F.size(a[kind]) > 0)
+def best_contacts(r: Column, kind: str) -> Column:
+    """Values of a region's best accepted contact that has the kind; the first of equals."""
+    having = F.filter(r["accepted"], lambda a: F.size(a[kind]) > 0)
     ranked = F.transform(having, lambda a, k: F.struct((-a["score"]).alias("s"), k.alias("k"), a[kind].alias("v")))
     return F.coalesce(F.array_min(ranked)["v"], F.array().cast("array<string>"))
 
 
-def scored(requests: DataFrame, rules: RuleSet) -> DataFrame:
-    """A row for each region: words, contacts, rules and score, and the boxes that make up its ad."""
-    rows = requests.select("request_id", "blocks", F.posexplode("regions").alias("region", "r"))
-    rows = rows.withColumn("items", F.transform("r.members", lambda i: F.get("blocks", i)))
-    rows = with_contacts(rows)
-    read = F.array_sort(F.transform("items", lambda b, k: F.struct(G.center(b)[1].alias("y"), b["x1"].alias("x"), k.alias("k"), T.strip(b["text"]).alias("t"))))
-    rows = rows.withColumn("read", F.transform(read, lambda b: b["t"]))
-    rows = rows.withColumn("combined", F.array_join("read", ""))
-    single = lambda c: F.array_contains("read", c)
+def combined_hits(text: Column, singles: Column, rules: RuleSet) -> tuple[Column, Column]:
+    """Medical and illegal words of a region's joined text; some follow from two boxes of one character."""
+    single = lambda c: F.array_contains(singles, c)
     inferred = F.array_compact(F.array(F.when(single("取") & single("现"), F.lit("取现")), F.when(single("提") & single("现"), F.lit("提现"))))
-    own = lambda c: F.flatten(F.transform("items", lambda b: b[c]))
-    text = F.col("combined")
-    rows = rows.withColumns(
-        {
-            "medical": T.sorted_set(F.concat(own("medical_hits"), T.word_hits(text, rules.medical_keywords, rules.medical_aliases))),
-            "illegal": T.sorted_set(F.concat(own("illegal_hits"), T.word_hits(text, rules.illegal_keywords, rules.illegal_aliases), inferred)),
-            "phones": T.sorted_set(F.concat(best_contacts("phones"), T.phones(text, rules.phone_pattern))),
-            "wechat_ids": best_contacts("wechat_ids"),
-            "qqs": best_contacts("qqs"),
-        }
+    return T.word_hits(text, rules.medical_keywords, rules.medical_aliases), F.concat(T.word_hits(text, rules.illegal_keywords, rules.illegal_aliases), inferred)
+
+
+def scored(requests: DataFrame, rules: RuleSet) -> DataFrame:
+    """Adds to each region its words, contacts, rules and score, and the boxes that make up its ad."""
+    out = with_fields(requests, items=lambda r: F.transform(r["members"], lambda i: F.get("blocks", i)))
+    out = with_contacts(out)
+    placed = lambda b, k: F.struct(G.center(b)[1].alias("y"), b["x1"].alias("x"), k.alias("k"), T.strip(b["text"]).alias("t"))
+    out = with_fields(out, read=lambda r: F.transform(F.array_sort(F.transform(r["items"], placed)), lambda b: b["t"]))
+    out = with_fields(out, combined=lambda r: F.array_join(r["read"], ""))
+    own = lambda r, c: F.flatten(F.transform(r["items"], lambda b: b[c]))
+    told = lambda r: combined_hits(r["combined"], r["read"], rules)
+    out = with_fields(
+        out,
+        medical=lambda r: T.sorted_set(F.concat(own(r, "medical_hits"), told(r)[0])),
+        illegal=lambda r: T.sorted_set(F.concat(own(r, "illegal_hits"), told(r)[1])),
+        phones=lambda r: T.sorted_set(F.concat(best_contacts(r, "phones"), T.phones(r["combined"], rules.phone_pattern))),
+        wechat_ids=lambda r: best_contacts(r, "wechat_ids"),
+        qqs=lambda r: best_contacts(r, "qqs"),
     )
-    return rows.withColumns(region_score(rules))
+    return with_fields(out, **{k: (lambda r, k=k: region_score(r, rules)[k]) for k in ("risk_score", "hit_rules")})
 
 
-def region_score(rules: RuleSet) -> dict[str, Column]:
-    """Score and rule names from medical, illegal, phones, wechat_ids and qqs."""
+def region_score(r, rules: RuleSet) -> dict[str, Column]:
+    """Score and rule names from r's medical, illegal, phones, wechat_ids and qqs."""
     w = rules.weight
-    has = {c: F.size(c) > 0 for c in ("medical", "illegal", "phones", "wechat_ids", "qqs")}
+    has = {c: F.size(r[c]) > 0 for c in ("medical", "illegal", "phones", "wechat_ids", "qqs")}
     contact = has["phones"] | has["wechat_ids"] | has["qqs"]
     parts = [
-        ("medical.keyword", has["medical"], F.least(F.lit(w("medical_cap")), w("medical_base") + F.size("medical") * w("medical_per_hit"))),
-        ("illegal.keyword", has["illegal"], F.least(F.lit(w("illegal_cap")), w("illegal_base") + F.size("illegal") * w("illegal_per_hit"))),
+        ("medical.keyword", has["medical"], F.least(F.lit(w("medical_cap")), w("medical_base") + F.size(r["medical"]) * w("medical_per_hit"))),
+        ("illegal.keyword", has["illegal"], F.least(F.lit(w("illegal_cap")), w("illegal_base") + F.size(r["illegal"]) * w("illegal_per_hit"))),
         ("contact.phone", has["phones"], F.lit(w("phone"))),
         ("contact.wechat", has["wechat_ids"], F.lit(w("wechat"))),
         ("contact.qq", has["qqs"], F.lit(w("qq"))),
         ("combo.medical_contact", has["medical"] & contact, F.lit(w("medical_with_contact"))),
         ("combo.medical_illegal", has["medical"] & has["illegal"], F.lit(w("medical_illegal_combo"))),
-        ("combo.multi_illegal", F.size("illegal") >= 2, F.lit(w("illegal_multi_bonus"))),
+        ("combo.multi_illegal", F.size(r["illegal"]) >= 2, F.lit(w("illegal_multi_bonus"))),
     ]
     total = F.lit(0)
     for _, test, points in parts:
@@ -192,25 +217,30 @@ def level(score: Column, rules: RuleSet) -> Column:
     return F.when(score >= rules.high_risk_score, "high").when(score >= rules.suspicious_score, "medium").otherwise("low")
 
 
-def members(regions: DataFrame) -> DataFrame:
+def members(requests: DataFrame) -> DataFrame:
     """Adds ad_boxes: the region's boxes without contacts that do not attach, and keyword boxes close by."""
-    attached = F.transform("accepted", lambda a: a["block_index"])
-    own = F.filter("items", lambda b: ~b["contact_like"] | F.array_contains(attached, b["block_index"]))
-    out = regions.withColumn("base", own).withColumn("base", F.when(F.size("base") > 0, F.col("base")).otherwise(F.col("items")))
-    frame = bounds(F.col("base"))
-    side = lambda a, b: F.greatest(F.lit(40), frame[b] - frame[a])
-    pad = lambda s: F.greatest(F.lit(40), whole(s * 0.35))
-    wide = G.expanded(frame, pad(side("x1", "x2")), pad(side("y1", "y2")))
-    angles = F.transform(F.filter("base", lambda b: b["keyword"]), lambda b: b["angle"])
-    out = out.withColumns({"wide": F.struct(*[v.alias(k) for k, v in wide.items()]), "base_angle": F.coalesce(median(angles), F.lit(0.0)), "taken": F.transform("base", lambda b: b["block_index"])})
-
-    def joins(b: Column) -> Column:
+
+    def base(r: Column) -> Column:
+        attached = F.transform(r["accepted"], lambda a: a["block_index"])
+        return F.filter(r["items"], lambda b: ~b["contact_like"] | F.array_contains(attached, b["block_index"]))
+
+    out = with_fields(requests, base=base)
+    out = with_fields(out, base=lambda r: F.when(F.size(r["base"]) > 0, r["base"]).otherwise(r["items"]))
+
+    def wide(r: Column) -> Column:
+        frame = bounds(r["base"])
+        pad = lambda a, b: F.greatest(F.lit(40), whole(F.greatest(F.lit(40), frame[b] - frame[a]) * 0.35))
+        return F.struct(*[v.alias(k) for k, v in G.expanded(frame, pad("x1", "x2"), pad("y1", "y2")).items()])
+
+    angles = lambda r: F.transform(F.filter(r["base"], lambda b: b["keyword"]), lambda b: b["angle"])
+    out = with_fields(out, wide=wide, base_angle=lambda r: F.coalesce(median(angles(r)), F.lit(0.0)), taken=lambda r: F.transform(r["base"], lambda b: b["block_index"]))
+
+    def joins(r: Column, b: Column) -> Column:
         x, y = G.center(b)
-        w = F.col("wide")
-        inside = G.contains_point(w, x, y) | G.intersects(w, b)
-        return b["keyword"] & ~F.array_contains("taken", b["block_index"]) & inside & (turned(b["angle"], F.col("base_angle")) <= 25)
+        inside = G.contains_point(r["wide"], x, y) | G.intersects(r["wide"], b)
+        return b["keyword"] & ~F.array_contains(r["taken"], b["block_index"]) & inside & (turned(b["angle"], r["base_angle"]) <= 25)
 
-    return out.withColumn("ad_boxes", F.concat("base", F.filter("blocks", joins))).drop("base", "wide", "base_angle", "taken")
+    return with_fields(out, ad_boxes=lambda r: F.concat(r["base"], F.filter("blocks", lambda b: joins(r, b))))
 
 
 def upright_frame(boxes: Column) -> dict[str, Column]:
@@ -228,31 +258,34 @@ AD = (
 )
 
 
-def ads(regions: DataFrame, rules: RuleSet) -> DataFrame:
-    """(request_id, ads): regions with a signal, in order, without duplicates.
+AD_FIELDS = ("x1", "y1", "x2", "y2", "block_indices", "hit_keywords", "hit_rules", "phones", "wechat_ids", "qqs", "risk_score", "risk_level", "suspicious")
 
-    Of an ad and the first earlier one that it repeats, the higher score stays, the earlier of equals; a better one is put
-    at the end. ad_index is given before the weaker one goes, so numbers can repeat.
-    """
-    signal = (F.size("medical") > 0) | (F.size("illegal") > 0) | (F.size("phones") > 0) | (F.size("wechat_ids") > 0) | (F.size("qqs") > 0) | (F.col("risk_score") > 0)
-    rows = members(regions)
-    frame = upright_frame(F.col("ad_boxes"))
-    suspicious = (F.col("risk_score") >= rules.suspicious_score) | ((F.size("medical") > 0) & (F.size("illegal") > 0))
+
+def ad_of(r, boxes: Column, frame: dict[str, Column], rules: RuleSet) -> Column:
+    """A region as an ad of boxes, as yet without a number; null without a signal."""
+    signal = (F.size(r["medical"]) > 0) | (F.size(r["illegal"]) > 0) | (F.size(r["phones"]) > 0) | (F.size(r["wechat_ids"]) > 0) | (F.size(r["qqs"]) > 0) | (r["risk_score"] > 0)
+    suspicious = (r["risk_score"] >= rules.suspicious_score) | ((F.size(r["medical"]) > 0) & (F.size(r["illegal"]) > 0))
     ad = F.struct(
         F.lit(0).alias("ad_index"),
         *[v.alias(k) for k, v in frame.items()],
-        F.transform("ad_boxes", lambda b: b["block_index"]).alias("block_indices"),
-        T.sorted_set(F.concat("medical", "illegal")).alias("hit_keywords"),
-        *[F.col(c) for c in ("hit_rules", "phones", "wechat_ids", "qqs", "risk_score")],
-        level(F.col("risk_score"), rules).alias("risk_level"),
+        F.transform(boxes, lambda b: b["block_index"]).alias("block_indices"),
+        T.sorted_set(F.concat(r["medical"], r["illegal"])).alias("hit_keywords"),
+        *[r[c].alias(c) for c in ("hit_rules", "phones", "wechat_ids", "qqs", "risk_score")],
+        level(r["risk_score"], rules).alias("risk_level"),
         suspicious.alias("suspicious"),
-    ).cast(AD)
-    # A filter on the rows would be pushed below, with all that the score is made of; null structs are not collected.
-    listed = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.when(signal, F.struct("region", ad.alias("ad"))))).alias("listed"))
-    numbered = lambda a, n: F.struct(n.alias("ad_index"), *[a[f].alias(f) for f in ("x1", "y1", "x2", "y2", "block_indices", "hit_keywords", "hit_rules", "phones", "wechat_ids", "qqs", "risk_score", "risk_level", "suspicious")]).cast(AD)
+    )
+    return F.when(signal, ad.cast(AD))
+
+
+def with_ads(requests: DataFrame, rules: RuleSet) -> DataFrame:
+    """Adds ads: regions with a signal, in order, without duplicates.
+
+    Of an ad and the first earlier one that it repeats, the higher score stays, the earlier of equals; a better one is put
+    at the end. ad_index is given before the weaker one goes, so numbers can repeat.
+    """
+    numbered = lambda a, n: F.struct(n.alias("ad_index"), *[a[f].alias(f) for f in AD_FIELDS]).cast(AD)
 
-    def add(kept: Column, row: Column) -> Column:
-        new = row["ad"]
+    def add(kept: Column, new: Column) -> Column:
         again = F.transform(kept, lambda k: (G.iou(k, new) >= 0.45) | _same_boxes(k["block_indices"], new["block_indices"]))
         first = F.array_position(again, True).cast("int")
         # The place of the one to go: none for a new ad, and -1 to turn a weaker one down.
@@ -260,4 +293,6 @@ def ads(regions: DataFrame, rules: RuleSet) -> DataFrame:
         place = F.transform(F.array(gone), lambda g: F.when(g < 0, kept).otherwise(F.concat(F.filter(kept, lambda k, i: i != g - 1), F.array(numbered(new, F.size(kept) + 1)))))
         return F.get(place, F.lit(0))
 
-    return listed.select("request_id", F.aggregate("listed", F.array().cast(f"array<{AD}>"), add).alias("ads"))
+    out = members(requests)
+    out = out.withColumn("listed", F.array_compact(F.transform("regions", lambda r: ad_of(r, r["ad_boxes"], upright_frame(r["ad_boxes"]), rules))))
+    return out.withColumn("ads", F.aggregate("listed", F.array().cast(f"array<{AD}>"), add)).drop("listed")

@@ -64,7 +64,7 @@ LINES = r"""line AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coa
 PAIRS = """pair AS (SELECT a.request_id, a.block_index AS a_index, b.block_index AS b_index, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2,
     b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2,
     least(a.x2, b.x2) - greatest(a.x1, b.x1) AS w, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS h
-  FROM box a JOIN box b ON a.request_id = b.request_id AND a.block_index < b.block_index),
+  FROM box a JOIN box b ON a.request_id = b.request_id AND a.block_index <> b.block_index),
 lap AS (SELECT *, CASE WHEN w <= 0 OR h <= 0 THEN 0.0::DOUBLE
     ELSE CAST(w * h AS DOUBLE) / (greatest(1, (ax2 - ax1) * (ay2 - ay1)) + greatest(1, (bx2 - bx1) * (by2 - by1)) - w * h) END AS iou FROM pair)"""
 
@@ -99,7 +99,7 @@ SELECT request_id, block_index, x1, y1, x2, y2, (x1 + x2) / 2 AS center_x, (y1 +
   clip_x1, clip_y1, least(greatest(clip_x1 + 1, x2), 500) AS clip_x2, least(greatest(clip_y1 + 1, y2), 600) AS clip_y2, 0.0::DOUBLE AS angle FROM c"""
 SQL["iou_pairs"] = f"""WITH {BOXES}, {PAIRS} SELECT request_id, a_index, b_index, round(iou, 6) AS iou,
   abs((ax1 + ax2) - (bx1 + bx2)) <= 24 AND abs((ay1 + ay2) - (by1 + by2)) <= 24 AS close,
-  round(sqrt(((ax1 + ax2) / 2 - (bx1 + bx2) / 2) ** 2 + ((ay1 + ay2) / 2 - (by1 + by2) / 2) ** 2), 4) AS distance FROM lap WHERE w >= 0 AND h >= 0"""
+  round(sqrt(((ax1 + ax2) / 2 - (bx1 + bx2) / 2) ** 2 + ((ay1 + ay2) / 2 - (by1 + by2) / 2) ** 2), 4) AS distance FROM lap WHERE a_index < b_index AND w >= 0 AND h >= 0"""
 SQL["nearby_boxes"] = f"""WITH {BOXES}, {PAIRS}, pad AS (SELECT *, greatest(12, CAST(trunc((ax2 - ax1) * 0.14::DOUBLE) AS INT)) AS px, greatest(12, CAST(trunc((ay2 - ay1) * 0.14::DOUBLE) AS INT)) AS py FROM lap)
 SELECT request_id, a_index, b_index FROM pad WHERE ((bx1 + bx2) / 2 BETWEEN ax1 - px AND ax2 + px AND (by1 + by2) / 2 BETWEEN ay1 - py AND ay2 + py) OR iou >= 0.08"""
 SQL["card_boxes"] = f"""WITH {BOXES}, c AS (SELECT request_id, x1 - 40 AS x1, y1 - 60 AS y1, x2 + 40 AS x2, y2 + 60 AS y2 FROM box WHERE block_index = 0),
@@ -110,7 +110,7 @@ SQL["core_items"] = f"""WITH {EVIDENCE} SELECT request_id, block_index, keyword
   SELECT 1 FROM an b WHERE b.request_id = a.request_id AND b.keyword
   AND sqrt(((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) ** 2 + ((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) ** 2) <= 90))"""
 SQL["reading_order"] = f"""WITH {BOXES} SELECT request_id, string_agg(CAST(block_index AS VARCHAR), ',' ORDER BY y1, x1, block_index) AS ordered,
-  round(list_reduce(list_concat([0.0::DOUBLE], list(confidence ORDER BY block_index)), lambda a, b: a + b) / count(*), 4) AS confidence FROM box GROUP BY request_id"""
+  CAST((2 * sum(CAST(round(confidence * 1000000) AS BIGINT)) + 100 * count(*)) // (200 * count(*)) AS DOUBLE) / 10000 AS confidence FROM box GROUP BY request_id"""
 
 # Text requests in closed form: all boxes lie at one point, so there is one region at most, of all boxes but pure noise.
 TEXT_ONLY = rf"""{EVIDENCE},

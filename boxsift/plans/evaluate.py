@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxsift.functions.text import sorted_set
+from boxsift.functions.text import has_contact_digits, phones, sorted_set, strip
 from boxsift.operators import evidence as E
 from boxsift.operators import regions as R
 from boxsift.rules import RuleSet
-from boxsift.sources.boxes import from_requests, request_name
+from boxsift.sources.boxes import from_requests, lines, request_name
 
 
 @dataclass
@@ -20,32 +21,94 @@ class Evaluation:
     regions: DataFrame
     ads: DataFrame
     documents: DataFrame
+    nested: DataFrame  # documents with their blocks: what later steps ask of a request, without another shuffle
 
 
 def evaluate(boxes: DataFrame, rules: RuleSet | None = None) -> Evaluation:
-    """Evaluate boxes (request_id, block_index, text, points, x1, y1, x2, y2); one shuffle on the request for each result."""
+    """Evaluate boxes (request_id, block_index, text, points, x1, y1, x2, y2); one shuffle on the request, then rows alone."""
     rules = rules or RuleSet()
-    blocks = E.annotations(E.evidence(boxes, rules))
-    requests = R.text_regions(R.nested(blocks), rules)
-    regions = R.scored(requests, rules)
-    ads = R.ads(regions, rules)
-    told = E.documents(blocks).join(ads, "request_id", "left").join(requests.select("request_id", F.size("regions").alias("n_regions"), "blocks"), "request_id")
-    found = F.coalesce("ads", F.array().cast(f"array<{R.AD}>"))
-    told = told.withColumn("ads", found)
+    found = E.evidence(boxes, rules)
+    requests = R.with_ads(R.scored(R.text_regions(R.nested(found), rules), rules), rules)
+    regions = requests.select("request_id", F.posexplode("regions").alias("region", "r")).select("request_id", "region", "r.*")
+    ads = requests.select("request_id", F.posexplode("ads").alias("position", "ad")).select("request_id", "position", "ad.*")
+    told = documents(requests.withColumn("n_regions", F.size("regions")), rules)
+    return Evaluation(E.annotations(found), regions, ads, told.drop("blocks"), told)
+
+
+def documents(requests: DataFrame, rules: RuleSet) -> DataFrame:
+    """What a request says as a whole, of rows (request_id, blocks, ads, n_regions): its boxes' hits and its ads rolled up."""
+    of = lambda c: F.flatten(F.transform("blocks", lambda b: b[c]))
     of_ads = lambda c: F.flatten(F.transform("ads", lambda a: a[c]))
+    some = lambda c: F.exists("blocks", lambda b: F.size(b[c]) > 0)
+    own = {"contact.phone": "phones", "contact.qq": "qqs", "contact.wechat": "wechat_ids", "illegal.keyword": "illegal_hits", "medical.keyword": "medical_hits"}
     noisy, worded = F.exists("blocks", lambda b: b["noise"]), F.exists("blocks", lambda b: b["keyword"])
-    reason = F.when(F.size("ads") > 0, "").when(F.col("n_regions") == 0, "no_groups").when((F.size("phones") > 0) & ~worded, "phone_only_without_business_keywords").when(noisy, "noise_keywords").otherwise("all_groups_filtered")
-    told = told.withColumns(
+    reason = F.when(F.size("ads") > 0, "").when(F.col("n_regions") == 0, "no_groups").when(some("phones") & ~worded, "phone_only_without_business_keywords").when(noisy, "noise_keywords").otherwise("all_groups_filtered")
+    told = requests.select(
+        "request_id",
+        *[sorted_set(of(c)).alias(c) for c in ("phones", "wechat_ids", "qqs")],
+        sorted_set(F.concat(of("medical_hits"), of("illegal_hits"), of_ads("hit_keywords"))).alias("hit_keywords"),
+        sorted_set(F.concat(F.array_compact(F.array(*[F.when(some(c), F.lit(k)) for k, c in own.items()])), of_ads("hit_rules"))).alias("hit_rules"),
+        F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("ocr_text"),
+        F.size("blocks").cast("long").alias("n_blocks"),
+        "ads",
+        F.coalesce(F.array_max(F.transform("ads", lambda a: a["risk_score"])), F.lit(0)).alias("risk_score"),
+        F.exists("ads", lambda a: a["suspicious"]).alias("suspicious"),
+        reason.alias("empty_reason"),
+        "blocks",
+    )
+    return told.withColumn("risk_level", R.level(F.col("risk_score"), rules))
+
+
+def evaluate_text(rows: DataFrame, request_id: str, text: str, rules: RuleSet | None = None) -> DataFrame:
+    """Documents of requests that come as text, as evaluate() gives them for its lines; without a shuffle.
+
+    All lines lie at one point, so what evaluate() finds has a closed form: one region of all lines but pure noise, the
+    first line with a keyword or contact ahead. A contact attaches if there is a keyword and no noise at all. A text
+    without a line gives no row.
+    """
+    rules = rules or RuleSet()
+
+    def line(t: Column, i: Column) -> Column:
+        hits = E.hit_columns(t, rules)
+        return F.struct(i.alias("block_index"), t.alias("text"), *[v.alias(k) for k, v in hits.items()])
+
+    out = rows.select(F.col(request_id).alias("request_id"), F.transform(lines(F.col(text)), line).alias("blocks")).where("size(blocks) > 0")
+    filled = lambda b, *cs: reduce(lambda x, y: x | y, [F.size(b[c]) > 0 for c in cs])
+    contact = ("phones", "wechat_ids", "qqs")
+    flags = lambda b: b.withField("keyword", filled(b, "medical_hits", "illegal_hits")).withField("contact", filled(b, *contact)).withField("noise", filled(b, "noise_hits"))
+    out = out.withColumn("blocks", F.transform("blocks", flags))
+    out = out.withColumn("blocks", F.transform("blocks", lambda b: b.withField("contact_like", b["contact"] | filled(b, "contact_hits") | has_contact_digits(b["text"]))))
+    anchors = F.filter("blocks", lambda b: b["keyword"] | b["contact"])
+    first = F.get(F.col("anchors"), F.lit(0))
+    others = F.filter("blocks", lambda b: (b["block_index"] != first["block_index"]) & ~(b["noise"] & ~b["keyword"] & ~b["contact"]))
+    out = out.withColumn("anchors", F.slice(anchors, 1, 1)).withColumn("n_regions", F.size("anchors"))
+    out = out.withColumn("items", F.when(F.col("n_regions") > 0, F.concat("anchors", others)).otherwise(F.col("anchors"))).drop("anchors")
+    attaches = F.exists("blocks", lambda b: b["keyword"]) & ~F.exists("blocks", lambda b: b["noise"])
+    out = out.withColumn("accepted", F.filter("items", lambda b: b["contact_like"] & attaches))
+    out = out.withColumn("read", F.transform("items", lambda b: strip(b["text"]))).withColumn("combined", F.array_join("read", ""))
+    own = lambda c: F.flatten(F.transform("items", lambda b: b[c]))
+    best = lambda c: F.coalesce(F.get(F.filter("accepted", lambda b: F.size(b[c]) > 0), F.lit(0))[c], F.array().cast("array<string>"))
+    medical, illegal = R.combined_hits(F.col("combined"), F.col("read"), rules)
+    out = out.withColumns(
         {
-            "hit_keywords": sorted_set(F.concat("hit_keywords", of_ads("hit_keywords"))),
-            "hit_rules": sorted_set(F.concat("hit_rules", of_ads("hit_rules"))),
-            "risk_score": F.coalesce(F.array_max(F.transform("ads", lambda a: a["risk_score"])), F.lit(0)),
-            "suspicious": F.exists("ads", lambda a: a["suspicious"]),
-            "empty_reason": reason,
+            "medical": sorted_set(F.concat(own("medical_hits"), medical)),
+            "illegal": sorted_set(F.concat(own("illegal_hits"), illegal)),
+            "phones": sorted_set(F.concat(best("phones"), phones(F.col("combined"), rules.phone_pattern))),
+            "wechat_ids": best("wechat_ids"),
+            "qqs": best("qqs"),
         }
     )
-    documents = told.withColumn("risk_level", R.level(F.col("risk_score"), rules)).drop("blocks", "n_regions")
-    return Evaluation(blocks, regions, ads.select("request_id", F.posexplode("ads").alias("position", "ad")).select("request_id", "position", "ad.*"), documents)
+    r = {c: F.col(c) for c in ("medical", "illegal", "phones", "wechat_ids", "qqs", "risk_score", "hit_rules")}
+    out = out.withColumns(R.region_score(r, rules))
+    attached = F.transform("accepted", lambda b: b["block_index"])
+    kept = F.filter("items", lambda b: ~b["contact_like"] | F.array_contains(attached, b["block_index"]))
+    out = out.withColumn("base", kept).withColumn("base", F.when(F.size("base") > 0, F.col("base")).otherwise(F.col("items")))
+    taken = F.transform("base", lambda b: b["block_index"])
+    out = out.withColumn("boxes", F.concat("base", F.filter("blocks", lambda b: b["keyword"] & ~F.array_contains(taken, b["block_index"]))))
+    point = F.array(F.struct(*[F.lit(0).alias(c) for c in ("x1", "y1", "x2", "y2")]))
+    ad = R.ad_of(r, F.col("boxes"), R.upright_frame(point), rules).withField("ad_index", F.lit(1))
+    found = F.when(F.col("n_regions") > 0, F.array_compact(F.array(ad))).otherwise(F.array().cast(f"array<{R.AD}>"))
+    return documents(out.select("request_id", "blocks", "n_regions", found.alias("ads")), rules).drop("blocks")
 
 
 def evaluate_requests(requests: DataFrame, rules: RuleSet | None = None) -> DataFrame:

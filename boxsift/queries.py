@@ -18,7 +18,7 @@ from boxsift.operators import focus as X
 from boxsift.operators import planning as P
 from boxsift.operators import readings as D
 from boxsift.operators import regions as R
-from boxsift.plans.evaluate import Evaluation, evaluate
+from boxsift.plans.evaluate import Evaluation, evaluate, evaluate_text
 from boxsift.rules import RuleSet
 from boxsift.sources import boxes as B
 
@@ -165,13 +165,13 @@ def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boxes(spark, sf_dir).select("request_id", "block_index", "x1", "y1", "x2", "y2")
-    return rows.alias("a").join(rows.alias("b"), (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.block_index") < F.col("b.block_index")))
+    return rows.alias("a").join(rows.alias("b"), (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.block_index") != F.col("b.block_index")))
 
 
 @query
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = G.columns_of("a"), G.columns_of("b")
-    rows = pairs(spark, sf_dir).where(G.intersects(a, b))
+    rows = pairs(spark, sf_dir).where((F.col("a.block_index") < F.col("b.block_index")) & G.intersects(a, b))
     return rows.select("a.request_id", F.col("a.block_index").alias("a_index"), F.col("b.block_index").alias("b_index"), F.round(G.iou(a, b), 6).alias("iou"), G.centers_close(a, b).alias("close"), F.round(G.distance(a, b), 4).alias("distance"))
 
 
@@ -259,7 +259,7 @@ def text_only_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that come as text: the generated boxes' texts joined by line breaks, and evaluated line by line."""
     joined_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda b: b["text"]), "\n")
     requests = boxes(spark, sf_dir).groupBy("request_id").agg(joined_text.alias("ocr_text"))
-    return _told(evaluate(B.from_text(requests, "request_id", "ocr_text"), RULES).documents)
+    return _told(evaluate_text(requests, "request_id", "ocr_text", RULES))
 
 
 @query
@@ -306,10 +306,7 @@ def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the first round says of a request; every third one has a card."""
-    done = evaluated(spark, sf_dir)
-    listed = done.blocks.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "text", "x1", "y1", "x2", "y2"))).alias("b"))
-    rows = done.documents.select("request_id", "phones", "wechat_ids", "qqs", "hit_keywords", "hit_rules", "risk_score").join(listed, "request_id")
-    rows = rows.withColumn("texts", F.transform("b", lambda x: x["text"]))
+    rows = evaluated(spark, sf_dir).nested.withColumn("texts", F.transform("blocks", lambda x: x["text"]))
     return rows.select(
         "*",
         F.size("hit_keywords").alias("keyword_count"),
@@ -318,7 +315,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("request_id") % 3 == 0).alias("has_card"),
         F.lit(False).alias("has_oblique"),
         P.solid_text().alias("solid_length"),
-        F.size("b").alias("box_count"),
+        F.size("blocks").alias("box_count"),
         F.aggregate("texts", F.lit(0), lambda a, t: a + F.length(T.strip(t))).alias("text_length"),
         P.low_semantic_confidence(RULES).alias("low_confidence"),
     )
@@ -337,7 +334,7 @@ def retry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variants to try over the frame of all boxes, as a rectangle taken from the card where there is one."""
-    b = R.bounds(F.col("b"))
+    b = R.bounds(F.col("blocks"))
     rows = features(spark, sf_dir).withColumns({"width": b["x2"] - b["x1"], "height": b["y2"] - b["y1"], "shape": F.when(F.col("request_id") % 2 == 0, "trapezoid").otherwise("rectangle"), "angle": F.lit(0.0), "source": F.when(F.col("has_card"), "card_candidate").otherwise("cluster")})
     return rows.select("request_id", joined(P.retry_variants(P.RetrySettings())).alias("variants"))
 
@@ -357,9 +354,9 @@ def ocr_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def view_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features(spark, sf_dir).join(D.readings(boxes(spark, sf_dir)), "request_id")
+    rows = features(spark, sf_dir)
     side = (600 + F.col("request_id") % 1500).cast("int")
-    confidence = D.average_confidence(F.transform("readings", lambda b: b["confidence"]))
+    confidence = D.average_confidence(F.transform("blocks", lambda b: b["confidence"]))
     return rows.select("request_id", P.scan_due(side).alias("scan"), P.rotation_due(side, RULES).alias("rotation"), P.tiles_due(side, confidence).alias("tiles"))
 
 
@@ -375,20 +372,24 @@ def focus_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def focus_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best cluster of each request for a closer look, in an image of 900 x 1000 without cards."""
-    told = features(spark, sf_dir).select("request_id", "keyword_count", "has_contact", "has_oblique", "low_confidence", (F.col("solid_length") <= 8).alias("low_recall"))
-    marked = E.annotations(found(spark, sf_dir)).select(
-        "request_id", "block_index", "text", F.size("hit_keywords").alias("k"), F.size(F.array_intersect("clue_types", T.strings(("phone", "wechat", "qq")))).alias("c"), T.has_contact_digits(F.col("text")).cast("int").alias("d")
-    )
-    spans = D.clusters(D.readings(boxes(spark, sf_dir)))
-    one = spans.select("request_id", "readings", F.posexplode("clusters").alias("ordinal", "members"))
-    one = one.withColumn("own", F.transform("members", lambda i: F.get("readings", i)))
+    rows = D.clusters(features(spark, sf_dir), "blocks")
+    rows = rows.select("request_id", "blocks", "keyword_count", "has_contact", "has_oblique", "low_confidence", (F.col("solid_length") <= 8).alias("low_recall"), F.posexplode("clusters").alias("ordinal", "members"))
+    rows = rows.withColumn("own", F.transform("members", lambda i: F.get("blocks", i))).withColumn("joined", F.array_join(F.transform("own", lambda r: r["text"]), ""))
     b = R.bounds(F.col("own"))
     frame = X.cluster_frame(b, F.lit(900), F.lit(1000))
-    area = F.aggregate("own", F.lit(0), lambda a, r: a + F.greatest(F.lit(1), (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])))
-    one = one.select("request_id", "ordinal", "members", area.alias("text_area"), X.frame_shape(b).alias("shape"), F.array_join(F.transform("own", lambda r: r["text"]), "").alias("joined"), *[v.alias(k) for k, v in frame.items()])
-    counts = one.select("request_id", "ordinal", F.explode("members").alias("block_index")).join(marked, ["request_id", "block_index"])
-    counts = counts.groupBy("request_id", "ordinal").agg(F.sum("k").alias("keywords"), F.sum("c").alias("contacts"), F.sum("d").alias("digits"), F.count("*").alias("boxes"))
-    rows = one.join(counts, ["request_id", "ordinal"]).join(told, "request_id")
+    total = lambda f: F.aggregate("own", F.lit(0), lambda a, r: a + f(r))
+    area = total(lambda r: F.greatest(F.lit(1), (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])))
+    kinds = lambda r: sum(((F.size(r[c]) > 0).cast("int") for c in ("wechat_ids", "qqs")), (F.size(r["phones"]) > 0).cast("int"))
+    rows = rows.select(
+        *[c for c in rows.columns if c not in ("blocks", "own")],
+        area.alias("text_area"),
+        X.frame_shape(b).alias("shape"),
+        total(lambda r: F.size(F.array_union(r["medical_hits"], r["illegal_hits"]))).alias("keywords"),
+        total(kinds).alias("contacts"),
+        total(lambda r: T.has_contact_digits(r["text"]).cast("int")).alias("digits"),
+        F.size("members").alias("boxes"),
+        *[v.alias(k) for k, v in frame.items()],
+    )
     rows = rows.withColumns({
         "region_area": F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), "angle": F.lit(0.0), "source": F.lit("text_cluster"), "overlap": F.lit(0.0),
         "card_area": F.lit(None).cast("int"), "preset": F.lit(False), "image_area": F.lit(900_000), "oblique": F.lit(0), "has_card": F.lit(False),
