@@ -6,17 +6,22 @@
    in a tree, and a Nystroem step on the driver turns A^T A Omega, of fixed size, into singular vectors (one pass). The
    first vector, the mean direction, is dropped; the others are scaled to unit variance.
 3. Every passage of every document is compared with the passages of the benchmark by cosine in that space; those close
-   enough are candidates. So is, whatever the weights, each place where ``GRAM`` words of an item, or all of a shorter
-   item, stand word for word; these are looked up by hash. A candidate is checked on its words, in the same task: the
-   longest common subsequence with the item must cover ``SURE`` of it, or ``LIKELY`` of it while the item's answer, its
-   last sentence, is there too, as in a paraphrase (one pass).
-
-Nothing is shuffled but the sums. Benchmark items are sent to the tasks in blocks of at most ``ITEM_BLOCK``; a larger
-benchmark takes a pass for each block.
+   enough, that also have a share of the rarer half of the item passage's words, are candidates. So is each place where
+   ``GRAM`` words of an item, one of the rarer half among them, stand word for word, or all words of a shorter item;
+   these are looked up by hash. A candidate is checked on its words, in the same task: the longest common subsequence
+   with the item must cover ``SURE`` of it; or ``LIKELY`` of it, ``FEWEST`` words at least, while the item's answer is
+   there too, or words with ``HEAVY`` of the item's weight, as in a paraphrase that replaces words or moves parts. Words
+   weigh as in TF-IDF, so common words that agree by chance count little (one pass).
+
+The answer is the column ``answer`` of the benchmark, where there is one and it is filled, else the item's last sentence.
+Nothing is shuffled but the sums. The benchmark is a query set that meets all rows, in blocks of ``ITEM_WORDS`` words,
+with a pass over the documents for each block. An item of more than ``PART`` words is sought in parts of so many, and
+the part that is found best speaks for it, so that the check of a place never grows with the square of an item.
 
 Defined results: a null or empty text has no leak; an item without a word is never leaked; an item of fewer than
 ``SHORT_ITEM`` words must be there word for word; repeated rows are judged alike, each on its own; an item listed twice
-is reported twice; the cosine is null where a pair was found by its words alone; an empty table of documents or of items gives no rows; other columns are not read.
+is reported twice; the cosine is null where a pair was found by its words alone; an empty table of documents or of items
+gives no rows; other columns are not read, and ``clean`` returns the columns of its input as they are.
 """
 
 from __future__ import annotations
@@ -26,14 +31,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import written
+from boxsift.llm.common import columns_of, free_name, word_count, written
 from boxsift.llm.shingles import _FACTORS, PUNCTUATION, text_chunks, word_hashes
+from boxsift.llm.sums import summed
 
 TERMS = 1 << 14
 RANK, OVERSAMPLE = 48, 8
@@ -45,46 +49,15 @@ SHORT_PASSAGE_ITEM = 24
 GRAM = 3
 #: Bits of the table that screens hashes of words that stand together, and matches that are taken up at a time.
 SCREEN, MATCHES = 22, 1 << 20
-COSINE, SURE, LIKELY, ANSWER = 0.25, 0.8, 0.5, 0.8
-#: Share of an item passage's words that a candidate passage must have; below LIKELY times the least overlap of two
-#: passages, 24 words of 32.
+COSINE, SURE, LIKELY, ANSWER, HEAVY = 0.3, 0.8, 0.45, 0.8, 0.45
+FEWEST = 7
+#: Share of the rarer half of an item passage's words that a candidate passage must have.
 SHARED = 0.35
 SHORT_ITEM = 8
-ITEM_BLOCK = 20_000
+#: Words of an item that are sought at once; words of the items of a block; pairs of passages that are compared at a time.
+PART, ITEM_WORDS, PAIRS = 512, 1 << 20, 1 << 21
 #: Words whose vectors are summed at a time.
 STRETCH = 16_384
-#: Sums that meet in one group of the tree.
-FAN_IN = 64
-
-
-def tree_sum(parts: DataFrame, n_parts: int, kind: str) -> DataFrame:
-    """Rows (slot, part, value), value an array of numbers as bytes: one row for each slot with the sum of its arrays.
-
-    At most FAN_IN arrays meet in a group, however many tasks there were.
-    """
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(v, kind) for v in rows["value"]], axis=0, dtype=kind)
-        return pd.DataFrame({"slot": rows["slot"][:1], "part": rows["part"][:1] // FAN_IN, "value": [total.tobytes()]})
-
-    for _ in range(max(1, math.ceil(math.log(max(n_parts, 2), FAN_IN)))):
-        parts = parts.groupBy("slot", F.expr(f"part div {FAN_IN}").alias("up")).applyInPandas(add, "slot int, part long, value binary")
-    return parts
-
-
-def _summed(docs: DataFrame, task, kind: str, slots: int) -> np.ndarray:
-    """Sum over all tasks of the array that task makes of its chunks, met slot by slot; of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = task(raw for _, raw in text_chunks(batches, most=1 << 20, lower=True))
-        if total is not None:
-            pieces = np.array_split(total.reshape(-1), slots)
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(range(slots), pa.int32()), pa.array([part] * slots, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["slot", "part", "value"])
-
-    parts = docs.select("text").mapInArrow(run, "slot int, part long, value binary")
-    rows = tree_sum(parts, docs.rdd.getNumPartitions(), kind).collect()
-    return np.concatenate([np.frombuffer(r["value"], kind) for r in sorted(rows, key=lambda r: r["slot"])]) if rows else np.empty(0, kind)
 
 
 def terms_of(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,14 +79,18 @@ class LatentSpace:
     idf: np.ndarray
     basis: np.ndarray  # terms x rank, each row times the term's idf
 
-    def blocks(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sums, word sets, first words and texts of all blocks; hashes and texts of all words.
+    def weights(self, h: np.ndarray) -> np.ndarray:
+        """Of words by their hashes."""
+        return self.idf[(h >> np.uint64(50)).astype("i4")]
+
+    def blocks_of(self, h: np.ndarray, owner: np.ndarray, n: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums, word sets, first words and texts of all blocks of n texts, given as hashes and texts of their words.
 
-        A word set is 256 bits, one for each word by its hash.
+        A word set is 256 bits, one for each word by its hash; of the words that some marks, if given.
         """
-        h, term, owner = terms_of(raw)
-        _, start, of = _blocks(owner, len(raw))
-        used = np.flatnonzero(self.idf[term])
+        term = (h >> np.uint64(50)).astype("i4")
+        _, start, of = _blocks(owner, n)
+        used = np.arange(len(h)) if some is None else np.flatnonzero(some)
         sets = np.zeros((len(start), 4), "u8")
         if len(used):
             bits = np.zeros((len(used), 4), "u8")
@@ -121,7 +98,7 @@ class LatentSpace:
             block = np.searchsorted(start, used, side="right") - 1
             cut = np.flatnonzero(np.diff(block, prepend=-1))
             sets[block[cut]] = np.bitwise_or.reduceat(bits, cut)
-        return _block_sums(self.basis, used, term, start), sets, start, of, h, owner
+        return _block_sums(self.basis, np.arange(len(h)), term, start), sets, start, of
 
 
 def passages(sums: np.ndarray, sets: np.ndarray, of: np.ndarray, length: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,9 +136,9 @@ def _block_sums(rows: np.ndarray, used: np.ndarray, term: np.ndarray, start: np.
 def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Passages that have each term, and their number."""
 
-    def task(chunks: Iterator[list[bytes]]) -> np.ndarray | None:
+    def task(chunks: Iterator[tuple[pa.RecordBatch, list[bytes]]]) -> np.ndarray | None:
         total = None
-        for raw in chunks:
+        for _, raw in chunks:
             _, term, owner = terms_of(raw)
             total = np.zeros(TERMS + 1, "i8") if total is None else total
             _, start, _ = _blocks(owner, len(raw), LONG * BLOCK)
@@ -175,7 +152,7 @@ def passage_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
             total[-1] += len(start)
         return total
 
-    got = _summed(docs, task, "i8", 1)
+    got = summed(docs.select("text"), task, "i8", 1, lower=True)
     return (got[:-1], int(got[-1])) if len(got) else (np.zeros(TERMS, "i8"), 0)
 
 
@@ -187,9 +164,9 @@ def fit_space(docs: DataFrame, rank: int = RANK, seed: int = 11) -> LatentSpace:
     omega = np.random.default_rng(seed).standard_normal((TERMS, width)).astype("f4")
     weighted = omega * idf[:, None]
 
-    def task(chunks: Iterator[list[bytes]]) -> np.ndarray | None:
+    def task(chunks: Iterator[tuple[pa.RecordBatch, list[bytes]]]) -> np.ndarray | None:
         total = None
-        for raw in chunks:
+        for _, raw in chunks:
             total = np.zeros((TERMS, width), "f4") if total is None else total
             _, term, owner = terms_of(raw)
             if not len(term):
@@ -210,7 +187,7 @@ def fit_space(docs: DataFrame, rank: int = RANK, seed: int = 11) -> LatentSpace:
             total *= idf[:, None]  # a term's weight is the same at each of its places
         return total
 
-    z = _summed(docs, task, "f4", 16)
+    z = summed(docs.select("text"), task, "f4", 16, lower=True)
     if not len(z):
         return LatentSpace(idf, weighted[:, 1 : rank + 1])
     z = z.reshape(TERMS, width).astype("f8")
@@ -236,19 +213,36 @@ def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> in
 
 @dataclass
 class Item:
+    """An item, or a part of a long one; row tells the rows of the benchmark apart."""
+
+    row: int
     item_id: int
     words: list[int]
     masks: dict[int, int]
     answer: list[int]
     answer_masks: dict[int, int]
+    weight: dict[int, float]  # a word's share of the weight of the item's distinct words
+    rare: set[int]  # the rarer half of them
 
 
-def make_item(item_id: int, text: str | None) -> Item:
-    text = (text or "").lower()
-    words = word_hashes([text.encode()], PUNCTUATION)[0].tolist()
-    sentences = [x for x in text.replace("\n", ". ").split(". ") if any(c.isalnum() for c in x)]
-    answer = word_hashes([sentences[-1].encode()], PUNCTUATION)[0].tolist() if sentences else []
-    return Item(item_id, words, _masks(words), answer, _masks(answer))
+def _hashes(text: str) -> list[int]:
+    return word_hashes([text.lower().encode()], PUNCTUATION)[0].tolist()
+
+
+def make_items(row: int, item_id: int, text: str | None, answer: str | None, space: LatentSpace) -> list[Item]:
+    """The item, in parts if it is long: each with the words of the whole answer, or the last sentence, that it has."""
+    words = _hashes(text or "")
+    sentences = [x for x in (text or "").replace("\n", ". ").split(". ") if any(c.isalnum() for c in x)]
+    told = _hashes(answer or "") or (_hashes(sentences[-1]) if sentences else [])
+    told = told[-PART:]
+    out = []
+    for k in range(0, len(words), PART):
+        part = words[max(0, min(k, len(words) - PART)) : k + PART]
+        distinct = np.array([*dict.fromkeys(part)], "u8")
+        w = space.weights(distinct).astype("f8")
+        rare = distinct[w >= np.median(w)]
+        out.append(Item(row, item_id, part, _masks(part), told, _masks(told), dict(zip(distinct.tolist(), (w / w.sum()).tolist())), set(rare.tolist())))
+    return out
 
 
 def _masks(words: list[int]) -> dict[int, int]:
@@ -260,17 +254,19 @@ def _masks(words: list[int]) -> dict[int, int]:
 
 def compare(item: Item, region: list[int]) -> tuple[float, float] | None:
     """Shares of the item and of its answer that the region has in order; None if that is no leak."""
-    if not item.words:
-        return None
-    if len(set(item.words) & set(region)) < LIKELY * len(set(item.words)):
+    n, there = len(item.words), set(region)
+    if len(item.rare & there) < LIKELY / 2 * len(item.rare):
         return None
-    whole = common_subsequence(item.masks, len(item.words), region) / len(item.words)
+    whole = common_subsequence(item.masks, n, region) / n
     answer = common_subsequence(item.answer_masks, len(item.answer), region) / len(item.answer) if item.answer else 0.0
-    if len(item.words) < SHORT_ITEM:
-        n = len(item.words)
+    if n < SHORT_ITEM:
         verbatim = any(region[k : k + n] == item.words for k in range(len(region) - n + 1))
         return (whole, answer) if verbatim else None
-    return (whole, answer) if whole >= SURE or (whole >= LIKELY and answer >= ANSWER) else None
+    if whole >= SURE:
+        return whole, answer
+    if whole < LIKELY or whole * n < FEWEST:
+        return None
+    return (whole, answer) if answer >= ANSWER or sum(w for x, w in item.weight.items() if x in there) >= HEAVY else None
 
 
 @dataclass
@@ -312,10 +308,17 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return s
 
 
+def _telling_grams(item: Item, n: int) -> np.ndarray:
+    """Of an item, those with a word of its rarer half; each item has some."""
+    rare = np.array([w in item.rare for w in item.words])
+    telling = np.lib.stride_tricks.sliding_window_view(rare, n).any(1)
+    return gram_hashes(np.array(item.words, "u8"), n)[telling]
+
+
 def item_grams(items: list[Item]) -> list[Grams]:
     out = []
     for n in range(1, GRAM + 1):
-        pairs = [(gram_hashes(np.array(i.words, "u8"), n), k) for k, i in enumerate(items) if min(len(i.words), GRAM) == n]
+        pairs = [(_telling_grams(i, n), k) for k, i in enumerate(items) if min(len(i.words), GRAM) == n]
         if pairs:
             hashes, of = np.concatenate([s for s, _ in pairs]), np.concatenate([np.full(len(s), k) for s, k in pairs])
             order = np.lexsort((of, hashes))
@@ -329,22 +332,24 @@ def item_grams(items: list[Item]) -> list[Grams]:
     return out
 
 
-def _searched(space: LatentSpace, items: list[Item], sought: list[tuple], cosine: float):
-    """sought: passage length and stride in blocks; vectors, word sets and items of the item passages; for long and short items."""
+def _searched(space: LatentSpace, items: list[Item], cosine: float):
+    sought = item_passages(space, items)
     sizes = np.array([len(i.words) for i in items], "i8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = item_grams(items)
         for b, raw in text_chunks(batches, most=1 << 20, lower=True):
-            sums, sets, start, of, h, word_of = space.blocks(raw)
+            h, word_of = word_hashes(raw, PUNCTUATION)
+            sums, sets, start, of = space.blocks_of(h, word_of, len(raw))
             edges = np.searchsorted(word_of, np.arange(len(raw) + 1))
             found: dict[tuple[int, int], tuple[float | None, float, float]] = {}
             for length, stride, vectors, item_sets, owner in sought:
                 v, bits, at = passages(sums, sets, of, length, stride)
                 least = SHARED * np.bitwise_count(item_sets).sum(1)
-                for k in range(0, len(v), 4096):
-                    near = v[k : k + 4096] @ vectors.T
-                    p, q = np.nonzero(near >= cosine)
+                step = max(16, PAIRS // max(1, len(vectors)))
+                for k in range(0, len(v) if len(vectors) else 0, step):
+                    near = v[k : k + step] @ vectors.T
+                    p, q = np.divmod(np.flatnonzero(near >= cosine), len(vectors))
                     alike = np.bitwise_count(bits[k + p] & item_sets[q]).sum(1) >= least[q]
                     for p, q in zip(p[alike].tolist(), q[alike].tolist()):
                         item, block = int(owner[q]), int(at[k + p])
@@ -371,33 +376,44 @@ def _searched(space: LatentSpace, items: list[Item], sought: list[tuple], cosine
                         got = compare(items[i], h[max(first, first + (c - 1) * size) : min(edges[t + 1], first + (c + 2) * size + GRAM)].tolist())
                         if got and got > had[1:]:
                             found[t, i] = (had[0], *got)
-            keys = sorted(found)
+            best: dict[tuple[int, int], tuple] = {}
+            for (t, i), told in found.items():
+                key = (t, items[i].row)
+                if key not in best or told[1:] > best[key][1:]:
+                    best[key] = (items[i].item_id, *told)
+            keys = sorted(best)
             ids = b.column("doc_id").take(pa.array([t for t, _ in keys], pa.int64()))
-            columns = [ids, pa.array([items[i].item_id for _, i in keys], pa.int64()), *(pa.array([found[x][j] for x in keys], pa.float64()) for j in range(3))]
+            columns = [ids, pa.array([best[x][0] for x in keys], pa.int64()), *(pa.array([best[x][j] for x in keys], pa.float64()) for j in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
     return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, space: LatentSpace | None = None, cosine: float = COSINE) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs_share, answer_share) of each document row that has an item of benchmark (item_id, text)."""
+    """(doc_id, item_id, cosine, lcs_share, answer_share) of each document row that has an item of benchmark (item_id, text,
+    and answer if it has that)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "benchmark-items")
+    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"), word_count(F.col("text")).alias("size"))
+    items = written(items, "benchmark-items")
     space = space or fit_space(rows)
-    blocks = max(1, math.ceil(items.count() / ITEM_BLOCK))
+    blocks = max(1, math.ceil((items.agg(F.sum("size")).first()[0] or 0) / ITEM_WORDS))
     out = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        listed = block.orderBy("item_id", "text").collect()
-        made = [make_item(r["item_id"], r["text"]) for r in listed]
-        sought = item_passages(space, [(r["text"] or "").lower().encode() for r in listed], made)
-        found = rows.mapInArrow(_searched(space, made, sought, cosine), "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
+        listed = block.orderBy("item_id", "text").collect()  # ITEM_WORDS words, about
+        made = [x for row, r in enumerate(listed) for x in make_items(row, r["item_id"], r["text"], r["answer"], space)]
+        found = rows.mapInArrow(_searched(space, made, cosine), "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
         out = found if out is None else out.union(found)
     return out
 
 
-def item_passages(space: LatentSpace, raw: list[bytes], items: list[Item]) -> list[tuple]:
-    sums, sets, _, of, _, _ = space.blocks(raw)
+def item_passages(space: LatentSpace, items: list[Item]) -> list[tuple]:
+    """Passage length and stride in blocks; vectors, word sets and items of the item passages; for long and short items."""
+    h = np.array([w for i in items for w in i.words], "u8")
+    owner = np.repeat(np.arange(len(items)), [len(i.words) for i in items])
+    rare = np.array([w in i.rare for i in items for w in i.words], bool)
+    sums, sets, _, of = space.blocks_of(h, owner, len(items), rare)
     short = np.array([len(i.words) <= SHORT_PASSAGE_ITEM for i in items], bool)
     out = []
     for length, stride, some in ((LONG, LONG // 2, ~short), (SHORT, 1, short)):
@@ -408,6 +424,7 @@ def item_passages(space: LatentSpace, raw: list[bytes], items: list[Item]) -> li
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a leak, with all their columns."""
-    leaks = written(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
-    return docs.join(leaks, F.col("doc_id") == F.col("leaked_id"), "left_anti")
+    """The rows of docs without a leak, with all their columns; rows that share a doc_id go together, those without one stay."""
+    own = free_name(docs.columns, "leaked_")
+    leaks = written(find_leaks(docs, benchmark).select(F.col("doc_id").alias(f"{own}id")).distinct(), "leaked")
+    return docs.join(leaks, F.col("doc_id").cast("long") == F.col(f"{own}id"), "left_anti").select(*columns_of(docs))
