@@ -1,25 +1,29 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other.
 
-The text view is logistic regression over hashed words and byte trigrams (log counts, unit length). The metadata view is
-logistic regression over what is known about a page beside its words: source, language, length and line layout. In each
-round both views label the texts of an unlabelled pool; the texts a view is most sure of join the other view's training
-set with that label. In the end each view is calibrated by a logistic fit on labelled texts that it did not train on, and
+The text view knows the words and byte trigrams of a text, hashed (log counts, unit length); the metadata view knows what
+the table says of a page beside its text: source, language and length, alone and in pairs. Both are naive Bayes, so a view
+is a sum over documents and all documents can teach it. In each round one pass over the whole table scores every document
+that is not in the labelled sample with both views; the documents that one view is sure of, at ``CONFIDENT``, go with that
+label into the other view's sums, in the tasks. A view is then fitted anew, its labelled and its passed-on documents with
+half of the say each. In the end each view is calibrated by a logistic fit on labelled texts that it did not train on, and
 a third logistic fit on the same texts combines the two calibrated views into one score.
 
-Training takes at most ``LABELLED`` labelled and ``POOL`` unlabelled texts, chosen by hash; tasks turn them into
-features, so the driver gets numbers of bounded size. Every document is scored whole, where it is read, in one Arrow
-pass without a shuffle.
+Labels are taken from at most ``LABELLED`` documents, chosen by hash, half of either class; the rest of the table serves
+without its labels, all of it. Tasks send sums of fixed size, and three numbers for each document of the sample.
+Every document is scored whole, where it is read, in one Arrow pass without a shuffle.
 
-Defined results: a null or empty text, or one without a word, scores 0 and is not kept; labels of documents that are not
-there, and null labels, are ignored; a document with two labels is used with each; without labels of both classes every
-text with words scores 0.5; equal rows score alike; null metadata is a value of its own; an empty table gives no rows;
-other columns are not read.
+Defined results: a null or empty text, or one without a word, scores 0 and is not kept, and teaches nothing; labels of
+documents that are not there, and null labels, are ignored; a document with two labels is used with each; of rows that
+share a doc_id in the sample the one with the smallest text teaches; without labels of both classes every text with words
+scores 0.5; equal rows score alike; null metadata is a value of its own; a table without n_chars counts as one of nulls
+there; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +32,17 @@ from pyspark.sql import functions as F
 
 from boxsift.llm.common import written
 from boxsift.llm.shingles import text_chunks, word_hashes
+from boxsift.llm.sums import summed
 
-LABELLED, POOL = 4000, 4000
-ROUNDS, GAIN = 5, 200
+LABELLED = 6000
+ROUNDS, CONFIDENT = 2, 0.9
 WORD_DIMS = TRIGRAM_DIMS = 1 << 13
-TEXT_DIMS = WORD_DIMS + TRIGRAM_DIMS
-META_HASHED, META_DENSE = 64, 8
-META_DIMS = META_HASHED + META_DENSE
+TEXT_DIMS, META_DIMS = WORD_DIMS + TRIGRAM_DIMS, 1 << 12
+#: What each dimension's sum is raised by, as naive Bayes needs.
+TEXT_FLOOR, META_FLOOR = 0.01, 0.5
 #: Only what is bad with nine chances in ten is dropped.
 THRESHOLD = 0.1
+META = ("source", "lang", "n_chars")
 
 
 def text_features(raw: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -61,32 +67,17 @@ def text_features(raw: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]]
     return out, words
 
 
-def meta_features(raw: list[bytes], words: np.ndarray, source: list, lang: list) -> np.ndarray:
-    """Source and language, hashed, and numbers of length and layout; rows x META_DIMS."""
-    import zlib
-
-    out = np.zeros((len(raw), META_DIMS), "f4")
-    for k, (r, n, s, g) in enumerate(zip(raw, words, source, lang)):
-        for value in (f"s={s}", f"l={g}"):
-            out[k, zlib.crc32(value.encode()) % META_HASHED] += 1
-        lines = [x for x in r.split(b"\n") if x.strip()]
-        size = max(len(r), 1)
-        longest = max(map(len, lines), default=0)
-        out[k, META_HASHED:] = (
-            1,
-            np.log1p(len(r)) / 10,
-            np.log1p(len(lines)) / 5,
-            1 - len(set(lines)) / max(len(lines), 1),
-            size / max(n, 1) / 10,
-            longest / size,
-            sum(r.count(c) for c in b"#*$%&|<>!") / size * 10,
-            sum(x.endswith((b".", b"!", b"?")) for x in lines) / max(len(lines), 1),
-        )
-    return out
+def meta_features(b: pa.RecordBatch) -> np.ndarray:
+    """Dimensions of each row's metadata: source, language, length in half doublings, and the pairs of language with both."""
+    out = []
+    for s, g, n in zip(*(b.column(c).to_pylist() for c in META)):
+        size = None if n is None or n < 0 else int(2 * np.log2(n + 1))
+        out.append([zlib.crc32(x.encode()) % META_DIMS for x in (f"s={s}", f"l={g}", f"n={size}", f"l={g},s={s}", f"l={g},n={size}")])
+    return np.array(out, "i8").reshape(-1, 5)
 
 
 def _logistic(x, y: np.ndarray, dims: int, rounds: int = 300, rate: float = 0.5, l2: float = 1e-5) -> np.ndarray:
-    """Weights, the bias last, by full-batch gradient steps with momentum scaling (Adam). x is dense or CSR parts."""
+    """Weights, the bias last, by full-batch gradient steps with momentum scaling (Adam); both classes weigh alike."""
     w, m, v = np.zeros(dims + 1), np.zeros(dims + 1), np.zeros(dims + 1)
     weight = np.where(y > 0.5, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     for k in range(1, rounds + 1):
@@ -128,91 +119,146 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _view(labelled: np.ndarray, passed: np.ndarray, floor: float) -> np.ndarray:
+    """Log odds of each dimension, of two rows of sums: of bad and of good documents."""
+
+    def share(sums: np.ndarray) -> np.ndarray:
+        return (sums + floor) / (sums.sum() + floor * len(sums))
+
+    both = [(share(a) + share(p)) / 2 if p.any() else share(a) for a, p in zip(labelled, passed)]
+    return np.log(both[1]) - np.log(both[0])
+
+
 @dataclass
 class QualityModel:
     text: np.ndarray
     meta: np.ndarray
-    text_scale: np.ndarray  # slope and intercept of the calibration
-    meta_scale: np.ndarray
-    join: np.ndarray  # weights of the two calibrated logits, and a bias
+    text_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))  # slope and intercept of the calibration
+    meta_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
+    join: np.ndarray = field(default_factory=lambda: np.zeros(3))  # weights of the two calibrated logits, and a bias
+    passed: list[dict[str, int]] = field(default_factory=list)  # of each round: documents that a view passed to the other
+
+    def views(self, rows: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = Sparse.of(rows)
+        return np.bincount(x.row, x.values * self.text[x.dims], x.n), self.meta[meta].sum(1)
+
+    def calibrated(self, rows: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.views(rows, meta)
+        return self.text_scale[0] * a + self.text_scale[1], self.meta_scale[0] * b + self.meta_scale[1]
 
     def score(self, rows: list[tuple[np.ndarray, np.ndarray]], meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated scores of the text view and of the metadata view, and the combined one."""
-        a = self.text_scale[0] * _dot(Sparse.of(rows), self.text) + self.text_scale[1]
-        b = self.meta_scale[0] * _dot(meta, self.meta) + self.meta_scale[1]
+        a, b = self.calibrated(rows, meta)
         return sigmoid(a), sigmoid(b), sigmoid(np.stack([a, b], 1).clip(-12, 12) @ self.join[:2] + self.join[2])
 
 
-def co_train(rows: list, meta: np.ndarray, y: np.ndarray, pool_rows: list, pool_meta: np.ndarray, rounds: int = ROUNDS, gain: int = GAIN, seed: int = 5) -> QualityModel:
-    """Fit both views on labelled texts (y: 1 good, 0 bad) and a pool without labels."""
-    if len(set(y.tolist())) < 2:
-        return QualityModel(np.zeros(TEXT_DIMS + 1), np.zeros(META_DIMS + 1), np.array([1.0, 0]), np.array([1.0, 0]), np.zeros(3))
-    order = np.random.default_rng(seed).permutation(len(y))
-    held, train = order[: len(y) // 4], order[len(y) // 4 :]
-    got: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
-    for k in range(rounds + 1):
-        text_w = _logistic(Sparse.of([rows[i] for i in train] + [pool_rows[i] for i in got["text"]]), np.concatenate([y[train], [*got["text"].values()]]), TEXT_DIMS, 150)
-        meta_x = np.concatenate([meta[train], pool_meta[[*got["meta"]]]])
-        meta_w = _logistic(meta_x, np.concatenate([y[train], [*got["meta"].values()]]), META_DIMS, 150)
-        if k == rounds or not pool_rows:
-            break
-        for z, other in ((_dot(Sparse.of(pool_rows), text_w), "meta"), (_dot(pool_meta, meta_w), "text")):
-            p = sigmoid(z)
-            by = [i for i in np.argsort(-np.abs(p - 0.5), kind="stable").tolist() if i not in got[other] and abs(p[i] - 0.5) > 0.4]
-            for label in (0.0, 1.0):
-                got[other].update({i: label for i in [i for i in by if (p[i] > 0.5) == bool(label)][: gain // 2]})
-    fair = held if 0 < y[held].sum() < len(held) else order
-    a, b = _dot(Sparse.of([rows[i] for i in fair]), text_w), _dot(meta[fair], meta_w)
-    text_scale, meta_scale = (_logistic(z[:, None], y[fair], 1, 200, 0.2, 1e-3) for z in (a, b))
-    both = np.stack([text_scale[0] * a + text_scale[1], meta_scale[0] * b + meta_scale[1]], 1).clip(-12, 12)
-    return QualityModel(text_w, meta_w, text_scale, meta_scale, _logistic(both, y[fair], 2, 200, 0.2, 1e-3))
-
-
-_FEATURES = "quality int, dims array<int>, vals array<float>, meta array<float>"
-
-
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b, raw in text_chunks(batches):
+#: Sums of a pass: of either class the text's and the metadata's dimensions, then the documents that make them up.
+_SIZES = (2 * TEXT_DIMS, 2 * META_DIMS, 2, 2)
+
+
+def _add(total: np.ndarray, rows: list, meta: np.ndarray, of_text: np.ndarray, of_meta: np.ndarray) -> None:
+    """Adds documents to the sums of the view that of_text and of_meta name a class for: 0, 1, or -1 for none."""
+    text, page, n_text, n_meta = np.split(total, np.cumsum(_SIZES)[:-1])
+    x = Sparse.of(rows)
+    for c in (0, 1):
+        text[c * TEXT_DIMS : (c + 1) * TEXT_DIMS] += np.bincount(x.dims, x.values * (of_text == c)[x.row], TEXT_DIMS)
+        page[c * META_DIMS : (c + 1) * META_DIMS] += np.bincount(meta[of_meta == c].reshape(-1), minlength=META_DIMS)
+        n_text[c] += (of_text == c).sum()
+        n_meta[c] += (of_meta == c).sum()
+
+
+def _labelled_sums(chunks: Iterator[tuple[pa.RecordBatch, list[bytes]]]) -> np.ndarray:
+    total = np.zeros(sum(_SIZES))
+    for b, raw in chunks:
         rows, words = text_features(raw)
-        meta = meta_features(raw, words, b.column("source").to_pylist(), b.column("lang").to_pylist())
-        lists = [pa.array([d.astype("i4") for d, _ in rows], pa.list_(pa.int32())), pa.array([v for _, v in rows], pa.list_(pa.float32())), pa.array([*meta], pa.list_(pa.float32()))]
-        yield pa.RecordBatch.from_arrays([b.column("quality"), *lists], ["quality", "dims", "vals", "meta"])
-
-
-def _gathered(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
-    """Features of rows, one row for each id and label: as many as ids were chosen."""
-    once = rows.dropDuplicates(["doc_id", "quality"]).select("text", "source", "lang", "quality")
-    got = once.mapInArrow(_featured, _FEATURES).toArrow()
-    got = got.combine_chunks()
-    stretch = lambda c: (c.values.to_numpy(), c.offsets.to_numpy()) if len(c) else (np.empty(0), np.zeros(1, "i4"))
-    chunk = lambda name: got.column(name).chunk(0) if got.num_rows else pa.array([], pa.list_(pa.float32()))
-    (dims, at), (values, _), (meta, _) = (stretch(chunk(c)) for c in ("dims", "vals", "meta"))
-    pairs = [(dims[i:j], values[i:j]) for i, j in zip(at[:-1], at[1:])]
-    meta = np.asarray(meta, "f4").reshape(len(pairs), META_DIMS)
-    return pairs, meta, np.array(got.column("quality").to_pylist(), "f8")
-
-
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> QualityModel:
-    """Fit on bounded samples of docs (doc_id, text, source, lang) and labels (doc_id, quality)."""
-    docs = docs.select("doc_id", "text", "source", "lang")
-    drawn = lambda salt: F.xxhash64(F.lit(salt), "doc_id")
-    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"), drawn("labelled").alias("h"))
-    halves = [marked.where(q).orderBy("h", "doc_id").limit(labelled // 2) for q in ("quality > 0", "quality <= 0")]
-    chosen = written(halves[0].union(halves[1]).select("doc_id", (F.col("quality") > 0).cast("int").alias("quality")), "labelled")
-    rows, meta, y = _gathered(docs.join(F.broadcast(chosen), "doc_id"))
-    ids = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", drawn("pool").alias("h"))
-    extra = written(ids.orderBy("h", "doc_id").limit(pool).select("doc_id", F.lit(0).alias("quality")).distinct(), "pool")
-    pool_rows, pool_meta, _ = _gathered(docs.join(F.broadcast(extra), "doc_id"))
-    return co_train(rows, meta, y, pool_rows, pool_meta)
+        label = np.where(words > 0, b.column("quality").to_numpy(), -1)
+        _add(total, rows, meta_features(b), label, label)
+    return total
+
+
+def _passed_sums(model: QualityModel, known: np.ndarray):
+    """known: sorted ids of the labelled sample."""
+
+    def run(chunks: Iterator[tuple[pa.RecordBatch, list[bytes]]]) -> np.ndarray:
+        total = np.zeros(sum(_SIZES))
+        for b, raw in chunks:
+            rows, words = text_features(raw)
+            meta = meta_features(b)
+            ids = b.column("doc_id").to_pandas().to_numpy("f8", na_value=np.nan)
+            free = (words > 0) & ~np.isin(ids, known)
+            sure = []
+            for z in model.calibrated(rows, meta):
+                p = sigmoid(z)
+                sure.append(np.where(free & (p >= CONFIDENT), 1, np.where(free & (p <= 1 - CONFIDENT), 0, -1)))
+            _add(total, rows, meta, sure[1], sure[0])
+        return total
+
+    return run
+
+
+def _views_of(model: QualityModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, raw in text_chunks(batches):
+            rows, words = text_features(raw)
+            a, z = model.views(rows, meta_features(b))
+            some = pa.array(words > 0)
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(a), pa.array(z)], ["quality", "a", "b"]).filter(some)
+
+    return run
+
+
+def _calibrate(model: QualityModel, held: DataFrame) -> None:
+    got = held.mapInArrow(_views_of(model), "quality int, a double, b double").orderBy("quality", "a", "b").toPandas()
+    y, z = got["quality"].to_numpy("f8"), got[["a", "b"]].to_numpy("f8")
+    if len(set(y.tolist())) < 2:
+        return
+    spread = np.maximum(z.std(0), 1e-9)
+    model.text_scale, model.meta_scale = (_logistic(z[:, k : k + 1] / spread[k], y, 1, 300, 0.2, 1e-3) / np.array([spread[k], 1]) for k in (0, 1))
+    both = np.stack([s[0] * z[:, k] + s[1] for k, s in enumerate((model.text_scale, model.meta_scale))], 1).clip(-12, 12)
+    model.join = _logistic(both, y, 2, 300, 0.2, 1e-3)
+
+
+def _rows_of(docs: DataFrame) -> DataFrame:
+    n = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), n.alias("n_chars"))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> QualityModel:
+    """Fit on a bounded sample of labels (doc_id, quality) and all of docs (doc_id, text, source, lang, n_chars)."""
+    docs = _rows_of(docs)
+    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL")
+    marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("quality"), F.xxhash64(F.lit("labelled"), "doc_id").alias("h")).distinct()
+    halves = [marked.where(F.col("quality") == q).orderBy("h", "doc_id").limit(labelled // 2) for q in (1, 0)]
+    chosen = written(halves[0].union(halves[1]).select("doc_id", "quality"), "labelled", labelled)
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", *META)).alias("r"))
+    sample = written(sample.select("doc_id", "quality", "r.*", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).alias("held")), "sample")
+    classes = {(r["held"], r["quality"]) for r in sample.select("held", "quality").distinct().collect()}
+    if {q for _, q in classes} != {0, 1}:
+        return QualityModel(np.zeros(TEXT_DIMS), np.zeros(META_DIMS))
+    apart = len(classes) == 4  # else the few labels serve for both
+    rows, held = (sample.where("NOT held"), sample.where("held")) if apart else (sample, sample)
+    edges = np.cumsum(_SIZES)[:-1]
+    views = lambda sums: (sums[: edges[0]].reshape(2, -1), sums[edges[0] : edges[1]].reshape(2, -1))
+    text, meta = views(summed(rows, _labelled_sums, "f8", 4))
+    model = QualityModel(_view(text, np.zeros_like(text), TEXT_FLOOR), _view(meta, np.zeros_like(meta), META_FLOOR))
+    _calibrate(model, held)
+    known = np.sort(np.array([r["doc_id"] for r in chosen.select("doc_id").distinct().collect()], "f8"))
+    for _ in range(rounds):
+        got = summed(docs, _passed_sums(model, known), "f8", 4)
+        more_text, more_meta = views(got)
+        counts = got[edges[1] :].astype("i8").tolist()
+        passed = {"meta_to_text": sum(counts[:2]), "text_to_meta": sum(counts[2:])}
+        model = QualityModel(_view(text, more_text, TEXT_FLOOR), _view(meta, more_meta, META_FLOOR), passed=[*model.passed, passed])
+        _calibrate(model, held)
+    return model
 
 
 def _scored(model: QualityModel, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, raw in text_chunks(batches):
             rows, words = text_features(raw)
-            meta = meta_features(raw, words, b.column("source").to_pylist(), b.column("lang").to_pylist())
             some = words > 0
-            text, page, both = (np.where(some, s, 0.0) for s in model.score(rows, meta))
+            text, page, both = (np.where(some, s, 0.0) for s in model.score(rows, meta_features(b)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, (text, page, both, both >= threshold))], ["doc_id", "text_score", "meta_score", "score", "kept"])
 
     return run
@@ -220,5 +266,4 @@ def _scored(model: QualityModel, threshold: float):
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_score, meta_score, score, kept) of each row; scores are probabilities of good quality."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang")
-    return rows.mapInArrow(_scored(model, threshold), "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return _rows_of(docs).mapInArrow(_scored(model, threshold), "doc_id long, text_score double, meta_score double, score double, kept boolean")
