@@ -60,11 +60,12 @@ FROM r
 @query
 def op2_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", F.round("expected", 9).alias("expected"))
 
 
 ORACLE_SQL["op2_pareto_mixing"] = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+b AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS m, row_number() OVER (PARTITION BY doc_id, source, digest) - 1 AS nth FROM d),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS INT) + 1] AS DOUBLE) AS weight,
              3 * source_size AS cap FROM p),
@@ -73,18 +74,23 @@ l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY
                 / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 f AS (SELECT (SELECT arg_min(level, k) FROM l WHERE cap > weight * level) AS level),
 t AS (SELECT source, source_size, CASE WHEN cap <= weight * l.level THEN CAST(cap AS DOUBLE) ELSE weight * f.level END AS target FROM l, f),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t),
-s AS (SELECT *, CAST(floor(ratio) AS BIGINT) AS certain, target - floor(ratio) * source_size AS rest,
-             greatest(least(ratio - floor(ratio), 1.0::DOUBLE - 1e-9::DOUBLE), 1e-9::DOUBLE) AS p FROM r),
-u AS (SELECT d.*, source_size, target, certain, rest, p,
-             (CAST(CAST('0x' || md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:12] AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rank FROM u),
-run AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-               sum(size) OVER (PARTITION BY source) AS everything FROM q),
-g AS (SELECT *, rest > 0 AND (everything <= rest OR 2 * before + size <= 2 * rest) AS one FROM run),
-x AS (SELECT *, bool_or(one) OVER (PARTITION BY source, rank, doc_id, size) AS drawn FROM g)
-SELECT doc_id, size, source_size, target, (certain + CAST(drawn AS BIGINT)) * size AS taken, source, certain + CAST(drawn AS BIGINT) AS copies
+c AS (SELECT source, m, sum(size) AS words FROM b GROUP BY source, m),
+e AS (SELECT c.*, source_size, target, (target - CAST(coalesce(sum(3 * words) OVER (PARTITION BY c.source ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+        / nullif(CAST(sum(m * words) OVER (PARTITION BY c.source ORDER BY m DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS level
+      FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, arg_max(level, m) FILTER (m * level < 3) OVER (PARTITION BY source) AS final FROM e),
+h AS (SELECT *, CASE WHEN m = 0 OR words = 0 THEN 0 WHEN m * level >= 3 THEN 3 ELSE m * final END AS expected FROM g),
+i AS (SELECT *, CAST(floor(expected) AS BIGINT) AS certain, expected - floor(expected) AS chance,
+             target - CAST(sum(floor(expected) * words) OVER (PARTITION BY source) AS DOUBLE) AS rest FROM h),
+u AS (SELECT b.doc_id, b.source, size, digest, nth, source_size, target, expected, certain, chance, rest, greatest(least(chance, 1.0::DOUBLE - 1e-9::DOUBLE), 1e-9::DOUBLE) AS p,
+             (CAST(CAST('0x' || md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest || ':' || nth)[1:12] AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+      FROM b JOIN i ON b.source IS NOT DISTINCT FROM i.source AND b.m = i.m),
+q AS (SELECT *, CASE WHEN chance > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM u),
+run AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, doc_id, digest, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+               sum(size) OVER (PARTITION BY source, rank IS NULL) AS everything FROM q),
+x AS (SELECT *, rank IS NOT NULL AND rest > 0 AND (everything <= rest OR 2 * before + size <= 2 * rest) AS drawn FROM run)
+SELECT doc_id, size, source_size, target, CAST((certain + CAST(drawn AS BIGINT)) * size AS BIGINT) AS taken, source, certain + CAST(drawn AS BIGINT) AS copies,
+       round(expected, 9) AS expected
 FROM x
 """
 
@@ -121,10 +127,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title>(.*?)</title>", 1)
     pages = table(spark, sf_dir, "pages")
-    model = url_filter.train(pages.select("url", title.alias("title")))
-    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "words", "bad_score")
+    model = url_filter.train(pages.select("url", "html"))
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "words", F.round("bad_score", 6).alias("bad_score"))
 
 
 @query

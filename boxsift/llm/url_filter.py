@@ -1,38 +1,41 @@
 """URL filters: longest-prefix rules first, then naive Bayes over segmented host and path words.
 
-A host such as ``cheap-pillsonline.example.com`` is cut into words before it is scored: letters of a host label are
-split by a unigram Viterbi search, which picks the division with the highest product of word frequencies. The unigram
-counts are those of the words in all page titles and URL paths, plus the words of the labelled examples. Multinomial
-naive Bayes with add-one smoothing then scores the words of host and path; words outside its vocabulary have no say.
+A host such as ``cheap-pillsonline.example.com`` is cut into words before it is scored: each stretch of letters in its
+labels (but the last, which is a registry's) and in the path is divided by a unigram Viterbi search, which picks the
+division with the highest product of word frequencies. Unigrams are counted over all pages: the words of the html's text
+and of the paths, the parts of host labels with hyphens, and the words of the labelled urls. Multinomial naive Bayes then
+scores the words of host and path; a word that no labelled url has says nothing.
 
-The rule table and both models are of fixed size: the unigram vocabulary keeps the ``VOCABULARY`` most frequent words,
-counted over all rows, and the classifier's vocabulary is that of its labelled examples. Pages are judged where they
-are read; the only shuffle is the word count.
+No vocabulary is cut and no table is sent whole: distinct stretches are joined with the word counts on their substrings,
+the search runs on each distinct stretch with the words found in it, and stretches, word odds and urls meet in joins that
+Spark can split where a key is hot. A substring of more than ``MAX_WORD`` letters is taken for a word only if it is the
+whole stretch.
 
 Defined results: a url that is null or lacks ``://`` has an empty host and path, fits no rule and is allowed; equal
 urls are judged alike; of rules that fit, the longest (host and path together) wins, a rule listed twice counts
-once, and of two rules that differ in the verdict only, allow wins; an empty table gives no rows; the columns named in
-``keep`` pass through, no other column but url and title is read.
+once, and of two rules that differ in the verdict only, allow wins; a null html has no words; labelled urls with a verdict
+other than allow and block are ignored, and without any the score is the prior; an empty table gives no rows; the columns
+named in ``keep`` pass through, unless an output takes their name, and no other column but url and html is read.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import most_frequent
+from boxsift.llm.common import written
 
-VOCABULARY = 50_000
-MAX_WORD = 24
-#: Share of urls taken to be bad before any word is seen.
-PRIOR_BLOCK = 0.1
+#: Letters of the longest substring that is looked up, and of the blocks that a long stretch is looked up in.
+MAX_WORD, BLOCK = 64, 1024
+#: Share of urls taken to be bad before any word is seen, and what each word's count is raised by in either class.
+PRIOR_BLOCK, SMOOTHING = 0.1, 0.1
+#: Cost of a letter of a stretch that is no word, beyond that of an unseen word.
+UNKNOWN_LETTER = 2.5
 #: Rules of the registered query: host, path prefix, verdict.
 RULES = (
     ("com", "/en/", "block"),
@@ -41,18 +44,26 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-# Labelled examples, hosts and paths as word lists.
+# Labelled examples for where no table of labelled urls is given, names of hosts and paths by what they offer.
 BLOCKED_EXAMPLES = (
-    "spam farm", "link farm", "casino bonus", "poker bet", "sports betting odds", "free slots jackpot", "xxx porn", "porn tube",
-    "adult sex cams", "escort dating", "cheap viagra", "pills pharmacy cheap", "payday loans", "fast cash loans", "replica watches",
-    "crack keygen warez", "torrent download crack", "click bait", "spam seo backlinks", "buy followers cheap", "fake diploma",
-    "malware phishing", "win prize free", "hot singles", "nude cams", "bitcoin doubler", "miracle diet pills", "lottery winner",
+    # spam and link farms, advertising and tracking
+    "spam farm", "spam mail", "link farm", "spam links seo", "spam seo backlinks", "farm links", "click bait", "buy followers cheap", "ads server", "ads banner",
+    "ads click", "ads track", "ad tracker pixel", "tracker pixel", "track click ads", "popup ads", "adware toolbar", "doorway spam",
+    # gambling
+    "casino bonus", "casino win", "win casino jackpot", "poker bet", "poker bets", "sports betting odds", "free bets", "bets odds", "free slots jackpot", "slots casino", "roulette casino", "lottery winner",
+    # adult
+    "xxx porn", "porn tube", "porn videos free", "adult sex cams", "adult x", "adult videos", "adult xxx", "escort dating", "hot singles", "nude cams", "sex chat",
+    # medicine, money, fraud
+    "cheap viagra", "cheap pills", "pills online", "pills pharmacy cheap", "diet pills", "miracle diet pills", "payday loans", "fast cash loans", "replica watches cheap", "fake diploma", "bitcoin doubler",
+    "win prize free", "crack keygen warez", "torrent download crack", "warez serial", "malware phishing", "phishing login",
 )
 ALLOWED_EXAMPLES = (
-    "news daily", "blog posts", "wiki article", "docs guide", "school library", "city council", "health clinic", "science journal",
-    "research paper", "university course", "open source code", "support help", "photo album", "travel guide", "recipes kitchen",
+    "news daily", "news video", "blog posts", "wiki article", "docs guide", "school library", "city council", "health clinic", "science journal",
+    "research paper", "university course", "open source code", "free software", "support help", "photo album", "travel guide", "recipes kitchen",
     "garden tips", "music review", "book club", "film history", "museum art", "weather report", "sports results", "company about",
-    "shop products", "forum thread", "archive index", "data tables", "public health", "mobile site", "world map",
+    "shop products", "forum thread", "archive index", "data tables", "public health", "mobile site", "world map", "bank online", "online course",
+    "video lectures", "farm market", "organic farm", "running track", "track list", "hospital pharmacy", "win tournament chess", "login account",
+    "download manual", "mail list", "chat support", "watches repair", "student loans office", "serial novel", "adult education", "server status",
 )
 
 
@@ -76,83 +87,124 @@ def rule_hit(host: Column, path: Column, rules: Iterable[tuple[str, str, str]] =
     return name, verdict
 
 
-class UrlModel:
-    """Unigram word costs and naive Bayes log odds."""
-
-    def __init__(self, unigrams: dict[str, int], bad: Counter, good: Counter, prior: float):
-        total = sum(unigrams.values()) + len(unigrams) + 1
-        self.cost = {w: math.log(total / (c + 1)) for w, c in unigrams.items()}
-        self.unknown = math.log(total)
-        vocabulary = set(bad) | set(good)
-        n_bad, n_good = sum(bad.values()) + len(vocabulary), sum(good.values()) + len(vocabulary)
-        self.odds = {w: math.log((bad[w] + 1) / n_bad) - math.log((good[w] + 1) / n_good) for w in vocabulary}
-        self.bias = math.log(prior) - math.log(1 - prior)
-        self.segment = lru_cache(100_000)(self._segment)
-
-    def _segment(self, name: str) -> tuple[str, ...]:
-        """The cheapest division of a name; a stretch that is no word costs more for each of its characters."""
-        best, cut = [0.0], [0]
-        for j in range(1, len(name) + 1):
-            options = []
-            for i in range(max(0, j - MAX_WORD), j):
-                w = name[i:j]
-                options.append((best[i] + self.cost.get(w, self.unknown + 2.5 * len(w)), i))
-            c, i = min(options)
-            best.append(c)
-            cut.append(i)
-        words, j = [], len(name)
-        while j:
-            words.append(name[cut[j] : j])
-            j = cut[j]
-        return tuple(reversed(words))
-
-    def words(self, host: str, path: str) -> list[str]:
-        labels = host.split(":")[0].split(".")
-        runs = [r for label in labels[:-1] for r in re.findall(r"[^\W\d_]+", label)] + re.findall(r"[^\W\d_]+", path.lower())
-        return [w for r in runs for w in self.segment(r)]
-
-    def score(self, words: list[str]) -> float:
-        """Probability that a url with these words is bad."""
-        z = self.bias + sum(self.odds.get(w, 0.0) for w in words)
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
-
-
-def train(pages: DataFrame, blocked: Iterable[str] = BLOCKED_EXAMPLES, allowed: Iterable[str] = ALLOWED_EXAMPLES, vocabulary: int = VOCABULARY, prior: float = PRIOR_BLOCK) -> UrlModel:
-    """Fit on the labelled examples; unigram counts come from the url paths and titles (``title``) of all pages."""
-    _, path = split_url(F.col("url"))
-    words = F.explode(F.split(F.lower(F.concat_ws(" ", path, "title")), r"[^\p{L}]+")).alias("word")
-    counted = pages.select(words).where(F.length("word").between(1, MAX_WORD)).groupBy("word").agg(F.count("*").alias("n"))
-    top = most_frequent(counted, vocabulary, "url-words").collect()  # a vocabulary of fixed size
-    bad, good = (Counter(w for x in examples for w in x.split()) for examples in (blocked, allowed))
-    least = max([r["n"] for r in top], default=1)
-    unigrams = {r["word"]: r["n"] for r in top}
-    # A labelled word is known to be a word: it counts as a frequent one.
-    unigrams |= {w: max(unigrams.get(w, 0), least // 10 + 1) for w in {*bad, *good}}
-    return UrlModel(unigrams, bad, good, prior)
-
-
-def _scored(model: UrlModel, keep: list[str]):
-    parts = (dict(model.cost), model.unknown, dict(model.odds), model.bias)
+def examples(spark, blocked: Iterable[str] = BLOCKED_EXAMPLES, allowed: Iterable[str] = ALLOWED_EXAMPLES) -> DataFrame:
+    """Labelled urls (url, verdict) of names given as words."""
+    rows = [(f"http://{x.replace(' ', '-')}.x/", v) for v, names in (("block", blocked), ("allow", allowed)) for x in names]
+    return spark.createDataFrame(rows, "url string, verdict string")
+
+
+def stretches(host: Column, path: Column) -> Column:
+    """Stretches of letters of host and path, in order: those that are divided into words."""
+    labels = F.regexp_replace(F.regexp_replace(host, "(?s):.*", ""), r"(?s)\.?[^.]*\z", "")
+    return F.array_remove(F.split(F.lower(F.concat_ws("/", labels, path)), r"[^\p{L}]+"), "")
+
+
+def visible_words(html: Column) -> Column:
+    """Words of a page's text, in lower case."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    return F.split(F.lower(bare), r"[^\p{L}]+")
+
+
+def word_counts(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(word, n) of all pages and labelled urls."""
+    host, path = split_url(F.col("url"))
+    parts = F.flatten(F.transform(F.filter(F.split(F.regexp_replace(host, "(?s):.*", ""), r"\."), lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, r"[^\p{L}]+")))
+    of_url = F.concat(parts, F.split(F.lower(path), r"[^\p{L}]+"))
+    words = pages.select(F.explode(F.concat(of_url, visible_words(F.col("html")))).alias("word"))
+    words = words.union(labelled.select(F.explode(of_url).alias("word")))
+    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def divide(name: str, cost: dict[str, float], unknown: float) -> list[str]:
+    """The cheapest division of a name; a stretch that is no word costs more for each of its letters. Of equal ones the one
+    whose last word starts first."""
+    longest = max(map(len, cost), default=1)
+    best, cut = [0.0], [0]
+    for j in range(1, len(name) + 1):
+        c, at = best[0] + unknown + UNKNOWN_LETTER * j, 0
+        # Without a word's end here, only a stretch that is no word can end here: one letter more than the best one before.
+        for i in range(max(0, j - max(longest, MAX_WORD)), j):
+            w = name[i:j]
+            option = best[i] + cost.get(w, unknown + UNKNOWN_LETTER * len(w))
+            if option < c:
+                c, at = option, i
+        best.append(c)
+        cut.append(at)
+    words, j = [], len(name)
+    while j:
+        words.append(name[cut[j] : j])
+        j = cut[j]
+    return words[::-1]
+
+
+def _divided(total: int):
+    unknown = math.log(total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = UrlModel.__new__(UrlModel)
-        m.cost, m.unknown, m.odds, m.bias = parts
-        m.segment = lru_cache(100_000)(m._segment)
         for b in batches:
-            words = [m.words(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
-            columns = [*(b.column(c) for c in keep), pa.array([" ".join(w) for w in words], pa.string()), pa.array([m.score(w) for w in words], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "words", "bad_score"])
+            names, known = b.column("stretch").to_pylist(), b.column("known").to_pylist()
+            words = [divide(s, {k["word"]: math.log(total / (k["n"] + 1)) for k in ks or ()}, unknown) for s, ks in zip(names, known)]
+            yield pa.RecordBatch.from_arrays([b.column("stretch"), pa.array(words, pa.list_(pa.string()))], ["stretch", "words"])
 
     return run
 
 
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """(stretch, words) of distinct stretches, by the counts (word, n)."""
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
+    size = F.length("stretch")
+    blocks = names.select("stretch", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int"))).alias("block"))
+    blocks = blocks.withColumn("part", F.substr("stretch", F.col("block") * BLOCK + 1, F.lit(BLOCK + MAX_WORD)))
+    starts = blocks.select("stretch", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(BLOCK)))).alias("i"))
+    starts = starts.withColumn("part", F.substr("part", F.col("i"), F.lit(MAX_WORD)))
+    pieces = starts.select("stretch", F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda n: F.substr("part", F.lit(1), n))).alias("word"))
+    pieces = pieces.union(names.where(size > MAX_WORD).select("stretch", F.col("stretch").alias("word")))
+    known = pieces.join(counts, "word").groupBy("stretch").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    rows = names.join(known, "stretch", "left").select("stretch", "known")
+    return rows.mapInArrow(_divided(sums["n"] + sums["words"] + 1), "stretch string, words array<string>")
+
+
+@dataclass
+class UrlModel:
+    """What the texts and the labelled urls teach, as written tables."""
+
+    counts: DataFrame  # word, n
+    odds: DataFrame  # word, odds: logarithm of its share among blocked words over that among allowed ones
+    bias: float
+
+
+def train(pages: DataFrame, labelled: DataFrame | None = None, prior: float = PRIOR_BLOCK, smoothing: float = SMOOTHING) -> UrlModel:
+    """Count the words of pages (url, html) and fit on labelled urls (url, verdict)."""
+    labelled = examples(pages.sparkSession) if labelled is None else labelled
+    labelled = labelled.where("verdict IN ('allow', 'block')")
+    counts = written(word_counts(pages, labelled), "url-words")
+    host, path = split_url(F.col("url"))
+    names = labelled.select("verdict", F.explode(stretches(host, path)).alias("stretch"))
+    words = segmented(names.select("stretch").distinct(), counts)
+    seen = names.join(words, "stretch").select("verdict", F.explode("words").alias("word"))
+    seen = written(seen.groupBy("word").agg(F.count_if(F.col("verdict") == "block").alias("bad"), F.count_if(F.col("verdict") == "allow").alias("good")), "url-seen")
+    sums = seen.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("*").alias("words")).first()
+    share = lambda c: F.log((F.col(c) + smoothing) / (sums[c] + smoothing * sums["words"]))
+    odds = written(seen.select("word", (share("bad") - share("good")).alias("odds")), "url-odds")
+    return UrlModel(counts, odds, math.log(prior) - math.log(1 - prior))
+
+
 def judge(pages: DataFrame, model: UrlModel, rules: Iterable[tuple[str, str, str]] = RULES, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """keep, host, path, words, bad_score, rule and verdict of each url."""
     host, path = split_url(F.col("url"))
-    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
-    carried = [*keep, "host", "path"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    scored = rows.mapInArrow(_scored(model, carried), f"{kinds}, words string, bad_score double")
+    split = ["host", "path"]
+    rows = pages.select(*[c for c in keep if c not in (*split, "words", "bad_score", "rule", "verdict")], host.alias("host"), path.alias("path"))
+    names = written(rows.select(*split).distinct(), "url-names")
+    placed = names.select(*split, F.posexplode(stretches(F.col("host"), F.col("path"))).alias("at", "stretch"))
+    words = written(segmented(placed.select("stretch").distinct(), model.counts), "url-segments")
+    told = words.select("stretch", "words", F.explode_outer("words").alias("word")).join(model.odds, "word", "left")
+    told = written(told.groupBy("stretch", "words").agg(F.coalesce(F.sum("odds"), F.lit(0.0)).alias("odds")), "url-told")
+    found = placed.join(told, "stretch").groupBy(*split).agg(F.array_sort(F.collect_list(F.struct("at", "words", "odds"))).alias("found"))
+    # Summed in the order of the url, so that the score does not depend on how rows were dealt.
+    z = F.aggregate("found", F.lit(float(model.bias)), lambda a, x: a + x["odds"])
+    scored = found.select(*split, F.array_join(F.flatten(F.transform("found", lambda x: x["words"])), " ").alias("words"), (1 / (1 + F.exp(-z))).alias("bad_score"))
+    scored = written(scored, "url-scored")
     name, verdict = rule_hit(F.col("host"), F.col("path"), rules)
+    judged = rows.join(scored, split, "left").withColumns({"words": F.coalesce("words", F.lit("")), "bad_score": F.coalesce("bad_score", F.lit(1 / (1 + math.exp(-model.bias))))})
     own = F.when(F.col("bad_score") >= 0.5, "block").otherwise("allow")
-    return scored.withColumns({"rule": name, "verdict": F.coalesce(verdict, own)})
+    return judged.withColumns({"rule": name, "verdict": F.coalesce(verdict, own)})
