@@ -3,8 +3,8 @@
 A text is lower-cased, every stretch without letters becomes one gap, and the letter groups of two to four characters
 (gaps included, so they mark word ends) are hashed into buckets. A bucket has an embedding; the mean embedding of all
 groups of the whole text goes through a linear softmax. Training runs in numpy on the driver, on at most
-``SAMPLE_PER_LANGUAGE`` labelled texts of each language, chosen by hash so that reruns agree; the number of training
-texts is bounded by that figure times ``MAX_LANGUAGES``.
+``SAMPLE_PER_LANGUAGE`` labelled texts of each language, chosen by hash so that reruns agree. All languages are learned:
+with so many that ``SAMPLE`` texts would be passed, each one's share is smaller, one text at least.
 
 A fifth of the sample is not trained on: it sets the softmax temperature (least log loss) and the rejection bound, the
 score that all but ``REJECTED_SHARE`` of its right predictions reach. A prediction below the bound is marked rejected.
@@ -14,21 +14,24 @@ the same numbers, a few floats a group. Texts are scored whole, where they are r
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; with no labelled text at all,
 everything is ``und``; equal texts are predicted alike; rows with a null language are not trained on; an empty table
-gives no rows; the columns named in ``keep`` pass through, no other column is read for a prediction.
+gives no rows; the columns named in ``keep`` pass through, unless an output takes their name, and no other column is read
+for a prediction; rows with the same key and language count once in the sample.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_LANGUAGE = 600
-MAX_LANGUAGES = 256
+from boxsift.llm.common import written
+
+SAMPLE_PER_LANGUAGE, SAMPLE = 600, 60_000
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 EPOCHS, RATE, BATCH = 30, 20.0, 32
@@ -38,6 +41,7 @@ REJECTED_SHARE = 0.01
 UNKNOWN = "und"
 
 
+@lru_cache(1)
 def letter_table() -> np.ndarray:
     """For each code point, whether it is a letter."""
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
@@ -154,21 +158,20 @@ def fit(texts: list[str], labels: list[str], seed: int = 3) -> LanguageModel:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fit on a bounded sample of labelled: about per_language rows of each language, those whose keys hash lowest.
+    """Fit on a bounded sample of labelled: per_language rows of each language at most, those whose keys hash lowest.
 
-    Languages are counted, and the share of a language's rows that is wanted gives the bound on the hash; so no rows are
-    ranked, and only the chosen rows' texts are read and sent to the driver.
+    Languages are counted, and the share of a language's rows that is wanted gives a bound on the hash, so that only few
+    rows more than wanted are ranked, within their own language, and only the chosen rows' texts are sent to the driver.
     """
-    counts = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
-    most = counts.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
-    bounds = {r["l"]: min(2**63 - 1, -(2**63) + 2**64 * min(per_language, r["n"]) // r["n"]) for r in most}
-    if not bounds:
-        return fit([], [])
-    upto = F.element_at(F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv]), F.col(lang))
-    h = F.xxhash64(F.lit("lid"), F.col(key).cast("string"))
-    # Hashes fall a little unevenly, and rows that repeat a chosen key come along; the limit keeps the bound.
-    rows = labelled.where(F.col(lang).isin(*bounds) & (h <= upto)).select(F.col(text).alias("t"), F.col(lang).alias("l"), h.alias("h")).orderBy("h", "l", "t").limit(per_language * len(bounds)).collect()
-    return fit([r["t"] or "" for r in rows], [r["l"] for r in rows])
+    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(F.lit("lid"), F.col(key).cast("string")).alias("h"), F.col(text).alias("t"))
+    counts = written(rows.groupBy("l").agg(F.count("*").alias("n")), "languages")
+    wanted = max(1, min(per_language, SAMPLE // max(1, counts.count())))
+    share = counts.select("l", (F.lit(1.25 * wanted) / F.col("n")).alias("share"))  # a row for each language
+    near = rows.join(share, "l").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    once = near.groupBy("l", "h").agg(F.min("t").alias("t"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = once.withColumn("place", place).where(F.col("place") <= wanted).orderBy("l", "h").select("l", "t").collect()
+    return fit([r["t"] or "" for r in chosen], [r["l"] for r in chosen])
 
 
 def _predicted(model: LanguageModel, keep: list[str], rows: int = 128):
@@ -188,9 +191,10 @@ def _predicted(model: LanguageModel, keep: list[str], rows: int = 128):
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, lang_pred, score and rejected of each row."""
+    keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
     rows = df.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predicted(model, list(keep)), f"{kinds}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(_predicted(model, keep), f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

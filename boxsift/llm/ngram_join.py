@@ -32,19 +32,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import most_frequent, written
+from boxsift.llm.common import columns_of, free_name, most_frequent, written
 from boxsift.llm.graph import components
 from boxsift.llm.shingles import set_key, shingle_hashes, shingle_sets, text_chunks
 
 WORDS, PERCENT = 5, 80
 #: Elements put last in the order, and how often one must occur in a stretch of STRETCH elements to be counted.
 FREQUENT, LOCAL_COUNT, STRETCH = 1 << 18, 4, 2_000_000
-#: A list up to this length is paired in full; pivots in the rounds over longer ones.
-SHORT_LIST, SECOND_PIVOTS, LATER_PIVOTS = 64, 16, 1024
+#: A list up to this length is paired in full; pivots in the rounds over longer ones, few enough that Spark keeps the best
+#: of each task before it deals lists out (up to spark.sql.optimizer.windowGroupLimitThreshold, 1,000).
+SHORT_LIST, SECOND_PIVOTS, LATER_PIVOTS = 64, 16, 512
 #: Bits of a set's parity sketch, a power of two: sets differ in at least as many elements as their sketches in bits.
 SKETCH = 1024
-#: Ids up to this count (16 MB) are broadcast to pick texts; beyond it both sides are shuffled.
-BROADCAST_IDS = 2_000_000
+#: Ids up to this count (4 MB) are broadcast; beyond it both sides are shuffled.
+BROADCAST_IDS = 500_000
 
 
 def _frequent(n: int):
@@ -357,12 +358,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is the smallest of its component; of rows that share a
-    doc_id one stays. Rows with a null doc_id stay."""
+    doc_id the one with the smallest text stays, one of equals. Rows with a null doc_id stay.
+
+    No column's name can clash: what is joined has names that no column of docs has.
+    """
     found = written(jaccard_components(docs, n, percent), "join-components")
-    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "join-gone")
-    kept = docs.join(small(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    twice = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")), "join-twice")
+    own = free_name(docs.columns, "join_")
+    id_of, there = f"{own}id", F.col("doc_id").cast("long") == F.col(f"{own}id")
+    gone = written(found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_of)).distinct(), "join-gone")
+    kept = docs.join(small(gone), there, "left_anti")
+    twice = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_of)), "join-twice")
     if twice.isEmpty():
-        return kept
-    again = F.col("doc_id") == F.col("twice_id")
-    return kept.join(small(twice), again, "left_anti").union(kept.join(small(twice), again, "left_semi").dropDuplicates(["doc_id"]))
+        return kept.select(*columns_of(docs))
+    again = kept.join(small(twice), there, "left_semi").select(F.struct(*columns_of(docs)).alias("row"))
+    one = again.groupBy("row.doc_id").agg(F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row"))).alias("row"))
+    return kept.join(small(twice), there, "left_anti").select(*columns_of(docs)).union(one.select("row.*"))

@@ -25,9 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxsift.llm.common import written
+
 MIN_SHARED_BYTES = 100
 #: A payload's copies are dealt over so many keys, as one payload may hold a third of all rows.
 SALTS = 64
+#: Classes of digests; those with a payload that occurs twice are sent to all tasks, a table of at most so many numbers.
+CLASSES = 1 << 18
+#: Bytes of archives that a task reads.
+RANGE_BYTES = 64 << 20
 #: Ranges closer than this are read in one go, up to the size of a block.
 GAP_BYTES, BLOCK_BYTES = 64 << 10, 8 << 20
 #: An archive is closed, and its index rows are sent on, when it passes this size.
@@ -39,24 +45,34 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 def plan_records(pages: DataFrame, min_bytes: int = MIN_SHARED_BYTES) -> DataFrame:
     """(page_id, url, html, payload_digest, record_type, refers_to) of each page.
 
-    The smallest page_id of each payload is found by a grouping that is summed before the shuffle; only payloads that
-    occur twice are joined back, over salted keys.
+    The smallest page_id of each payload is found by a grouping that is summed before the shuffle. Digests fall into
+    ``CLASSES`` classes; pages in a class without a payload that occurs twice are responses where they are read, and only
+    the others' html is shuffled, joined over salted keys.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"))
     large = F.octet_length("html") >= min_bytes
     shared = rows.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    shared = shared.select("payload_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(shared, ["payload_digest", "salt"], "left")
+    shared = written(shared.select("payload_digest", "first_id"), "warc-shared")
+    of = F.pmod(F.xxhash64("payload_digest"), F.lit(CLASSES))
+    classes = F.broadcast(written(shared.select(of.alias("class")).distinct(), "warc-classes", CLASSES))
+    placed = rows.withColumn("class", of)
+    alone = placed.join(classes, "class", "left_anti").withColumn("first_id", F.lit(None).cast("long"))
+    salts = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = placed.join(classes, "class", "left_semi").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salts, ["payload_digest", "salt"], "left")
+    names = ["page_id", "url", "html", "payload_digest", "first_id"]
     revisit = large & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select(
-        "page_id",
-        "url",
-        "html",
-        "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
+    return (
+        alone.select(*names)
+        .union(met.select(*names))
+        .select(
+            "page_id",
+            "url",
+            "html",
+            "payload_digest",
+            F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+            F.when(revisit, F.col("first_id")).alias("refers_to"),
+        )
     )
 
 
@@ -180,10 +196,12 @@ def _reader(folder: str, with_payload: bool):
 def read_records(selected: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the selected index rows, read from the archives in sorted, joined byte ranges.
 
-    Rows are dealt by range of (file, offset), so a large archive is shared by tasks. A revisit's payload is null; its
-    length and digest are those of the full payload.
+    Rows are dealt by range of (file, offset), as many ranges as their bytes ask for, so a large archive is shared by
+    tasks. A revisit's payload is null; its length and digest are those of the full payload.
     """
-    ranges = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    n = max(selected.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+    ranges = selected.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_reader(f"{folder}/archives", with_payload), RECORDS)
 
 
