@@ -154,3 +154,231 @@ _FRAMES = " UNION ALL ".join(
 SQL["focus_frames"] = f"""WITH {BOXES}, s AS (SELECT *, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h FROM box), f AS ({_FRAMES}),
 g AS (SELECT *, least(greatest(0, a), 899) AS x1, least(greatest(0, b), 999) AS y1 FROM f)
 SELECT request_id, block_index, kind, x1, y1, least(greatest(x1 + 1, c), 900) AS x2, least(greatest(y1 + 1, d), 1000) AS y2 FROM g"""
+
+# Spatial evaluation: order-dependent folds as recursive queries, one step for each anchor or ad of a request.
+
+
+def _iou(a: str, b: str) -> str:
+    w, h = (f"(least({a}.{c}2, {b}.{c}2) - greatest({a}.{c}1, {b}.{c}1))" for c in "xy")
+    area = lambda r: f"greatest(1, ({r}.x2 - {r}.x1) * ({r}.y2 - {r}.y1))"
+    return f"CASE WHEN {w} <= 0 OR {h} <= 0 THEN 0.0::DOUBLE ELSE CAST({w} * {h} AS DOUBLE) / ({area(a)} + {area(b)} - {w} * {h}) END"
+
+
+def _same_boxes(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) >= greatest(1, least(len({a}), len({b})) // 2)"
+
+
+def _far(a: str, b: str) -> str:
+    return f"sqrt((({a}.x1 + {a}.x2) / 2 - ({b}.x1 + {b}.x2) / 2) ** 2 + (({a}.y1 + {a}.y2) / 2 - ({b}.y1 + {b}.y2) / 2) ** 2)"
+
+
+def _cut(x: str) -> str:
+    return f"CAST(trunc({x}) AS INT)"
+
+
+_FRAME = "min(m.x1) AS x1, min(m.y1) AS y1, max(m.x2) AS x2, max(m.y2) AS y2"
+REGIONS = rf"""{EVIDENCE},
+bl AS MATERIALIZED (SELECT *, len(noise) > 0 AS noisy, contact OR len(contact_hits) > 0 OR regexp_matches(text, '\p{{Nd}}{{6,}}') AS contact_like FROM an),
+near AS (SELECT a.request_id, a.block_index AS anchor, m.*
+  FROM bl a JOIN bl m ON m.request_id = a.request_id AND (m.block_index = a.block_index OR (NOT (m.noisy AND NOT m.keyword AND NOT m.contact)
+    AND abs((m.x1 + m.x2) / 2 - (a.x1 + a.x2) / 2) <= greatest(70, {_cut("greatest(20, a.x2 - a.x1) * 2.2::DOUBLE")})
+    AND abs((m.y1 + m.y2) / 2 - (a.y1 + a.y2) / 2) <= greatest(120, {_cut("greatest(20, a.y2 - a.y1) * 5.0::DOUBLE")})))
+  WHERE a.keyword OR a.contact),
+around AS (SELECT request_id, anchor, list(m.block_index ORDER BY m.block_index <> anchor, m.block_index) AS members, {_FRAME} FROM near m GROUP BY request_id, anchor),
+cand AS MATERIALIZED (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY anchor) AS n, count(*) OVER (PARTITION BY request_id) AS anchors, anchor, members,
+  x1 - greatest(12, {_cut("(x2 - x1) * 0.18::DOUBLE")}) AS x1, y1 - greatest(12, {_cut("(y2 - y1) * 0.2::DOUBLE")}) AS y1,
+  x2 + greatest(12, {_cut("(x2 - x1) * 0.18::DOUBLE")}) AS x2, y2 + greatest(12, {_cut("(y2 - y1) * 0.2::DOUBLE")}) AS y2 FROM around),
+fold AS (SELECT request_id, CAST(1 AS BIGINT) AS n, anchors, members AS used,
+    [struct_pack(anchor := anchor, members := members, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] AS kept FROM cand WHERE n = 1
+  UNION ALL
+  SELECT f.request_id, c.n, f.anchors, CASE WHEN list_contains(f.used, c.anchor) THEN f.used ELSE list_distinct(list_concat(f.used, c.members)) END,
+    CASE WHEN list_contains(f.used, c.anchor) OR len(list_filter(f.kept, lambda k: {_iou("k", "c")} >= 0.35 OR {_same_boxes("k.members", "c.members")})) > 0 THEN f.kept
+      ELSE list_append(f.kept, struct_pack(anchor := c.anchor, members := c.members, x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2)) END
+  FROM fold f JOIN cand c ON c.request_id = f.request_id AND c.n = f.n + 1),
+reg AS MATERIALIZED (SELECT request_id, unnest(range(len(kept))) AS region, unnest(kept) AS r FROM fold WHERE n = anchors)"""
+SQL["text_regions"] = f"WITH RECURSIVE {REGIONS} SELECT request_id, CAST(region AS INT) AS region, r.anchor, {_joined('r.members')} AS members, r.x1, r.y1, r.x2, r.y2 FROM reg"
+
+_PHONES_OF_TEXT = rf"list_filter(list_transform(regexp_extract_all(regexp_replace(text, '([^0-9\-\s])', '\1\1', 'g'), '{PHONE}', 1), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: length(x) = 11 AND starts_with(x, '1'))"
+SCORED = rf"""{REGIONS},
+it AS MATERIALIZED (SELECT g.request_id, g.region, g.k, b.* EXCLUDE (request_id) FROM (SELECT request_id, region, unnest(r.members) AS i, unnest(range(len(r.members))) AS k FROM reg) g
+  JOIN bl b ON b.request_id = g.request_id AND b.block_index = g.i),
+core AS MATERIALIZED (SELECT * FROM it c WHERE keyword OR (NOT noisy AND NOT contact AND EXISTS (SELECT 1 FROM it w WHERE w.request_id = c.request_id AND w.region = c.region AND w.keyword AND {_far("c", "w")} <= 90))),
+mid AS (SELECT request_id, region, greatest(1.0::DOUBLE, sqrt(CAST((max(x2) - min(x1)) ** 2 + (max(y2) - min(y1)) ** 2 AS DOUBLE))) AS diag,
+  avg((x1 + x2) / 2) AS cx, avg((y1 + y2) / 2) AS cy FROM core GROUP BY request_id, region),
+att AS (SELECT c.request_id, c.region, c.k, c.block_index, c.phones, c.wechat_ids, c.qqs, m.diag, min({_far("c", "o")}) AS nearest,
+    (c.y1 + c.y2) / 2 >= m.cy - 20 AND abs((c.x1 + c.x2) / 2 - m.cx) <= greatest(60.0::DOUBLE, m.diag * 0.4::DOUBLE) AS below,
+    c.noisy OR EXISTS (SELECT 1 FROM bl b WHERE b.request_id = c.request_id AND b.noisy AND b.block_index <> c.block_index AND {_far("c", "b")} <= 85) AS noisy
+  FROM it c JOIN mid m ON m.request_id = c.request_id AND m.region = c.region JOIN core o ON o.request_id = c.request_id AND o.region = c.region WHERE c.contact_like GROUP BY ALL),
+ats AS MATERIALIZED (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.24::DOUBLE + 0.12::DOUBLE + greatest(0.0::DOUBLE, 1 - least(1.0::DOUBLE, nearest / diag)) * 0.20::DOUBLE
+    + CASE WHEN nearest <= 80 THEN 1.0 ELSE 0.35 END::DOUBLE * 0.16::DOUBLE + CASE WHEN below THEN 0.8 ELSE 0.4 END::DOUBLE * 0.16::DOUBLE - CASE WHEN noisy THEN 0.35 ELSE 0.0 END::DOUBLE)), 4) AS score FROM att),
+best AS (SELECT request_id, region, first(phones ORDER BY score DESC, k) FILTER (len(phones) > 0) AS p, first(wechat_ids ORDER BY score DESC, k) FILTER (len(wechat_ids) > 0) AS v,
+  first(qqs ORDER BY score DESC, k) FILTER (len(qqs) > 0) AS q FROM ats WHERE score >= 0.55 GROUP BY request_id, region),
+txt AS (SELECT i.request_id, i.region, string_agg(trim(text), '' ORDER BY (y1 + y2) / 2, x1, i.k) AS text, list(trim(text)) AS singles, flatten(list(medical)) AS med, flatten(list(illegal)) AS ill FROM it i GROUP BY i.request_id, i.region),
+rw AS (SELECT t.request_id, t.region, t.text, {_set(f"list_concat(med, {_hits(MEDICAL)}, {_aliases(MEDICAL_ALIASES)})")} AS medical,
+  {_set(f"list_concat(ill, {_hits(ILLEGAL)}, {_aliases(ILLEGAL_ALIASES)}, CASE WHEN list_contains(singles, '取') AND list_contains(singles, '现') THEN ['取现'] ELSE [] END, CASE WHEN list_contains(singles, '提') AND list_contains(singles, '现') THEN ['提现'] ELSE [] END)")} AS illegal,
+  {_set(f"list_concat(coalesce(p, []), {_PHONES_OF_TEXT})")} AS phones, coalesce(v, []) AS wechat_ids, coalesce(q, []) AS qqs
+  FROM txt t LEFT JOIN best b ON b.request_id = t.request_id AND b.region = t.region),
+rf AS (SELECT *, len(phones) > 0 AS phone, len(wechat_ids) > 0 AS wechat, len(qqs) > 0 AS qq FROM rw),
+rs AS (SELECT *, CASE WHEN len(medical) > 0 THEN least(35, 12 + 6 * len(medical)) ELSE 0 END + CASE WHEN len(illegal) > 0 THEN least(40, 15 + 8 * len(illegal)) ELSE 0 END
+  + CASE WHEN phone THEN 24 ELSE 0 END + CASE WHEN wechat THEN 18 ELSE 0 END + CASE WHEN qq THEN 16 ELSE 0 END
+  + CASE WHEN len(medical) > 0 AND (phone OR wechat OR qq) THEN 20 ELSE 0 END + CASE WHEN len(medical) > 0 AND len(illegal) > 0 THEN 12 ELSE 0 END + CASE WHEN len(illegal) >= 2 THEN 10 ELSE 0 END AS raw,
+  list_filter([CASE WHEN len(medical) > 0 AND (phone OR wechat OR qq) THEN 'combo.medical_contact' END, CASE WHEN len(medical) > 0 AND len(illegal) > 0 THEN 'combo.medical_illegal' END,
+    CASE WHEN len(illegal) >= 2 THEN 'combo.multi_illegal' END, CASE WHEN phone THEN 'contact.phone' END, CASE WHEN qq THEN 'contact.qq' END, CASE WHEN wechat THEN 'contact.wechat' END,
+    CASE WHEN len(illegal) > 0 THEN 'illegal.keyword' END, CASE WHEN len(medical) > 0 THEN 'medical.keyword' END], lambda x: x IS NOT NULL) AS rules FROM rf),
+sc AS MATERIALIZED (SELECT *, CAST(least(100, CASE WHEN len(medical) > 0 THEN greatest(raw, 45) ELSE raw END) AS INT) AS score FROM rs)"""
+SQL["contact_attachment"] = f"WITH RECURSIVE {SCORED} SELECT request_id, CAST(region AS INT) AS region, block_index, score, score >= 0.55 AS accepted FROM ats"
+SQL["region_score"] = f"""WITH RECURSIVE {SCORED} SELECT request_id, CAST(region AS INT) AS region, text AS combined, score AS risk_score,
+  {", ".join(f"{_joined(c)} AS {c}" for c in ("medical", "illegal", "phones", "wechat_ids", "qqs"))}, {_joined("rules")} AS hit_rules FROM sc"""
+
+_AD = "struct_pack(ad_index := {n}, x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2, ids := c.ids, words := c.words, rules := c.rules, phones := c.phones, wechat_ids := c.wechat_ids, qqs := c.qqs, score := c.score, bad := c.bad)"
+_AGAIN = f"list_position(list_transform(f.kept, lambda k: {_iou('k', 'c')} >= 0.45 OR {_same_boxes('k.ids', 'c.ids')}), true)"
+ADS = rf"""{SCORED},
+own AS (SELECT i.*, NOT i.contact_like OR coalesce(a.score >= 0.55, false) AS stays FROM it i LEFT JOIN ats a ON a.request_id = i.request_id AND a.region = i.region AND a.k = i.k),
+base AS MATERIALIZED (SELECT * EXCLUDE (any_stays) FROM (SELECT *, bool_or(stays) OVER (PARTITION BY request_id, region) AS any_stays FROM own) WHERE stays OR NOT any_stays),
+bf AS (SELECT request_id, region, list(block_index) AS taken, {_FRAME} FROM base m GROUP BY request_id, region),
+wd AS (SELECT request_id, region, taken, x1 - px AS x1, y1 - py AS y1, x2 + px AS x2, y2 + py AS y2 FROM (SELECT *, greatest(40, {_cut("greatest(40, x2 - x1) * 0.35::DOUBLE")}) AS px, greatest(40, {_cut("greatest(40, y2 - y1) * 0.35::DOUBLE")}) AS py FROM bf)),
+adb AS (SELECT request_id, region, 0 AS part, k, block_index, x1, y1, x2, y2 FROM base
+  UNION ALL SELECT b.request_id, w.region, 1, b.block_index, b.block_index, b.x1, b.y1, b.x2, b.y2 FROM wd w JOIN bl b ON b.request_id = w.request_id AND b.keyword AND NOT list_contains(w.taken, b.block_index)
+    AND (((b.x1 + b.x2) / 2 BETWEEN w.x1 AND w.x2 AND (b.y1 + b.y2) / 2 BETWEEN w.y1 AND w.y2) OR NOT (w.x2 < b.x1 OR w.x1 > b.x2 OR w.y2 < b.y1 OR w.y1 > b.y2))),
+af AS (SELECT request_id, region, list(block_index ORDER BY part, k) AS ids, {_FRAME} FROM adb m GROUP BY request_id, region),
+up AS (SELECT request_id, region, ids, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, greatest(x2 - x1, 24) * 1.55::DOUBLE / 2 AS w, greatest(y2 - y1, 24) * 1.8::DOUBLE / 2 AS h FROM af),
+adc AS MATERIALIZED (SELECT u.request_id, row_number() OVER (PARTITION BY u.request_id ORDER BY u.region) AS n, count(*) OVER (PARTITION BY u.request_id) AS total, u.ids,
+    greatest(0, CAST(round_even(x - w, 0) AS INT)) AS x1, greatest(0, CAST(round_even(y - h, 0) AS INT)) AS y1, greatest(0, CAST(round_even(x + w, 0) AS INT)) AS x2, greatest(0, CAST(round_even(y + h, 0) AS INT)) AS y2,
+    {_set("list_concat(s.medical, s.illegal)")} AS words, s.rules, s.phones, s.wechat_ids, s.qqs, s.score, s.score >= 45 OR (len(s.medical) > 0 AND len(s.illegal) > 0) AS bad
+  FROM up u JOIN sc s ON s.request_id = u.request_id AND s.region = u.region WHERE s.raw > 0),
+afold AS (SELECT c.request_id, c.n, c.total, [{_AD.format(n="CAST(1 AS BIGINT)")}] AS kept FROM adc c WHERE c.n = 1
+  UNION ALL
+  SELECT f.request_id, c.n, f.total, CASE WHEN coalesce({_AGAIN}, 0) = 0 THEN list_append(f.kept, {_AD.format(n="CAST(len(f.kept) + 1 AS BIGINT)")})
+      WHEN f.kept[{_AGAIN}].score < c.score THEN list_append(list_concat(f.kept[1:{_AGAIN} - 1], f.kept[{_AGAIN} + 1:]), {_AD.format(n="CAST(len(f.kept) + 1 AS BIGINT)")}) ELSE f.kept END
+  FROM afold f JOIN adc c ON c.request_id = f.request_id AND c.n = f.n + 1),
+ad AS MATERIALIZED (SELECT request_id, unnest(range(len(kept))) AS position, unnest(kept) AS a FROM afold WHERE n = total)"""
+_LEVEL = "CASE WHEN {0} >= 80 THEN 'high' WHEN {0} >= 45 THEN 'medium' ELSE 'low' END"
+SQL["ad_dedup"] = f"""WITH RECURSIVE {ADS} SELECT request_id, CAST(position AS INT) AS position, CAST(a.ad_index AS INT) AS ad_index, a.score AS risk_score, {_LEVEL.format("a.score")} AS risk_level, a.bad AS suspicious,
+  a.x1, a.y1, a.x2, a.y2, {_joined("a.ids")} AS block_indices, {_joined("a.rules")} AS hit_rules FROM ad"""
+
+TOLD = rf"""{ADS},
+da AS (SELECT request_id, count(*) AS n_ads, max(a.score) AS score, bool_or(a.bad) AS bad, flatten(list(a.words)) AS words, flatten(list(a.rules)) AS rules, flatten(list(a.ids)) AS inside FROM ad GROUP BY request_id),
+db AS (SELECT request_id, count(*) AS n_blocks, flatten(list(phones)) AS phones, flatten(list(wechat_ids)) AS wechat_ids, flatten(list(qqs)) AS qqs, flatten(list(hit_keywords)) AS hit_keywords,
+  flatten(list(hit_rules)) AS hit_rules, bool_or(noisy) AS noisy, bool_or(keyword) AS worded, bool_or(keyword OR contact) AS anchored, list(text ORDER BY block_index) AS texts,
+  min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, sum(CAST(round(confidence * 1000000) AS BIGINT)) AS millionths FROM bl GROUP BY request_id),
+dd AS MATERIALIZED (SELECT db.request_id, n_blocks, CAST(coalesce(n_ads, 0) AS INT) AS n_ads, CAST(coalesce(score, 0) AS INT) AS risk_score, {_LEVEL.format("score")} AS risk_level, coalesce(bad, false) AS suspicious,
+  CASE WHEN n_ads > 0 THEN '' WHEN NOT anchored THEN 'no_groups' WHEN len(phones) > 0 AND NOT worded THEN 'phone_only_without_business_keywords' WHEN noisy THEN 'noise_keywords' ELSE 'all_groups_filtered' END AS empty_reason,
+  {", ".join(f"{_set(c)} AS {c}" for c in ("phones", "wechat_ids", "qqs"))}, {_set("list_concat(hit_keywords, coalesce(words, []))")} AS hit_keywords, {_set("list_concat(hit_rules, coalesce(rules, []))")} AS hit_rules,
+  coalesce(inside, []) AS inside, texts, x1, y1, x2, y2, millionths FROM db LEFT JOIN da ON da.request_id = db.request_id)"""
+SQL["spatial_evaluation"] = f"""WITH RECURSIVE {TOLD} SELECT request_id, n_blocks, n_ads, risk_score, risk_level, suspicious, empty_reason,
+  {", ".join(f"{_joined(c)} AS {c}" for c in ("phones", "wechat_ids", "qqs", "hit_keywords", "hit_rules"))} FROM dd"""
+SQL["empty_reason"] = f"WITH RECURSIVE {TOLD} SELECT empty_reason, count(*) AS requests FROM dd GROUP BY empty_reason"
+SQL["draw_commands"] = f"""WITH RECURSIVE {TOLD} SELECT b.request_id, b.block_index, CASE WHEN b.keyword THEN 'red' ELSE 'yellow' END AS colour, b.x1, b.y1, b.x2, b.y2
+FROM bl b JOIN dd ON dd.request_id = b.request_id WHERE dd.suspicious AND (len(b.hit_rules) > 0 OR list_contains(dd.inside, b.block_index))"""
+
+# Readings.
+_SIMILAR = "(k.norm <> '' AND c.norm <> '' AND (contains(k.norm, c.norm) OR contains(c.norm, k.norm) OR (least(length(k.norm), length(c.norm)) >= 3 AND len(list_filter(range(1, least(length(k.norm), length(c.norm)) + 1), lambda i: k.norm[i] = c.norm[i])) / least(length(k.norm), length(c.norm)) >= 0.65)))"
+
+
+def _close(limit: int) -> str:
+    return f"(abs((k.x1 + k.x2) - (c.x1 + c.x2)) <= {limit} AND abs((k.y1 + k.y2) - (c.y1 + c.y2)) <= {limit})"
+
+
+_SAME = f"(k.norm <> '' AND k.norm = c.norm AND ({_iou('c', 'k')} >= 0.25 OR {_close(24)})) OR ({_SIMILAR} AND ({_iou('c', 'k')} >= 0.5 OR {_close(24)}))"
+_REPEAT = f"{_iou('c', 'k')} >= 0.45 OR {_close(30)}"
+_READING = "struct_pack(i := c.i, norm := c.norm, confidence := c.confidence, x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2)"
+
+
+def _merge(name: str, new: str, start: str, repeats: str) -> str:
+    """Rows of new (request_id, n, reading) folded into the lists of start (request_id, kept): name (request_id, n, kept)."""
+    at = f"coalesce(list_position(list_transform(f.kept, lambda k: {repeats}), true), 0)"
+    better = f"row(length(c.norm), c.confidence) > row(length(f.kept[{at}].norm), f.kept[{at}].confidence)"
+    return f"""{name} AS (SELECT request_id, CAST(0 AS BIGINT) AS n, kept FROM {start} UNION ALL
+  SELECT f.request_id, c.n, CASE WHEN {at} = 0 THEN list_append(f.kept, {_READING}) WHEN {better} THEN list_concat(f.kept[1:{at} - 1], [{_READING}], f.kept[{at} + 1:]) ELSE f.kept END
+  FROM {name} f JOIN {new} c ON c.request_id = f.request_id AND c.n = f.n + 1)"""
+
+
+def _last(name: str) -> str:
+    return f"(SELECT request_id, arg_max(kept, n) AS kept FROM {name} GROUP BY request_id)"
+
+
+_NONE = f"(SELECT request_id, list_filter(list({_READING}), lambda x: false) AS kept FROM rd c GROUP BY request_id)"
+READINGS = rf"""{BOXES},
+rd AS MATERIALIZED (SELECT request_id, block_index AS i, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS norm, confidence, x1, y1, x2, y2 FROM box)"""
+_KEPT = "coalesce(array_to_string(list_transform(kept, lambda k: k.i), ','), '') AS kept"
+SQL["ocr_dedup"] = f"""WITH RECURSIVE {READINGS}, nw AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY confidence DESC, i) AS n FROM rd), st AS {_NONE},
+{_merge("fd", "nw", "st", _SAME)} SELECT request_id, {_KEPT} FROM {_last("fd")}"""
+SQL["round_merge"] = f"""WITH RECURSIVE {READINGS}, nw AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY i) AS n FROM rd WHERE i % 2 = 1),
+st AS (SELECT request_id, list({_READING} ORDER BY i) AS kept FROM rd c WHERE i % 2 = 0 GROUP BY request_id), {_merge("f1", "nw", "st", _REPEAT)},
+md AS (SELECT request_id, unnest(kept) AS r, unnest(range(len(kept))) AS place FROM {_last("f1")}),
+n2 AS MATERIALIZED (SELECT request_id, r.i AS i, r.norm AS norm, r.confidence AS confidence, r.x1 AS x1, r.y1 AS y1, r.x2 AS x2, r.y2 AS y2, row_number() OVER (PARTITION BY request_id ORDER BY r.confidence DESC, place) AS n FROM md),
+s2 AS {_NONE}, {_merge("f2", "n2", "s2", _SAME)} SELECT request_id, {_KEPT} FROM {_last("f2")}"""
+_CLUSTERS = f"""st AS MATERIALIZED (SELECT a.request_id, a.block_index AS a, b.block_index AS b FROM box a JOIN box b ON a.request_id = b.request_id
+  AND abs((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) <= greatest(60, {_cut("greatest(20, a.x2 - a.x1) * 2.6::DOUBLE")}) AND abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= greatest(90, {_cut("greatest(20, a.y2 - a.y1) * 4.2::DOUBLE")})),
+rc AS (SELECT * FROM st UNION SELECT r.request_id, r.a, s.b FROM rc r JOIN st s ON s.request_id = r.request_id AND s.a = r.b),
+sd AS MATERIALIZED (SELECT request_id, a, list(b ORDER BY b) AS members FROM rc GROUP BY request_id, a),
+cf AS (SELECT request_id, a, members AS used, [members] AS kept FROM sd WHERE a = 0 UNION ALL
+  SELECT f.request_id, s.a, CASE WHEN list_contains(f.used, s.a) THEN f.used ELSE list_distinct(list_concat(f.used, s.members)) END, CASE WHEN list_contains(f.used, s.a) THEN f.kept ELSE list_append(f.kept, s.members) END
+  FROM cf f JOIN sd s ON s.request_id = f.request_id AND s.a = f.a + 1),
+cl AS MATERIALIZED (SELECT request_id, unnest(range(len(kept))) AS ordinal, unnest(kept) AS members FROM (SELECT request_id, arg_max(kept, a) AS kept FROM cf GROUP BY request_id))"""
+SQL["box_clusters"] = f"WITH RECURSIVE {BOXES}, {_CLUSTERS} SELECT request_id, CAST(ordinal AS INT) AS cluster, {_joined('members')} AS members FROM cl"
+
+# Planning. No box of the generator holds a line break.
+_SOLID = r"[\x{4e00}-\x{9fff}A-Za-z0-9]"
+
+
+def _count(test: str) -> str:
+    return f"len(list_filter(texts, lambda x: {test}))"
+
+
+FEATURES = rf"""{TOLD},
+ft AS MATERIALIZED (SELECT *, array_to_string(texts, chr(10)) AS text, len(hit_keywords) AS words, len(phones) + len(wechat_ids) + len(qqs) > 0 AS contact, request_id % 3 = 0 AS card,
+  list_sum(list_transform(texts, lambda x: length(regexp_replace(x, '[^\x{{4e00}}-\x{{9fff}}A-Za-z0-9]', '', 'g')))) AS solid, list_sum(list_transform(texts, lambda x: length(trim(x)))) AS chars,
+  {_count(f"regexp_matches(x, '{_SOLID}{{2,}}')")} AS meaningful, {_count("length(trim(x)) <= 2")} AS odd, {_count(f"length(trim(x)) <= 2 OR NOT regexp_matches(x, '{_SOLID}{{2,}}')")} AS scraps,
+  {_count(rf"trim(x) <> '' AND NOT regexp_matches(x, '{_SOLID}')")} AS marks, {_count(r"regexp_matches(x, '\p{Nd}{7,}')")} > 0 AS digits,
+  {_count(r"regexp_matches(x, '(?i)微信|vx|wechat|QQ|手机|电话|1[3-9][0-9]{5,}')")} > 0 AS partial_contact FROM dd),
+fn AS (SELECT *, len({_hits((*NOISE, *NOISE_OF_READINGS))}) AS noise_words, len({_hits((*MEDICAL, *ILLEGAL))}) > 0 AS risk FROM ft),
+fs AS MATERIALIZED (SELECT *, (contact AND words = 0 AND (noise_words > 0 OR scraps >= greatest(1, len(texts) // 2))) OR (len(hit_rules) > 0
+  AND len(list_filter(hit_rules, lambda r: r NOT IN ('contact.phone', 'contact.wechat', 'contact.qq', 'fallback.phone_only'))) = 0) AS low FROM fn)"""
+SQL["semantic_score"] = f"""WITH RECURSIVE {FEATURES}, h AS (SELECT *, len(list_filter(hit_keywords, lambda w: w IN ('医保', '医保卡', '统筹', '报销', '住院报销', '门诊统筹', '保取', '保提'))) AS med,
+  len(list_filter(hit_keywords, lambda w: w IN ('套现', '取现', '提现', '回收', '高价回收'))) AS ill FROM fs)
+SELECT request_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, least(3, med) * 18.0::DOUBLE + least(3, ill) * 16.0::DOUBLE + CASE WHEN len(phones) > 0 THEN 16 ELSE 0 END + CASE WHEN len(wechat_ids) > 0 THEN 14 ELSE 0 END
+  + CASE WHEN len(qqs) > 0 THEN 10 ELSE 0 END + CASE WHEN med > 0 AND contact THEN 18 ELSE 0 END + least(12.0::DOUBLE, {_count("trim(x) <> ''")} * 2.5::DOUBLE) + least(8.0::DOUBLE, length(trim(replace(text, chr(10), ''))) / 10.0::DOUBLE)
+  - noise_words * 16.0::DOUBLE - odd * 3.0::DOUBLE - CASE WHEN regexp_matches(text, '[?？]{{2,}}') THEN 8 ELSE 0 END)), 4) AS semantic_score, CAST(solid AS BIGINT) AS solid_length, low AS low_confidence FROM h"""
+SQL["retry_gate"] = f"""WITH RECURSIVE {FEATURES} SELECT request_id, CASE WHEN risk_score >= 69 AND contact AND words >= 2 THEN '' WHEN words < 1 AND NOT contact AND NOT card THEN ''
+  WHEN card AND words < 1 AND NOT contact AND solid <= 8 THEN 'card_candidate_low_text_recall' WHEN words >= 2 AND NOT contact THEN 'high_risk_keywords_missing_contact'
+  WHEN len(texts) <= 5 AND chars <= 40 AND words >= 1 AND card THEN 'sparse_text_with_risk_words' WHEN risk_score BETWEEN 40 AND 69 AND words >= 1 AND card THEN 'mid_risk_with_card_region'
+  WHEN contact AND card AND words < 1 AND low THEN 'contact_only_low_semantic' ELSE '' END AS reason FROM fs"""
+SQL["best_variant"] = f"""WITH RECURSIVE {FEATURES}, v AS (SELECT request_id, list_concat(['normal'], CASE WHEN low AND contact AND words = 0 THEN ['mirrored'] ELSE [] END, CASE WHEN low AND contact THEN ['rotate_180'] ELSE [] END,
+  CASE WHEN card AND solid <= 8 THEN ['rotate_180', 'rotate_90', 'rotate_270'] ELSE [] END, CASE WHEN (y2 - y1) / greatest(x2 - x1, 1) >= 1.45 AND low AND (contact OR partial_contact OR words <= 1) THEN ['rotate_90', 'rotate_270'] ELSE [] END,
+  CASE WHEN request_id % 2 = 0 THEN ['perspective'] ELSE [] END, CASE WHEN card AND solid <= 8 THEN ['deskew', 'perspective'] ELSE [] END) AS steps FROM fs)
+SELECT request_id, array_to_string(list_filter(steps, lambda x, i: list_position(steps, x) = i)[1:5], ',') AS variants FROM v"""
+SQL["view_gates"] = f"""WITH RECURSIVE {FEATURES}, g AS (SELECT *, 600 + request_id % 1500 AS side, len(texts) AS boxes, CAST((2 * millionths + 100 * n_blocks) // (200 * n_blocks) AS DOUBLE) / 10000 AS confidence FROM fs)
+SELECT request_id, boxes = 0 OR (solid <= 12 AND meaningful <= 6) OR (solid <= 18 AND NOT digits AND side >= 800) AS scan,
+  boxes = 0 OR (NOT risk AND ((solid <= 24 AND meaningful <= 10) OR (digits AND noise_words > 0) OR (side >= 800 AND meaningful <= 12))) AS rotation,
+  side >= 1800 AND (boxes = 0 OR (meaningful = 0 AND ((boxes <= 8 AND marks >= greatest(3, boxes - 1)) OR (confidence < 0.45 AND marks >= greatest(1, boxes // 2))))) AS tiles FROM g"""
+SQL["focus_regions"] = rf"""WITH RECURSIVE {FEATURES}, {_CLUSTERS},
+cm AS (SELECT request_id, ordinal, unnest(members) AS i FROM cl),
+cs AS (SELECT m.request_id, m.ordinal, list(m.i ORDER BY m.i) AS members, string_agg(b.text, '' ORDER BY m.i) AS text, sum(greatest(1, (b.x2 - b.x1) * (b.y2 - b.y1))) AS text_area, sum(len(b.hit_keywords)) AS keywords,
+    sum(CASE WHEN len(b.phones) > 0 THEN 1 ELSE 0 END + CASE WHEN len(b.wechat_ids) > 0 THEN 1 ELSE 0 END + CASE WHEN len(b.qqs) > 0 THEN 1 ELSE 0 END) AS contacts,
+    sum(CASE WHEN regexp_matches(b.text, '\p{{Nd}}{{6,}}') THEN 1 ELSE 0 END) AS digits, count(*) AS boxes, min(b.x1) AS x1, min(b.y1) AS y1, max(b.x2) AS x2, max(b.y2) AS y2
+  FROM cm m JOIN bl b ON b.request_id = m.request_id AND b.block_index = m.i GROUP BY m.request_id, m.ordinal),
+cw AS (SELECT *, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h, len({_hits((*NOISE, *NOISE_OF_READINGS))}) > 0 AS noisy,
+  CASE WHEN least(x2 - x1, y2 - y1) <= 1 OR greatest(x2 - x1, y2 - y1) / greatest(1, least(x2 - x1, y2 - y1)) > 4.5 THEN 0.55 ELSE 1.0 END::DOUBLE AS shape FROM cs),
+cg AS (SELECT * EXCLUDE (x1, y1, x2, y2), least(greatest(0, x1 - greatest(10, {_cut("w * 0.08::DOUBLE")})), 899) AS x1, least(greatest(0, y1 - greatest(12, {_cut("h * 0.10::DOUBLE")})), 999) AS y1,
+  x2 + greatest(10, {_cut("w * 0.08::DOUBLE")}) AS rx, y2 + greatest(12, {_cut("h * 0.10::DOUBLE")}) AS ry FROM cw),
+ck AS (SELECT *, least(greatest(x1 + 1, rx), 900) AS x2, least(greatest(y1 + 1, ry), 1000) AS y2 FROM cg),
+cz AS (SELECT k.*, f.low, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, keywords / 3.0::DOUBLE) * 0.34::DOUBLE + least(1.0::DOUBLE, (contacts + k.digits) / 3.0::DOUBLE) * 0.24::DOUBLE
+    + least(1.0::DOUBLE, CAST(text_area AS DOUBLE) / greatest(1, (k.x2 - k.x1) * (k.y2 - k.y1)) * 2.8::DOUBLE) * 0.14::DOUBLE + least(1.0::DOUBLE, boxes / 4.0::DOUBLE) * 0.12::DOUBLE + shape * 0.16::DOUBLE
+    - CASE WHEN f.low AND keywords = 0 AND noisy THEN 0.18 ELSE 0.0 END::DOUBLE)), 4) AS score
+  FROM ck k JOIN fs f ON f.request_id = k.request_id WHERE f.words = 0 OR keywords > 0 OR k.digits > 0)
+SELECT request_id, CAST(ordinal AS INT) AS ordinal, score, x1, y1, x2, y2, {_joined("members")} AS members FROM cz WHERE x2 - x1 >= 48 AND y2 - y1 >= 48
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, ordinal) = 1 AND score >= 0.55"""
+
+_STARTS = "list_sort(list_distinct([{}]))"
+SQL["ocr_views"] = f"""WITH p AS (SELECT p_partkey, CAST(300 + (p_partkey * 37) % 2200 AS INT) AS w, CAST(300 + (p_partkey * 53) % 2400 AS INT) AS h FROM part),
+s AS (SELECT *, least(w, greatest({_cut("w * 0.62::DOUBLE")}, w // 2)) AS tw, least(h, greatest({_cut("h * 0.62::DOUBLE")}, h // 2)) AS th,
+  least(w, greatest({_cut("w * 0.68::DOUBLE")}, least(w, 420))) AS cw, least(h, greatest({_cut("h * 0.68::DOUBLE")}, least(h, 420))) AS ch FROM p),
+t AS (SELECT *, {_STARTS.format("0, w - tw")} AS tx, {_STARTS.format("0, h - th")} AS ty, {_STARTS.format("0, (w - cw) // 2, w - cw")} AS sx, {_STARTS.format("0, (h - ch) // 2, h - ch")} AS sy FROM s),
+v AS (SELECT p_partkey, 'initial' AS kind, 'full' AS name, 0 AS place, 0 AS x1, 0 AS y1, w AS x2, h AS y2 FROM t
+  UNION ALL SELECT p_partkey, 'initial', 'top_crop', 1, 0, 0, w, {_cut("h * 0.82::DOUBLE")} FROM t WHERE h > w * 1.15::DOUBLE
+  UNION ALL SELECT p_partkey, 'tile', concat('tile_', r.r, '_', c.c), 0, tx[c.c + 1], ty[r.r + 1], tx[c.c + 1] + tw, ty[r.r + 1] + th FROM t, range(3) r(r), range(3) c(c) WHERE r.r < len(ty) AND c.c < len(tx) AND greatest(w, h) >= 1800 AND tw < w AND th < h
+  UNION ALL SELECT p_partkey, 'tile', 'bottom_crop', 0, 0, greatest(0, h - {_cut("h * 0.72::DOUBLE")}), w, h FROM t WHERE h > w * 1.05::DOUBLE AND greatest(w, h) >= 1800 AND tw < w AND th < h
+  UNION ALL SELECT p_partkey, 'scan', concat('scan_', r.r, '_', c.c), r.r * len(sx) + c.c, sx[c.c + 1], sy[r.r + 1], sx[c.c + 1] + cw, sy[r.r + 1] + ch FROM t, range(3) r(r), range(3) c(c) WHERE r.r < len(sy) AND c.c < len(sx)
+  UNION ALL SELECT p_partkey, 'scan', 'scan_lower', len(sx) * len(sy), 0, greatest(0, h - {_cut("h * 0.62::DOUBLE")}), w, h FROM t WHERE h > w)
+SELECT p_partkey, kind, name, x1, y1, x2, y2 FROM v WHERE place < 7"""

@@ -291,7 +291,8 @@ def ocr_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def round_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of even index are the first round, the others a closer look."""
     rows = D.readings(boxes(spark, sf_dir))
-    first, focus = (F.filter("readings", lambda b, k=k: b["block_index"] % 2 == k) for k in (0, 1))
+    half = lambda k: F.filter("readings", lambda b: b["block_index"] % 2 == k)
+    first, focus = half(0), half(1)
     return rows.select("request_id", joined(F.transform(D.merge_rounds(first, focus), lambda b: b["block_index"])).alias("kept"))
 
 
