@@ -97,6 +97,11 @@ SELECT request_id, a_index, b_index FROM p WHERE a <> '' AND b <> '' AND (a = b
 SQL["box_geometry"] = f"""WITH {BOXES}, c AS (SELECT *, least(greatest(0, x1), 499) AS clip_x1, least(greatest(0, y1), 599) AS clip_y1 FROM box)
 SELECT request_id, block_index, x1, y1, x2, y2, (x1 + x2) / 2 AS center_x, (y1 + y2) / 2 AS center_y, x1 - 10 AS wide_x1, y2 + 20 AS wide_y2,
   clip_x1, clip_y1, least(greatest(clip_x1 + 1, x2), 500) AS clip_x2, least(greatest(clip_y1 + 1, y2), 600) AS clip_y2, 0.0::DOUBLE AS angle FROM c"""
+SQL["turned_boxes"] = """WITH d AS (SELECT p_partkey, 2 + p_partkey % 7 AS s, 1 + p_partkey % 5 AS t, [4, 12, 5, 3, 1, -4][p_partkey % 6 + 1] AS dx, [3, 5, 12, -4, 0, 3][p_partkey % 6 + 1] AS dy,
+  100 + p_partkey % 300 AS x, 100 + p_partkey % 200 AS y FROM part),
+a AS (SELECT *, degrees(atan2(dy, dx)) - 90 * floor(degrees(atan2(dy, dx)) / 90) AS deg FROM d)
+SELECT p_partkey, round(CASE WHEN deg > 45 THEN deg - 90 ELSE deg END, 6) AS angle, CAST(least(x, x + dx * s, x + dx * s - dy * t, x - dy * t) AS INT) AS x1, CAST(least(y, y + dy * s, y + dy * s + dx * t, y + dx * t) AS INT) AS y1,
+  CAST(greatest(x, x + dx * s, x + dx * s - dy * t, x - dy * t) AS INT) AS x2, CAST(greatest(y, y + dy * s, y + dy * s + dx * t, y + dx * t) AS INT) AS y2, 'rectangle' AS shape FROM a"""
 SQL["iou_pairs"] = f"""WITH {BOXES}, {PAIRS} SELECT request_id, a_index, b_index, round(iou, 6) AS iou,
   abs((ax1 + ax2) - (bx1 + bx2)) <= 24 AND abs((ay1 + ay2) - (by1 + by2)) <= 24 AS close,
   round(sqrt(((ax1 + ax2) / 2 - (bx1 + bx2) / 2) ** 2 + ((ay1 + ay2) / 2 - (by1 + by2) / 2) ** 2), 4) AS distance FROM lap WHERE a_index < b_index AND w >= 0 AND h >= 0"""
@@ -144,6 +149,12 @@ SELECT doc.request_id, n_blocks, CASE WHEN ad.request_id IS NULL THEN 0 ELSE 1 E
   {_joined(_set("list_concat(hit_keywords, coalesce(medical, []), coalesce(illegal, []))"))} AS hit_keywords, {_joined(_set("list_concat(hit_rules, coalesce(rules, []))"))} AS hit_rules
 FROM doc LEFT JOIN ad ON doc.request_id = ad.request_id"""
 
+# A request for each box: the closed form holds for one box anywhere.
+_ONE = "one AS (SELECT request_id * 100 + block_index AS request_id, 0 AS block_index, text, x1, y1, x2, y2, confidence, block_index AS ordinal FROM box),\nev AS (SELECT"
+SQL["json_requests"] = SQL["text_only_evaluation"].replace("ev AS (SELECT", _ONE, 1).replace(" AS noise FROM box)", " AS noise FROM one)").replace(
+    "SELECT doc.request_id, n_blocks,", "SELECT CAST(doc.request_id AS VARCHAR) AS request_id, CASE doc.request_id % 100 % 4 WHEN 2 THEN 'same' WHEN 3 THEN CAST(doc.request_id AS VARCHAR) ELSE 'rule-evaluate' END AS shown_id, n_blocks,"
+)
+
 _KINDS = {"card": ((32, 0.18), (24, 0.18), (28, 0.14), (36, 0.18)), "wide": ((80, 0.85), (60, 0.35), (70, 0.40), (120, 0.95)), "box": ((24, 1.0), (24, 1.0), (28, 1.0), (28, 1.0)),
           "turned": ((12, 0.10), (12, 0.10), (8, 0.04), (20, 0.28)), "side": ((12, 0.14),) * 4}
 _FRAMES = " UNION ALL ".join(

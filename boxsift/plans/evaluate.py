@@ -112,10 +112,16 @@ def evaluate_text(rows: DataFrame, request_id: str, text: str, rules: RuleSet |
 
 
 def evaluate_requests(requests: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-    """A document row for each of the keyed requests, with its request_key and its shown id; one without text has no blocks."""
+    """A document row for each of the keyed requests, with its request_key and its shown id; one without text has no blocks.
+
+    Requests with boxes are evaluated over these, others over the lines of their text, without a shuffle.
+    """
     rules = rules or RuleSet()
-    told = evaluate(from_requests(requests), rules).documents.withColumnRenamed("request_id", "request_key")
-    rows = requests.select("request_key", request_name(F.col("request_id")).alias("request_id")).join(told, "request_key", "left")
+    boxed = F.coalesce(F.size("ocr_blocks"), F.lit(0)) > 0
+    told = evaluate(from_requests(requests.where(boxed)), rules).documents.withColumn("request_id", F.col("request_id").cast("string"))
+    told = told.unionByName(evaluate_text(requests.where(~boxed), "request_key", "ocr_text", rules).withColumn("request_id", F.col("request_id").cast("string")))
+    told = told.withColumnRenamed("request_id", "request_key")
+    rows = requests.select(F.col("request_key").cast("string").alias("request_key"), request_name(F.col("request_id")).alias("request_id")).join(told, "request_key", "left")
     empty = {f.name: F.array().cast(f.dataType) for f in told.schema if f.dataType.typeName() == "array"}
     empty |= {"n_blocks": F.lit(0), "ocr_text": F.lit(""), "risk_score": F.lit(0), "risk_level": R.level(F.lit(0), rules), "suspicious": F.lit(False), "empty_reason": F.lit("no_groups")}
     return rows.withColumns({c: F.coalesce(c, v.cast(told.schema[c].dataType)) for c, v in empty.items()})

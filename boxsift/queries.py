@@ -18,7 +18,7 @@ from boxsift.operators import focus as X
 from boxsift.operators import planning as P
 from boxsift.operators import readings as D
 from boxsift.operators import regions as R
-from boxsift.plans.evaluate import Evaluation, evaluate, evaluate_text
+from boxsift.plans.evaluate import Evaluation, evaluate, evaluate_requests, evaluate_text
 from boxsift.rules import RuleSet
 from boxsift.sources import boxes as B
 
@@ -163,6 +163,19 @@ def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select("request_id", "block_index", *[v.alias(k) for k, v in b.items()], x.alias("center_x"), y.alias("center_y"), wide["x1"].alias("wide_x1"), wide["y2"].alias("wide_y2"), *[v.alias(f"clip_{k}") for k, v in inside.items()], G.angle(F.col("points")).alias("angle"))
 
 
+@query
+def turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angle of rectangles that stand along whole-number directions, one for each part, and of their shape as a card."""
+    k, s, t = F.col("p_partkey").cast("int"), (2 + F.col("p_partkey") % 7).cast("int"), (1 + F.col("p_partkey") % 5).cast("int")
+    dx = F.get(F.array(*map(F.lit, (4, 12, 5, 3, 1, -4))), k % 6)
+    dy = F.get(F.array(*map(F.lit, (3, 5, 12, -4, 0, 3))), k % 6)
+    x, y = 100 + k % 300, 100 + k % 200
+    corner = lambda a, b: F.array((x + a * dx * s - b * dy * t).cast("int"), (y + a * dy * s + b * dx * t).cast("int"))
+    points = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
+    rows = table(spark, sf_dir, "part").select("p_partkey", points.alias("points"))
+    return rows.select("p_partkey", F.round(G.angle(F.col("points")), 6).alias("angle"), *[v.alias(c) for c, v in G.box_of_points(F.col("points")).items()], X.card_shape(F.col("points")).alias("shape"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boxes(spark, sf_dir).select("request_id", "block_index", "x1", "y1", "x2", "y2")
     return rows.alias("a").join(rows.alias("b"), (F.col("a.request_id") == F.col("b.request_id")) & (F.col("a.block_index") != F.col("b.block_index")))
@@ -239,9 +252,9 @@ def ad_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ads.select("request_id", "position", "ad_index", "risk_score", "risk_level", "suspicious", "x1", "y1", "x2", "y2", joined("block_indices").alias("block_indices"), joined("hit_rules").alias("hit_rules"))
 
 
-def _told(documents: DataFrame) -> DataFrame:
+def _told(documents: DataFrame, *more: str) -> DataFrame:
     lists = ("phones", "wechat_ids", "qqs", "hit_keywords", "hit_rules")
-    return documents.select("request_id", "n_blocks", F.size("ads").alias("n_ads"), "risk_score", "risk_level", "suspicious", "empty_reason", *[joined(c).alias(c) for c in lists])
+    return documents.select("request_id", "n_blocks", F.size("ads").alias("n_ads"), "risk_score", "risk_level", "suspicious", "empty_reason", *[joined(c).alias(c) for c in lists], *more)
 
 
 @query
@@ -262,6 +275,18 @@ def text_only_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(evaluate_text(requests, "request_id", "ocr_text", RULES))
 
 
+@query
+def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON request for each box, every other one with the box and the rest with its text; a fourth has no id, a fourth an
+    empty one, and a fourth all the same: each is judged alone."""
+    rows = boxes(spark, sf_dir).withColumn("request_key", (F.col("request_id") * 100 + F.col("block_index")).cast("string"))
+    shown = F.when(F.col("block_index") % 4 == 1, "").when(F.col("block_index") % 4 == 2, "same").when(F.col("block_index") % 4 == 3, F.col("request_key"))
+    box = F.when(F.col("request_id") % 2 == 0, F.array(F.struct("text", "points", "confidence")))
+    rows = rows.select("request_key", F.to_json(F.struct(shown.alias("request_id"), F.when(box.isNull(), F.col("text")).alias("ocr_text"), box.alias("ocr_blocks"))).alias("line"))
+    told = evaluate_requests(B.parse_requests(rows, "line"), RULES).withColumnRenamed("request_id", "shown_id").withColumnRenamed("request_key", "request_id")
+    return _told(told, "shown_id")
+
+
 @query
 def draw_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of suspicious requests: boxes that matched or belong to an ad, red for risk words, else yellow."""

@@ -21,6 +21,13 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUEST).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def parse_requests(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the fields of the JSON request in column; a text that does not parse is kept in _corrupt_record."""
+    names = [c for c in rows.columns if c != column]
+    parsed = F.from_json(column, REQUEST, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return rows.select(*names, parsed.alias("_parsed")).select(*names, "_parsed.*")
+
+
 def valid(requests: DataFrame) -> DataFrame:
     """Requests with text or boxes."""
     return requests.where("coalesce(ocr_text, '') <> '' OR size(ocr_blocks) > 0")
