@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from boxsift.functions import geometry as G
 from boxsift.functions import text as T
 from boxsift.operators import evidence as E
+from boxsift.operators.cards import gathered, on_card
 from boxsift.rules import RuleSet
 
 CORE_DISTANCE, CLUSTER_DISTANCE, NOISE_DISTANCE, ATTACHED = 90, 80, 85, 0.55
@@ -84,6 +85,15 @@ def text_regions(requests: DataFrame, rules: RuleSet) -> DataFrame:
     return out.withColumn("regions", F.aggregate("framed", start, keep)["kept"]).drop("around", "framed")
 
 
+def with_cards(requests: DataFrame, cards: DataFrame) -> DataFrame:
+    """Puts ahead of the regions those of cards (request_id, card, x1, y1, x2, y2) that hold a box: all boxes on the card."""
+    told = requests.join(gathered(cards), "request_id", "left")
+    held = lambda k: F.transform(F.filter("blocks", lambda b: on_card(k, b)), lambda b: b["block_index"])
+    region = lambda k: F.struct(F.lit(None).cast("int").alias("anchor"), held(k).alias("members"), *[k[c].alias(c) for c in ("x1", "y1", "x2", "y2")]).cast(REGION)
+    of_cards = F.filter(F.coalesce(F.transform("cards", region), F.array().cast(f"array<{REGION}>")), lambda r: F.size(r["members"]) > 0)
+    return told.withColumn("regions", F.concat(of_cards, "regions")).drop("cards")
+
+
 def median(values: Column) -> Column:
     s, n = F.array_sort(values), F.size(values)
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2

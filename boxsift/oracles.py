@@ -107,10 +107,19 @@ SQL["iou_pairs"] = f"""WITH {BOXES}, {PAIRS} SELECT request_id, a_index, b_index
   round(sqrt(((ax1 + ax2) / 2 - (bx1 + bx2) / 2) ** 2 + ((ay1 + ay2) / 2 - (by1 + by2) / 2) ** 2), 4) AS distance FROM lap WHERE a_index < b_index AND w >= 0 AND h >= 0"""
 SQL["nearby_boxes"] = f"""WITH {BOXES}, {PAIRS}, pad AS (SELECT *, greatest(12, CAST(trunc((ax2 - ax1) * 0.14::DOUBLE) AS INT)) AS px, greatest(12, CAST(trunc((ay2 - ay1) * 0.14::DOUBLE) AS INT)) AS py FROM lap)
 SELECT request_id, a_index, b_index FROM pad WHERE ((bx1 + bx2) / 2 BETWEEN ax1 - px AND ax2 + px AND (by1 + by2) / 2 BETWEEN ay1 - py AND ay2 + py) OR iou >= 0.08"""
-SQL["card_boxes"] = f"""WITH {BOXES}, c AS (SELECT request_id, x1 - 40 AS x1, y1 - 60 AS y1, x2 + 40 AS x2, y2 + 60 AS y2 FROM box WHERE block_index = 0),
-w AS (SELECT request_id, x1 - greatest(10, (x2 - x1) // 8) AS x1, y1 - greatest(10, (y2 - y1) // 8) AS y1, x2 + greatest(10, (x2 - x1) // 8) AS x2, y2 + greatest(10, (y2 - y1) // 8) AS y2 FROM c)
-SELECT b.request_id, b.block_index FROM w JOIN box b ON w.request_id = b.request_id
-  AND (((b.x1 + b.x2) / 2 BETWEEN w.x1 AND w.x2 AND (b.y1 + b.y2) / 2 BETWEEN w.y1 AND w.y2) OR NOT (w.x2 < b.x1 OR w.x1 > b.x2 OR w.y2 < b.y1 OR w.y1 > b.y2))"""
+CARDS = """cd AS (SELECT request_id, block_index // 2 AS card, CASE WHEN block_index = 0 THEN x1 - 40 ELSE x1 END AS x1, CASE WHEN block_index = 0 THEN y1 - 60 ELSE y1 END AS y1,
+  CASE WHEN block_index = 0 THEN x2 + 40 ELSE x2 END AS x2, CASE WHEN block_index = 0 THEN y2 + 60 ELSE y2 END AS y2 FROM box WHERE request_id % 3 = 0 AND block_index IN (0, 2)),
+cwide AS (SELECT request_id, card, x1 - greatest(10, (x2 - x1) // 8) AS x1, y1 - greatest(10, (y2 - y1) // 8) AS y1, x2 + greatest(10, (x2 - x1) // 8) AS x2, y2 + greatest(10, (y2 - y1) // 8) AS y2 FROM cd),
+con AS (SELECT w.request_id, w.card, b.block_index FROM cwide w JOIN box b ON w.request_id = b.request_id
+  AND (((b.x1 + b.x2) / 2 BETWEEN w.x1 AND w.x2 AND (b.y1 + b.y2) / 2 BETWEEN w.y1 AND w.y2) OR NOT (w.x2 < b.x1 OR w.x1 > b.x2 OR w.y2 < b.y1 OR w.y1 > b.y2)))"""
+SQL["card_boxes"] = f"WITH {BOXES}, {CARDS} SELECT request_id, CAST(card AS INT) AS card, block_index FROM con"
+SQL["card_candidates"] = f"""WITH {BOXES}, f AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h FROM box), g AS (SELECT * FROM f WHERE w * h BETWEEN 900000 * 0.0012 AND 900000 * 0.35 AND w >= 28 AND h >= 28 AND w <= 810 AND h <= 900
+  AND x1 > 1 AND y1 > 1 AND x2 < 899 AND y2 < 999 AND greatest(w / greatest(h, 1), h / greatest(w, 1)) <= 6.5),
+k AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY request_id, x1 // 12, y1 // 12, x2 // 12, y2 // 12 ORDER BY block_index) = 1)
+SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY w * h DESC, block_index) - 1 AS INT) AS card, x1, y1, x2, y2 FROM k QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY w * h DESC, block_index) <= 12"""
+SQL["best_retry"] = f"""WITH {BOXES} SELECT request_id, block_index AS ordinal, x1 % 7 AS semantic_score, confidence, y1 % 3 AS boxes FROM box
+QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY x1 % 7 DESC, confidence DESC, y1 % 3 DESC, block_index) = 1"""
+SQL["recognised_boxes"] = f"WITH {BOXES} SELECT request_id, block_index, text, confidence, x1, y1, x2, y2 FROM box"
 SQL["core_items"] = f"""WITH {EVIDENCE} SELECT request_id, block_index, keyword FROM an a WHERE keyword OR (len(noise) = 0 AND NOT contact AND EXISTS (
   SELECT 1 FROM an b WHERE b.request_id = a.request_id AND b.keyword
   AND sqrt(((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) ** 2 + ((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) ** 2) <= 90))"""
@@ -278,6 +287,19 @@ dd AS MATERIALIZED (SELECT db.request_id, n_blocks, CAST(coalesce(n_ads, 0) AS I
   coalesce(inside, []) AS inside, texts, x1, y1, x2, y2, millionths FROM db LEFT JOIN da ON da.request_id = db.request_id)"""
 SQL["spatial_evaluation"] = f"""WITH RECURSIVE {TOLD} SELECT request_id, n_blocks, n_ads, risk_score, risk_level, suspicious, empty_reason,
   {", ".join(f"{_joined(c)} AS {c}" for c in ("phones", "wechat_ids", "qqs", "hit_keywords", "hit_rules"))} FROM dd"""
+# Cards ahead of the regions of the text.
+_CARDED = f"""WHERE n = anchors),
+{CARDS},
+cr AS (SELECT n.request_id, n.card, struct_pack(anchor := CAST(NULL AS INT), members := list(n.block_index ORDER BY n.block_index), x1 := d.x1, y1 := d.y1, x2 := d.x2, y2 := d.y2) AS r
+  FROM con n JOIN cd d ON d.request_id = n.request_id AND d.card = n.card GROUP BY n.request_id, n.card, d.x1, d.y1, d.x2, d.y2),
+reg AS MATERIALIZED (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY source, place) - 1 AS region, r FROM (SELECT request_id, 0 AS source, card AS place, r FROM cr UNION ALL SELECT request_id, 1, region, r FROM reg0))"""
+SQL["card_evaluation"] = (
+    SQL["spatial_evaluation"].replace("reg AS MATERIALIZED (", "reg0 AS MATERIALIZED (", 1).replace("WHERE n = anchors)", _CARDED, 1).replace("NOT anchored THEN", "db.request_id NOT IN (SELECT request_id FROM reg) THEN")
+)
+_JSON = "'[' || coalesce(array_to_string(list_transform({}, lambda x: '\"' || x || '\"'), ','), '') || ']'"
+SQL["diagnostic_report"] = f"""WITH RECURSIVE {TOLD}, tb AS (SELECT request_id, string_agg('{{"text":"' || text || '","matched":' || CASE WHEN len(hit_rules) > 0 THEN 'true' ELSE 'false' END || '}}', ',' ORDER BY block_index) AS b FROM bl WHERE block_index < 20 GROUP BY request_id)
+SELECT dd.request_id, '{{"risk_score":' || risk_score || ',"suspicious":' || CASE WHEN suspicious THEN 'true' ELSE 'false' END || ',"hit_keywords":' || {_JSON.format("hit_keywords")} || ',"hit_rules":' || {_JSON.format("hit_rules")} || ',"ocr_blocks":[' || b || ']}}' AS report
+FROM dd JOIN tb ON tb.request_id = dd.request_id"""
 SQL["empty_reason"] = f"WITH RECURSIVE {TOLD} SELECT empty_reason, count(*) AS requests FROM dd GROUP BY empty_reason"
 SQL["draw_commands"] = f"""WITH RECURSIVE {TOLD} SELECT b.request_id, b.block_index, CASE WHEN b.keyword THEN 'red' ELSE 'yellow' END AS colour, b.x1, b.y1, b.x2, b.y2
 FROM bl b JOIN dd ON dd.request_id = b.request_id WHERE dd.suspicious AND (len(b.hit_rules) > 0 OR list_contains(dd.inside, b.block_index))"""

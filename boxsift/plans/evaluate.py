@@ -24,11 +24,15 @@ class Evaluation:
     nested: DataFrame  # documents with their blocks: what later steps ask of a request, without another shuffle
 
 
-def evaluate(boxes: DataFrame, rules: RuleSet | None = None) -> Evaluation:
-    """Evaluate boxes (request_id, block_index, text, points, x1, y1, x2, y2); one shuffle on the request, then rows alone."""
+def evaluate(boxes: DataFrame, rules: RuleSet | None = None, cards: DataFrame | None = None) -> Evaluation:
+    """Evaluate boxes (request_id, block_index, text, points, x1, y1, x2, y2, confidence); one shuffle on the request, then
+    rows alone. Cards (request_id, card, x1, y1, x2, y2), as card_candidates gives them, are regions ahead of those of the
+    text; they are dealt out by the request too."""
     rules = rules or RuleSet()
     found = E.evidence(boxes, rules)
-    requests = R.with_ads(R.scored(R.text_regions(R.nested(found), rules), rules), rules)
+    requests = R.text_regions(R.nested(found), rules)
+    requests = requests if cards is None else R.with_cards(requests, cards)
+    requests = R.with_ads(R.scored(requests, rules), rules)
     regions = requests.select("request_id", F.posexplode("regions").alias("region", "r")).select("request_id", "region", "r.*")
     ads = requests.select("request_id", F.posexplode("ads").alias("position", "ad")).select("request_id", "position", "ad.*")
     told = documents(requests.withColumn("n_regions", F.size("regions")), rules)

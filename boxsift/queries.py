@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from boxsift import oracles
 from boxsift.functions import geometry as G
 from boxsift.functions import text as T
+from boxsift.operators import cards as K
 from boxsift.operators import evidence as E
 from boxsift.operators import focus as X
 from boxsift.operators import planning as P
@@ -198,16 +199,27 @@ def nearby_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).where(near).select("a.request_id", F.col("a.block_index").alias("a_index"), F.col("b.block_index").alias("b_index"))
 
 
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of every third request: its first box grown to a card, and its third box as it is."""
+    rows = boxes(spark, sf_dir).where("request_id % 3 = 0 AND block_index IN (0, 2)")
+    grown = lambda c, by: (F.col(c) + F.when(F.col("block_index") == 0, by).otherwise(0)).alias(c)
+    return rows.select("request_id", F.floor(F.col("block_index") / 2).cast("int").alias("card"), grown("x1", -40), grown("y1", -60), grown("x2", 40), grown("y2", 60))
+
+
 @query
 def card_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of a card: range join of cards, here the first box of each request grown to a card, with the request's boxes."""
+    """Boxes of each card: range join within the request."""
     rows = boxes(spark, sf_dir).select("request_id", "block_index", "x1", "y1", "x2", "y2")
-    cards = rows.where("block_index = 0").select("request_id", (F.col("x1") - 40).alias("x1"), (F.col("y1") - 60).alias("y1"), (F.col("x2") + 40).alias("x2"), (F.col("y2") + 60).alias("y2"))
-    c, b = G.columns_of("c"), G.columns_of("b")
-    pad = lambda lo, hi: F.greatest(F.lit(10), F.floor((c[hi] - c[lo]) / 8).cast("int"))
-    wide, (x, y) = G.expanded(c, pad("x1", "x2"), pad("y1", "y2")), G.center(b)
-    within = G.contains_point(wide, x, y) | G.intersects(wide, b)
-    return cards.alias("c").join(rows.alias("b"), (F.col("c.request_id") == F.col("b.request_id")) & within).select("b.request_id", "b.block_index")
+    met = (F.col("c.request_id") == F.col("b.request_id")) & K.on_card(G.columns_of("c"), G.columns_of("b"))
+    return cards(spark, sf_dir).alias("c").join(rows.alias("b"), met).select("b.request_id", "c.card", "b.block_index")
+
+
+@query
+def card_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards among the boxes of a request, as if these were outlines found in an image of 900 x 1000."""
+    c = F.col
+    found = boxes(spark, sf_dir).select("request_id", c("block_index").alias("ordinal"), c("x1").alias("x"), c("y1").alias("y"), (c("x2") - c("x1")).alias("w"), (c("y2") - c("y1")).alias("h"), ((c("x2") - c("x1")) * (c("y2") - c("y1"))).alias("area"), F.lit(900).alias("width"), F.lit(1000).alias("height"))
+    return K.card_candidates(found)
 
 
 # Joins within a request
@@ -275,6 +287,38 @@ def text_only_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(evaluate_text(requests, "request_id", "ocr_text", RULES))
 
 
+@query
+def card_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with their cards, whose boxes form regions ahead of those of the text."""
+    return _told(evaluate(boxes(spark, sf_dir), RULES, cards(spark, sf_dir)).documents)
+
+
+@query
+def diagnostic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON line for each request: what it says as a whole, and its first twenty boxes."""
+    rows = evaluated(spark, sf_dir).nested
+    matched = lambda b: F.greatest(*[F.size(b[c]) for c in ("medical_hits", "illegal_hits", "phones", "wechat_ids", "qqs")]) > 0
+    first = F.transform(F.slice("blocks", 1, 20), lambda b: F.struct(b["text"].alias("text"), matched(b).alias("matched")))
+    return rows.select("request_id", F.to_json(F.struct("risk_score", "suspicious", "hit_keywords", "hit_rules", first.alias("ocr_blocks"))).alias("report"))
+
+
+@query
+def best_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a request's boxes, as if each were a second look at the image."""
+    c = F.col
+    looks = boxes(spark, sf_dir).select("request_id", c("block_index").alias("ordinal"), (c("x1") % 7).alias("semantic_score"), c("confidence"), (c("y1") % 3).alias("boxes"))
+    return D.best_retry(looks)
+
+
+@query
+def recognised_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a recogniser's parallel arrays, gathered from the generated boxes with half a pixel added."""
+    of = lambda f: F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text", "points", "confidence"))), f)
+    shifted = lambda b: F.transform(b["points"], lambda p: F.transform(p, lambda v: v + 0.25))
+    rows = boxes(spark, sf_dir).groupBy("request_id").agg(of(shifted).alias("p"), of(lambda b: F.concat(F.lit(" "), b["text"])).alias("t"), of(lambda b: b["confidence"]).alias("s"))
+    return D.from_results(rows, "request_id", "p", "t", "s").drop("points")
+
+
 @query
 def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON request for each box, every other one with the box and the rest with its text; a fourth has no id, a fourth an
