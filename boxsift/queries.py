@@ -227,12 +227,11 @@ def card_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def core_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword boxes, and boxes within 90 pixels of one that are neither noise nor a contact."""
-    rows = found(spark, sf_dir).select("request_id", "block_index", "x1", "y1", "x2", "y2", E.has_keyword().alias("keyword"), (E.some("noise_hits") & ~E.has_keyword()).alias("noise_only"), E.has_contact().alias("contact"))
-    words = rows.where("keyword")
-    near = (F.col("a.request_id") == F.col("b.request_id")) & (G.distance(G.columns_of("a"), G.columns_of("b")) <= R.CORE_DISTANCE)
-    beside = rows.where("NOT keyword AND NOT noise_only AND NOT contact").alias("a").join(words.alias("b"), near, "left_semi")
-    return words.union(beside).select("request_id", "block_index", "keyword")
+    """Keyword boxes, and boxes within 90 pixels of one that are neither noise nor a contact; within the request's row."""
+    rows = R.nested(found(spark, sf_dir)).withColumn("words", F.filter("blocks", lambda b: b["keyword"]))
+    beside = lambda b: ~b["noise"] & ~b["contact"] & F.exists("words", lambda w: G.distance(b, w) <= R.CORE_DISTANCE)
+    rows = rows.select("request_id", F.explode(F.filter("blocks", lambda b: b["keyword"] | beside(b))).alias("b"))
+    return rows.select("request_id", "b.block_index", "b.keyword")
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> Evaluation:
