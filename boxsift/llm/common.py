@@ -81,6 +81,18 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the batches that rows go to Python in; Spark's own bound of 64 MB fills a small executor beside its heap.
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
+    """mapInArrow in batches of about BATCH_BYTES, unless the session has a bound of its own; the bound stays with it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "64m") in ("64m", "67108864b", "67108864"):
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(f, schema)
+
+
 def token_file(name: str, path: str | None = None) -> str:
     """Path of a public tokenizer file; an explicit path wins."""
     if path:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import columns_of, free_name, word_count, written
+from boxsift.llm.common import columns_of, free_name, map_batches, word_count, written
 from boxsift.llm.shingles import _FACTORS, PUNCTUATION, text_chunks, word_hashes
 from boxsift.llm.sums import summed
 
@@ -403,7 +403,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, space: LatentSpace | None
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         listed = block.orderBy("item_id", "text").collect()  # ITEM_WORDS words, about
         made = [x for row, r in enumerate(listed) for x in make_items(row, r["item_id"], r["text"], r["answer"], space)]
-        found = rows.mapInArrow(_searched(space, made, cosine), "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
+        found = map_batches(rows, _searched(space, made, cosine), "doc_id long, item_id long, cosine double, lcs_share double, answer_share double")
         out = found if out is None else out.union(found)
     return out
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import written
+from boxsift.llm.common import map_batches, written
 
 SAMPLE_PER_LANGUAGE, SAMPLE = 600, 60_000
 BUCKETS = 1 << 16
@@ -194,7 +194,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
     keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
     rows = df.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predicted(model, keep), f"{kinds}, lang_pred string, score double, rejected boolean")
+    return map_batches(rows, _predicted(model, keep), f"{kinds}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

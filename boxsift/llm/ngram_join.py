@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import columns_of, free_name, most_frequent, written
+from boxsift.llm.common import columns_of, free_name, map_batches, most_frequent, written
 from boxsift.llm.graph import components
 from boxsift.llm.shingles import set_key, shingle_hashes, shingle_sets, text_chunks
 
@@ -73,7 +73,7 @@ def _frequent(n: int):
 
 def frequent_elements(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent of them by count over all documents, sorted by element; and their counts. Of bounded size."""
-    counts = docs.select("text").mapInArrow(_frequent(n), "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    counts = map_batches(docs.select("text"), _frequent(n), "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
     got = most_frequent(counts, most, "join-frequent").toArrow()
     element, n_of = got.column("element").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(element)
@@ -183,7 +183,7 @@ class _Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.element, self.count = frequent_elements(self.docs, n)
         kinds = "doc_id long, n long, set_key binary, rare long, prefix array<long>, sketch array<long>"
-        self.sets = written(self.docs.mapInArrow(_prefixes(n, percent, self.element, self.count), kinds), "join-sets")
+        self.sets = written(map_batches(self.docs, _prefixes(n, percent, self.element, self.count), kinds), "join-sets")
         self.n_docs = self.sets.count()  # bounds the tables that have a row for each document, class or group
         real = self.sets.where("n > 0 AND doc_id IS NOT NULL")
         classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "rare", "prefix", "sketch")])
@@ -203,7 +203,7 @@ class _Join:
         """(a, b, linked) of pairs (a, b) of documents."""
         a, b = (self.texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         checked = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return written(checked.mapInArrow(_verified(self.n, self.percent), "a long, b long, linked boolean"), "join-verified")
+        return written(map_batches(checked, _verified(self.n, self.percent), "a long, b long, linked boolean"), "join-verified")
 
     # Groups
 
@@ -266,7 +266,7 @@ class _Join:
     def short_pairs(self, postings: DataFrame) -> DataFrame:
         """(a, b, long) from the lists of elements that are not frequent."""
         streamed = postings.select("element", "gid", "n", "at", "lead").repartition("element").sortWithinPartitions("element")
-        return written(streamed.mapInArrow(_short_lists(self.percent), "a long, b long, long long").distinct(), "join-short")
+        return written(map_batches(streamed, _short_lists(self.percent), "a long, b long, long long").distinct(), "join-short")
 
     def resolve(self, lists: DataFrame, done: DataFrame, links: list[DataFrame]) -> DataFrame:
         """Rounds of pivots over lists (element, gid, rare) until each has one component; returns the roots.

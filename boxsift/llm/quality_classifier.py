@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import written
+from boxsift.llm.common import map_batches, written
 from boxsift.llm.shingles import text_chunks, word_hashes
 from boxsift.llm.sums import summed
 
@@ -208,7 +208,7 @@ def _views_of(model: QualityModel):
 
 
 def _calibrate(model: QualityModel, held: DataFrame) -> None:
-    got = held.mapInArrow(_views_of(model), "quality int, a double, b double").orderBy("quality", "a", "b").toPandas()
+    got = map_batches(held, _views_of(model), "quality int, a double, b double").orderBy("quality", "a", "b").toPandas()
     y, z = got["quality"].to_numpy("f8"), got[["a", "b"]].to_numpy("f8")
     if len(set(y.tolist())) < 2:
         return
@@ -266,4 +266,4 @@ def _scored(model: QualityModel, threshold: float):
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_score, meta_score, score, kept) of each row; scores are probabilities of good quality."""
-    return _rows_of(docs).mapInArrow(_scored(model, threshold), "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return map_batches(_rows_of(docs), _scored(model, threshold), "doc_id long, text_score double, meta_score double, score double, kept boolean")

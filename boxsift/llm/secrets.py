@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxsift.llm.common import map_batches
+
 KINDS = ("assign", "access", "hex", "random")
 #: The first three in the order of the contract: pattern, group whose length counts, least length.
 ASSIGN = re.compile(r"""(?a:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", re.I | re.A)
@@ -94,7 +96,7 @@ def scan(df: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...] =
     """
     rows = df.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_scanned(ranks, most, list(keep)), f"{kinds}, spans array<struct<kind string, start bigint, end bigint>>")
+    return map_batches(rows, _scanned(ranks, most, list(keep)), f"{kinds}, spans array<struct<kind string, start bigint, end bigint>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

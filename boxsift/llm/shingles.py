@@ -6,6 +6,8 @@ bytes, each window of words one from its words' hashes. No Python loop runs over
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -129,3 +131,11 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             texts = pc.utf8_lower(part.column(column)) if lower else part.column(column)
             yield part, [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
             first = last
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)

@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxsift.llm.common import map_batches
 from boxsift.llm.shingles import text_chunks
 
 #: Sums that meet in one group of the tree.
@@ -47,6 +48,6 @@ def summed(rows: DataFrame, task: Callable[[Iterator[tuple[pa.RecordBatch, list[
             columns = [pa.array(range(slots), pa.int32()), pa.array([part] * slots, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["slot", "part", "value"])
 
-    parts = rows.mapInArrow(run, "slot int, part long, value binary")
+    parts = map_batches(rows, run, "slot int, part long, value binary")
     got = tree_sum(parts, rows.rdd.getNumPartitions(), kind).collect()
     return np.concatenate([np.frombuffer(r["value"], kind) for r in sorted(got, key=lambda r: r["slot"])]) if got else np.empty(0, kind)

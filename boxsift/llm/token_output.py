@@ -28,10 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxsift.llm.common import map_batches
+from boxsift.llm.shingles import release
+
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 1000
 #: Words a worker keeps the ids of: a new half, and the half before it, whose words move over as they are met.
-WORD_STORE = 800_000
+WORD_STORE = 200_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
 PARTS = "part int, base long, n_tokens long, n_docs long"
 
@@ -132,6 +135,7 @@ def _encoded(path: str, end_id: int, by_word: bool, rows: int = 1024):
                 columns = [pa.array(np.full(len(n), part, "i4")), b.column("doc_id"), pa.array(at + offsets[:-1]), pa.array(n), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "local_start", "n_tokens", "tokens"])
                 at += int(offsets[-1])
+        release()
 
     return run
 
@@ -149,7 +153,7 @@ def write_tokens(
     """Encode docs (doc_id, text) and write them under path in ascending doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = dealt.mapInArrow(_encoded(tokenizer, end_id, by_word), SCHEMA)
+    encoded = map_batches(dealt, _encoded(tokenizer, end_id, by_word), SCHEMA)
     writer = encoded.write.option("compression", "zstd").option("parquet.writer.version", "v2")
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
     for c in ("part", "doc_id", "local_start", "n_tokens"):
@@ -187,4 +191,4 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def checksums(tokens: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what read_tokens returns."""
-    return tokens.mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(tokens, _crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

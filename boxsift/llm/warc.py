@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import written
+from boxsift.llm.common import map_batches, written
 
 MIN_SHARED_BYTES = 100
 #: A payload's copies are dealt over so many keys, as one payload may hold a third of all rows.
@@ -133,7 +133,7 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 def write_archives(planned: DataFrame, folder: str, level: int = 4, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write what plan_records returns under folder and return the index, stored beside the archives."""
-    planned.mapInArrow(_writer(f"{folder}/archives", level, archive_bytes), INDEX).write.parquet(f"{folder}/index")
+    map_batches(planned, _writer(f"{folder}/archives", level, archive_bytes), INDEX).write.parquet(f"{folder}/index")
     return read_index(planned.sparkSession, folder)
 
 
@@ -202,7 +202,7 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True) ->
     size = selected.agg(F.sum("length")).first()[0] or 0
     n = max(selected.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
     ranges = selected.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
-    return ranges.mapInArrow(_reader(f"{folder}/archives", with_payload), RECORDS)
+    return map_batches(ranges, _reader(f"{folder}/archives", with_payload), RECORDS)
 
 
 def without_payload(records: DataFrame) -> DataFrame:
