@@ -11,7 +11,7 @@ and pages are bounded and carry page indexes, so a read of a doc_id range skips
 never touches the ids. A document starts at base + local_start.
 
 Defined results: a null or empty text is one row that holds the end id only; repeated doc_ids are stored each on its own,
-in order of their texts; a null doc_id comes first; an empty table gives empty tables; other columns are not read.
+in order of the first ``TEXT_KEY`` characters of their texts; a null doc_id comes first; an empty table gives empty tables; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from boxsift.llm.shingles import release
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 1000
+#: Characters of a text that put rows of one doc_id in order.
+TEXT_KEY = 64
 #: Words a worker keeps the ids of: a new half, and the half before it, whose words move over as they are met.
 WORD_STORE = 200_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
@@ -152,7 +154,8 @@ def write_tokens(
 ) -> None:
     """Encode docs (doc_id, text) and write them under path in ascending doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The start of the text and a running number split the rows of an id that very many rows share.
+    dealt = rows.repartitionByRange("doc_id", F.substring("text", 1, TEXT_KEY), F.monotonically_increasing_id()).sortWithinPartitions("doc_id", "text")
     encoded = map_batches(dealt, _encoded(tokenizer, end_id, by_word), SCHEMA)
     writer = encoded.write.option("compression", "zstd").option("parquet.writer.version", "v2")
     writer = writer.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
