@@ -15,7 +15,7 @@ Defined results: a url that is null or lacks ``://`` has an empty host and path,
 urls are judged alike; of rules that fit, the longest (host and path together) wins, a rule listed twice counts
 once, and of two rules that differ in the verdict only, allow wins; a null html has no words; labelled urls with a verdict
 other than allow and block are ignored, and without any the score is the prior; an empty table gives no rows; the columns
-named in ``keep`` pass through, unless an output takes their name, and no other column but url and html is read.
+named in ``keep`` pass through, unless an output takes their name, and no other column but url, html and title is read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import written
+from boxsift.llm.common import map_batches, written
 
 #: Letters of the longest substring that is looked up, and of the blocks that a long stretch is looked up in.
 MAX_WORD, BLOCK = 64, 1024
@@ -36,6 +36,8 @@ MAX_WORD, BLOCK = 64, 1024
 PRIOR_BLOCK, SMOOTHING = 0.1, 0.1
 #: Cost of a letter of a stretch that is no word, beyond that of an unseen word.
 UNKNOWN_LETTER = 2.5
+#: Columns of pages whose words are counted, those there are.
+TEXTS = ("html", "title")
 #: Rules of the registered query: host, path prefix, verdict.
 RULES = (
     ("com", "/en/", "block"),
@@ -110,7 +112,8 @@ def word_counts(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     host, path = split_url(F.col("url"))
     parts = F.flatten(F.transform(F.filter(F.split(F.regexp_replace(host, "(?s):.*", ""), r"\."), lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, r"[^\p{L}]+")))
     of_url = F.concat(parts, F.split(F.lower(path), r"[^\p{L}]+"))
-    words = pages.select(F.explode(F.concat(of_url, visible_words(F.col("html")))).alias("word"))
+    texts = [visible_words(F.col(c)) for c in TEXTS if c in pages.columns]
+    words = pages.select(F.explode(F.concat(of_url, *texts)).alias("word"))
     words = words.union(labelled.select(F.explode(of_url).alias("word")))
     return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
@@ -161,7 +164,7 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     pieces = pieces.union(names.where(size > MAX_WORD).select("stretch", F.col("stretch").alias("word")))
     known = pieces.join(counts, "word").groupBy("stretch").agg(F.collect_set(F.struct("word", "n")).alias("known"))
     rows = names.join(known, "stretch", "left").select("stretch", "known")
-    return rows.mapInArrow(_divided(sums["n"] + sums["words"] + 1), "stretch string, words array<string>")
+    return map_batches(rows, _divided(sums["n"] + sums["words"] + 1), "stretch string, words array<string>")
 
 
 @dataclass
@@ -174,7 +177,7 @@ class UrlModel:
 
 
 def train(pages: DataFrame, labelled: DataFrame | None = None, prior: float = PRIOR_BLOCK, smoothing: float = SMOOTHING) -> UrlModel:
-    """Count the words of pages (url, html) and fit on labelled urls (url, verdict)."""
+    """Count the words of pages (url, and html or title) and fit on labelled urls (url, verdict)."""
     labelled = examples(pages.sparkSession) if labelled is None else labelled
     labelled = labelled.where("verdict IN ('allow', 'block')")
     counts = written(word_counts(pages, labelled), "url-words")

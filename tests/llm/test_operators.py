@@ -337,7 +337,8 @@ def test_urls(spark):
     model = url_filter.train(pages)
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, model).collect()}
     assert got == {c[0]: tuple(c[2:]) for c in cases}
-    assert model.segment("cheappills") == ("cheap", "pills")
+    names = spark.createDataFrame([("cheappills",)], "stretch string")
+    assert url_filter.segmented(names, model.counts).first()["words"] == ["cheap", "pills"]
     assert url_filter.judge(pages.limit(0), url_filter.train(pages.limit(0))).isEmpty()
 
 
