@@ -2,6 +2,12 @@
 
 run() writes what a stage returns as Parquet into the shared folder and reads it again as the next stage's input, so a
 lost executor costs a task and never a stage.
+
+Defined results, over all stages: a document with a null or empty text leaves in the first stage; rows with a null doc_id
+that pass it stay through the second and third and are mixed each on its own; of rows that share a doc_id the one with the
+smallest text goes on from the second stage, one of equals; a null source is a source; ties are broken as each operator
+states; an empty table gives no rows. All stages but the last return the columns they were given, whatever their names;
+the last returns doc_id, start, n_tokens and ids_crc32.
 """
 
 from __future__ import annotations
@@ -15,22 +21,23 @@ END_ID = 2
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; repeated rows are judged alike, each on its own."""
     return quality_rules.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, Jaccard of 0.8 or more, smallest doc_id."""
+    """One document of each group of near duplicates: five-word shingles, Jaccard of 0.8 or more, smallest doc_id. A document
+    without a word is in no group."""
     return ngram_join.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an item of the benchmark."""
+    """Documents without an item of the benchmark; with an empty benchmark all of them. Rows of one doc_id go together."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, 3 times at most; one without words is not taken."""
     return mixing.mixed_rows(docs)
 
 
