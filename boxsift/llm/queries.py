@@ -132,6 +132,26 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "words", F.round("bad_score", 6).alias("bad_score"))
 
 
+@query
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can say: host, path, rule and the rule's verdict."""
+    host, path = url_filter.split_url(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    name, verdict = url_filter.rule_hit(F.col("host"), F.col("path"))
+    return rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("rule_verdict"))
+
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+ORACLE_SQL["url_rules"] = rf"""
+WITH r(h, p, v) AS (VALUES {_RULES}),
+u AS (SELECT page_id, row_number() OVER () AS rid, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, rid, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT s.*, h || p AS rule, v, row_number() OVER (PARTITION BY rid ORDER BY length(h || p) DESC NULLS LAST) AS k
+      FROM s LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, v AS rule_verdict FROM f WHERE k = 1
+"""
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
