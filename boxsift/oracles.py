@@ -102,6 +102,10 @@ SQL["turned_boxes"] = """WITH d AS (SELECT p_partkey, 2 + p_partkey % 7 AS s, 1
 a AS (SELECT *, degrees(atan2(dy, dx)) - 90 * floor(degrees(atan2(dy, dx)) / 90) AS deg FROM d)
 SELECT p_partkey, round(CASE WHEN deg > 45 THEN deg - 90 ELSE deg END, 6) AS angle, CAST(least(x, x + dx * s, x + dx * s - dy * t, x - dy * t) AS INT) AS x1, CAST(least(y, y + dy * s, y + dy * s + dx * t, y + dx * t) AS INT) AS y1,
   CAST(greatest(x, x + dx * s, x + dx * s - dy * t, x - dy * t) AS INT) AS x2, CAST(greatest(y, y + dy * s, y + dy * s + dx * t, y + dx * t) AS INT) AS y2, 'rectangle' AS shape FROM a"""
+SQL["oblique_texts"] = "WITH t AS (" + SQL["turned_boxes"] + r"""), b AS (SELECT p_partkey // 5 AS request_id, p_partkey % 5 AS i, ['8', '甲 乙', 'no 12345', '--', '保'][p_partkey * 7 % 5 + 1] AS text, angle, x1, y1, x2, y2 FROM t),
+m AS (SELECT *, median((y1 + y2) / 2) OVER (PARTITION BY request_id) AS middle, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h, replace(text, ' ', '') AS bare FROM b)
+SELECT request_id, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (length(bare) <= 4 AND regexp_matches(bare, '[\x{4e00}-\x{9fff}A-Za-z0-9]') AND abs(angle) >= 20
+  AND (y1 + y2) / 2 >= middle + greatest(40.0, h * 0.6) AND (regexp_matches(bare, '[0-9]') OR greatest(w, h) / least(w, h) >= 1.15)), '') AS oblique FROM m GROUP BY request_id"""
 SQL["iou_pairs"] = f"""WITH {BOXES}, {PAIRS} SELECT request_id, a_index, b_index, round(iou, 6) AS iou,
   abs((ax1 + ax2) - (bx1 + bx2)) <= 24 AND abs((ay1 + ay2) - (by1 + by2)) <= 24 AS close,
   round(sqrt(((ax1 + ax2) / 2 - (bx1 + bx2) / 2) ** 2 + ((ay1 + ay2) / 2 - (by1 + by2) / 2) ** 2), 4) AS distance FROM lap WHERE a_index < b_index AND w >= 0 AND h >= 0"""
@@ -229,8 +233,8 @@ att AS (SELECT c.request_id, c.region, c.k, c.block_index, c.phones, c.wechat_id
     (c.y1 + c.y2) / 2 >= m.cy - 20 AND abs((c.x1 + c.x2) / 2 - m.cx) <= greatest(60.0::DOUBLE, m.diag * 0.4::DOUBLE) AS below,
     c.noisy OR EXISTS (SELECT 1 FROM bl b WHERE b.request_id = c.request_id AND b.noisy AND b.block_index <> c.block_index AND {_far("c", "b")} <= 85) AS noisy
   FROM it c JOIN mid m ON m.request_id = c.request_id AND m.region = c.region JOIN core o ON o.request_id = c.request_id AND o.region = c.region WHERE c.contact_like GROUP BY ALL),
-ats AS MATERIALIZED (SELECT *, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.24::DOUBLE + 0.12::DOUBLE + greatest(0.0::DOUBLE, 1 - least(1.0::DOUBLE, nearest / diag)) * 0.20::DOUBLE
-    + CASE WHEN nearest <= 80 THEN 1.0 ELSE 0.35 END::DOUBLE * 0.16::DOUBLE + CASE WHEN below THEN 0.8 ELSE 0.4 END::DOUBLE * 0.16::DOUBLE - CASE WHEN noisy THEN 0.35 ELSE 0.0 END::DOUBLE)), 4) AS score FROM att),
+ats AS MATERIALIZED (SELECT *, CAST(printf('%.4f', greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.24::DOUBLE + 0.12::DOUBLE + greatest(0.0::DOUBLE, 1 - least(1.0::DOUBLE, nearest / diag)) * 0.20::DOUBLE
+    + CASE WHEN nearest <= 80 THEN 1.0 ELSE 0.35 END::DOUBLE * 0.16::DOUBLE + CASE WHEN below THEN 0.8 ELSE 0.4 END::DOUBLE * 0.16::DOUBLE - CASE WHEN noisy THEN 0.35 ELSE 0.0 END::DOUBLE))) AS DOUBLE) AS score FROM att),
 best AS (SELECT request_id, region, first(phones ORDER BY score DESC, k) FILTER (len(phones) > 0) AS p, first(wechat_ids ORDER BY score DESC, k) FILTER (len(wechat_ids) > 0) AS v,
   first(qqs ORDER BY score DESC, k) FILTER (len(qqs) > 0) AS q FROM ats WHERE score >= 0.55 GROUP BY request_id, region),
 txt AS (SELECT i.request_id, i.region, string_agg(trim(text), '' ORDER BY (y1 + y2) / 2, x1, i.k) AS text, list(trim(text)) AS singles, flatten(list(medical)) AS med, flatten(list(illegal)) AS ill FROM it i GROUP BY i.request_id, i.region),
@@ -396,9 +400,9 @@ cw AS (SELECT *, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h, len({_hit
 cg AS (SELECT * EXCLUDE (x1, y1, x2, y2), least(greatest(0, x1 - greatest(10, {_cut("w * 0.08::DOUBLE")})), 899) AS x1, least(greatest(0, y1 - greatest(12, {_cut("h * 0.10::DOUBLE")})), 999) AS y1,
   x2 + greatest(10, {_cut("w * 0.08::DOUBLE")}) AS rx, y2 + greatest(12, {_cut("h * 0.10::DOUBLE")}) AS ry FROM cw),
 ck AS (SELECT *, least(greatest(x1 + 1, rx), 900) AS x2, least(greatest(y1 + 1, ry), 1000) AS y2 FROM cg),
-cz AS (SELECT k.*, f.low, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, keywords / 3.0::DOUBLE) * 0.34::DOUBLE + least(1.0::DOUBLE, (contacts + k.digits) / 3.0::DOUBLE) * 0.24::DOUBLE
+cz AS (SELECT k.*, f.low, CAST(printf('%.4f', greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, keywords / 3.0::DOUBLE) * 0.34::DOUBLE + least(1.0::DOUBLE, (contacts + k.digits) / 3.0::DOUBLE) * 0.24::DOUBLE
     + least(1.0::DOUBLE, CAST(text_area AS DOUBLE) / greatest(1, (k.x2 - k.x1) * (k.y2 - k.y1)) * 2.8::DOUBLE) * 0.14::DOUBLE + least(1.0::DOUBLE, boxes / 4.0::DOUBLE) * 0.12::DOUBLE + shape * 0.16::DOUBLE
-    - CASE WHEN f.low AND keywords = 0 AND noisy THEN 0.18 ELSE 0.0 END::DOUBLE)), 4) AS score
+    - CASE WHEN f.low AND keywords = 0 AND noisy THEN 0.18 ELSE 0.0 END::DOUBLE))) AS DOUBLE) AS score
   FROM ck k JOIN fs f ON f.request_id = k.request_id WHERE f.words = 0 OR keywords > 0 OR k.digits > 0)
 SELECT request_id, CAST(ordinal AS INT) AS ordinal, score, x1, y1, x2, y2, {_joined("members")} AS members FROM cz WHERE x2 - x1 >= 48 AND y2 - y1 >= 48
 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, ordinal) = 1 AND score >= 0.55"""

@@ -164,16 +164,21 @@ def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select("request_id", "block_index", *[v.alias(k) for k, v in b.items()], x.alias("center_x"), y.alias("center_y"), wide["x1"].alias("wide_x1"), wide["y2"].alias("wide_y2"), *[v.alias(f"clip_{k}") for k, v in inside.items()], G.angle(F.col("points")).alias("angle"))
 
 
-@query
-def turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Angle of rectangles that stand along whole-number directions, one for each part, and of their shape as a card."""
+def turned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles that stand along whole-number directions, one for each part."""
     k, s, t = F.col("p_partkey").cast("int"), (2 + F.col("p_partkey") % 7).cast("int"), (1 + F.col("p_partkey") % 5).cast("int")
     dx = F.get(F.array(*map(F.lit, (4, 12, 5, 3, 1, -4))), k % 6)
     dy = F.get(F.array(*map(F.lit, (3, 5, 12, -4, 0, 3))), k % 6)
     x, y = 100 + k % 300, 100 + k % 200
     corner = lambda a, b: F.array((x + a * dx * s - b * dy * t).cast("int"), (y + a * dy * s + b * dx * t).cast("int"))
     points = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
-    rows = table(spark, sf_dir, "part").select("p_partkey", points.alias("points"))
+    return table(spark, sf_dir, "part").select("p_partkey", points.alias("points"))
+
+
+@query
+def turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angle of turned rectangles, the box around them and their shape as a card."""
+    rows = turned_points(spark, sf_dir)
     return rows.select("p_partkey", F.round(G.angle(F.col("points")), 6).alias("angle"), *[v.alias(c) for c, v in G.box_of_points(F.col("points")).items()], X.card_shape(F.col("points")).alias("shape"))
 
 
@@ -375,19 +380,17 @@ def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the first round says of a request; every third one has a card."""
-    rows = evaluated(spark, sf_dir).nested.withColumn("texts", F.transform("blocks", lambda x: x["text"]))
-    return rows.select(
-        "*",
-        F.size("hit_keywords").alias("keyword_count"),
-        P.has_contact().alias("has_contact"),
-        F.exists("texts", T.has_partial_contact).alias("has_partial_contact"),
-        (F.col("request_id") % 3 == 0).alias("has_card"),
-        F.lit(False).alias("has_oblique"),
-        P.solid_text().alias("solid_length"),
-        F.size("blocks").alias("box_count"),
-        F.aggregate("texts", F.lit(0), lambda a, t: a + F.length(T.strip(t))).alias("text_length"),
-        P.low_semantic_confidence(RULES).alias("low_confidence"),
-    )
+    return P.round_features(evaluated(spark, sf_dir).nested, F.col("request_id") % 3 == 0, RULES)
+
+
+@query
+def oblique_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turned scraps of text below the main text: five parts make up an image, each a box along a whole-number direction."""
+    k = F.col("p_partkey").cast("int")
+    text = F.get(F.array(*map(F.lit, ("8", "甲 乙", "no 12345", "--", "保"))), (k * 7 % 5).cast("int"))
+    rows = turned_points(spark, sf_dir).select(F.floor(k / 5).alias("request_id"), (k % 5).alias("block_index"), text.alias("text"), "points", F.lit(1.0).alias("confidence"))
+    rows = R.nested(E.evidence(rows.withColumns(G.box_of_points(F.col("points"))), RULES))
+    return rows.select("request_id", joined(P.oblique_indices()).alias("oblique"))
 
 
 @query
@@ -442,7 +445,7 @@ def focus_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def focus_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best cluster of each request for a closer look, in an image of 900 x 1000 without cards."""
     rows = D.clusters(features(spark, sf_dir), "blocks")
-    rows = rows.select("request_id", "blocks", "keyword_count", "has_contact", "has_oblique", "low_confidence", (F.col("solid_length") <= 8).alias("low_recall"), F.posexplode("clusters").alias("ordinal", "members"))
+    rows = rows.select("request_id", "blocks", "keyword_count", "has_contact", "has_oblique", "low_confidence", "low_recall", F.posexplode("clusters").alias("ordinal", "members"))
     rows = rows.withColumn("own", F.transform("members", lambda i: F.get("blocks", i))).withColumn("joined", F.array_join(F.transform("own", lambda r: r["text"]), ""))
     b = R.bounds(F.col("own"))
     frame = X.cluster_frame(b, F.lit(900), F.lit(1000))
