@@ -44,8 +44,8 @@ FREQUENT, LOCAL_COUNT, STRETCH = 1 << 18, 4, 2_000_000
 SHORT_LIST, SECOND_PIVOTS, LATER_PIVOTS = 64, 16, 512
 #: Bits of a set's parity sketch, a power of two: sets differ in at least as many elements as their sketches in bits.
 SKETCH = 1024
-#: Ids up to this count (4 MB) are broadcast; beyond it both sides are shuffled.
-BROADCAST_IDS = 500_000
+#: Ids up to this count (16 MB) are broadcast; beyond it both sides are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def _frequent(n: int):
