@@ -36,7 +36,7 @@ PAGE_ROWS = 1000
 #: Characters of a text that put rows of one doc_id in order.
 TEXT_KEY = 64
 #: Words a worker keeps the ids of: a new half, and the half before it, whose words move over as they are met.
-WORD_STORE = 200_000
+WORD_STORE = 800_000
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
 PARTS = "part int, base long, n_tokens long, n_docs long"
 
@@ -125,7 +125,7 @@ def encoder(path: str, end_id: int, by_word: bool) -> Encoder:
     return Encoder(path, end_id, by_word)
 
 
-def _encoded(path: str, end_id: int, by_word: bool, rows: int = 1024):
+def _encoded(path: str, end_id: int, by_word: bool, rows: int = 4096):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(path, end_id, by_word), TaskContext.get().partitionId(), 0
         for whole in batches:
