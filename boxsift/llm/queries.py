@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxsift.llm import chat_format, decontamination, fill_middle, language_id, mixing, ngram_join, quality_classifier, quality_rules, secrets, token_output, url_filter, warc
+from boxsift.llm import chat_format, decontamination, fill_middle, language_id, mixing, ngram_join, quality_classifier, quality_rules, secrets, token_align, token_output, url_filter, warc
 from boxsift.llm.common import shared_dir, table, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +202,8 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat_format.digests(turns.unionByName(own))
+
+
+@query
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), token_file("byte_bpe_50k.json"), token_file("piece_bpe_32k.model"))
