@@ -14,6 +14,7 @@ Stop words are those of English, German, French and Spanish: a text in a languag
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -57,88 +58,108 @@ RULES = (
 BASE = ("too_few_words", "repeated_windows")
 
 
-def measures(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """df with the counts of each text, and the ratios that the rules bound, added as columns; prefix goes before their names."""
-    own = free_name([*df.columns, prefix or "-"])
-    temporary, n = {}, lambda name: prefix + name
-
-    def add(rows: DataFrame, **columns: Column) -> DataFrame:
-        temporary.update({c: f"{own}{c}" for c in columns})
-        return rows.withColumns({f"{own}{c}": v for c, v in columns.items()})
-
-    t = lambda c: F.col(temporary[c])
-    df = add(df, text=F.coalesce(F.col(text), F.lit("")), words=words_of(F.col(text)))
-    df = add(
-        df,
-        lines=F.filter(F.split(t("text"), "\n"), lambda x: x.rlike(WORD_PATTERN)),
-        stops=F.size(F.filter(t("words"), lambda w: F.lower(w).isin(*STOP_WORDS))),
-        letterless=F.size(F.filter(t("words"), lambda w: ~w.rlike(r"\p{L}"))),
-        capitals=F.length(F.regexp_replace(t("text"), r"[^\p{Lu}]+", "")),
-        letters=F.length(F.regexp_replace(t("text"), r"[^\p{L}]+", "")),
-        windows=F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t("words")) - 3, F.lit(0))), lambda i: F.struct(_hash(t("words"), i).alias("h"), i.alias("i")))),
-    )
-    # Windows in the order of their hashes: equal ones are neighbours, and are compared word by word.
-    def twice(a: Column, k: Column) -> Column:
-        b = F.get(t("windows"), k + 1)
-        same = a["h"] == b["h"]
-        for j in range(3):
-            same = same & (F.get(t("words"), a["i"] + j) == F.get(t("words"), b["i"] + j))
-        return F.when(same, F.array(a["i"], b["i"]))
-
-    df = add(df, starts=F.flatten(F.array_compact(F.transform(t("windows"), twice))))
-    covered = F.array_distinct(F.concat(t("starts"), F.transform(t("starts"), lambda i: i + 1), F.transform(t("starts"), lambda i: i + 2)))
-    df = df.withColumns(
-        {
-            n("n_words"): F.size(t("words")).cast("long"),
-            n("word_chars"): F.length(F.array_join(t("words"), "")).cast("long"),
-            n("n_symbols"): (F.length(t("text")) - F.length(F.regexp_replace(t("text"), f"[{SYMBOLS}]+", ""))).cast("long"),
-            n("n_dup_lines"): (F.size(t("lines")) - F.size(F.array_distinct(t("lines")))).cast("long"),
-            n("n_repeat_words"): F.size(covered).cast("long"),
-            n("n_lines"): F.size(t("lines")).cast("long"),
+def bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """body of the named values, each worked out once a row: they are a lambda's variable, so no rewrite of the plan can put
+    their expressions in place of their names (a pushed filter would, and work out a text's words anew for each of them)."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
+def counts(text: Column) -> Column:
+    """Struct of the counts of a text."""
+
+    def windows(t: Column) -> Column:
+        """Starts of the 3-word windows with their hashes, in order of the hashes: equal windows are neighbours."""
+        w = t["words"]
+        hashed = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), hashed))
+
+    def repeated(t: Column) -> Column:
+        """Starts of windows found twice or more; neighbours of one hash are compared word by word."""
+
+        def twice(a: Column, k: Column) -> Column:
+            b = F.get(t["windows"], k + 1)
+            same = a["h"] == b["h"]
+            for j in range(3):
+                same = same & (F.get(t["words"], a["i"] + j) == F.get(t["words"], b["i"] + j))
+            return F.when(same, F.array(a["i"], b["i"]))
+
+        return F.flatten(F.array_compact(F.transform(t["windows"], twice)))
+
+    def covered(starts: Column) -> Column:
+        return F.array_distinct(F.concat(starts, F.transform(starts, lambda i: i + 1), F.transform(starts, lambda i: i + 2)))
+
+    def counted(t: Column) -> Column:
+        found = {
+            "n_words": F.size(t["words"]),
+            "word_chars": F.length(F.array_join(t["words"], "")),
+            "n_symbols": F.length(t["text"]) - F.length(F.regexp_replace(t["text"], f"[{SYMBOLS}]+", "")),
+            "n_dup_lines": F.size(t["lines"]) - F.size(F.array_distinct(t["lines"])),
+            "n_repeat_words": F.size(bound({"starts": repeated(t)}, lambda r: covered(r["starts"]))),
+            "n_lines": F.size(t["lines"]),
+            "stops": F.size(F.filter(t["words"], lambda w: F.lower(w).isin(*STOP_WORDS))),
+            "letterless": F.size(F.filter(t["words"], lambda w: ~w.rlike(r"\p{L}"))),
+            "capitals": F.length(F.regexp_replace(t["text"], r"[^\p{Lu}]+", "")),
+            "letters": F.length(F.regexp_replace(t["text"], r"[^\p{L}]+", "")),
         }
-    )
-    per = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    c = lambda name: F.col(n(name))
-    ratios = {
-        "repeat_ratio": per(c("n_repeat_words"), c("n_words")),
-        "mean_word_chars": per(c("word_chars"), c("n_words")),
-        "symbol_ratio": per(c("n_symbols"), c("n_words")),
-        "stop_ratio": per(t("stops"), c("n_words")),
-        "dup_line_ratio": per(c("n_dup_lines"), c("n_lines")),
-        "line_ratio": per(c("n_lines"), c("n_words")),
-        "letterless_ratio": per(t("letterless"), c("n_words")),
-        "capital_ratio": per(t("capitals"), t("letters")),
-    }
-    return df.withColumns({n(k): v for k, v in ratios.items()}).drop(*temporary.values())
-
-
-def _hash(words: Column, i: Column) -> Column:
-    return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-
-
-def compiled(rules: tuple[Rule, ...], prefix: str = "") -> dict[str, Column]:
-    """Each rule as a boolean column, true where the rule fails."""
+        return F.struct(*[v.cast("long").alias(k) for k, v in found.items()])
+
+    def parted(t: Column) -> Column:
+        lines = F.filter(F.split(t["text"], "\n"), lambda x: x.rlike(WORD_PATTERN))
+        return bound({"text": t["text"], "words": t["words"], "lines": lines, "windows": windows(t)}, counted)
+
+    return bound({"text": F.coalesce(text, F.lit("")), "words": words_of(text)}, parted)
+
+
+#: Ratios of counts that the rules bound.
+RATIOS = {
+    "repeat_ratio": ("n_repeat_words", "n_words"),
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words"),
+    "stop_ratio": ("stops", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "line_ratio": ("n_lines", "n_words"),
+    "letterless_ratio": ("letterless", "n_words"),
+    "capital_ratio": ("capitals", "letters"),
+}
+#: Counts that are given out beside the ratios.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+
+
+def compiled(rules: tuple[Rule, ...], measure: Callable[[str], Column]) -> dict[str, Column]:
+    """Each rule as a boolean column over its measure, true where the rule fails."""
     out = {}
     for r in rules:
-        m, fails = F.col(prefix + r.measure), F.lit(False)
+        m, fails = measure(r.measure), F.lit(False)
         fails = fails | (m < F.lit(r.low)) if r.low is not None else fails
         out[r.name] = fails | (m > F.lit(r.high)) if r.high is not None else fails
     return out
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Struct of a text's counts and ratios, and of failed_rules, base_failed and kept."""
+
+    def of_counts(t: Column) -> Column:
+        c = t["counts"]
+        per = lambda a, b: F.coalesce(F.try_divide(c[a].cast("double"), c[b].cast("double")), F.lit(0.0))
+        return bound({**{k: c[k] for k in COUNTS}, **{k: per(*v) for k, v in RATIOS.items()}}, judged)
+
+    def judged(m: Column) -> Column:
+        failed = F.array_compact(F.array(*[F.when(fails, F.lit(name)) for name, fails in compiled(rules, lambda k: m[k]).items()]))
+        base = lambda f: F.exists(f["failed"], lambda x: x.isin(*BASE))
+        told = [m[k].alias(k) for k in (*COUNTS, *RATIOS)]
+        return bound({"failed": failed}, lambda f: F.struct(*told, f["failed"].alias("failed_rules"), base(f).alias("base_failed"), (F.size(f["failed"]) == 0).alias("kept")))
+
+    return bound({"counts": counts(text)}, of_counts)
+
+
 def apply_rules(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, prefix: str = "") -> DataFrame:
-    """df with all measures, ``base_failed``, ``kept`` and ``failed_rules``, the names of the rules a row fails."""
-    names = F.array(*[F.when(fails, F.lit(name)) for name, fails in compiled(rules, prefix).items()])
-    out = measures(df, text, prefix).withColumn(f"{prefix}failed_rules", F.array_compact(names))
-    base = F.exists(f"{prefix}failed_rules", lambda x: x.isin(*BASE))
-    return out.withColumns({f"{prefix}base_failed": base, f"{prefix}kept": F.size(f"{prefix}failed_rules") == 0})
+    """df with all measures, ``base_failed``, ``kept`` and ``failed_rules``, the names of the rules a row fails; prefix goes
+    before their names. Rows may be filtered on any of them: a filter that Spark pushes below costs one more look at a text."""
+    own = free_name([*df.columns, prefix or "-"])
+    out = df.withColumn(own, verdict(F.col(text), rules))
+    return out.withColumns({f"{prefix}{k}": F.col(own)[k] for k in (*COUNTS, *RATIOS, "failed_rules", "base_failed", "kept")}).drop(own)
 
 
 def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of df that pass all rules, with their own columns only; measures get names that no column has."""
-    own = free_name(df.columns, "_rule_")
-    judged = apply_rules(df, text, rules, own)
-    # A filter would be pushed below the projections, and each rule's measures worked out anew in it; it cannot be pushed
-    # past a column that is not deterministic.
-    judged = judged.withColumn(f"{own}row", F.monotonically_increasing_id())
-    return judged.where(F.col(f"{own}kept") & (F.col(f"{own}row") >= 0)).select(*columns_of(df))
+    """The rows of df that pass all rules, as they are."""
+    return df.where(verdict(F.col(text), rules)["kept"]).select(*columns_of(df))

@@ -341,3 +341,13 @@ def test_warc_long_pages_and_shared_payloads(spark):
     assert got[9]["record_type"] == "revisit" and got[9]["refers_to"] == 4 and got[9]["payload_bytes"] == len(huge)
     assert bytes(got[4]["payload"]).decode() == huge and got[5]["record_type"] == "response"
     assert [got[100 + k]["refers_to"] for k in range(300)] == [None] + [100] * 299
+
+
+def test_rules_under_filters(spark):
+    """A filter on a measure is pushed below the projections; each text is still measured a bounded number of times."""
+    rng = np.random.default_rng(5)
+    text = " ".join("the" if k % 10 == 0 else w for k, w in enumerate(prose(rng, 10_000).split()))
+    df = spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string")
+    judged = quality_rules.apply_rules(df)
+    assert judged.where("kept").count() == judged.where("n_words = 10000 AND stop_ratio = 0.1 AND size(failed_rules) = 0").count() == 20
+    assert quality_rules.kept_rows(df.where("doc_id < 5")).where("doc_id > 2").count() == 2
