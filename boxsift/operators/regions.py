@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from boxsift.functions import geometry as G
 from boxsift.functions import text as T
+from boxsift.functions.rows import bound
 from boxsift.operators import evidence as E
 from boxsift.operators.cards import gathered, on_card
 from boxsift.rules import RuleSet
@@ -25,6 +26,7 @@ def nested(found: DataFrame) -> DataFrame:
     box = F.struct(
         "block_index", "text", "x1", "y1", "x2", "y2", "confidence", *E.HIT_COLUMNS,
         G.angle(F.col("points")).alias("angle"),
+        F.when(~G.is_level(F.col("points")), F.col("points").cast("array<array<int>>")).alias("corners"),
         E.has_keyword().alias("keyword"),
         E.has_contact().alias("contact"),
         E.is_contact_like().alias("contact_like"),
@@ -253,45 +255,66 @@ def members(requests: DataFrame) -> DataFrame:
     return with_fields(out, ad_boxes=lambda r: F.concat(r["base"], F.filter("blocks", lambda b: joins(r, b))))
 
 
-def upright_frame(boxes: Column) -> dict[str, Column]:
-    """The grown frame of upright boxes: sides of 24 at least, times 1.55 and 1.8, about the center, not below zero."""
-    b = bounds(boxes)
-    w, h = F.greatest(b["x2"] - b["x1"], F.lit(24)) * 1.55 / 2, F.greatest(b["y2"] - b["y1"], F.lit(24)) * 1.8 / 2
-    x, y = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
-    at = lambda v: F.greatest(F.lit(0), whole(F.rint(v)))
-    return {"x1": at(x - w), "y1": at(y - h), "x2": at(x + w), "y2": at(y + h)}
+def corner_cloud(boxes: Column) -> Column:
+    """The corners of all boxes, as arrays (x, y)."""
+    return F.flatten(F.transform(boxes, lambda b: F.coalesce(b["corners"], G.corners_of(b))))
+
+
+def refined(boxes: Column, region) -> Column:
+    """Corners of the smallest rectangle around the boxes' corners, grown: sides of 24 at least, times 1.55 and 1.8. Fewer than
+    four corners in all leave the region's own frame."""
+    level = (F.size(boxes) == 1) & F.get(boxes, F.lit(0))["corners"].isNull()  # no hull is needed
+    alone = bound({"b": F.get(boxes, F.lit(0))}, lambda t: bound(upright(t["b"]), grown))
+    around = lambda t: F.when(F.size(t["p"]) < 4, G.corners_of(region)).otherwise(bound({"r": G.smallest_rectangle(t["p"])}, lambda r: grown(r["r"])))
+    return F.when(level, alone).otherwise(bound({"p": corner_cloud(boxes)}, around))
+
+
+def upright(b) -> dict[str, Column]:
+    """A level box as smallest_rectangle gives it."""
+    (x, y) = G.center(b)
+    whole_numbers = {"width": b["x2"] - b["x1"], "height": b["y2"] - b["y1"], "ux": F.lit(1), "uy": F.lit(0), "length": F.lit(1)}
+    return {"center_x": x, "center_y": y, **{k: v.cast("double") for k, v in whole_numbers.items()}}
+
+
+def grown(r: Column) -> Column:
+    return G.rectangle_corners(r, F.greatest(r["width"], F.lit(24.0)) * 1.55, F.greatest(r["height"], F.lit(24.0)) * 1.8)
 
 
 AD = (
-    "struct<ad_index:int,x1:int,y1:int,x2:int,y2:int,block_indices:array<int>,hit_keywords:array<string>,hit_rules:array<string>,"
+    "struct<ad_index:int,points:array<array<int>>,x1:int,y1:int,x2:int,y2:int,block_indices:array<int>,hit_keywords:array<string>,hit_rules:array<string>,"
     "phones:array<string>,wechat_ids:array<string>,qqs:array<string>,risk_score:int,risk_level:string,suspicious:boolean>"
 )
 
 
-AD_FIELDS = ("x1", "y1", "x2", "y2", "block_indices", "hit_keywords", "hit_rules", "phones", "wechat_ids", "qqs", "risk_score", "risk_level", "suspicious")
+AD_FIELDS = ("points", "x1", "y1", "x2", "y2", "block_indices", "hit_keywords", "hit_rules", "phones", "wechat_ids", "qqs", "risk_score", "risk_level", "suspicious")
 
 
-def ad_of(r, boxes: Column, frame: dict[str, Column], rules: RuleSet) -> Column:
-    """A region as an ad of boxes, as yet without a number; null without a signal."""
+def ad_of(r, boxes: Column, polygon: Column, rules: RuleSet) -> Column:
+    """A region as an ad of boxes within a polygon, as yet without a number; null without a signal."""
     signal = (F.size(r["medical"]) > 0) | (F.size(r["illegal"]) > 0) | (F.size(r["phones"]) > 0) | (F.size(r["wechat_ids"]) > 0) | (F.size(r["qqs"]) > 0) | (r["risk_score"] > 0)
     suspicious = (r["risk_score"] >= rules.suspicious_score) | ((F.size(r["medical"]) > 0) & (F.size(r["illegal"]) > 0))
-    ad = F.struct(
-        F.lit(0).alias("ad_index"),
-        *[v.alias(k) for k, v in frame.items()],
-        F.transform(boxes, lambda b: b["block_index"]).alias("block_indices"),
-        T.sorted_set(F.concat(r["medical"], r["illegal"])).alias("hit_keywords"),
-        *[r[c].alias(c) for c in ("hit_rules", "phones", "wechat_ids", "qqs", "risk_score")],
-        level(r["risk_score"], rules).alias("risk_level"),
-        suspicious.alias("suspicious"),
-    )
-    return F.when(signal, ad.cast(AD))
+
+    def ad(t: Column) -> Column:
+        return F.struct(
+            F.lit(0).alias("ad_index"),
+            t["points"].alias("points"),
+            *[v.alias(k) for k, v in G.box_of_points(t["points"]).items()],
+            F.transform(boxes, lambda b: b["block_index"]).alias("block_indices"),
+            T.sorted_set(F.concat(r["medical"], r["illegal"])).alias("hit_keywords"),
+            *[r[c].alias(c) for c in ("hit_rules", "phones", "wechat_ids", "qqs", "risk_score")],
+            level(r["risk_score"], rules).alias("risk_level"),
+            suspicious.alias("suspicious"),
+        ).cast(AD)
+
+    return F.when(signal, bound({"points": polygon}, ad))
 
 
 def with_ads(requests: DataFrame, rules: RuleSet) -> DataFrame:
     """Adds ads: regions with a signal, in order, without duplicates.
 
     Of an ad and the first earlier one that it repeats, the higher score stays, the earlier of equals; a better one is put
-    at the end. ad_index is given before the weaker one goes, so numbers can repeat.
+    at the end. ad_index is given before the weaker one goes, so numbers can repeat. Polygons end with the image where
+    requests have image_width and image_height, null where not known.
     """
     numbered = lambda a, n: F.struct(n.alias("ad_index"), *[a[f].alias(f) for f in AD_FIELDS]).cast(AD)
 
@@ -304,5 +327,7 @@ def with_ads(requests: DataFrame, rules: RuleSet) -> DataFrame:
         return F.get(place, F.lit(0))
 
     out = members(requests)
-    out = out.withColumn("listed", F.array_compact(F.transform("regions", lambda r: ad_of(r, r["ad_boxes"], upright_frame(r["ad_boxes"]), rules))))
+    width, height = (F.col(c) if c in requests.columns else None for c in ("image_width", "image_height"))
+    polygon = lambda r: G.clipped_points(refined(r["ad_boxes"], r), width, height)
+    out = out.withColumn("listed", F.array_compact(F.transform("regions", lambda r: ad_of(r, r["ad_boxes"], polygon(r), rules))))
     return out.withColumn("ads", F.aggregate("listed", F.array().cast(f"array<{AD}>"), add)).drop("listed")

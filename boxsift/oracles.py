@@ -254,7 +254,29 @@ SQL["contact_attachment"] = f"WITH RECURSIVE {SCORED} SELECT request_id, CAST(re
 SQL["region_score"] = f"""WITH RECURSIVE {SCORED} SELECT request_id, CAST(region AS INT) AS region, text AS combined, score AS risk_score,
   {", ".join(f"{_joined(c)} AS {c}" for c in ("medical", "illegal", "phones", "wechat_ids", "qqs"))}, {_joined("rules")} AS hit_rules FROM sc"""
 
-_AD = "struct_pack(ad_index := {n}, x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2, ids := c.ids, words := c.words, rules := c.rules, phones := c.phones, wechat_ids := c.wechat_ids, qqs := c.qqs, score := c.score, bad := c.bad)"
+def _rectangles(points: str, rows: str) -> str:
+    """rect: center (x, y), sides (w, h), direction (ux, uy) and its length n of the smallest rectangle around the points of each
+    (request_id, region). The least area over the directions of all pairs of points is that over the edges of the hull."""
+    return f"""{points} AS MATERIALIZED ({rows}),
+pd AS (SELECT a.request_id, a.region, b.x - a.x AS dx, b.y - a.y AS dy FROM {points} a JOIN {points} b ON b.request_id = a.request_id AND b.region = a.region),
+pu AS (SELECT *, abs(dy) > abs(dx) OR (abs(dy) = abs(dx) AND dx * dy < 0) AS swap FROM pd),
+pv AS (SELECT request_id, region, CASE WHEN swap THEN dy ELSE dx END AS ux, CASE WHEN swap THEN -dx ELSE dy END AS uy FROM pu),
+pw AS (SELECT request_id, region, CASE WHEN ux > 0 THEN ux ELSE -ux END AS ux, CASE WHEN ux > 0 THEN uy ELSE -uy END AS uy FROM pv),
+pn AS MATERIALIZED (SELECT DISTINCT request_id, region, CAST(CASE WHEN uy = 0 THEN 1 ELSE ux // gcd(ux, abs(uy)) END AS BIGINT) AS ux, CAST(CASE WHEN uy = 0 THEN 0 WHEN uy < 0 THEN -(-uy // gcd(ux, abs(uy))) ELSE uy // gcd(ux, abs(uy)) END AS BIGINT) AS uy FROM pw),
+pe AS (SELECT d.request_id, d.region, ux, uy, min(p.x * ux + p.y * uy) AS a1, max(p.x * ux + p.y * uy) AS a2, min(p.y * ux - p.x * uy) AS b1, max(p.y * ux - p.x * uy) AS b2, CAST(ux * ux + uy * uy AS DOUBLE) AS sq
+  FROM pn d JOIN {points} p ON p.request_id = d.request_id AND p.region = d.region GROUP BY d.request_id, d.region, ux, uy),
+pb AS (SELECT * FROM pe QUALIFY row_number() OVER (PARTITION BY request_id, region ORDER BY CAST(a2 - a1 AS DOUBLE) * (b2 - b1) / sq, abs(CAST(uy AS DOUBLE) / ux), CAST(uy AS DOUBLE) / ux) = 1),
+rect AS MATERIALIZED (SELECT request_id, region, CAST(ux AS DOUBLE) AS ux, CAST(uy AS DOUBLE) AS uy, sqrt(sq) AS n, CAST(a2 - a1 AS DOUBLE) / sqrt(sq) AS w, CAST(b2 - b1 AS DOUBLE) / sqrt(sq) AS h,
+  ux * (CAST(a1 + a2 AS DOUBLE) / 2 / sq) - uy * (CAST(b1 + b2 AS DOUBLE) / 2 / sq) AS x, uy * (CAST(a1 + a2 AS DOUBLE) / 2 / sq) + ux * (CAST(b1 + b2 AS DOUBLE) / 2 / sq) AS y FROM pb)"""
+
+
+def _corners(w: str, h: str) -> str:
+    """Corners of a rectangle of rect with these sides, rounded half to even."""
+    at = lambda sx, sy: f"[CAST(round_even(x + {sx} * ({w} / 2) * ux / n - {sy} * ({h} / 2) * uy / n, 0) AS INT), CAST(round_even(y + {sx} * ({w} / 2) * uy / n + {sy} * ({h} / 2) * ux / n, 0) AS INT)]"
+    return f"[{at('-1', '-1')}, {at('1', '-1')}, {at('1', '1')}, {at('-1', '1')}]"
+
+
+_AD = "struct_pack(ad_index := {n}, poly := c.poly, x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2, ids := c.ids, words := c.words, rules := c.rules, phones := c.phones, wechat_ids := c.wechat_ids, qqs := c.qqs, score := c.score, bad := c.bad)"
 _AGAIN = f"list_position(list_transform(f.kept, lambda k: {_iou('k', 'c')} >= 0.45 OR {_same_boxes('k.ids', 'c.ids')}), true)"
 ADS = rf"""{SCORED},
 own AS (SELECT i.*, NOT i.contact_like OR coalesce(a.score >= 0.55, false) AS stays FROM it i LEFT JOIN ats a ON a.request_id = i.request_id AND a.region = i.region AND a.k = i.k),
@@ -265,11 +287,12 @@ adb AS (SELECT request_id, region, 0 AS part, k, block_index, x1, y1, x2, y2 FRO
   UNION ALL SELECT b.request_id, w.region, 1, b.block_index, b.block_index, b.x1, b.y1, b.x2, b.y2 FROM wd w JOIN bl b ON b.request_id = w.request_id AND b.keyword AND NOT list_contains(w.taken, b.block_index)
     AND (((b.x1 + b.x2) / 2 BETWEEN w.x1 AND w.x2 AND (b.y1 + b.y2) / 2 BETWEEN w.y1 AND w.y2) OR NOT (w.x2 < b.x1 OR w.x1 > b.x2 OR w.y2 < b.y1 OR w.y1 > b.y2))),
 af AS (SELECT request_id, region, list(block_index ORDER BY part, k) AS ids, {_FRAME} FROM adb m GROUP BY request_id, region),
-up AS (SELECT request_id, region, ids, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, greatest(x2 - x1, 24) * 1.55::DOUBLE / 2 AS w, greatest(y2 - y1, 24) * 1.8::DOUBLE / 2 AS h FROM af),
-adc AS MATERIALIZED (SELECT u.request_id, row_number() OVER (PARTITION BY u.request_id ORDER BY u.region) AS n, count(*) OVER (PARTITION BY u.request_id) AS total, u.ids,
-    greatest(0, CAST(round_even(x - w, 0) AS INT)) AS x1, greatest(0, CAST(round_even(y - h, 0) AS INT)) AS y1, greatest(0, CAST(round_even(x + w, 0) AS INT)) AS x2, greatest(0, CAST(round_even(y + h, 0) AS INT)) AS y2,
+{_rectangles("pt", "SELECT DISTINCT request_id, region, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y FROM adb")},
+up AS (SELECT request_id, region, list_transform({_corners("greatest(w, 24) * 1.55::DOUBLE", "greatest(h, 24) * 1.8::DOUBLE")}, lambda p: [greatest(0, p[1]), greatest(0, p[2])]) AS poly FROM rect),
+adc AS MATERIALIZED (SELECT u.request_id, row_number() OVER (PARTITION BY u.request_id ORDER BY u.region) AS n, count(*) OVER (PARTITION BY u.request_id) AS total, f.ids, u.poly,
+    list_min(list_transform(u.poly, lambda p: p[1])) AS x1, list_min(list_transform(u.poly, lambda p: p[2])) AS y1, list_max(list_transform(u.poly, lambda p: p[1])) AS x2, list_max(list_transform(u.poly, lambda p: p[2])) AS y2,
     {_set("list_concat(s.medical, s.illegal)")} AS words, s.rules, s.phones, s.wechat_ids, s.qqs, s.score, s.score >= 45 OR (len(s.medical) > 0 AND len(s.illegal) > 0) AS bad
-  FROM up u JOIN sc s ON s.request_id = u.request_id AND s.region = u.region WHERE s.raw > 0),
+  FROM up u JOIN af f ON f.request_id = u.request_id AND f.region = u.region JOIN sc s ON s.request_id = u.request_id AND s.region = u.region WHERE s.raw > 0),
 afold AS (SELECT c.request_id, c.n, c.total, [{_AD.format(n="CAST(1 AS BIGINT)")}] AS kept FROM adc c WHERE c.n = 1
   UNION ALL
   SELECT f.request_id, c.n, f.total, CASE WHEN coalesce({_AGAIN}, 0) = 0 THEN list_append(f.kept, {_AD.format(n="CAST(len(f.kept) + 1 AS BIGINT)")})
@@ -419,3 +442,14 @@ v AS (SELECT p_partkey, 'initial' AS kind, 'full' AS name, 0 AS place, 0 AS x1,
   UNION ALL SELECT p_partkey, 'scan', concat('scan_', r.r, '_', c.c), r.r * len(sx) + c.c, sx[c.c + 1], sy[r.r + 1], sx[c.c + 1] + cw, sy[r.r + 1] + ch FROM t, range(3) r(r), range(3) c(c) WHERE r.r < len(sy) AND c.c < len(sx)
   UNION ALL SELECT p_partkey, 'scan', 'scan_lower', len(sx) * len(sy), 0, greatest(0, h - {_cut("h * 0.62::DOUBLE")}), w, h FROM t WHERE h > w)
 SELECT p_partkey, kind, name, x1, y1, x2, y2 FROM v WHERE place < 7"""
+
+_POLYGON = "array_to_string(list_transform({}, lambda p: CAST(p[1] AS VARCHAR) || ' ' || CAST(p[2] AS VARCHAR)), ',')"
+SQL["ad_polygons"] = f"""WITH RECURSIVE {ADS} SELECT request_id, CAST(position AS INT) AS position, {_POLYGON.format("a.poly")} AS points, concat('医保广告 ', upper({_LEVEL.format("a.score")}), ' ', a.score) AS label,
+  greatest(12, a.x1) AS label_x, greatest(12, a.y1 - 44) AS label_y FROM ad WHERE request_id IN (SELECT request_id FROM ad WHERE a.bad)"""
+_TURNED = """tp AS (SELECT p_partkey, p_partkey // 5 AS request_id, CAST(p_partkey % 5 AS INT) AS region, 2 + p_partkey % 7 AS s, 1 + p_partkey % 5 AS t, [4, 12, 5, 3, 1, -4][p_partkey % 6 + 1] AS dx, [3, 5, 12, -4, 0, 3][p_partkey % 6 + 1] AS dy,
+  100 + p_partkey % 300 AS x0, 100 + p_partkey % 200 AS y0 FROM part),
+tc AS (SELECT request_id, region AS box, unnest([x0, x0 + dx * s, x0 + dx * s - dy * t, x0 - dy * t]) AS x, unnest([y0, y0 + dy * s, y0 + dy * s + dx * t, y0 + dx * t]) AS y FROM tp)"""
+SQL["refined_regions"] = f"""WITH {_TURNED}, {_rectangles("pt", "SELECT DISTINCT request_id, 0 AS region, x, y FROM tc")}
+SELECT request_id, round(degrees(atan(uy / ux)), 6) AS angle, round(w, 6) AS width, round(h, 6) AS height, {_POLYGON.format(_corners("greatest(w, 24) * 1.55::DOUBLE", "greatest(h, 24) * 1.8::DOUBLE"))} AS points,
+  {_POLYGON.format("list_transform(" + _corners("greatest(w, 24) * 1.55::DOUBLE", "greatest(h, 24) * 1.8::DOUBLE") + ", lambda p: [least(greatest(0, p[1]), 399), least(greatest(0, p[2]), 299)])")} AS clipped,
+  CASE WHEN least(w, h) <= 1 OR greatest(w, h) / greatest(1.0::DOUBLE, least(w, h)) > 4.5 THEN 'irregular' ELSE 'rectangle' END AS shape FROM rect"""

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxsift.functions import geometry as G
+from boxsift.functions.rows import bound
 from boxsift.functions.text import has_contact_digits, phones, sorted_set, strip
 from boxsift.operators import evidence as E
 from boxsift.operators import regions as R
@@ -109,8 +111,9 @@ def evaluate_text(rows: DataFrame, request_id: str, text: str, rules: RuleSet |
     out = out.withColumn("base", kept).withColumn("base", F.when(F.size("base") > 0, F.col("base")).otherwise(F.col("items")))
     taken = F.transform("base", lambda b: b["block_index"])
     out = out.withColumn("boxes", F.concat("base", F.filter("blocks", lambda b: b["keyword"] & ~F.array_contains(taken, b["block_index"]))))
-    point = F.array(F.struct(*[F.lit(0).alias(c) for c in ("x1", "y1", "x2", "y2")]))
-    ad = R.ad_of(r, F.col("boxes"), R.upright_frame(point), rules).withField("ad_index", F.lit(1))
+    point = {c: F.lit(0) for c in ("x1", "y1", "x2", "y2")}
+    polygon = G.clipped_points(bound(R.upright(point), R.grown))
+    ad = R.ad_of(r, F.col("boxes"), polygon, rules).withField("ad_index", F.lit(1))
     found = F.when(F.col("n_regions") > 0, F.array_compact(F.array(ad))).otherwise(F.array().cast(f"array<{R.AD}>"))
     return documents(out.select("request_id", "blocks", "n_regions", found.alias("ads")), rules).drop("blocks")
 

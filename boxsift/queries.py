@@ -345,6 +345,28 @@ def draw_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_id", "block_index", colour.alias("colour"), "x1", "y1", "x2", "y2")
 
 
+def polygon(points: Column) -> Column:
+    return F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))), ",")
+
+
+@query
+def ad_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of the ads of suspicious requests, with their labels and where these go (text of 24 pixels' height)."""
+    rows = evaluated(spark, sf_dir).documents.where("suspicious").select("request_id", F.posexplode("ads").alias("position", "a"))
+    return rows.select("request_id", "position", polygon(F.col("a.points")).alias("points"), *[v.alias(k) for k, v in X.label(F.col("a"), 24).items()])
+
+
+@query
+def refined_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest rectangle around all turned boxes of an image, grown as an ad's region is, and cut at an image of 400 x 300."""
+    k = F.col("p_partkey").cast("int")
+    rows = turned_points(spark, sf_dir).select(F.floor(k / 5).alias("request_id"), (k % 5).alias("block_index"), F.lit("x").alias("text"), "points", F.lit(1.0).alias("confidence"))
+    rows = R.nested(E.evidence(rows.withColumns(G.box_of_points(F.col("points"))), RULES))
+    rows = rows.select("request_id", G.smallest_rectangle(R.corner_cloud(F.col("blocks"))).alias("r"), R.refined(F.col("blocks"), R.bounds(F.col("blocks"))).alias("points"))
+    sides = [F.round(f"r.{c}", 6).alias(c) for c in ("angle", "width", "height")]
+    return rows.select("request_id", *sides, polygon(F.col("points")).alias("points"), polygon(G.clipped_points(F.col("points"), F.lit(400), F.lit(300))).alias("clipped"), X.rectangle_shape(F.col("r")).alias("shape"))
+
+
 # Readings
 
 
@@ -455,7 +477,7 @@ def focus_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(
         *[c for c in rows.columns if c not in ("blocks", "own")],
         area.alias("text_area"),
-        X.frame_shape(b).alias("shape"),
+        X.rectangle_shape(G.smallest_rectangle(R.corner_cloud(F.col("own")))).alias("shape"),
         total(lambda r: F.size(F.array_union(r["medical_hits"], r["illegal_hits"]))).alias("keywords"),
         total(kinds).alias("contacts"),
         total(lambda r: T.has_contact_digits(r["text"]).cast("int")).alias("digits"),

@@ -1,7 +1,8 @@
 """A plain model of region building and scoring for upright boxes, one request at a time, to hold the Spark plan against."""
 
 import re
-from math import hypot
+from fractions import Fraction
+from math import gcd, hypot
 
 from boxsift.rules import RuleSet
 
@@ -40,6 +41,31 @@ def frame(boxes):
     return tuple(f(b.b[k] for b in boxes) for k, f in enumerate((min, min, max, max)))
 
 
+def around(boxes):
+    """The frame of the grown smallest rectangle around upright boxes: every direction of two corners is tried."""
+    ps = sorted({(b[i], b[j]) for b in boxes for i in (0, 2) for j in (1, 3)})
+    best = None
+    for p in ps:
+        for q in ps:
+            dx, dy = (q[0] - p[0], q[1] - p[1]) if p != q else (1, 0)
+            for _ in range(4):
+                if dx > 0 and -dx < dy <= dx:
+                    break
+                dx, dy = -dy, dx
+            g = gcd(dx, dy)
+            dx, dy = dx // g, dy // g
+            a, b = [x * dx + y * dy for x, y in ps], [y * dx - x * dy for x, y in ps]
+            n = dx * dx + dy * dy
+            got = (Fraction((max(a) - min(a)) * (max(b) - min(b)), n), abs(Fraction(dy, dx)), Fraction(dy, dx), dx, dy, min(a), max(a), min(b), max(b), n)
+            best = got if best is None or got < best else best
+    _, _, _, dx, dy, a1, a2, b1, b2, n = best
+    r, x, y = n**0.5, (a1 + a2) / 2 / n, (b1 + b2) / 2 / n
+    x, y = dx * x - dy * y, dy * x + dx * y
+    w, h = max((a2 - a1) / r, 24) * 1.55 / 2, max((b2 - b1) / r, 24) * 1.8 / 2
+    points = [(max(0, round(x + s * w * dx / r - t * h * dy / r)), max(0, round(y + s * w * dy / r + t * h * dx / r))) for s, t in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    return tuple(f(p[k] for p in points) for f, k in ((min, 0), (min, 1), (max, 0), (max, 1)))
+
+
 def iou(a, b):
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     if w <= 0 or h <= 0:
@@ -116,10 +142,7 @@ def ads(boxes):
         g = (f[0] - px, f[1] - py, f[2] + px, f[3] + py)
         meets = lambda b: not (g[2] < b.b[0] or g[0] > b.b[2] or g[3] < b.b[1] or g[1] > b.b[3])
         own = own + [b for b in boxes if b.key and b not in own and meets(b)]
-        f = frame(own)
-        w, h = max(f[2] - f[0], 24) * 1.55 / 2, max(f[3] - f[1], 24) * 1.8 / 2
-        x, y = (f[0] + f[2]) / 2, (f[1] + f[3]) / 2
-        f = tuple(max(0, int(round(v))) for v in (x - w, y - h, x + w, y + h))
+        f = around([b.b for b in own])
         ad = {"n": len(kept) + 1, "f": f, "ids": [b.i for b in own], "score": total, "bad": total >= 45 or bool(med and ill)}
         k = next((k for k, o in enumerate(kept) if iou(o["f"], f) >= 0.45 or alike(o["ids"], ad["ids"])), None)
         if k is not None:
