@@ -196,6 +196,13 @@ def ordered_corners(points: Column) -> Column:
     return F.array(F.array_min(total)["p"], F.array_min(slope)["p"], last(total), last(slope))
 
 
+def is_quadrangle(points: Column) -> Column:
+    """Whether no three of four corners lie on a line, so that a projective map takes them to a rectangle."""
+    p = lambda k, c: F.get(F.get(points, F.lit(k)), F.lit(c)).cast("long")
+    area = lambda i, j, k: (p(j, 0) - p(i, 0)) * (p(k, 1) - p(i, 1)) - (p(j, 1) - p(i, 1)) * (p(k, 0) - p(i, 0))
+    return (area(0, 1, 2) != 0) & (area(0, 1, 3) != 0) & (area(0, 2, 3) != 0) & (area(1, 2, 3) != 0)
+
+
 def projective(source: Column, target: Column) -> Column:
     """Three rows of three: the map that takes four source corners to four target corners, arrays (x, y); null if there is none.
 

@@ -254,20 +254,21 @@ SQL["contact_attachment"] = f"WITH RECURSIVE {SCORED} SELECT request_id, CAST(re
 SQL["region_score"] = f"""WITH RECURSIVE {SCORED} SELECT request_id, CAST(region AS INT) AS region, text AS combined, score AS risk_score,
   {", ".join(f"{_joined(c)} AS {c}" for c in ("medical", "illegal", "phones", "wechat_ids", "qqs"))}, {_joined("rules")} AS hit_rules FROM sc"""
 
-def _rectangles(points: str, rows: str) -> str:
-    """rect: center (x, y), sides (w, h), direction (ux, uy) and its length n of the smallest rectangle around the points of each
+def _rectangles(rows: str, p: str = "") -> str:
+    """{p}rect: center (x, y), sides (w, h), direction (ux, uy) and its length n of the smallest rectangle around the points of each
     (request_id, region). The least area over the directions of all pairs of points is that over the edges of the hull."""
+    points = f"{p}pt"
     return f"""{points} AS MATERIALIZED ({rows}),
-pd AS (SELECT a.request_id, a.region, b.x - a.x AS dx, b.y - a.y AS dy FROM {points} a JOIN {points} b ON b.request_id = a.request_id AND b.region = a.region),
-pu AS (SELECT *, abs(dy) > abs(dx) OR (abs(dy) = abs(dx) AND dx * dy < 0) AS swap FROM pd),
-pv AS (SELECT request_id, region, CASE WHEN swap THEN dy ELSE dx END AS ux, CASE WHEN swap THEN -dx ELSE dy END AS uy FROM pu),
-pw AS (SELECT request_id, region, CASE WHEN ux > 0 THEN ux ELSE -ux END AS ux, CASE WHEN ux > 0 THEN uy ELSE -uy END AS uy FROM pv),
-pn AS MATERIALIZED (SELECT DISTINCT request_id, region, CAST(CASE WHEN uy = 0 THEN 1 ELSE ux // gcd(ux, abs(uy)) END AS BIGINT) AS ux, CAST(CASE WHEN uy = 0 THEN 0 WHEN uy < 0 THEN -(-uy // gcd(ux, abs(uy))) ELSE uy // gcd(ux, abs(uy)) END AS BIGINT) AS uy FROM pw),
-pe AS (SELECT d.request_id, d.region, ux, uy, min(p.x * ux + p.y * uy) AS a1, max(p.x * ux + p.y * uy) AS a2, min(p.y * ux - p.x * uy) AS b1, max(p.y * ux - p.x * uy) AS b2, CAST(ux * ux + uy * uy AS DOUBLE) AS sq
-  FROM pn d JOIN {points} p ON p.request_id = d.request_id AND p.region = d.region GROUP BY d.request_id, d.region, ux, uy),
-pb AS (SELECT * FROM pe QUALIFY row_number() OVER (PARTITION BY request_id, region ORDER BY CAST(a2 - a1 AS DOUBLE) * (b2 - b1) / sq, abs(CAST(uy AS DOUBLE) / ux), CAST(uy AS DOUBLE) / ux) = 1),
-rect AS MATERIALIZED (SELECT request_id, region, CAST(ux AS DOUBLE) AS ux, CAST(uy AS DOUBLE) AS uy, sqrt(sq) AS n, CAST(a2 - a1 AS DOUBLE) / sqrt(sq) AS w, CAST(b2 - b1 AS DOUBLE) / sqrt(sq) AS h,
-  ux * (CAST(a1 + a2 AS DOUBLE) / 2 / sq) - uy * (CAST(b1 + b2 AS DOUBLE) / 2 / sq) AS x, uy * (CAST(a1 + a2 AS DOUBLE) / 2 / sq) + ux * (CAST(b1 + b2 AS DOUBLE) / 2 / sq) AS y FROM pb)"""
+{p}pd AS (SELECT a.request_id, a.region, b.x - a.x AS dx, b.y - a.y AS dy FROM {points} a JOIN {points} b ON b.request_id = a.request_id AND b.region = a.region),
+{p}pu AS (SELECT *, abs(dy) > abs(dx) OR (abs(dy) = abs(dx) AND dx * dy < 0) AS swap FROM {p}pd),
+{p}pv AS (SELECT request_id, region, CASE WHEN swap THEN dy ELSE dx END AS ux, CASE WHEN swap THEN -dx ELSE dy END AS uy FROM {p}pu),
+{p}pw AS (SELECT request_id, region, CASE WHEN ux > 0 THEN ux ELSE -ux END AS ux, CASE WHEN ux > 0 THEN uy ELSE -uy END AS uy FROM {p}pv),
+{p}pn AS MATERIALIZED (SELECT DISTINCT request_id, region, CAST(CASE WHEN uy = 0 THEN 1 ELSE ux // gcd(ux, abs(uy)) END AS BIGINT) AS ux, CAST(CASE WHEN uy = 0 THEN 0 WHEN uy < 0 THEN -(-uy // gcd(ux, abs(uy))) ELSE uy // gcd(ux, abs(uy)) END AS BIGINT) AS uy FROM {p}pw),
+{p}pe AS (SELECT d.request_id, d.region, ux, uy, min(p.x * ux + p.y * uy) AS a1, max(p.x * ux + p.y * uy) AS a2, min(p.y * ux - p.x * uy) AS b1, max(p.y * ux - p.x * uy) AS b2, CAST(ux * ux + uy * uy AS DOUBLE) AS sq
+  FROM {p}pn d JOIN {points} p ON p.request_id = d.request_id AND p.region = d.region GROUP BY d.request_id, d.region, ux, uy),
+{p}pb AS (SELECT * FROM {p}pe QUALIFY row_number() OVER (PARTITION BY request_id, region ORDER BY CAST(a2 - a1 AS DOUBLE) * (b2 - b1) / sq, abs(CAST(uy AS DOUBLE) / ux), CAST(uy AS DOUBLE) / ux) = 1),
+{p}rect AS MATERIALIZED (SELECT request_id, region, CAST(ux AS DOUBLE) AS ux, CAST(uy AS DOUBLE) AS uy, sqrt(sq) AS n, CAST(a2 - a1 AS DOUBLE) / sqrt(sq) AS w, CAST(b2 - b1 AS DOUBLE) / sqrt(sq) AS h,
+  ux * (CAST(a1 + a2 AS DOUBLE) / 2 / sq) - uy * (CAST(b1 + b2 AS DOUBLE) / 2 / sq) AS x, uy * (CAST(a1 + a2 AS DOUBLE) / 2 / sq) + ux * (CAST(b1 + b2 AS DOUBLE) / 2 / sq) AS y FROM {p}pb)"""
 
 
 def _corners(w: str, h: str) -> str:
@@ -287,7 +288,7 @@ adb AS (SELECT request_id, region, 0 AS part, k, block_index, x1, y1, x2, y2 FRO
   UNION ALL SELECT b.request_id, w.region, 1, b.block_index, b.block_index, b.x1, b.y1, b.x2, b.y2 FROM wd w JOIN bl b ON b.request_id = w.request_id AND b.keyword AND NOT list_contains(w.taken, b.block_index)
     AND (((b.x1 + b.x2) / 2 BETWEEN w.x1 AND w.x2 AND (b.y1 + b.y2) / 2 BETWEEN w.y1 AND w.y2) OR NOT (w.x2 < b.x1 OR w.x1 > b.x2 OR w.y2 < b.y1 OR w.y1 > b.y2))),
 af AS (SELECT request_id, region, list(block_index ORDER BY part, k) AS ids, {_FRAME} FROM adb m GROUP BY request_id, region),
-{_rectangles("pt", "SELECT DISTINCT request_id, region, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y FROM adb")},
+{_rectangles("SELECT DISTINCT request_id, region, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y FROM adb")},
 up AS (SELECT request_id, region, list_transform({_corners("greatest(w, 24) * 1.55::DOUBLE", "greatest(h, 24) * 1.8::DOUBLE")}, lambda p: [greatest(0, p[1]), greatest(0, p[2])]) AS poly FROM rect),
 adc AS MATERIALIZED (SELECT u.request_id, row_number() OVER (PARTITION BY u.request_id ORDER BY u.region) AS n, count(*) OVER (PARTITION BY u.request_id) AS total, f.ids, u.poly,
     list_min(list_transform(u.poly, lambda p: p[1])) AS x1, list_min(list_transform(u.poly, lambda p: p[2])) AS y1, list_max(list_transform(u.poly, lambda p: p[1])) AS x2, list_max(list_transform(u.poly, lambda p: p[2])) AS y2,
@@ -412,23 +413,77 @@ SQL["view_gates"] = f"""WITH RECURSIVE {FEATURES}, g AS (SELECT *, 600 + request
 SELECT request_id, boxes = 0 OR (solid <= 12 AND meaningful <= 6) OR (solid <= 18 AND NOT digits AND side >= 800) AS scan,
   boxes = 0 OR (NOT risk AND ((solid <= 24 AND meaningful <= 10) OR (digits AND noise_words > 0) OR (side >= 800 AND meaningful <= 12))) AS rotation,
   side >= 1800 AND (boxes = 0 OR (meaningful = 0 AND ((boxes <= 8 AND marks >= greatest(3, boxes - 1)) OR (confidence < 0.45 AND marks >= greatest(1, boxes // 2))))) AS tiles FROM g"""
-SQL["focus_regions"] = rf"""WITH RECURSIVE {FEATURES}, {_CLUSTERS},
-cm AS (SELECT request_id, ordinal, unnest(members) AS i FROM cl),
-cs AS (SELECT m.request_id, m.ordinal, list(m.i ORDER BY m.i) AS members, string_agg(b.text, '' ORDER BY m.i) AS text, sum(greatest(1, (b.x2 - b.x1) * (b.y2 - b.y1))) AS text_area, sum(len(b.hit_keywords)) AS keywords,
-    sum(CASE WHEN len(b.phones) > 0 THEN 1 ELSE 0 END + CASE WHEN len(b.wechat_ids) > 0 THEN 1 ELSE 0 END + CASE WHEN len(b.qqs) > 0 THEN 1 ELSE 0 END) AS contacts,
-    sum(CASE WHEN regexp_matches(b.text, '\p{{Nd}}{{6,}}') THEN 1 ELSE 0 END) AS digits, count(*) AS boxes, min(b.x1) AS x1, min(b.y1) AS y1, max(b.x2) AS x2, max(b.y2) AS y2
-  FROM cm m JOIN bl b ON b.request_id = m.request_id AND b.block_index = m.i GROUP BY m.request_id, m.ordinal),
-cw AS (SELECT *, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h, len({_hits((*NOISE, *NOISE_OF_READINGS))}) > 0 AS noisy,
-  CASE WHEN least(x2 - x1, y2 - y1) <= 1 OR greatest(x2 - x1, y2 - y1) / greatest(1, least(x2 - x1, y2 - y1)) > 4.5 THEN 0.55 ELSE 1.0 END::DOUBLE AS shape FROM cs),
-cg AS (SELECT * EXCLUDE (x1, y1, x2, y2), least(greatest(0, x1 - greatest(10, {_cut("w * 0.08::DOUBLE")})), 899) AS x1, least(greatest(0, y1 - greatest(12, {_cut("h * 0.10::DOUBLE")})), 999) AS y1,
-  x2 + greatest(10, {_cut("w * 0.08::DOUBLE")}) AS rx, y2 + greatest(12, {_cut("h * 0.10::DOUBLE")}) AS ry FROM cw),
-ck AS (SELECT *, least(greatest(x1 + 1, rx), 900) AS x2, least(greatest(y1 + 1, ry), 1000) AS y2 FROM cg),
-cz AS (SELECT k.*, f.low, CAST(printf('%.4f', greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, keywords / 3.0::DOUBLE) * 0.34::DOUBLE + least(1.0::DOUBLE, (contacts + k.digits) / 3.0::DOUBLE) * 0.24::DOUBLE
-    + least(1.0::DOUBLE, CAST(text_area AS DOUBLE) / greatest(1, (k.x2 - k.x1) * (k.y2 - k.y1)) * 2.8::DOUBLE) * 0.14::DOUBLE + least(1.0::DOUBLE, boxes / 4.0::DOUBLE) * 0.12::DOUBLE + shape * 0.16::DOUBLE
-    - CASE WHEN f.low AND keywords = 0 AND noisy THEN 0.18 ELSE 0.0 END::DOUBLE))) AS DOUBLE) AS score
-  FROM ck k JOIN fs f ON f.request_id = k.request_id WHERE f.words = 0 OR keywords > 0 OR k.digits > 0)
-SELECT request_id, CAST(ordinal AS INT) AS ordinal, score, x1, y1, x2, y2, {_joined("members")} AS members FROM cz WHERE x2 - x1 >= 48 AND y2 - y1 >= 48
-QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, ordinal) = 1 AND score >= 0.55"""
+_OUTLINES = """kc AS (SELECT *, CASE WHEN card = 1 THEN (x2 - x1) // 4 ELSE 0 END AS cut FROM cd),
+kp AS (SELECT request_id, card AS region, unnest([x1 + cut, x2 - cut, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y FROM kc)"""
+
+
+def _padded(p, x: str = "w", y: str = "h") -> str:
+    (a, b, c, d) = ((f"greatest({least}, {_cut(f'{side} * {share}::DOUBLE')})") for (least, share), side in zip(p, (x, x, y, y)))
+    return f"x1 - {a} AS fx1, x2 + {b} AS fx2, y1 - {c} AS fy1, y2 + {d} AS fy2"
+
+
+_NEARBY = f"""list(b.block_index ORDER BY b.block_index) FILTER (((b.x1 + b.x2) / 2 BETWEEN e.x1 AND e.x2 AND (b.y1 + b.y2) / 2 BETWEEN e.y1 AND e.y2) OR {_iou("e", "b")} >= 0.08)"""
+FOCUS = rf"""{FEATURES}, {_CLUSTERS}, {CARDS}, {_OUTLINES}, {_rectangles("SELECT DISTINCT request_id, region, x, y FROM kp", "k")},
+kx AS MATERIALIZED (SELECT c.*, degrees(atan(r.uy / r.ux)) AS angle,
+    CASE WHEN abs((x2 - x1 - 2 * cut) - (x2 - x1)) / greatest(x2 - x1 - 2 * cut, x2 - x1, 1.0::DOUBLE) > 0.15 THEN 'trapezoid' ELSE 'rectangle' END AS shape
+  FROM kc c JOIN krect r ON r.request_id = c.request_id AND r.region = c.card),
+om AS (SELECT request_id, median((y1 + y2) / 2) AS middle FROM bl GROUP BY request_id),
+ob AS MATERIALIZED (SELECT b.request_id, b.block_index FROM bl b JOIN om m ON m.request_id = b.request_id WHERE b.block_index % 3 = 2 AND length(regexp_replace(text, '\s', '', 'g')) <= 4 AND regexp_matches(text, '{_SOLID}')
+  AND (y1 + y2) / 2 >= middle + greatest(40.0::DOUBLE, greatest(1, y2 - y1) * 0.6::DOUBLE) AND (regexp_matches(text, '[0-9]') OR greatest(greatest(1, x2 - x1), greatest(1, y2 - y1)) / least(greatest(1, x2 - x1), greatest(1, y2 - y1)) >= 1.15)),
+ft2 AS MATERIALIZED (SELECT f.request_id, f.words, f.contact, f.low, f.solid <= 8 AS scant, EXISTS (SELECT 1 FROM kc c WHERE c.request_id = f.request_id) AS card, EXISTS (SELECT 1 FROM ob o WHERE o.request_id = f.request_id) AS oblique FROM fs f),
+cb AS (SELECT c.request_id, 0 AS src, CAST(ordinal AS BIGINT) AS place, min(b.x1) AS x1, min(b.y1) AS y1, max(b.x2) AS x2, max(b.y2) AS y2, any_value(c.members) AS members
+  FROM (SELECT *, unnest(members) AS i FROM cl) c JOIN bl b ON b.request_id = c.request_id AND b.block_index = c.i GROUP BY c.request_id, ordinal),
+raw AS (SELECT request_id, src, place, members, {_padded(((10, 0.08), (10, 0.08), (12, 0.10), (12, 0.10)))} FROM (SELECT *, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h FROM cb)
+  UNION ALL SELECT request_id, 1, card, NULL, {_padded(_KINDS["card"])} FROM (SELECT c.*, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h FROM kc c JOIN ft2 f ON f.request_id = c.request_id WHERE NOT f.scant)
+  UNION ALL SELECT request_id, 1, card, NULL, {_padded(_KINDS["wide"])} FROM (SELECT c.*, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h FROM kc c JOIN ft2 f ON f.request_id = c.request_id WHERE f.scant)
+  UNION ALL SELECT request_id, 2, block_index, NULL, {_padded(_KINDS["box"])} FROM (SELECT b.*, greatest(1, x2 - x1) AS w, greatest(1, y2 - y1) AS h FROM bl b JOIN ob o ON o.request_id = b.request_id AND o.block_index = b.block_index)),
+fr0 AS (SELECT *, least(greatest(0, fx1), 899) AS x1, least(greatest(0, fy1), 999) AS y1 FROM raw),
+fr AS MATERIALIZED (SELECT request_id, src, place, members, x1, y1, least(greatest(x1 + 1, fx2), 900) AS x2, least(greatest(y1 + 1, fy2), 1000) AS y2, row_number() OVER (PARTITION BY request_id ORDER BY src, place) AS region FROM fr0),
+fe AS (SELECT request_id, region, src, place, x1 - greatest(12, {_cut("(x2 - x1) * 0.14::DOUBLE")}) AS x1, y1 - greatest(12, {_cut("(y2 - y1) * 0.14::DOUBLE")}) AS y1, x2 + greatest(12, {_cut("(x2 - x1) * 0.14::DOUBLE")}) AS x2, y2 + greatest(12, {_cut("(y2 - y1) * 0.14::DOUBLE")}) AS y2 FROM fr WHERE src > 0),
+nb AS (SELECT e.request_id, e.region, e.src, e.place, {_NEARBY} AS near FROM fe e JOIN bl b ON b.request_id = e.request_id GROUP BY e.request_id, e.region, e.src, e.place),
+fm AS MATERIALIZED (SELECT r.* EXCLUDE (members), coalesce(CASE WHEN r.src = 0 THEN r.members WHEN r.src = 1 THEN n.near ELSE list_sort(list_distinct(list_append(coalesce(n.near, []), CAST(r.place AS INT)))) END, []) AS members
+  FROM fr r LEFT JOIN nb n ON n.request_id = r.request_id AND n.region = r.region),
+mb AS MATERIALIZED (SELECT m.request_id, m.region, b.* EXCLUDE (request_id), b.block_index IN (SELECT o.block_index FROM ob o WHERE o.request_id = b.request_id) AS scrap
+  FROM (SELECT request_id, region, unnest(members) AS i FROM fm) m JOIN bl b ON b.request_id = m.request_id AND b.block_index = m.i),
+{_rectangles("SELECT DISTINCT request_id, region, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y FROM mb", "f")},
+ms AS (SELECT request_id, region, string_agg(text, '' ORDER BY block_index) AS text, sum(greatest(1, (x2 - x1) * (y2 - y1))) AS text_area, sum(len(hit_keywords)) AS keywords,
+    sum(CASE WHEN len(phones) > 0 THEN 1 ELSE 0 END + CASE WHEN len(wechat_ids) > 0 THEN 1 ELSE 0 END + CASE WHEN len(qqs) > 0 THEN 1 ELSE 0 END) AS contacts,
+    sum(CASE WHEN regexp_matches(text, '\p{{Nd}}{{6,}}') THEN 1 ELSE 0 END) AS digits, count(*) AS boxes, sum(CASE WHEN scrap THEN 1 ELSE 0 END) AS oblique FROM mb GROUP BY request_id, region),
+mn AS (SELECT *, len({_hits((*NOISE, *NOISE_OF_READINGS))}) > 0 AS noisy FROM ms),
+kv AS (SELECT f.request_id, f.region, k.card, {_iou("f", "k")} AS overlap FROM fm f JOIN kx k ON k.request_id = f.request_id WHERE f.src <> 1),
+ko AS (SELECT request_id, region, card, overlap FROM kv WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY request_id, region ORDER BY overlap DESC, card) = 1),
+fc AS (SELECT f.*, CASE WHEN f.src = 1 THEN f.place ELSE o.card END AS card, coalesce(o.overlap, 0.0::DOUBLE) AS overlap FROM fm f LEFT JOIN ko o ON o.request_id = f.request_id AND o.region = f.region),
+fg AS (SELECT c.request_id, c.region, c.src, c.place, c.members, c.x1, c.y1, c.x2, c.y2, c.card, c.overlap, k.angle AS card_angle, k.shape AS card_shape, greatest(1, (k.x2 - k.x1) * (k.y2 - k.y1)) AS card_area, greatest(1, (c.x2 - c.x1) * (c.y2 - c.y1)) AS region_area,
+    CASE WHEN k.card IS NOT NULL THEN k.angle WHEN r.w IS NULL THEN 0.0::DOUBLE ELSE degrees(atan(r.uy / r.ux)) END AS angle,
+    CASE WHEN k.card IS NOT NULL THEN k.shape WHEN r.w IS NULL OR least(r.w, r.h) <= 1 OR greatest(r.w, r.h) / greatest(1.0::DOUBLE, least(r.w, r.h)) > 4.5 THEN 'irregular' ELSE 'rectangle' END AS shape,
+    coalesce(n.keywords, 0) AS keywords, coalesce(n.contacts, 0) AS contacts, coalesce(n.digits, 0) AS digits, coalesce(n.boxes, 0) AS boxes, coalesce(n.text_area, 0) AS text_area, coalesce(n.oblique, 0) AS scraps, coalesce(n.noisy, false) AS noisy,
+    t.words, t.contact, t.low, t.scant, t.card AS has_card, t.oblique AS has_oblique
+  FROM fc c LEFT JOIN kx k ON k.request_id = c.request_id AND k.card = c.card LEFT JOIN frect r ON r.request_id = c.request_id AND r.region = c.region LEFT JOIN mn n ON n.request_id = c.request_id AND n.region = c.region
+  JOIN ft2 t ON t.request_id = c.request_id),
+s1 AS (SELECT *, least(1.0::DOUBLE, keywords / 3.0::DOUBLE) * 0.34::DOUBLE + least(1.0::DOUBLE, (contacts + digits) / 3.0::DOUBLE) * 0.24::DOUBLE + least(1.0::DOUBLE, CAST(text_area AS DOUBLE) / region_area * 2.8::DOUBLE) * 0.14::DOUBLE
+    + least(1.0::DOUBLE, boxes / 4.0::DOUBLE) * 0.12::DOUBLE + CASE shape WHEN 'rectangle' THEN 1.0 WHEN 'trapezoid' THEN 0.9 ELSE 0.55 END::DOUBLE * 0.16::DOUBLE + CASE WHEN src <> 1 AND overlap >= 0.2 THEN 0.18 ELSE 0.0 END::DOUBLE
+    + CASE WHEN card IS NOT NULL THEN least(0.12::DOUBLE, CAST(card_area AS DOUBLE) / region_area * 0.04::DOUBLE) ELSE 0.0::DOUBLE END + CASE WHEN low AND src = 1 THEN 0.16 ELSE 0.0 END::DOUBLE
+    - CASE WHEN low AND src = 0 AND keywords = 0 AND noisy THEN 0.18 ELSE 0.0 END::DOUBLE + CASE WHEN contact AND keywords = 0 AND src = 1 THEN 0.08 ELSE 0.0 END::DOUBLE AS s FROM fg),
+s2 AS (SELECT *, CASE WHEN src = 1 AND scant AND card_area / 900000.0::DOUBLE >= 0.015 THEN greatest(s, 0.46::DOUBLE) ELSE s END + CASE WHEN src = 1 AND scant THEN 0.08 ELSE 0.0 END::DOUBLE + CASE WHEN src = 1 AND scant AND abs(angle) >= 8 THEN 0.06 ELSE 0.0 END::DOUBLE
+    + CASE WHEN scraps > 0 AND src = 2 THEN 0.32 ELSE 0.0 END::DOUBLE + CASE WHEN scraps > 0 AND src <> 2 AND keywords = 0 AND contacts = 0 THEN least(0.18::DOUBLE, scraps * 0.12::DOUBLE) ELSE 0.0::DOUBLE END AS t FROM s1),
+s3 AS (SELECT *, CAST(printf('%.4f', greatest(0.0::DOUBLE, least(1.0::DOUBLE, t))) AS DOUBLE) AS score FROM s2 WHERE x2 - x1 >= 48 AND y2 - y1 >= 48 AND NOT (src = 0 AND words > 0 AND keywords = 0 AND digits = 0)),
+fx AS MATERIALIZED (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, src, place) = 1
+  AND score >= least(CASE WHEN has_card AND scant THEN 0.32 ELSE 0.55 END, CASE WHEN has_oblique AND words = 0 AND NOT contact THEN 0.4 ELSE 0.55 END))"""
+SQL["focus_regions"] = f"""WITH RECURSIVE {FOCUS} SELECT request_id, ['text_cluster', 'card_candidate', 'oblique_small_text'][src + 1] AS source, CAST(place AS INT) AS place, score, x1, y1, x2, y2, shape, round(angle, 6) AS angle, CAST(card AS INT) AS card, {_joined("members")} AS members FROM fx"""
+
+# The map from an upright rectangle of w x h to four corners in closed form, where the engine solves eight equations.
+SQL["view_maps"] = """WITH d AS (SELECT p_partkey, 2 + p_partkey % 7 AS s, 1 + p_partkey % 5 AS t, [4, 12, 5, 3, 1, -4][p_partkey % 6 + 1] AS dx, [3, 5, 12, -4, 0, 3][p_partkey % 6 + 1] AS dy, 100 + p_partkey % 300 AS x0, 100 + p_partkey % 200 AS y0 FROM part),
+q AS (SELECT p_partkey, unnest([0, 1, 2, 3]) AS i, unnest([x0, x0 + dx * s, x0 + dx * s - dy * t + p_partkey % 11, x0 - dy * t]) AS x, unnest([y0, y0 + dy * s + p_partkey % 7, y0 + dy * s + dx * t, y0 + dx * t]) AS y FROM d),
+o AS (SELECT p_partkey, arg_min([x, y], (x + y) * 10 + i) AS a, arg_min([x, y], (y - x) * 10 + i) AS b, arg_max([x, y], (x + y) * 10 - i) AS c, arg_max([x, y], (y - x) * 10 - i) AS e FROM q GROUP BY p_partkey),
+z AS (SELECT p_partkey, CAST(a[1] AS DOUBLE) AS ua, CAST(a[2] AS DOUBLE) AS va, CAST(b[1] AS DOUBLE) AS ub, CAST(b[2] AS DOUBLE) AS vb, CAST(c[1] AS DOUBLE) AS uc, CAST(c[2] AS DOUBLE) AS vc, CAST(e[1] AS DOUBLE) AS ue, CAST(e[2] AS DOUBLE) AS ve FROM o),
+g AS (SELECT *, CAST(greatest(32, floor(greatest(sqrt((ub - ua) ** 2 + (vb - va) ** 2), sqrt((uc - ue) ** 2 + (vc - ve) ** 2)))) AS INT) AS w, CAST(greatest(32, floor(greatest(sqrt((ue - ua) ** 2 + (ve - va) ** 2), sqrt((uc - ub) ** 2 + (vc - vb) ** 2)))) AS INT) AS h,
+  ua - ub + uc - ue AS sx, va - vb + vc - ve AS sy, (ub - uc) * (ve - vc) - (ue - uc) * (vb - vc) AS det FROM z
+  WHERE ((ub - ua) * (vc - va) - (vb - va) * (uc - ua)) <> 0 AND ((ub - ua) * (ve - va) - (vb - va) * (ue - ua)) <> 0 AND ((uc - ua) * (ve - va) - (vc - va) * (ue - ua)) <> 0 AND ((uc - ub) * (ve - vb) - (vc - vb) * (ue - ub)) <> 0),
+k AS (SELECT *, (sx * (ve - vc) - (ue - uc) * sy) / det AS gg, ((ub - uc) * sy - sx * (vb - vc)) / det AS hh FROM g),
+m AS (SELECT p_partkey, w, h, [(ub - ua + gg * ub) / (w - 1), (ue - ua + hh * ue) / (h - 1), ua, (vb - va + gg * vb) / (w - 1), (ve - va + hh * ve) / (h - 1), va, gg / (w - 1), hh / (h - 1), 1.0] AS m FROM k),
+p AS (SELECT p_partkey, 300 + p_partkey % 500 AS w, 200 + p_partkey % 700 AS h FROM part)
+SELECT p_partkey, 'pre_card_0' AS name, 1.8::DOUBLE AS scale, 0 AS quadrants, w AS crop_width, h AS crop_height, array_to_string(list_transform(m, lambda v: printf('%.4f', v + 1.2345678e-5::DOUBLE)), ' ') AS matrix, NULL AS x, NULL AS y FROM m
+UNION ALL SELECT p_partkey, 'full_rotate_90', 1.0, 1, w, h, '', 27, h - 18 FROM p UNION ALL SELECT p_partkey, 'full_rotate_180', 1.0, 2, w, h, '', w - 18, h - 27 FROM p UNION ALL SELECT p_partkey, 'full_rotate_270', 1.0, 3, w, h, '', w - 27, 18 FROM p"""
 
 _STARTS = "list_sort(list_distinct([{}]))"
 SQL["ocr_views"] = f"""WITH p AS (SELECT p_partkey, CAST(300 + (p_partkey * 37) % 2200 AS INT) AS w, CAST(300 + (p_partkey * 53) % 2400 AS INT) AS h FROM part),
@@ -449,7 +504,7 @@ SQL["ad_polygons"] = f"""WITH RECURSIVE {ADS} SELECT request_id, CAST(position A
 _TURNED = """tp AS (SELECT p_partkey, p_partkey // 5 AS request_id, CAST(p_partkey % 5 AS INT) AS region, 2 + p_partkey % 7 AS s, 1 + p_partkey % 5 AS t, [4, 12, 5, 3, 1, -4][p_partkey % 6 + 1] AS dx, [3, 5, 12, -4, 0, 3][p_partkey % 6 + 1] AS dy,
   100 + p_partkey % 300 AS x0, 100 + p_partkey % 200 AS y0 FROM part),
 tc AS (SELECT request_id, region AS box, unnest([x0, x0 + dx * s, x0 + dx * s - dy * t, x0 - dy * t]) AS x, unnest([y0, y0 + dy * s, y0 + dy * s + dx * t, y0 + dx * t]) AS y FROM tp)"""
-SQL["refined_regions"] = f"""WITH {_TURNED}, {_rectangles("pt", "SELECT DISTINCT request_id, 0 AS region, x, y FROM tc")}
+SQL["refined_regions"] = f"""WITH {_TURNED}, {_rectangles("SELECT DISTINCT request_id, 0 AS region, x, y FROM tc")}
 SELECT request_id, round(degrees(atan(uy / ux)), 6) AS angle, round(w, 6) AS width, round(h, 6) AS height, {_POLYGON.format(_corners("greatest(w, 24) * 1.55::DOUBLE", "greatest(h, 24) * 1.8::DOUBLE"))} AS points,
   {_POLYGON.format("list_transform(" + _corners("greatest(w, 24) * 1.55::DOUBLE", "greatest(h, 24) * 1.8::DOUBLE") + ", lambda p: [least(greatest(0, p[1]), 399), least(greatest(0, p[2]), 299)])")} AS clipped,
   CASE WHEN least(w, h) <= 1 OR greatest(w, h) / greatest(1.0::DOUBLE, least(w, h)) > 4.5 THEN 'irregular' ELSE 'rectangle' END AS shape FROM rect"""

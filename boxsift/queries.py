@@ -19,6 +19,8 @@ from boxsift.operators import focus as X
 from boxsift.operators import planning as P
 from boxsift.operators import readings as D
 from boxsift.operators import regions as R
+from boxsift.operators import selection as S
+from boxsift.operators import views as V
 from boxsift.plans.evaluate import Evaluation, evaluate, evaluate_requests, evaluate_text
 from boxsift.rules import RuleSet
 from boxsift.sources import boxes as B
@@ -463,31 +465,37 @@ def focus_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select("request_id", "block_index", F.inline(F.array(*rows)))
 
 
+def card_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards with their four corners: the first of a request a rectangle, the second narrower at the top."""
+    at = lambda x, y: F.array(x.cast("int"), F.col(y).cast("int"))
+    inset = F.when(F.col("card") == 1, F.floor((F.col("x2") - F.col("x1")) / 4)).otherwise(0)
+    points = F.array(at(F.col("x1") + inset, "y1"), at(F.col("x2") - inset, "y1"), at(F.col("x2"), "y2"), at(F.col("x1"), "y2"))
+    return cards(spark, sf_dir).withColumn("points", points)
+
+
+def focused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the frame for a closer look, in an image of 900 x 1000; every third box counts as turned by 30 degrees."""
+    rows = evaluated(spark, sf_dir).nested.withColumn("blocks", F.transform("blocks", lambda b: b.withField("angle", F.when(b["block_index"] % 3 == 2, 30.0).otherwise(0.0))))
+    rows = S.with_card_lists(rows, card_outlines(spark, sf_dir)).withColumns({"image_width": F.lit(900), "image_height": F.lit(1000)})
+    return S.with_focus(P.round_features(rows, F.size("cards") > 0, RULES), RULES)
+
+
 @query
 def focus_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best cluster of each request for a closer look, in an image of 900 x 1000 without cards."""
-    rows = D.clusters(features(spark, sf_dir), "blocks")
-    rows = rows.select("request_id", "blocks", "keyword_count", "has_contact", "has_oblique", "low_confidence", "low_recall", F.posexplode("clusters").alias("ordinal", "members"))
-    rows = rows.withColumn("own", F.transform("members", lambda i: F.get("blocks", i))).withColumn("joined", F.array_join(F.transform("own", lambda r: r["text"]), ""))
-    b = R.bounds(F.col("own"))
-    frame = X.cluster_frame(b, F.lit(900), F.lit(1000))
-    total = lambda f: F.aggregate("own", F.lit(0), lambda a, r: a + f(r))
-    area = total(lambda r: F.greatest(F.lit(1), (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])))
-    kinds = lambda r: sum(((F.size(r[c]) > 0).cast("int") for c in ("wechat_ids", "qqs")), (F.size(r["phones"]) > 0).cast("int"))
-    rows = rows.select(
-        *[c for c in rows.columns if c not in ("blocks", "own")],
-        area.alias("text_area"),
-        X.rectangle_shape(G.smallest_rectangle(R.corner_cloud(F.col("own")))).alias("shape"),
-        total(lambda r: F.size(F.array_union(r["medical_hits"], r["illegal_hits"]))).alias("keywords"),
-        total(kinds).alias("contacts"),
-        total(lambda r: T.has_contact_digits(r["text"]).cast("int")).alias("digits"),
-        F.size("members").alias("boxes"),
-        *[v.alias(k) for k, v in frame.items()],
-    )
-    rows = rows.withColumns({
-        "region_area": F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), "angle": F.lit(0.0), "source": F.lit("text_cluster"), "overlap": F.lit(0.0),
-        "card_area": F.lit(None).cast("int"), "preset": F.lit(False), "image_area": F.lit(900_000), "oblique": F.lit(0), "has_card": F.lit(False),
-        "noisy": F.size(P.noise_of_reading(F.col("joined"), RULES)) > 0,
-    })
-    rows = rows.where("keyword_count = 0 OR keywords > 0 OR digits > 0").withColumn("score", X.focus_score())
-    return X.best_frames(rows).select("request_id", "ordinal", "score", "x1", "y1", "x2", "y2", joined("members").alias("members"))
+    """The best frame of each request among clusters, cards and oblique scraps of text."""
+    rows = focused(spark, sf_dir).where("focus IS NOT NULL")
+    return rows.select("request_id", *[f"focus.{c}" for c in ("source", "place", "score", "x1", "y1", "x2", "y2", "shape")], F.round("focus.angle", 6).alias("angle"), F.col("focus.card.card").alias("card"), joined("focus.members").alias("members"))
+
+
+@query
+def view_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turned views of an image for each part and the straightened view of a card in it, with their maps back (off ties by a
+    constant) and where a point of the view lies in the image."""
+    k = F.col("p_partkey").cast("int")
+    points = F.transform("points", lambda p, i: F.array(p[0] + F.when(i == 2, k % 11).otherwise(0), p[1] + F.when(i == 1, k % 7).otherwise(0)))
+    rows = turned_points(spark, sf_dir).select("p_partkey", (300 + k % 500).alias("w"), (200 + k % 700).alias("h"), F.array(F.struct(points.alias("points"))).alias("cards"))
+    rows = rows.select("p_partkey", F.explode(F.concat(V.rotation_views(F.col("w"), F.col("h")), V.card_views(F.col("cards")))).alias("v"))
+    probe = F.array(F.array(F.lit(18), F.lit(27)))
+    matrix = F.array_join(F.transform(F.flatten("v.matrix"), lambda x: F.format_string("%.4f", x + 1.2345678e-5)), " ")
+    back = F.get(X.mapped_back(probe, F.col("v")), F.lit(0))
+    return rows.select("p_partkey", *[f"v.{c}" for c in ("name", "scale", "quadrants", "crop_width", "crop_height")], F.coalesce(matrix, F.lit("")).alias("matrix"), F.when(F.col("v.matrix").isNull(), back[0]).alias("x"), F.when(F.col("v.matrix").isNull(), back[1]).alias("y"))
