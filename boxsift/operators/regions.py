@@ -35,6 +35,29 @@ def nested(found: DataFrame) -> DataFrame:
     return found.groupBy("request_id").agg(F.array_sort(F.collect_list(box)).alias("blocks"))
 
 
+def blocks_of(readings: Column, rules: RuleSet) -> Column:
+    """Readings (text, confidence, x1, y1, x2, y2, points) as the blocks that nested gives, numbered in their order."""
+    fields = ("medical_hits", "illegal_hits", "phones", "wechat_ids", "qqs", "contact_hits", "noise_hits")
+
+    def block(r: Column, k: Column) -> Column:
+        return bound({"r": r, "k": k.cast("int"), **E.hit_columns(r["text"], rules)}, told)
+
+    def told(t: Column) -> Column:
+        r, some = t["r"], {c: F.size(t[c]) > 0 for c in fields}
+        contact = some["phones"] | some["wechat_ids"] | some["qqs"]
+        flags = {
+            "angle": G.angle(r["points"]),
+            "corners": F.when(~G.is_level(r["points"]), r["points"]),
+            "keyword": some["medical_hits"] | some["illegal_hits"],
+            "contact": contact,
+            "contact_like": contact | some["contact_hits"] | T.has_contact_digits(r["text"]),
+            "noise": some["noise_hits"],
+        }
+        return F.struct(t["k"].alias("block_index"), *[r[c].alias(c) for c in ("text", "x1", "y1", "x2", "y2", "confidence")], *[t[c].alias(c) for c in E.HIT_COLUMNS], *[v.alias(c) for c, v in flags.items()])
+
+    return F.transform(readings, block)
+
+
 def bounds(boxes: Column) -> dict[str, Column]:
     low = lambda c: F.array_min(F.transform(boxes, lambda b: b[c]))
     high = lambda c: F.array_max(F.transform(boxes, lambda b: b[c]))
@@ -89,11 +112,15 @@ def text_regions(requests: DataFrame, rules: RuleSet) -> DataFrame:
 
 def with_cards(requests: DataFrame, cards: DataFrame) -> DataFrame:
     """Puts ahead of the regions those of cards (request_id, card, x1, y1, x2, y2) that hold a box: all boxes on the card."""
-    told = requests.join(gathered(cards), "request_id", "left")
+    return with_card_regions(requests.join(gathered(cards), "request_id", "left")).drop("cards")
+
+
+def with_card_regions(requests: DataFrame) -> DataFrame:
+    """The same for requests that have their cards in an array."""
     held = lambda k: F.transform(F.filter("blocks", lambda b: on_card(k, b)), lambda b: b["block_index"])
     region = lambda k: F.struct(F.lit(None).cast("int").alias("anchor"), held(k).alias("members"), *[k[c].alias(c) for c in ("x1", "y1", "x2", "y2")]).cast(REGION)
     of_cards = F.filter(F.coalesce(F.transform("cards", region), F.array().cast(f"array<{REGION}>")), lambda r: F.size(r["members"]) > 0)
-    return told.withColumn("regions", F.concat(of_cards, "regions")).drop("cards")
+    return requests.withColumn("regions", F.concat(of_cards, "regions"))
 
 
 def median(values: Column) -> Column:

@@ -396,11 +396,12 @@ ft AS MATERIALIZED (SELECT *, array_to_string(texts, chr(10)) AS text, len(hit_k
 fn AS (SELECT *, len({_hits((*NOISE, *NOISE_OF_READINGS))}) AS noise_words, len({_hits((*MEDICAL, *ILLEGAL))}) > 0 AS risk FROM ft),
 fs AS MATERIALIZED (SELECT *, (contact AND words = 0 AND (noise_words > 0 OR scraps >= greatest(1, len(texts) // 2))) OR (len(hit_rules) > 0
   AND len(list_filter(hit_rules, lambda r: r NOT IN ('contact.phone', 'contact.wechat', 'contact.qq', 'fallback.phone_only'))) = 0) AS low FROM fn)"""
-SQL["semantic_score"] = f"""WITH RECURSIVE {FEATURES}, h AS (SELECT *, len(list_filter(hit_keywords, lambda w: w IN ('医保', '医保卡', '统筹', '报销', '住院报销', '门诊统筹', '保取', '保提'))) AS med,
-  len(list_filter(hit_keywords, lambda w: w IN ('套现', '取现', '提现', '回收', '高价回收'))) AS ill FROM fs)
-SELECT request_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, least(3, med) * 18.0::DOUBLE + least(3, ill) * 16.0::DOUBLE + CASE WHEN len(phones) > 0 THEN 16 ELSE 0 END + CASE WHEN len(wechat_ids) > 0 THEN 14 ELSE 0 END
+_KNOWN = """sh AS (SELECT *, len(list_filter(hit_keywords, lambda w: w IN ('医保', '医保卡', '统筹', '报销', '住院报销', '门诊统筹', '保取', '保提'))) AS med,
+  len(list_filter(hit_keywords, lambda w: w IN ('套现', '取现', '提现', '回收', '高价回收'))) AS ill FROM fs)"""
+_MEANING = f"""round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, least(3, med) * 18.0::DOUBLE + least(3, ill) * 16.0::DOUBLE + CASE WHEN len(phones) > 0 THEN 16 ELSE 0 END + CASE WHEN len(wechat_ids) > 0 THEN 14 ELSE 0 END
   + CASE WHEN len(qqs) > 0 THEN 10 ELSE 0 END + CASE WHEN med > 0 AND contact THEN 18 ELSE 0 END + least(12.0::DOUBLE, {_count("trim(x) <> ''")} * 2.5::DOUBLE) + least(8.0::DOUBLE, length(trim(replace(text, chr(10), ''))) / 10.0::DOUBLE)
-  - noise_words * 16.0::DOUBLE - odd * 3.0::DOUBLE - CASE WHEN regexp_matches(text, '[?？]{{2,}}') THEN 8 ELSE 0 END)), 4) AS semantic_score, CAST(solid AS BIGINT) AS solid_length, low AS low_confidence FROM h"""
+  - noise_words * 16.0::DOUBLE - odd * 3.0::DOUBLE - CASE WHEN regexp_matches(text, '[?？]{{2,}}') THEN 8 ELSE 0 END)), 4)"""
+SQL["semantic_score"] = f"WITH RECURSIVE {FEATURES}, {_KNOWN} SELECT request_id, {_MEANING} AS semantic_score, CAST(solid AS BIGINT) AS solid_length, low AS low_confidence FROM sh"
 SQL["retry_gate"] = f"""WITH RECURSIVE {FEATURES} SELECT request_id, CASE WHEN risk_score >= 69 AND contact AND words >= 2 THEN '' WHEN words < 1 AND NOT contact AND NOT card THEN ''
   WHEN card AND words < 1 AND NOT contact AND solid <= 8 THEN 'card_candidate_low_text_recall' WHEN words >= 2 AND NOT contact THEN 'high_risk_keywords_missing_contact'
   WHEN len(texts) <= 5 AND chars <= 40 AND words >= 1 AND card THEN 'sparse_text_with_risk_words' WHEN risk_score BETWEEN 40 AND 69 AND words >= 1 AND card THEN 'mid_risk_with_card_region'
@@ -471,6 +472,56 @@ fx AS MATERIALIZED (SELECT * FROM s3 QUALIFY row_number() OVER (PARTITION BY req
   AND score >= least(CASE WHEN has_card AND scant THEN 0.32 ELSE 0.55 END, CASE WHEN has_oblique AND words = 0 AND NOT contact THEN 0.4 ELSE 0.55 END))"""
 SQL["focus_regions"] = f"""WITH RECURSIVE {FOCUS} SELECT request_id, ['text_cluster', 'card_candidate', 'oblique_small_text'][src + 1] AS source, CAST(place AS INT) AS place, score, x1, y1, x2, y2, shape, round(angle, 6) AS angle, CAST(card AS INT) AS card, {_joined("members")} AS members FROM fx"""
 
+
+def _carded(sql: str) -> str:
+    """The same with cards ahead of the regions of the text."""
+    out = sql.replace("reg AS MATERIALIZED (", "reg0 AS MATERIALIZED (", 1).replace("WHERE n = anchors)", _CARDED, 1)
+    return out.replace("NOT anchored THEN", "db.request_id NOT IN (SELECT request_id FROM reg) THEN")
+
+
+# A first reading of every other box, looked at again: the first evaluation is a query of its own, the merged readings of each
+# view are the boxes of the second one, under request_id * 10 + view.
+_HALF = "\nbox AS (SELECT * REPLACE (CAST(block_index // 2 AS INT) AS block_index) FROM box0 WHERE block_index % 2 = 0)"
+_BOX0 = BOXES.replace("box AS (", "box0 AS (", 1)
+_FIRST = _carded(FOCUS.replace(f"{CARDS}, {_OUTLINES}", _OUTLINES)).replace(BOXES, f"{_BOX0},{_HALF}", 1)
+_VARIANTS = """list_concat(['normal'], CASE WHEN low AND contact AND words = 0 THEN ['mirrored'] ELSE [] END, CASE WHEN low AND contact AND shape <> 'irregular' THEN ['rotate_180'] ELSE [] END,
+  CASE WHEN src = 1 AND scant THEN ['rotate_180', 'rotate_90', 'rotate_270'] ELSE [] END, CASE WHEN oblique AND words = 0 AND NOT contact THEN ['deskew', 'rotate_90', 'rotate_270'] ELSE [] END,
+  CASE WHEN (y2 - y1) / greatest(x2 - x1, 1) >= 1.45 AND shape <> 'irregular' AND low AND (contact OR partial_contact OR words <= 1) THEN ['rotate_90', 'rotate_270'] ELSE [] END,
+  CASE WHEN shape = 'trapezoid' THEN ['perspective'] WHEN abs(angle) BETWEEN 8 AND 20 THEN ['deskew'] ELSE [] END, CASE WHEN src = 1 AND scant THEN ['deskew', 'perspective'] ELSE [] END)"""
+_PLAN = f"""one AS MATERIALIZED (WITH RECURSIVE {_FIRST}, {_KNOWN}, sm AS (SELECT *, {_MEANING} AS score FROM sh),
+rr AS (SELECT h.*, x.src, x.shape, x.angle AS turn, x.card AS on_card, x.x1 AS fx1, x.y1 AS fy1, x.x2 AS fx2, x.y2 AS fy2, t.scant, t.oblique, t.card AS carded, CASE WHEN risk_score >= 69 AND h.contact AND h.words >= 2 THEN ''
+    WHEN h.words < 1 AND NOT h.contact AND NOT t.card AND NOT t.oblique THEN '' WHEN t.card AND h.words < 1 AND NOT h.contact AND t.scant THEN 'card_candidate_low_text_recall' WHEN h.words >= 2 AND NOT h.contact THEN 'high_risk_keywords_missing_contact'
+    WHEN t.oblique AND h.words < 1 AND NOT h.contact THEN 'oblique_small_text' WHEN len(texts) <= 5 AND chars <= 40 AND h.words >= 1 AND t.card THEN 'sparse_text_with_risk_words' WHEN risk_score BETWEEN 40 AND 69 AND h.words >= 1 AND t.card THEN 'mid_risk_with_card_region'
+    WHEN h.contact AND t.card AND h.words < 1 AND h.low THEN 'contact_only_low_semantic' ELSE '' END AS reason FROM sm h JOIN ft2 t ON t.request_id = h.request_id LEFT JOIN fx x ON x.request_id = h.request_id),
+rv AS (SELECT *, CASE WHEN reason <> '' AND src IS NOT NULL THEN {_VARIANTS.replace("angle", "turn").replace("y2", "fy2").replace("y1", "fy1").replace("x2", "fx2").replace("x1", "fx1")} ELSE [] END AS steps FROM rr),
+rw2 AS (SELECT *, list_filter(steps, lambda s, i: list_position(steps, s) = i)[1:5] AS five FROM rv)
+SELECT request_id, reason, score, hit_keywords, list_filter(five, lambda s: s <> 'perspective' OR on_card IS NOT NULL) AS variants, (SELECT list(struct_pack(card := c.card, x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2) ORDER BY c.card) FROM cd c WHERE c.request_id = rw2.request_id) AS cards FROM rw2)"""
+_TRIES = rf"""{_BOX0},
+vs AS MATERIALIZED (SELECT request_id * 10 + k AS request_id, request_id AS id, k, variants[k + 1] AS variant FROM (SELECT request_id, variants, unnest(range(len(variants))) AS k FROM one)),
+rd0 AS MATERIALIZED (SELECT request_id AS id, block_index, CASE WHEN block_index % 2 = 0 THEN block_index // 2 ELSE 1000 END AS place, text, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS norm, confidence, x1, y1, x2, y2 FROM box0),
+lk AS MATERIALIZED (SELECT v.request_id, 1000 + b.block_index AS i, norm, CASE WHEN b.block_index % 4 = 0 THEN confidence + 1.0::DOUBLE ELSE confidence END AS confidence, x1, y1, x2, y2, row_number() OVER (PARTITION BY v.request_id ORDER BY b.block_index) AS n
+  FROM vs v JOIN rd0 b ON b.id = v.id AND (b.block_index % 2 = 1 OR b.block_index % 4 = 0) AND (b.block_index + v.k) % 3 <> 0),
+fr1 AS (SELECT v.request_id, CAST(c.block_index AS BIGINT) AS i, c.norm, c.confidence, c.x1, c.y1, c.x2, c.y2, c.place FROM vs v JOIN rd0 c ON c.id = v.id AND c.block_index % 2 = 0),
+st1 AS (SELECT request_id, list({_READING} ORDER BY c.place) AS kept FROM fr1 c GROUP BY request_id), {_merge("mf1", "lk", "st1", _REPEAT)},
+md1 AS (SELECT request_id, unnest(kept) AS r, unnest(range(len(kept))) AS place FROM {_last("mf1")}),
+md2 AS MATERIALIZED (SELECT request_id, r.i AS i, r.norm AS norm, r.confidence AS confidence, r.x1 AS x1, r.y1 AS y1, r.x2 AS x2, r.y2 AS y2, row_number() OVER (PARTITION BY request_id ORDER BY r.confidence DESC, place) AS n FROM md1),
+st2 AS (SELECT request_id, list_filter(list({_READING}), lambda x: false) AS kept FROM md2 c GROUP BY request_id), {_merge("mf2", "md2", "st2", _SAME)},
+mg AS MATERIALIZED (SELECT request_id, unnest(kept) AS r, unnest(range(len(kept))) AS place FROM {_last("mf2")}),
+box AS MATERIALIZED (SELECT g.request_id, CAST(g.place AS INT) AS block_index, b.text, b.x1, b.y1, b.x2, b.y2, g.r.confidence AS confidence FROM mg g JOIN vs v ON v.request_id = g.request_id JOIN rd0 b ON b.id = v.id AND b.block_index = g.r.i % 1000)"""
+_CARDS_OF_TRIES = "cd AS (SELECT v.request_id, c.card, c.x1, c.y1, c.x2, c.y2 FROM (SELECT request_id AS id, unnest(cards) AS c FROM one) o JOIN vs v ON v.id = o.id),\ncwide AS"
+_SECOND = _carded(FEATURES).replace(CARDS[: CARDS.index("cwide AS") + len("cwide AS")], _CARDS_OF_TRIES, 1).replace(BOXES, f"{_PLAN},{_TRIES}", 1)
+SQL["retry_run"] = f"""WITH RECURSIVE {_SECOND}, {_KNOWN},
+lc AS (SELECT request_id, CAST((2 * sum(CAST(round(confidence * 1000000) AS BIGINT)) + 100 * count(*)) // (200 * count(*)) AS DOUBLE) / 10000 AS confidence FROM lk GROUP BY request_id),
+sm AS (SELECT *, {_MEANING} AS score FROM sh),
+tr AS (SELECT v.id, v.k, v.variant, h.score, h.hit_keywords, n_blocks, coalesce(l.confidence, 0.0) AS confidence, h.request_id FROM sm h JOIN vs v ON v.request_id = h.request_id LEFT JOIN lc l ON l.request_id = h.request_id),
+bs AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, confidence DESC, n_blocks DESC, k) = 1),
+ch AS MATERIALIZED (SELECT o.request_id, o.reason, o.score AS first_score, b.variant, b.score AS retry_score, coalesce(b.score > o.score OR b.hit_keywords <> o.hit_keywords, false) AS selected, b.request_id AS key FROM one o LEFT JOIN bs b ON b.id = o.request_id),
+fb AS (SELECT c.request_id, b.text, b.x1, b.y1, b.confidence, CAST(b.block_index AS BIGINT) AS place FROM ch c JOIN box b ON b.request_id = c.key WHERE c.selected
+  UNION ALL SELECT c.request_id, b.text, b.x1, b.y1, b.confidence, b.place FROM ch c JOIN rd0 b ON b.id = c.request_id AND b.block_index % 2 = 0 WHERE NOT c.selected),
+fa AS (SELECT request_id, string_agg(text, '|' ORDER BY y1, x1, place) AS ocr_text, count(*) AS n, CAST((2 * sum(CAST(round(confidence * 1000000) AS BIGINT)) + 100 * count(*)) // (200 * count(*)) AS DOUBLE) / 10000 AS confidence FROM fb GROUP BY request_id),
+n1 AS (SELECT id, count(*) AS n FROM rd0 WHERE block_index % 2 = 0 GROUP BY id)
+SELECT c.request_id, reason, first_score, variant, retry_score, selected, CAST(greatest(0, a.n - n1.n) AS INT) AS added, a.confidence, ocr_text FROM ch c JOIN fa a ON a.request_id = c.request_id JOIN n1 ON n1.id = c.request_id"""
+
 # The map from an upright rectangle of w x h to four corners in closed form, where the engine solves eight equations.
 SQL["view_maps"] = """WITH d AS (SELECT p_partkey, 2 + p_partkey % 7 AS s, 1 + p_partkey % 5 AS t, [4, 12, 5, 3, 1, -4][p_partkey % 6 + 1] AS dx, [3, 5, 12, -4, 0, 3][p_partkey % 6 + 1] AS dy, 100 + p_partkey % 300 AS x0, 100 + p_partkey % 200 AS y0 FROM part),
 q AS (SELECT p_partkey, unnest([0, 1, 2, 3]) AS i, unnest([x0, x0 + dx * s, x0 + dx * s - dy * t + p_partkey % 11, x0 - dy * t]) AS x, unnest([y0, y0 + dy * s + p_partkey % 7, y0 + dy * s + dx * t, y0 + dx * t]) AS y FROM d),

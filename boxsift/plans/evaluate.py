@@ -34,13 +34,18 @@ def evaluate(boxes: DataFrame, rules: RuleSet | None = None, cards: DataFrame |
     found = E.evidence(boxes, rules)
     requests = R.text_regions(R.nested(found), rules)
     requests = requests if cards is None else R.with_cards(requests, cards)
-    requests = R.with_ads(R.scored(requests, rules), rules)
+    requests = evaluate_rows(requests, rules)
     regions = requests.select("request_id", F.posexplode("regions").alias("region", "r")).select("request_id", "region", "r.*")
     ads = requests.select("request_id", F.posexplode("ads").alias("position", "ad")).select("request_id", "position", "ad.*")
     told = documents(requests.withColumn("n_regions", F.size("regions")), rules)
     return Evaluation(E.annotations(found), regions, ads, told.drop("blocks"), told)
 
 
+def evaluate_rows(requests: DataFrame, rules: RuleSet) -> DataFrame:
+    """Scores and ads of requests with blocks and regions; no shuffle."""
+    return R.with_ads(R.scored(requests, rules), rules)
+
+
 def documents(requests: DataFrame, rules: RuleSet) -> DataFrame:
     """What a request says as a whole, of rows (request_id, blocks, ads, n_regions): its boxes' hits and its ads rolled up."""
     of = lambda c: F.flatten(F.transform("blocks", lambda b: b[c]))

@@ -21,6 +21,7 @@ from boxsift.operators import readings as D
 from boxsift.operators import regions as R
 from boxsift.operators import selection as S
 from boxsift.operators import views as V
+from boxsift.plans import retry as Y
 from boxsift.plans.evaluate import Evaluation, evaluate, evaluate_requests, evaluate_text
 from boxsift.rules import RuleSet
 from boxsift.sources import boxes as B
@@ -206,9 +207,9 @@ def nearby_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).where(near).select("a.request_id", F.col("a.block_index").alias("a_index"), F.col("b.block_index").alias("b_index"))
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cards(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Cards of every third request: its first box grown to a card, and its third box as it is."""
-    rows = boxes(spark, sf_dir).where("request_id % 3 = 0 AND block_index IN (0, 2)")
+    rows = (boxes(spark, sf_dir) if rows is None else rows).where("request_id % 3 = 0 AND block_index IN (0, 2)")
     grown = lambda c, by: (F.col(c) + F.when(F.col("block_index") == 0, by).otherwise(0)).alias(c)
     return rows.select("request_id", F.floor(F.col("block_index") / 2).cast("int").alias("card"), grown("x1", -40), grown("y1", -60), grown("x2", 40), grown("y2", 60))
 
@@ -465,17 +466,22 @@ def focus_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select("request_id", "block_index", F.inline(F.array(*rows)))
 
 
-def card_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def card_outlines(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Cards with their four corners: the first of a request a rectangle, the second narrower at the top."""
     at = lambda x, y: F.array(x.cast("int"), F.col(y).cast("int"))
     inset = F.when(F.col("card") == 1, F.floor((F.col("x2") - F.col("x1")) / 4)).otherwise(0)
     points = F.array(at(F.col("x1") + inset, "y1"), at(F.col("x2") - inset, "y1"), at(F.col("x2"), "y2"), at(F.col("x1"), "y2"))
-    return cards(spark, sf_dir).withColumn("points", points)
+    return cards(spark, sf_dir, rows).withColumn("points", points)
+
+
+def tilted(blocks: Column) -> Column:
+    """Every third box as if its text were turned by 30 degrees."""
+    return F.transform(blocks, lambda b: b.withField("angle", F.when(b["block_index"] % 3 == 2, 30.0).otherwise(0.0)))
 
 
 def focused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the frame for a closer look, in an image of 900 x 1000; every third box counts as turned by 30 degrees."""
-    rows = evaluated(spark, sf_dir).nested.withColumn("blocks", F.transform("blocks", lambda b: b.withField("angle", F.when(b["block_index"] % 3 == 2, 30.0).otherwise(0.0))))
+    rows = evaluated(spark, sf_dir).nested.withColumn("blocks", tilted(F.col("blocks")))
     rows = S.with_card_lists(rows, card_outlines(spark, sf_dir)).withColumns({"image_width": F.lit(900), "image_height": F.lit(1000)})
     return S.with_focus(P.round_features(rows, F.size("cards") > 0, RULES), RULES)
 
@@ -499,3 +505,23 @@ def view_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = F.array_join(F.transform(F.flatten("v.matrix"), lambda x: F.format_string("%.4f", x + 1.2345678e-5)), " ")
     back = F.get(X.mapped_back(probe, F.col("v")), F.lit(0))
     return rows.select("p_partkey", *[f"v.{c}" for c in ("name", "scale", "quadrants", "crop_width", "crop_height")], F.coalesce(matrix, F.lit("")).alias("matrix"), F.when(F.col("v.matrix").isNull(), back[0]).alias("x"), F.when(F.col("v.matrix").isNull(), back[1]).alias("y"))
+
+
+@query
+def retry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second looks in images of 900 x 1000. The first reading has the boxes of even number only; a view shows the others and
+    every fourth again, more surely, but for a third of them that differs by view, in the view's own coordinates."""
+    every = boxes(spark, sf_dir)
+    first = every.where("block_index % 2 = 0").withColumn("block_index", F.floor(F.col("block_index") / 2).cast("int"))
+    images = every.select("request_id").distinct().withColumns({"image_width": F.lit(900), "image_height": F.lit(1000)})
+    features = Y.analysed(first, card_outlines(spark, sf_dir, first), images, RULES)
+    tilt = tilted(F.col("blocks"))
+    plan = Y.planned(P.round_features(features.select(*Y.TOLD).withColumn("blocks", tilt), F.size("cards") > 0, RULES), RULES, P.RetrySettings())
+    hidden = every.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "text", "points", "confidence"))).alias("hidden"))
+    shown = lambda b, k: ((b["block_index"] % 2 == 1) | (b["block_index"] % 4 == 0)) & ((b["block_index"] + k) % 3 != 0)
+    sure = lambda b: F.when(b["block_index"] % 4 == 0, b["confidence"] + 1.0).otherwise(b["confidence"])
+    look = lambda v, b: F.struct(v["variant"].alias("variant"), b["block_index"].alias("block_index"), b["text"].alias("text"), V.mapped_into(b["points"], v["view"]).alias("points"), sure(b).alias("confidence")).cast(Y.LOOK)
+    looks = F.flatten(F.transform("views", lambda v, k: F.transform(F.filter("hidden", lambda b: shown(b, k)), lambda b: look(v, b))))
+    out = Y.retried(plan.join(hidden, "request_id").withColumn("looks", looks), RULES)
+    texts = F.array_join(F.transform("final", lambda r: r["text"]), "|")
+    return out.select("request_id", "reason", "first_score", "variant", "retry_score", "selected", "added", "confidence", texts.alias("ocr_text"))
