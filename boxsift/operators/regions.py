@@ -35,6 +35,22 @@ def nested(found: DataFrame) -> DataFrame:
     return found.groupBy("request_id").agg(F.array_sort(F.collect_list(box)).alias("blocks"))
 
 
+def with_signatures(requests: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Gives blocks the colours behind them, of signatures (request_id, block_index, mean, spread: three numbers each): a field
+    signature, null where there is none. They are gathered by request and met in its row."""
+    one = F.struct("block_index", F.struct(*[F.col(c).cast("array<double>").alias(c) for c in ("mean", "spread")]).alias("signature"))
+    told = signatures.groupBy("request_id").agg(F.map_from_entries(F.collect_list(one)).alias("_signatures"))
+    blocks = F.transform("blocks", lambda b: b.withField("signature", F.element_at("_signatures", b["block_index"])))
+    return requests.join(told, "request_id", "left").withColumn("blocks", blocks).drop("_signatures")
+
+
+def same_background(a: Column, b: Column) -> Column:
+    """How alike two signatures are, in whole ten-thousandths; half where one is missing."""
+    gap = lambda c: F.sqrt(F.aggregate(F.zip_with(a[c], b[c], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    alike = 1 - F.least(F.lit(1.0), gap("mean") / 100 * 0.75 + gap("spread") / 60 * 0.25)
+    return F.when(a.isNull() | b.isNull(), F.lit(5000)).otherwise(F.rint(F.greatest(F.lit(0.0), alike) * 10_000).cast("int"))
+
+
 def blocks_of(readings: Column, rules: RuleSet) -> Column:
     """Readings (text, confidence, x1, y1, x2, y2, points) as the blocks that nested gives, numbered in their order."""
     fields = ("medical_hits", "illegal_hits", "phones", "wechat_ids", "qqs", "contact_hits", "noise_hits")
@@ -147,7 +163,9 @@ def with_fields(requests: DataFrame, **fields) -> DataFrame:
 
 
 def with_contacts(requests: DataFrame) -> DataFrame:
-    """Adds cores and attachments (block_index, score, ...) to regions with items, and accepted, those that score enough."""
+    """Adds cores and attachments (block_index, score, background, reason, ...) to regions with items, and accepted, those that
+    score enough. The background is told from the blocks' signatures where they have any."""
+    signed = "signature" in requests.schema["blocks"].dataType.elementType.names
     out = with_fields(requests, words=lambda r: F.filter(r["items"], lambda b: b["keyword"]))
 
     def cores(r: Column) -> Column:
@@ -173,8 +191,25 @@ def with_contacts(requests: DataFrame) -> DataFrame:
         core_y=mean(lambda c: G.center(c)[1]),
     )
 
+    def background(r: Column, c: Column) -> Column:
+        if not signed:
+            return F.lit(0.5)
+        total = F.aggregate(r["cores"], F.lit(0).cast("long"), lambda s, k: s + same_background(c["signature"], k["signature"]))
+        return F.rint(total / F.size(r["cores"])) / 10_000
+
     def attach(r: Column, c: Column) -> Column:
-        off = turned(c["angle"], r["core_angle"])
+        return bound({"c": c, "background": background(r, c), "off": turned(c["angle"], r["core_angle"])}, lambda t: attached(r, t))
+
+    def attached(r: Column, t: Column) -> Column:
+        c, off = t["c"], t["off"]
+        return bound({"c": c, "off": off, "background": t["background"], **parts(r, c, off, t["background"])}, judged)
+
+    def judged(t: Column) -> Column:
+        c = t["c"]
+        reason = F.when(t["noisy"] & (t["score"] < 0.6), "noise_nearby").when(t["off"] > 25, "angle_mismatch").when(t["background"] < 0.45, "background_mismatch").when(t["score"] < ATTACHED, "low_attachment_score").otherwise("")
+        return F.struct(t["score"].alias("score"), *[c[k].alias(k) for k in ("block_index", "phones", "wechat_ids", "qqs")], t["background"].alias("background"), reason.alias("reason"))
+
+    def parts(r: Column, c: Column, off: Column, behind: Column) -> dict[str, Column]:
         align = F.when(off <= 12, 1.0).when(off <= 25, 0.65).otherwise(0.2)
         nearest = F.array_min(F.transform(r["cores"], lambda k: G.distance(c, k)))
         x, y = G.center(c)
@@ -182,13 +217,13 @@ def with_contacts(requests: DataFrame) -> DataFrame:
         noisy = c["noise"] | F.exists("blocks", lambda b: b["noise"] & (b["block_index"] != c["block_index"]) & (G.distance(c, b) <= NOISE_DISTANCE))
         raw = (
             align * 0.24
-            + F.lit(0.5 * 0.24)  # background similarity without an image
+            + behind * 0.24
             + F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), nearest / r["diag"])) * 0.20
             + F.when(nearest <= CLUSTER_DISTANCE, 1.0).otherwise(0.35) * 0.16
             + F.when(below, 0.8).otherwise(0.4) * 0.16
             - F.when(noisy, 0.35).otherwise(0.0)
         )
-        return F.struct(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4).alias("score"), *[c[k].alias(k) for k in ("block_index", "phones", "wechat_ids", "qqs")])
+        return {"noisy": noisy, "score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4)}
 
     likely = lambda r: F.filter(r["items"], lambda b: b["contact_like"] & (F.size(r["cores"]) > 0))
     out = with_fields(out, attachments=lambda r: F.transform(likely(r), lambda c: attach(r, c)))

@@ -168,6 +168,11 @@ SQL["json_requests"] = SQL["text_only_evaluation"].replace("ev AS (SELECT", _ONE
     "SELECT doc.request_id, n_blocks,", "SELECT CAST(doc.request_id AS VARCHAR) AS request_id, CASE doc.request_id % 100 % 4 WHEN 2 THEN 'same' WHEN 3 THEN CAST(doc.request_id AS VARCHAR) ELSE 'rule-evaluate' END AS shown_id, n_blocks,"
 )
 
+SQL["stream_documents"] = SQL["text_only_evaluation"].replace("SELECT doc.request_id, n_blocks,", "SELECT CAST(doc.request_id AS VARCHAR) AS request_id, n_blocks,")
+SQL["request_files"] = f"""WITH {BOXES}, l AS (SELECT request_id, request_id % 7 AS k, count(*) AS n FROM box GROUP BY request_id),
+r AS (SELECT CASE k WHEN 0 THEN 'malformed' WHEN 1 THEN 'no_content' WHEN 2 THEN 'no_box_text' WHEN 3 THEN 'bad_points' ELSE '' END AS rejected, CASE WHEN k < 2 THEN 0 ELSE n END AS boxes, k FROM l)
+SELECT rejected, count(*) AS lines, CAST(sum(boxes) AS BIGINT) AS boxes, count(*) FILTER (k > 0) AS with_id FROM r GROUP BY rejected"""
+
 _KINDS = {"card": ((32, 0.18), (24, 0.18), (28, 0.14), (36, 0.18)), "wide": ((80, 0.85), (60, 0.35), (70, 0.40), (120, 0.95)), "box": ((24, 1.0), (24, 1.0), (28, 1.0), (28, 1.0)),
           "turned": ((12, 0.10), (12, 0.10), (8, 0.04), (20, 0.28)), "side": ((12, 0.14),) * 4}
 _FRAMES = " UNION ALL ".join(
@@ -251,6 +256,18 @@ rs AS (SELECT *, CASE WHEN len(medical) > 0 THEN least(35, 12 + 6 * len(medical)
     CASE WHEN len(illegal) > 0 THEN 'illegal.keyword' END, CASE WHEN len(medical) > 0 THEN 'medical.keyword' END], lambda x: x IS NOT NULL) AS rules FROM rf),
 sc AS MATERIALIZED (SELECT *, CAST(least(100, CASE WHEN len(medical) > 0 THEN greatest(raw, 45) ELSE raw END) AS INT) AS score FROM rs)"""
 SQL["contact_attachment"] = f"WITH RECURSIVE {SCORED} SELECT request_id, CAST(region AS INT) AS region, block_index, score, score >= 0.55 AS accepted FROM ats"
+# The colours behind boxes: three numbers each for mean and spread, none for every fifth box.
+_GAP = "sqrt((c.{0}[1] - o.{0}[1]) ** 2 + (c.{0}[2] - o.{0}[2]) ** 2 + (c.{0}[3] - o.{0}[3]) ** 2)"
+_ALIKE = f"CASE WHEN c.mean IS NULL OR o.mean IS NULL THEN 5000 ELSE CAST(round_even(greatest(0.0::DOUBLE, 1 - least(1.0::DOUBLE, {_GAP.format('mean')} / 100 * 0.75::DOUBLE + {_GAP.format('spread')} / 60 * 0.25::DOUBLE)) * 10000, 0) AS BIGINT) END"
+_SIGNED = (
+    SCORED.replace(" AS confidence FROM lineitem)", """ AS confidence,
+  [CAST(l_partkey * 13 % 256 AS DOUBLE), CAST(l_suppkey * 7 % 256 AS DOUBLE), CAST((l_partkey * 3 + l_linenumber) % 256 AS DOUBLE)] AS mean, [CAST(l_partkey % 60 AS DOUBLE), CAST(l_suppkey % 50 AS DOUBLE), CAST(l_linenumber * 9 % 40 AS DOUBLE)] AS spread FROM lineitem)""", 1)
+    .replace("bl AS MATERIALIZED (SELECT *,", "bl AS MATERIALIZED (SELECT * REPLACE (CASE WHEN block_index % 5 <> 4 THEN mean END AS mean),", 1)
+    .replace(" AS nearest,", f" AS nearest, round_even(CAST(sum({_ALIKE}) AS DOUBLE) / count(*), 0) / 10000 AS background,", 1)
+    .replace("0.24::DOUBLE + 0.12::DOUBLE +", "0.24::DOUBLE + background * 0.24::DOUBLE +", 1)
+)
+SQL["background_attachment"] = f"""WITH RECURSIVE {_SIGNED} SELECT request_id, CAST(region AS INT) AS region, block_index, score, background,
+  CASE WHEN noisy AND score < 0.6 THEN 'noise_nearby' WHEN background < 0.45 THEN 'background_mismatch' WHEN score < 0.55 THEN 'low_attachment_score' ELSE '' END AS reason FROM ats"""
 SQL["region_score"] = f"""WITH RECURSIVE {SCORED} SELECT request_id, CAST(region AS INT) AS region, text AS combined, score AS risk_score,
   {", ".join(f"{_joined(c)} AS {c}" for c in ("medical", "illegal", "phones", "wechat_ids", "qqs"))}, {_joined("rules")} AS hit_rules FROM sc"""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,28 +17,54 @@ from boxsift.rules import RuleSet
 from boxsift.sources.boxes import from_requests, lines, request_name
 
 
+#: What is told of a region; the boxes that it was worked out from stay behind.
+REGION_FIELDS = ("anchor", "members", "x1", "y1", "x2", "y2", "attachments", "combined", "medical", "illegal", "phones", "wechat_ids", "qqs", "risk_score", "hit_rules")
+
+
 @dataclass
 class Evaluation:
-    blocks: DataFrame
-    regions: DataFrame
-    ads: DataFrame
-    documents: DataFrame
-    nested: DataFrame  # documents with their blocks: what later steps ask of a request, without another shuffle
+    """What evaluate() finds; each table is planned when it is asked for."""
+
+    found: DataFrame
+    requests: DataFrame
+    rules: RuleSet
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return E.annotations(self.found)
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        told = lambda r: F.struct(*[r[c].alias(c) for c in REGION_FIELDS])
+        rows = self.requests.select("request_id", F.posexplode(F.transform("regions", told)).alias("region", "r"))
+        return rows.select("request_id", "region", "r.*")
+
+    @cached_property
+    def ads(self) -> DataFrame:
+        return self.requests.select("request_id", F.posexplode("ads").alias("position", "ad")).select("request_id", "position", "ad.*")
+
+    @cached_property
+    def nested(self) -> DataFrame:
+        """Documents with their blocks: what later steps ask of a request, without another shuffle."""
+        return documents(self.requests.withColumn("n_regions", F.size("regions")), self.rules)
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return self.nested.drop("blocks")
 
 
-def evaluate(boxes: DataFrame, rules: RuleSet | None = None, cards: DataFrame | None = None) -> Evaluation:
+def evaluate(boxes: DataFrame, rules: RuleSet | None = None, cards: DataFrame | None = None, signatures: DataFrame | None = None, images: DataFrame | None = None) -> Evaluation:
     """Evaluate boxes (request_id, block_index, text, points, x1, y1, x2, y2, confidence); one shuffle on the request, then
     rows alone. Cards (request_id, card, x1, y1, x2, y2), as card_candidates gives them, are regions ahead of those of the
-    text; they are dealt out by the request too."""
+    text; they are dealt out by the request too, as are signatures (request_id, block_index, mean, spread), the colours behind
+    boxes, and images (request_id, image_width, image_height), which ads end with."""
     rules = rules or RuleSet()
     found = E.evidence(boxes, rules)
-    requests = R.text_regions(R.nested(found), rules)
+    requests = R.nested(found) if signatures is None else R.with_signatures(R.nested(found), signatures)
+    requests = requests if images is None else requests.join(images.select("request_id", "image_width", "image_height"), "request_id", "left")
+    requests = R.text_regions(requests, rules)
     requests = requests if cards is None else R.with_cards(requests, cards)
-    requests = evaluate_rows(requests, rules)
-    regions = requests.select("request_id", F.posexplode("regions").alias("region", "r")).select("request_id", "region", "r.*")
-    ads = requests.select("request_id", F.posexplode("ads").alias("position", "ad")).select("request_id", "position", "ad.*")
-    told = documents(requests.withColumn("n_regions", F.size("regions")), rules)
-    return Evaluation(E.annotations(found), regions, ads, told.drop("blocks"), told)
+    return Evaluation(found, evaluate_rows(requests, rules), rules)
 
 
 def evaluate_rows(requests: DataFrame, rules: RuleSet) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxsift import oracles
@@ -25,6 +25,9 @@ from boxsift.plans import retry as Y
 from boxsift.plans.evaluate import Evaluation, evaluate, evaluate_requests, evaluate_text
 from boxsift.rules import RuleSet
 from boxsift.sources import boxes as B
+from boxsift.sources.files import sorted_out
+from boxsift.sources.shared import shared_path
+from boxsift.streaming import evaluate_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = oracles.SQL
@@ -338,6 +341,43 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(told, "shown_id")
 
 
+@query
+def request_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests written as JSON lines, of which four in seven are spoilt in as many ways, read back and sorted out: lines, boxes
+    and texts by the reason for which they are turned away."""
+    every = F.array_sort(F.collect_list(F.struct("block_index", "text", "points", "confidence")))
+    rows = boxes(spark, sf_dir).groupBy("request_id").agg(every.alias("b")).withColumn("k", (F.col("request_id") % 7).cast("int"))
+    text, points = F.when(F.col("k") != 2, F.col("b.text")[0]), F.when(F.col("k") == 3, F.array(F.array(F.lit(1), F.lit(2), F.lit(3)))).otherwise(F.col("b.points")[0])
+    first = F.struct(text.alias("text"), points.alias("points"), F.col("b.confidence")[0].alias("confidence"))
+    rest = F.transform(F.slice("b", 2, F.greatest(F.size("b"), F.lit(1))), lambda x: F.struct(x["text"], x["points"], x["confidence"]))
+    listed = F.when(F.col("k") == 1, F.array().cast("array<struct<text:string,points:array<array<int>>,confidence:double>>")).otherwise(F.concat(F.array(first), rest))
+    line = F.to_json(F.struct(F.col("request_id").cast("string").alias("request_id"), listed.alias("ocr_blocks")), {"ignoreNullFields": "false"})
+    path = shared_path(spark, "requests")
+    rows.select(F.when(F.col("k") == 0, F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(path)
+    found = sorted_out(spark, path).groupBy(F.coalesce("rejected", F.lit("")).alias("rejected"))
+    return found.agg(F.count("*").alias("lines"), F.sum(F.greatest(F.coalesce(F.size("ocr_blocks"), F.lit(0)), F.lit(0))).alias("boxes"), F.count("request_id").alias("with_id"))
+
+
+@query
+def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that come as text in JSON files, evaluated by a stream that ends with the last file, as it wrote them."""
+    joined_text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda b: b["text"]), "\n")
+    path = shared_path(spark, "stream")
+    boxes(spark, sf_dir).groupBy(F.col("request_id").cast("string").alias("request_id")).agg(joined_text.alias("ocr_text")).write.json(f"{path}/in")
+    evaluate_stream(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", RULES).awaitTermination()
+    return _told(spark.read.parquet(f"{path}/out"))
+
+
+@query
+def background_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts of regions where the colours behind four boxes in five are known, with the reason why one does not attach."""
+    part, supp, line = (F.col(f"l_{c}") for c in ("partkey", "suppkey", "linenumber"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request_id"), (F.row_number().over(order) - 1).cast("int").alias("block_index"), F.array(part * 13 % 256, supp * 7 % 256, (part * 3 + line) % 256).alias("mean"), F.array(part % 60, supp % 50, line * 9 % 40).alias("spread"))
+    told = evaluate(boxes(spark, sf_dir), RULES, signatures=rows.where("block_index % 5 <> 4")).regions.select("request_id", "region", F.explode("attachments").alias("a"))
+    return told.select("request_id", "region", "a.block_index", "a.score", "a.background", "a.reason")
+
+
 @query
 def draw_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlines of suspicious requests: boxes that matched or belong to an ad, red for risk words, else yellow."""
