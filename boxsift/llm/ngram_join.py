@@ -6,8 +6,9 @@ of their prefixes, the first |x| - ceil(t |x|) + 1 elements. The steps:
 1. Equal sets become one class (its smallest doc_id stands for it). Classes with identical prefix and size become one
    group; members are verified against the group's representative and leave the group if they do not link.
 2. Groups that share a prefix element are paired and filtered: by size, by position of the shared element, by the overlap
-   that the two prefixes still allow, and, of groups of one class, by the difference that their sketches prove. Pairs left over are verified on their texts, representatives first, then
-   expanded to all members unless the representatives linked.
+   that the two prefixes still allow, and, of groups of one class, by the difference that their sketches prove. Pairs left
+   over are verified on their texts, which travel to one document of the pair, representatives first, then expanded to all
+   members unless the representatives linked.
 3. Links become components; component_id is the smallest doc_id.
 
 Only connectivity is wanted, so pairs within one component need no look. A short list of groups under an element is
@@ -46,6 +47,10 @@ SHORT_LIST, SECOND_PIVOTS, LATER_PIVOTS = 64, 16, 512
 SKETCH = 1024
 #: Ids up to this count (16 MB) are broadcast; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Rows with a sketch (some 200 bytes) up to this count are broadcast; beyond it a component's groups are dealt out over SALTS.
+BROADCAST_SKETCHES, SALTS = 100_000, 16
+#: Partners of a document that are verified in one task.
+PARTNERS = 1000
 
 
 def _frequent(n: int):
@@ -156,21 +161,26 @@ def _short_lists(percent: int):
 
 
 def _verified(n: int, percent: int):
-    """Rows (a, b, text_a, text_b) as (a, b, linked)."""
+    """Rows (head, id, text), those of a head together and the head's own ahead of its partners, as (a, b, linked) with a the
+    head: one set is held beside the batch at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                raw = [[x or b"" for x in b.column(c).cast(pa.binary()).to_pylist()] for c in ("text_a", "text_b")]
-                distinct = {t: i for i, t in enumerate(dict.fromkeys(raw[0] + raw[1]))}
-                sets = shingle_sets(list(distinct), n)
-                linked = []
-                for x, y in zip(*raw):
-                    p, q = sets[distinct[x]], sets[distinct[y]]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    linked.append(bool(both) and 100 * both >= percent * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                sets = shingle_sets([x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()], n)
+                heads, ids, linked = [], [], []
+                for head, x, s in zip(b.column("head").to_pylist(), b.column("id").to_pylist(), sets):
+                    if x == head:  # rows that share an id with different texts are one document
+                        at, held = head, [*held, s] if head == at else [s]
+                        continue
+                    assert head == at, "a partner came without its head"
+                    shared = [(len(np.intersect1d(h, s, assume_unique=True)), len(h)) for h in held]
+                    heads.append(head)
+                    ids.append(x)
+                    linked.append(any(k and 100 * k >= percent * (size + len(s) - k) for k, size in shared))
+                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.array(ids, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return run
 
@@ -200,10 +210,20 @@ class _Join:
         self.texts = written(picked.select(F.col("doc_id").alias("id"), "text"), "join-texts", self.n_docs)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) of pairs (a, b) of documents."""
-        a, b = (self.texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        checked = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return written(map_batches(checked, _verified(self.n, self.percent), "a long, b long, linked boolean"), "join-verified")
+        """(a, b, linked) of pairs (a, b) of different documents, on their texts.
+
+        Each text travels to its partners' head a, so a pair moves one text and a head one for each PARTNERS of its pairs:
+        a head with more is dealt out over several tasks.
+        """
+        pairs = written(pairs.select("a", "b").where("a <> b").distinct(), "join-to-verify")
+        deal = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+        told = pairs.join(deal.where("parts > 1"), "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)))
+        legs = told.select(F.col("b").alias("id"), F.col("a").alias("head"), "part")
+        heads = told.select(F.col("a").alias("id"), F.col("a").alias("head"), "part").distinct()
+        routes = written(legs.union(heads), "join-routes")
+        moved = self.texts.join(small(routes), "id").repartition("head", "part")
+        moved = moved.sortWithinPartitions("head", "part", F.col("id") != F.col("head")).select("head", "id", "text")
+        return written(map_batches(moved, _verified(self.n, self.percent), "a long, b long, linked boolean"), "join-verified")
 
     # Groups
 
@@ -231,21 +251,27 @@ class _Join:
         return self.groups.select("gid", "n", "rare", F.get("prefix", F.lit(0)).alias("lead"), F.posexplode("prefix").alias("at", "element"))
 
     def could_link(self, a: str, b: str) -> Column:
-        """What sizes, prefixes and sketches still allow: beyond both prefixes at most the longer rest is shared, and sets
-        that link differ in (100 - percent) / (100 + percent) of their summed sizes at most."""
+        """What sizes and sketches still allow: sets that link differ in (100 - percent) / (100 + percent) of their summed
+        sizes at most."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         sizes = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
-        p, q = F.col(f"{a}.prefix"), F.col(f"{b}.prefix")
-        most = F.size(F.array_intersect(p, q)) + F.greatest(n - F.size(p), m - F.size(q))
         bits = F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         apart = F.coalesce(F.aggregate(bits, F.lit(0), lambda total, k: total + k), F.lit(0))
-        return sizes & ((100 + self.percent) * most >= self.percent * (n + m)) & ((100 + self.percent) * apart <= (100 - self.percent) * (n + m))
+        return sizes & ((100 + self.percent) * apart <= (100 - self.percent) * (n + m))
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of groups that pass the prefix filter."""
-        g = self.groups.select("gid", "n", "prefix", "sketch")
-        both = pairs.join(g.alias("x"), F.col("a") == F.col("x.gid")).join(g.alias("y"), F.col("b") == F.col("y.gid"))
-        return both.where(self.could_link("x", "y")).select("a", "b")
+        """The pairs (a, b) of groups that sizes, sketches and prefixes allow. Prefixes are fetched only for pairs without both
+        sketches: beyond both prefixes at most the longer rest is shared."""
+        g = self.groups.select("gid", "n", "sketch")
+        both = pairs.join(g.alias("x"), F.col("a") == F.col("x.gid")).join(g.alias("y"), F.col("b") == F.col("y.gid")).where(self.could_link("x", "y"))
+        if self.alone:
+            return both.select("a", "b")
+        told = written(both.select("a", "b", (F.col("x.sketch").isNull() | F.col("y.sketch").isNull()).alias("bare")), "join-sketched")
+        g = self.groups.select("gid", "n", "prefix")
+        bare = told.where("bare").join(g.alias("x"), F.col("a") == F.col("x.gid")).join(g.alias("y"), F.col("b") == F.col("y.gid"))
+        n, m, p, q = (F.col(c) for c in ("x.n", "y.n", "x.prefix", "y.prefix"))
+        most = F.size(F.array_intersect(p, q)) + F.greatest(n - F.size(p), m - F.size(q))
+        return told.where("NOT bare").select("a", "b").union(bare.where((100 + self.percent) * most >= self.percent * (n + m)).select("a", "b"))
 
     def expand(self, failed: DataFrame) -> DataFrame:
         """Member pairs of group pairs whose representatives do not link, without the representatives themselves."""
@@ -274,7 +300,7 @@ class _Join:
         done has the (element, gid) that were compared with all of their list. Pivots are the groups with the fewest
         elements of their own, so the most central; after the first of these rounds, those outside the main component.
         """
-        g = self.groups.select("gid", "n", "prefix", "sketch")
+        g = self.groups.select("gid", "n", "sketch")
         first, roots, n_lists = True, components(_union(links)), lists.count()
         while True:
             left = lists.join(small(done), ["element", "gid"], "left_anti").drop("label")
@@ -291,12 +317,18 @@ class _Join:
             picked = free.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= (SECOND_PIVOTS if first else LATER_PIVOTS))
             picked = written(picked.select("element", "gid", "label", "main"), "join-picked", n_lists)
             done = picked.select("element", "gid")
-            # Lists with the same main component are met at once, so a pair is made once, not at each shared element.
-            p = written(picked.select("main", "gid", "label").distinct().join(g, "gid"), "join-pivots", self.n_docs).alias("p")
-            o = written(told.select("main", "gid", "label").distinct().join(g, "gid"), "join-others", self.n_docs).alias("o")
+            # Lists with the same main component are met at once, so a pair is made once, not at each shared element. Groups
+            # are dealt out over SALTS tasks for each component, and its pivots go to all of them.
+            p = written(picked.select("main", "gid", "label").distinct().join(g, "gid"), "join-pivots", self.n_docs)
+            few = p.count() <= BROADCAST_SKETCHES
+            p = (F.broadcast(p) if few else p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))).alias("p")
+            o = told.select("main", "gid", "label").distinct().join(g, "gid")
+            o = (o if few else o.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int"))).alias("o")
             met = (F.col("p.main") == F.col("o.main")) & (F.col("p.label") != F.col("o.label")) & self.could_link("p", "o")
+            met = met if few else met & (F.col("p.salt") == F.col("o.salt"))
             new = p.join(o, met).select(F.least("p.gid", "o.gid").alias("a"), F.greatest("p.gid", "o.gid").alias("b")).distinct()
-            links.append(self.examine(written(new, "join-candidates")))
+            new = written(new, "join-met")
+            links.append(self.examine(new if self.alone else written(self.filtered(new), "join-candidates")))
             first, roots = False, components(_union([roots.select(F.col("node").alias("a"), F.col("root").alias("b")), links[-1]]))
 
     def few(self, rows: DataFrame) -> DataFrame:

@@ -351,3 +351,14 @@ def test_rules_under_filters(spark):
     judged = quality_rules.apply_rules(df)
     assert judged.where("kept").count() == judged.where("n_words = 10000 AND stop_ratio = 0.1 AND size(failed_rules) = 0").count() == 20
     assert quality_rules.kept_rows(df.where("doc_id < 5")).where("doc_id > 2").count() == 2
+
+
+def test_join_heads_of_several_texts(spark, monkeypatch):
+    """Rows of one id with different texts, and a document with more partners than one task verifies."""
+    monkeypatch.setattr(ngram_join, "PARTNERS", 4)
+    rng = np.random.default_rng(8)
+    one, two = prose(rng, 80).split(), prose(rng, 80).split()
+    near = lambda w, k: " ".join([*w[:k], f"x{k}", *w[k + 1 :]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), *[(10 + k, near(one, 5 * k)) for k in range(12)], *[(40 + k, near(two, 5 * k)) for k in range(12)], (90, prose(rng, 80))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert {k for k, c in got.items() if c == 1} == {1, *range(10, 22), *range(40, 52)} and got[90] == 90
