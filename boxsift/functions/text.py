@@ -95,3 +95,8 @@ def is_similar(a: Column, b: Column) -> Column:
     )
     filled = (a != "") & (b != "")
     return filled & ((a == b) | F.contains(a, b) | F.contains(b, a) | ((n >= 3) & (agree / F.greatest(n, F.lit(1)) >= 0.65)))
+
+
+def encoded(content: Column) -> Column:
+    """Base64 on one line; null of null. Sessions differ in whether base64() breaks lines."""
+    return F.replace(F.base64(content.cast("binary")), F.lit("\r\n"), F.lit(""))

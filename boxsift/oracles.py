@@ -576,3 +576,16 @@ SQL["refined_regions"] = f"""WITH {_TURNED}, {_rectangles("SELECT DISTINCT reque
 SELECT request_id, round(degrees(atan(uy / ux)), 6) AS angle, round(w, 6) AS width, round(h, 6) AS height, {_POLYGON.format(_corners("greatest(w, 24) * 1.55::DOUBLE", "greatest(h, 24) * 1.8::DOUBLE"))} AS points,
   {_POLYGON.format("list_transform(" + _corners("greatest(w, 24) * 1.55::DOUBLE", "greatest(h, 24) * 1.8::DOUBLE") + ", lambda p: [least(greatest(0, p[1]), 399), least(greatest(0, p[2]), 299)])")} AS clipped,
   CASE WHEN least(w, h) <= 1 OR greatest(w, h) / greatest(1.0::DOUBLE, least(w, h)) > 4.5 THEN 'irregular' ELSE 'rectangle' END AS shape FROM rect"""
+SQL["nested_results"] = SQL["recognised_boxes"]
+SQL["semantic_entities"] = f"""WITH RECURSIVE {FEATURES} SELECT request_id, {_joined(_hits((*NOISE, *NOISE_OF_READINGS)))} AS noise_hits, odd AS odd_blocks, len(texts) AS block_count FROM fn"""
+SQL["annotation_sizes"] = """WITH p AS (SELECT p_partkey, CAST(300 + (p_partkey * 37) % 2200 AS INT) AS w, CAST(300 + (p_partkey * 53) % 2400 AS INT) AS h FROM part), l AS (SELECT *, greatest(w, h) AS m, greatest(4, least(8, greatest(w, h) // 180)) AS line FROM p)
+SELECT p_partkey, line AS line_width, line + 1 AS ad_line_width, greatest(20, least(42, m // 28)) AS font_size, CASE WHEN m > 1800 THEN CAST(trunc(w * (1800.0::DOUBLE / m)) AS INT) ELSE w END AS kept_width, CASE WHEN m > 1800 THEN CAST(trunc(h * (1800.0::DOUBLE / m)) AS INT) ELSE h END AS kept_height FROM l"""
+SQL["encoded_files"] = "SELECT page_id, md5(base64(encode(CASE WHEN page_id % 10 <> 0 THEN html END))) AS encoded_md5 FROM pages"
+SQL["normalized_texts"] = rf"WITH {TEXTS}, n AS (SELECT kind, id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS t FROM t) SELECT kind, id, length(t) AS length, md5(t) AS digest FROM n"
+SQL["turn_noise"] = rf"""WITH c AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '\S'))) AS text FROM conversations),
+w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM c)
+SELECT conv_id, turn, count(*) AS words, count(*) FILTER (trim(word, ' ' || chr(9) || chr(11) || chr(12)) <> '' AND NOT regexp_matches(word, '[\x{{4e00}}-\x{{9fff}}A-Za-z0-9]')) AS noise_words FROM w GROUP BY conv_id, turn"""
+SQL["similar_part_names"] = r"""WITH n AS (SELECT p_brand, p_type, regexp_replace(lower(concat(p_name, ' no ', p_partkey % 50)), '[^\p{L}\p{N}]', '', 'g') AS t, count(*) AS n FROM part GROUP BY ALL),
+p AS (SELECT a.p_brand, a.p_type, a.t AS a, b.t AS b, a.n AS a_parts, b.n AS b_parts, CASE WHEN length(a.t) <= length(b.t) THEN a.t ELSE b.t END AS s, CASE WHEN length(a.t) <= length(b.t) THEN b.t ELSE a.t END AS l
+  FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.t < b.t)
+SELECT p_brand, p_type, a AS a_name, b AS b_name, a_parts, b_parts FROM p WHERE contains(a, b) OR contains(b, a) OR (length(s) >= 3 AND len(list_filter(range(1, length(s) + 1), lambda i: s[i] = l[i])) / length(s) >= 0.65)"""

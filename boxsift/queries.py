@@ -158,6 +158,37 @@ def similar_text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(T.is_similar(F.col("a.t"), F.col("b.t"))).select("a.request_id", F.col("a.block_index").alias("a_index"), F.col("b.block_index").alias("b_index"))
 
 
+@query
+def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalized documents and turns, by length and digest."""
+    t = T.normalized(F.coalesce("text", F.lit("")))
+    return texts(spark, sf_dir).select("kind", "id", F.length(t).alias("length"), F.md5(t.cast("binary")).alias("digest"))
+
+
+@query
+def turn_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversation turns that are marks only."""
+    lines = B.from_text(table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text"), "id", "text")
+    words = lines.select("request_id.conv_id", "request_id.turn", F.explode(F.split("text", " ")).alias("word"))
+    return words.groupBy("conv_id", "turn").agg(F.count("*").alias("words"), F.count_if(T.is_punctuation_noise(F.col("word"))).alias("noise_words"))
+
+
+@query
+def similar_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar names among the parts of one brand, type and size: each distinct name is met once, with the number of its parts."""
+    name = T.normalized(F.concat_ws(" ", "p_name", F.lit("no"), (F.col("p_partkey") % 50).cast("string")))
+    rows = table(spark, sf_dir, "part").groupBy("p_brand", "p_type", name.alias("t")).agg(F.count("*").alias("n"))
+    same = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.t") < F.col("b.t"))
+    pairs = rows.alias("a").join(rows.alias("b"), same).where(T.is_similar(F.col("a.t"), F.col("b.t")))
+    return pairs.select("a.p_brand", "a.p_type", F.col("a.t").alias("a_name"), F.col("b.t").alias("b_name"), F.col("a.n").alias("a_parts"), F.col("b.n").alias("b_parts"))
+
+
+@query
+def encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents as base64, null where there is none: every tenth page counts as missing."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.encoded(F.when(F.col("page_id") % 10 != 0, F.col("html"))).cast("binary")).alias("encoded_md5"))
+
+
 # Geometry
 
 
@@ -329,6 +360,17 @@ def recognised_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.from_results(rows, "request_id", "p", "t", "s").drop("points")
 
 
+@query
+def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of results nested in pages: the first box, a null one and the others on a second page, after an empty and a null page."""
+    item = F.struct(F.transform("points", lambda p: F.transform(p, lambda v: v.cast("double") + 0.25)).alias("points"), F.struct(F.concat("text", F.lit(" ")).alias("text"), F.col("confidence").alias("score")).alias("rec"))
+    rows = boxes(spark, sf_dir).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("block_index", item.alias("i")))).alias("b"))
+    items = F.transform("b", lambda b: b["i"])
+    none = F.slice(items, 1, 0)
+    pages = F.array(F.slice(items, 1, 1), none, F.lit(None), F.concat(F.array(F.lit(None)), F.slice(items, 2, F.greatest(F.size(items), F.lit(1)))))
+    return D.from_pages(rows.select("request_id", pages.alias("pages")), "request_id", "pages").drop("points")
+
+
 @query
 def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON request for each box, every other one with the box and the rest with its text; a fourth has no id, a fourth an
@@ -463,6 +505,12 @@ def semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("request_id", P.semantic_score(RULES).alias("semantic_score"), "solid_length", "low_confidence")
 
 
+@query
+def semantic_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = P.entities(RULES)
+    return features(spark, sf_dir).select("request_id", joined(told["noise_hits"]).alias("noise_hits"), told["odd_blocks"].alias("odd_blocks"), told["block_count"].alias("block_count"))
+
+
 @query
 def retry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("request_id", P.retry_reason(P.RetrySettings()).alias("reason"))
@@ -489,6 +537,13 @@ def ocr_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query
+def annotation_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines, labels and the kept size of an image for each part."""
+    w, h = (300 + (F.col("p_partkey") * 37) % 2200).cast("int"), (300 + (F.col("p_partkey") * 53) % 2400).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", *[v.alias(k) for k, v in X.drawing(w, h).items()])
+
+
 @query
 def view_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
