@@ -5,10 +5,10 @@ of their prefixes, the first |x| - ceil(t |x|) + 1 elements. The steps:
 
 1. Equal sets become one class (its smallest doc_id stands for it). Classes with identical prefix and size become one
    group; members are verified against the group's representative and leave the group if they do not link.
-2. Groups that share a prefix element are paired and filtered: by size, by position of the shared element, by the overlap
-   that the two prefixes still allow, and, of groups of one class, by the difference that their sketches prove. Pairs left
-   over are verified on their texts, which travel to one document of the pair, representatives first, then expanded to all
-   members unless the representatives linked.
+2. Groups that share a prefix element are paired and filtered: by size, by position of the shared element, and by the
+   difference that their sketches prove, less how far members' sketches lie from their group's. Pairs left over are verified
+   on their texts, which travel to one document of the pair, representatives first, then expanded to all members unless the
+   representatives linked.
 3. Links become components; component_id is the smallest doc_id.
 
 Only connectivity is wanted, so pairs within one component need no look. A short list of groups under an element is
@@ -242,9 +242,12 @@ class _Join:
         members = written(members.withColumn("gid", F.coalesce("gid", "rep")), "join-groups", self.n_docs)
         self.members = members.select("gid", "rep")
         self.crowded = written(self.members.where("rep <> gid").select("gid").distinct(), "join-crowded", self.n_docs)
-        # A sketch speaks for a group of one class only.
-        alone = members.where("rep = gid").select("gid", "n", "rare", "prefix", "sketch").join(small(self.crowded).withColumn("crowd", F.lit(True)), "gid", "left")
-        self.groups = alone.withColumn("sketch", F.when(F.col("crowd").isNull(), F.col("sketch"))).drop("crowd")
+        # A group is told by its representative's sketch and by how far its members' sketches lie from that.
+        heads = members.where("rep = gid").select("gid", "n", "rare", "prefix", "sketch")
+        near = heads.select("gid", F.col("sketch").alias("own")).join(small(self.crowded), "gid", "left_semi")
+        slack = members.where("rep <> gid").join(near, "gid").groupBy("gid").agg(F.max(apart(F.col("sketch"), F.col("own"))).alias("slack"))
+        slack = written(slack, "join-slack", self.n_docs)
+        self.groups = heads.join(small(slack), "gid", "left").withColumn("slack", F.coalesce("slack", F.lit(0)))
         return checked.where("linked").select("a", "b")
 
     def postings(self) -> DataFrame:
@@ -252,26 +255,17 @@ class _Join:
 
     def could_link(self, a: str, b: str) -> Column:
         """What sizes and sketches still allow: sets that link differ in (100 - percent) / (100 + percent) of their summed
-        sizes at most."""
+        sizes at most, and members' sketches differ by no less than those of their groups less both groups' slack."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         sizes = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
-        bits = F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        apart = F.coalesce(F.aggregate(bits, F.lit(0), lambda total, k: total + k), F.lit(0))
-        return sizes & ((100 + self.percent) * apart <= (100 - self.percent) * (n + m))
+        least = apart(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) - F.col(f"{a}.slack") - F.col(f"{b}.slack")
+        return sizes & ((100 + self.percent) * least <= (100 - self.percent) * (n + m))
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of groups that sizes, sketches and prefixes allow. Prefixes are fetched only for pairs without both
-        sketches: beyond both prefixes at most the longer rest is shared."""
-        g = self.groups.select("gid", "n", "sketch")
-        both = pairs.join(g.alias("x"), F.col("a") == F.col("x.gid")).join(g.alias("y"), F.col("b") == F.col("y.gid")).where(self.could_link("x", "y"))
-        if self.alone:
-            return both.select("a", "b")
-        told = written(both.select("a", "b", (F.col("x.sketch").isNull() | F.col("y.sketch").isNull()).alias("bare")), "join-sketched")
-        g = self.groups.select("gid", "n", "prefix")
-        bare = told.where("bare").join(g.alias("x"), F.col("a") == F.col("x.gid")).join(g.alias("y"), F.col("b") == F.col("y.gid"))
-        n, m, p, q = (F.col(c) for c in ("x.n", "y.n", "x.prefix", "y.prefix"))
-        most = F.size(F.array_intersect(p, q)) + F.greatest(n - F.size(p), m - F.size(q))
-        return told.where("NOT bare").select("a", "b").union(bare.where((100 + self.percent) * most >= self.percent * (n + m)).select("a", "b"))
+        """The pairs (a, b) of groups that sizes and sketches allow."""
+        g = self.groups.select("gid", "n", "sketch", "slack")
+        both = pairs.join(g.alias("x"), F.col("a") == F.col("x.gid")).join(g.alias("y"), F.col("b") == F.col("y.gid"))
+        return both.where(self.could_link("x", "y")).select("a", "b")
 
     def expand(self, failed: DataFrame) -> DataFrame:
         """Member pairs of group pairs whose representatives do not link, without the representatives themselves."""
@@ -300,7 +294,7 @@ class _Join:
         done has the (element, gid) that were compared with all of their list. Pivots are the groups with the fewest
         elements of their own, so the most central; after the first of these rounds, those outside the main component.
         """
-        g = self.groups.select("gid", "n", "sketch")
+        g = self.groups.select("gid", "n", "sketch", "slack")
         first, roots, n_lists = True, components(_union(links)), lists.count()
         while True:
             left = lists.join(small(done), ["element", "gid"], "left_anti").drop("label")
@@ -327,8 +321,7 @@ class _Join:
             met = (F.col("p.main") == F.col("o.main")) & (F.col("p.label") != F.col("o.label")) & self.could_link("p", "o")
             met = met if few else met & (F.col("p.salt") == F.col("o.salt"))
             new = p.join(o, met).select(F.least("p.gid", "o.gid").alias("a"), F.greatest("p.gid", "o.gid").alias("b")).distinct()
-            new = written(new, "join-met")
-            links.append(self.examine(new if self.alone else written(self.filtered(new), "join-candidates")))
+            links.append(self.examine(written(new, "join-candidates")))
             first, roots = False, components(_union([roots.select(F.col("node").alias("a"), F.col("root").alias("b")), links[-1]]))
 
     def few(self, rows: DataFrame) -> DataFrame:
@@ -336,6 +329,11 @@ class _Join:
         return F.broadcast(rows) if self.n_elements <= BROADCAST_IDS else rows
 
 
+def apart(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+
+
 def small(table: DataFrame) -> DataFrame:
     """A written table, marked for broadcast only if a count proves it small."""
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
