@@ -116,14 +116,16 @@ def text_regions(requests: DataFrame, rules: RuleSet) -> DataFrame:
     def keep(state: Column, r: Column) -> Column:
         repeats = F.exists(state["kept"], lambda k: (G.iou(k, r) >= 0.35) | _same_boxes(k["members"], r["members"]))
         kept = F.when(repeats, state["kept"]).otherwise(F.concat(state["kept"], F.array(r)))
-        met = F.struct(F.array_union(state["used"], r["members"]).alias("used"), kept.alias("kept"))
-        return F.when(F.array_contains(state["used"], r["anchor"]), state).otherwise(met)
+        return F.struct(F.array_union(state["used"], r["members"]).alias("used"), kept.alias("kept"))
+
+    def step(state: Column, a: Column) -> Column:
+        """Boxes are looked through for anchors only that no region has used."""
+        region = bound({"c": around(a)}, lambda t: bound({"r": framed(t["c"]).cast(REGION)}, lambda u: keep(state, u["r"])))
+        return F.when(F.array_contains(state["used"], a["block_index"]), state).otherwise(region)
 
     anchors = F.filter("blocks", lambda b: b["keyword"] | b["contact"])
-    out = requests.withColumn("around", F.transform(anchors, around))
-    out = out.withColumn("framed", F.transform("around", framed).cast(f"array<{REGION}>"))
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{REGION}>").alias("kept"))
-    return out.withColumn("regions", F.aggregate("framed", start, keep)["kept"]).drop("around", "framed")
+    return requests.withColumn("regions", F.aggregate(anchors, start, step)["kept"])
 
 
 def with_cards(requests: DataFrame, cards: DataFrame) -> DataFrame:
@@ -197,24 +199,24 @@ def with_contacts(requests: DataFrame) -> DataFrame:
         total = F.aggregate(r["cores"], F.lit(0).cast("long"), lambda s, k: s + same_background(c["signature"], k["signature"]))
         return F.rint(total / F.size(r["cores"])) / 10_000
 
-    def attach(r: Column, c: Column) -> Column:
-        return bound({"c": c, "background": background(r, c), "off": turned(c["angle"], r["core_angle"])}, lambda t: attached(r, t))
+    def attach(r: Column, c: Column, noise: Column) -> Column:
+        return bound({"c": c, "background": background(r, c), "off": turned(c["angle"], r["core_angle"])}, lambda t: attached(r, t, noise))
 
-    def attached(r: Column, t: Column) -> Column:
+    def attached(r: Column, t: Column, noise: Column) -> Column:
         c, off = t["c"], t["off"]
-        return bound({"c": c, "off": off, "background": t["background"], **parts(r, c, off, t["background"])}, judged)
+        return bound({"c": c, "off": off, "background": t["background"], **parts(r, c, off, t["background"], noise)}, judged)
 
     def judged(t: Column) -> Column:
         c = t["c"]
         reason = F.when(t["noisy"] & (t["score"] < 0.6), "noise_nearby").when(t["off"] > 25, "angle_mismatch").when(t["background"] < 0.45, "background_mismatch").when(t["score"] < ATTACHED, "low_attachment_score").otherwise("")
         return F.struct(t["score"].alias("score"), *[c[k].alias(k) for k in ("block_index", "phones", "wechat_ids", "qqs")], t["background"].alias("background"), reason.alias("reason"))
 
-    def parts(r: Column, c: Column, off: Column, behind: Column) -> dict[str, Column]:
+    def parts(r: Column, c: Column, off: Column, behind: Column, noise: Column) -> dict[str, Column]:
         align = F.when(off <= 12, 1.0).when(off <= 25, 0.65).otherwise(0.2)
         nearest = F.array_min(F.transform(r["cores"], lambda k: G.distance(c, k)))
         x, y = G.center(c)
         below = (y >= r["core_y"] - 20) & (F.abs(x - r["core_x"]) <= F.greatest(F.lit(60.0), r["diag"] * 0.4))
-        noisy = c["noise"] | F.exists("blocks", lambda b: b["noise"] & (b["block_index"] != c["block_index"]) & (G.distance(c, b) <= NOISE_DISTANCE))
+        noisy = c["noise"] | F.exists(noise, lambda b: (b["block_index"] != c["block_index"]) & (G.distance(c, b) <= NOISE_DISTANCE))
         raw = (
             align * 0.24
             + behind * 0.24
@@ -226,7 +228,7 @@ def with_contacts(requests: DataFrame) -> DataFrame:
         return {"noisy": noisy, "score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 4)}
 
     likely = lambda r: F.filter(r["items"], lambda b: b["contact_like"] & (F.size(r["cores"]) > 0))
-    out = with_fields(out, attachments=lambda r: F.transform(likely(r), lambda c: attach(r, c)))
+    out = with_fields(out, attachments=lambda r: bound({"noise": F.filter("blocks", lambda b: b["noise"])}, lambda t: F.transform(likely(r), lambda c: attach(r, c, t["noise"]))))
     return with_fields(out, accepted=lambda r: F.filter(r["attachments"], lambda a: a["score"] >= ATTACHED))
 
 
