@@ -4,7 +4,8 @@ A host such as ``cheap-pillsonline.example.com`` is cut into words before it is
 labels (but the last, which is a registry's) and in the path is divided by a unigram Viterbi search, which picks the
 division with the highest product of word frequencies. Unigrams are counted over all pages: the words of the html's text
 and of the paths, the parts of host labels with hyphens, and the words of the labelled urls. Multinomial naive Bayes then
-scores the words of host and path; a word that no labelled url has says nothing.
+scores the words of host and path. A word that no labelled url has is scored by its pieces of four letters, counted over the
+labelled words; one without a labelled piece says nothing.
 
 No vocabulary is cut and no table is sent whole: distinct stretches are joined with the word counts on their substrings,
 the search runs on each distinct stretch with the words found in it, and stretches, word odds and urls meet in joins that
@@ -33,9 +34,12 @@ from boxsift.llm.common import map_batches, written
 #: Letters of the longest substring that is looked up, and of the blocks that a long stretch is looked up in.
 MAX_WORD, BLOCK = 64, 1024
 #: Share of urls taken to be bad before any word is seen, and what each word's count is raised by in either class.
-PRIOR_BLOCK, SMOOTHING = 0.1, 0.1
+PRIOR_BLOCK, SMOOTHING = 0.25, 0.1
 #: Cost of a letter of a stretch that is no word, beyond that of an unseen word.
 UNKNOWN_LETTER = 2.5
+#: Letters of the pieces by which a word that no labelled url has is judged, the least letters of such a word, what each piece's
+#: count is raised by, and the share of a piece's odds that counts, as neighbouring pieces overlap.
+PIECE, LEAST_PIECED, PIECE_SMOOTHING, PIECE_SHARE = 4, 5, 0.5, 0.5
 #: Columns of pages whose words are counted, those there are.
 TEXTS = ("html", "title")
 #: Rules of the registered query: host, path prefix, verdict.
@@ -48,24 +52,30 @@ RULES = (
 )
 # Labelled examples for where no table of labelled urls is given, names of hosts and paths by what they offer.
 BLOCKED_EXAMPLES = (
-    # spam and link farms, advertising and tracking
-    "spam farm", "spam mail", "link farm", "spam links seo", "spam seo backlinks", "farm links", "click bait", "buy followers cheap", "ads server", "ads banner",
-    "ads click", "ads track", "ad tracker pixel", "tracker pixel", "track click ads", "popup ads", "adware toolbar", "doorway spam",
+    # spam, link schemes, advertising, tracking
+    "spam", "spammer", "spam mail", "bulk mail", "spam links", "backlinks", "link exchange scheme", "click bait", "clickfarm", "buy followers", "buy likes", "fake reviews",
+    "ads", "ads server", "adserver", "ads banner", "banner ads", "ad tracker", "tracker", "tracking pixel", "pixel tracker", "popup", "popunder ads", "adware", "toolbar adware", "doorway",
     # gambling
-    "casino bonus", "casino win", "win casino jackpot", "poker bet", "poker bets", "sports betting odds", "free bets", "bets odds", "free slots jackpot", "slots casino", "roulette casino", "lottery winner",
+    "casino", "casinos online", "online casino bonus", "casino jackpot", "jackpot", "slots", "slot machine casino", "poker", "poker bets", "bets", "bet bonus", "betting", "betting odds", "bookmaker odds",
+    "gamble", "gambling", "roulette", "blackjack", "baccarat", "bingo jackpot", "lottery jackpot", "lotto winner", "sportsbook", "wager",
     # adult
-    "xxx porn", "porn tube", "porn videos free", "adult sex cams", "adult x", "adult videos", "adult xxx", "escort dating", "hot singles", "nude cams", "sex chat",
+    "porn", "porno", "porn tube", "xxx", "xxx videos", "sex", "sex cams", "sex chat", "adult", "adult cams", "adult dating", "nude", "nudes", "naked", "erotic", "escort", "escorts", "hookup", "hot singles", "fetish", "webcam girls", "milf",
     # medicine, money, fraud
-    "cheap viagra", "cheap pills", "pills online", "pills pharmacy cheap", "diet pills", "miracle diet pills", "payday loans", "fast cash loans", "replica watches cheap", "fake diploma", "bitcoin doubler",
-    "win prize free", "crack keygen warez", "torrent download crack", "warez serial", "malware phishing", "phishing login",
+    "viagra", "cheap viagra", "cialis", "cheap cialis", "levitra", "pills", "diet pills", "cheap meds", "online pharmacy cheap", "steroids", "opioids no prescription", "miracle cure", "weight loss miracle",
+    "payday", "payday loans", "instant cash loans", "cheap loans", "replica", "replica watches", "cheap replica", "counterfeit", "fake diploma", "fake passport", "bitcoin doubler", "crypto giveaway", "forex scam", "get rich quick",
+    "scam", "free prize", "prize winner", "free giveaway", "claim prize",
+    # software and access
+    "crack", "cracked", "keygen", "warez", "serial keygen", "torrent", "torrents", "pirate torrent", "malware", "trojan", "phishing", "stolen", "carding", "hacked accounts", "account stealer", "exploit kit",
 )
 ALLOWED_EXAMPLES = (
-    "news daily", "news video", "blog posts", "wiki article", "docs guide", "school library", "city council", "health clinic", "science journal",
-    "research paper", "university course", "open source code", "free software", "support help", "photo album", "travel guide", "recipes kitchen",
-    "garden tips", "music review", "book club", "film history", "museum art", "weather report", "sports results", "company about",
-    "shop products", "forum thread", "archive index", "data tables", "public health", "mobile site", "world map", "bank online", "online course",
-    "video lectures", "farm market", "organic farm", "running track", "track list", "hospital pharmacy", "win tournament chess", "login account",
-    "download manual", "mail list", "chat support", "watches repair", "student loans office", "serial novel", "adult education", "server status",
+    "news", "daily news", "news video", "blog", "blog posts", "wiki", "wiki article", "docs", "guide", "school", "school library", "library", "city council", "council", "health", "health clinic", "clinic",
+    "science", "science journal", "journal", "research", "research paper", "university", "university course", "open source", "source code", "software", "free software", "support", "help", "photo", "photo album", "travel", "travel guide",
+    "recipes", "kitchen", "cooking recipes", "garden", "garden tips", "music", "music review", "book", "book club", "books", "film", "film history", "history", "museum", "art museum", "weather", "weather report", "sports", "sports results",
+    "company", "about us", "shop", "shop products", "store", "forum", "forum thread", "archive", "archive index", "data", "data tables", "public", "public health", "mobile", "mobile site", "world", "world map", "map", "bank", "bank online",
+    "online course", "video", "video lectures", "lectures", "farm", "farm market", "organic farm", "market", "running track", "golf links", "links", "hospital", "hospital pharmacy", "pharmacy", "tournament", "chess",
+    "login", "account", "download", "download manual", "manual", "mail", "mail list", "chat", "chat support", "watches", "watches repair", "student loans", "loans office", "serial novel", "novel", "adult education", "education", "server status", "server",
+    "food", "home", "family", "house", "water", "energy", "law", "legal", "court", "police", "fire station", "church", "parish", "theatre", "dance", "cinema", "radio", "magazine", "press", "print", "design", "studio", "engineering", "physics", "chemistry", "biology", "maths",
+    "team", "club", "league", "football", "tennis", "cycling", "hiking", "camping", "hotel", "flights", "rail", "bus", "harbour", "fishing", "swimming", "training", "learning", "parking", "printing", "building", "banking", "meeting", "birds", "forest", "animals",
 )
 
 
@@ -167,12 +177,27 @@ def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     return map_batches(rows, _divided(sums["n"] + sums["words"] + 1), "stretch string, words array<string>")
 
 
+def pieces(word: Column) -> Column:
+    """Pieces of PIECE letters of a word and its ends; none of a short word."""
+    whole = F.concat(F.lit("^"), word, F.lit("$"))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - (PIECE - 1), F.lit(1))), lambda i: F.substr(whole, i, F.lit(PIECE)))
+    return F.when(F.length(word) >= LEAST_PIECED, every).otherwise(F.array().cast("array<string>"))
+
+
+def log_odds(seen: DataFrame, key: str, smoothing: float) -> DataFrame:
+    """(key, odds) of counts (key, bad, good): the logarithm of its smoothed share among the bad over that among the good."""
+    sums = seen.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("*").alias("keys")).first()
+    share = lambda c: F.log((F.col(c) + smoothing) / (sums[c] + smoothing * sums["keys"]))
+    return seen.select(key, (share("bad") - share("good")).alias("odds"))
+
+
 @dataclass
 class UrlModel:
     """What the texts and the labelled urls teach, as written tables."""
 
     counts: DataFrame  # word, n
     odds: DataFrame  # word, odds: logarithm of its share among blocked words over that among allowed ones
+    pieces: DataFrame  # piece, odds: the same of the pieces of labelled words
     bias: float
 
 
@@ -186,10 +211,18 @@ def train(pages: DataFrame, labelled: DataFrame | None = None, prior: float = PR
     words = segmented(names.select("stretch").distinct(), counts)
     seen = names.join(words, "stretch").select("verdict", F.explode("words").alias("word"))
     seen = written(seen.groupBy("word").agg(F.count_if(F.col("verdict") == "block").alias("bad"), F.count_if(F.col("verdict") == "allow").alias("good")), "url-seen")
-    sums = seen.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("*").alias("words")).first()
-    share = lambda c: F.log((F.col(c) + smoothing) / (sums[c] + smoothing * sums["words"]))
-    odds = written(seen.select("word", (share("bad") - share("good")).alias("odds")), "url-odds")
-    return UrlModel(counts, odds, math.log(prior) - math.log(1 - prior))
+    odds = written(log_odds(seen, "word", smoothing), "url-odds")
+    parts = seen.select(F.explode(pieces(F.col("word"))).alias("piece"), (F.col("bad") > 0).cast("int").alias("bad"), (F.col("good") > 0).cast("int").alias("good"))
+    parts = written(parts.groupBy("piece").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "url-pieces-seen")
+    return UrlModel(counts, odds, written(log_odds(parts, "piece", PIECE_SMOOTHING), "url-pieces"), math.log(prior) - math.log(1 - prior))
+
+
+def odds_of(words: DataFrame, model: UrlModel) -> DataFrame:
+    """(word, odds) of distinct words: as labelled, else by their pieces, else 0."""
+    found = words.join(model.odds, "word", "left")
+    new = found.where("odds IS NULL").select("word", F.explode(pieces(F.col("word"))).alias("piece")).join(model.pieces, "piece")
+    by_piece = new.groupBy("word").agg((F.sum("odds") * PIECE_SHARE).alias("of_pieces"))
+    return found.join(by_piece, "word", "left").select("word", F.coalesce("odds", "of_pieces", F.lit(0.0)).alias("odds"))
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: Iterable[tuple[str, str, str]] = RULES, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -200,7 +233,8 @@ def judge(pages: DataFrame, model: UrlModel, rules: Iterable[tuple[str, str, str
     names = written(rows.select(*split).distinct(), "url-names")
     placed = names.select(*split, F.posexplode(stretches(F.col("host"), F.col("path"))).alias("at", "stretch"))
     words = written(segmented(placed.select("stretch").distinct(), model.counts), "url-segments")
-    told = words.select("stretch", "words", F.explode_outer("words").alias("word")).join(model.odds, "word", "left")
+    known = written(odds_of(words.select(F.explode("words").alias("word")).distinct(), model), "url-words-odds")
+    told = words.select("stretch", "words", F.explode_outer("words").alias("word")).join(known, "word", "left")
     told = written(told.groupBy("stretch", "words").agg(F.coalesce(F.sum("odds"), F.lit(0.0)).alias("odds")), "url-told")
     found = placed.join(told, "stretch").groupBy(*split).agg(F.array_sort(F.collect_list(F.struct("at", "words", "odds"))).alias("found"))
     # Summed in the order of the url, so that the score does not depend on how rows were dealt.

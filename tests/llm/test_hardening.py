@@ -362,3 +362,47 @@ def test_join_heads_of_several_texts(spark, monkeypatch):
     rows = [(1, " ".join(one)), (1, " ".join(two)), *[(10 + k, near(one, 5 * k)) for k in range(12)], *[(40 + k, near(two, 5 * k)) for k in range(12)], (90, prose(rng, 80))]
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
     assert {k for k, c in got.items() if c == 1} == {1, *range(10, 22), *range(40, 52)} and got[90] == 90
+
+
+# Names that the labelled list does not have, joined and with hyphens; half of their words are not on it in any form.
+UNLISTED_BAD = (
+    "hookup-tonight gambling-hall cialis-discount baccaratvip stolen-cards erotic-massage forexscam steroids-shop gamblers-den pornstars casinoroyal viagras spamming lotteries erotica "
+    "sportsbook-live keno-draws phishers hackers-forum spam-farm casino-win free-bets adult-x ads-track cheap-pills"
+).split()
+UNLISTED_GOOD = (
+    "farm-links-golf golf-club-news schoolhouse bookshop healthcare newspaper librarian gardening museums-guide photography universities cooking-blog weatherman travelling historian kitchenware "
+    "musicians hospital-map dictionary openstreetmap thtionshand ueberstein ledeslais"
+).split()
+
+
+def test_urls_of_unlisted_names(spark):
+    assert not {n.replace("-", " ") for n in UNLISTED_BAD} & set(url_filter.BLOCKED_EXAMPLES)
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("url", "html")
+    rows = [(i, f"http://www.{n}.test/") for i, n in enumerate(UNLISTED_BAD + UNLISTED_GOOD)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.train(pages)).collect()}
+    right = [got[i] == ("block" if i < len(UNLISTED_BAD) else "allow") for i, _ in rows]
+    good = right[len(UNLISTED_BAD) :]
+    assert sum(right) >= 0.85 * len(right) and sum(good) >= 0.95 * len(good)
+
+
+def test_url_scores_plain(spark):
+    """Odds of words and pieces, and the score, against a plain version on labelled urls of one's own."""
+    import math
+
+    labelled = [("http://bad-thing.a/worse", "block"), ("http://bad.b/", "block"), ("http://nice.c/thing", "allow"), ("http://wonderful-day.d/", "allow"), ("http://odd.e/", "unsure")]
+    pages = spark.createDataFrame([("http://badly-wonder.x/thing/new", "<p>badly wonder new</p>"), ("http://x.y/", None)], "url string, html string").withColumn("page_id", F.monotonically_increasing_id())
+    model = url_filter.train(pages, spark.createDataFrame(labelled, "url string, verdict string"))
+    bad, good = collections.Counter("bad thing worse bad".split()), collections.Counter("nice thing wonderful day".split())
+    every = set(bad) | set(good)
+    share = lambda c, k, v, keys: math.log((c[k] + v) / (sum(c.values()) + v * len(keys)))
+    odds = {w: share(bad, w, url_filter.SMOOTHING, every) - share(good, w, url_filter.SMOOTHING, every) for w in every}
+    of = lambda w: [f"^{w}$"[k : k + 4] for k in range(len(w) - 1)] if len(w) >= url_filter.LEAST_PIECED else []
+    bad_pieces, good_pieces = (collections.Counter(p for w in c for p in of(w)) for c in (bad, good))
+    pieces = set(bad_pieces) | set(good_pieces)
+    piece_odds = {p: share(bad_pieces, p, url_filter.PIECE_SMOOTHING, pieces) - share(good_pieces, p, url_filter.PIECE_SMOOTHING, pieces) for p in pieces}
+    score = lambda ws: sum(odds[w] if w in odds else url_filter.PIECE_SHARE * sum(piece_odds.get(p, 0.0) for p in of(w)) for w in ws)
+    bias = math.log(url_filter.PRIOR_BLOCK / (1 - url_filter.PRIOR_BLOCK))
+    got = {r["host"]: (r["words"], r["bad_score"]) for r in url_filter.judge(pages, model).collect()}
+    assert got["badly-wonder.x"][0] == "badly wonder thing new"
+    assert abs(got["badly-wonder.x"][1] - 1 / (1 + math.exp(-bias - score("badly wonder thing new".split())))) < 1e-9
+    assert abs(got["x.y"][1] - 1 / (1 + math.exp(-bias - score(["x"])))) < 1e-9
