@@ -4,7 +4,8 @@ A text is lower-cased, every stretch without letters becomes one gap, and the le
 (gaps included, so they mark word ends) are hashed into buckets. A bucket has an embedding; the mean embedding of all
 groups of the whole text goes through a linear softmax. Training runs in numpy on the driver, on at most
 ``SAMPLE_PER_LANGUAGE`` labelled texts of each language, chosen by hash so that reruns agree. All languages are learned:
-with so many that ``SAMPLE`` texts would be passed, each one's share is smaller, one text at least.
+with so many that ``SAMPLE`` texts or, all together, ``SAMPLE_CHARS`` characters would be passed, each one's share is smaller,
+one text at least.
 
 A fifth of the sample is not trained on: it sets the softmax temperature (least log loss) and the rejection bound, the
 score that all but ``REJECTED_SHARE`` of its right predictions reach. A prediction below the bound is marked rejected.
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import map_batches, written
+from boxsift.llm.common import free_name, map_batches, written
 
-SAMPLE_PER_LANGUAGE, SAMPLE = 600, 60_000
+SAMPLE_PER_LANGUAGE, SAMPLE, SAMPLE_CHARS = 600, 60_000, 64_000_000
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 EPOCHS, RATE, BATCH = 30, 20.0, 32
@@ -169,12 +170,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     share = counts.select("l", (F.lit(1.25 * wanted) / F.col("n")).alias("share"))  # a row for each language
     near = rows.join(share, "l").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
     once = near.groupBy("l", "h").agg(F.min("t").alias("t"))
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    chosen = once.withColumn("place", place).where(F.col("place") <= wanted).orderBy("l", "h").select("l", "t").collect()
+    in_turn = Window.partitionBy("l").orderBy("h")
+    chars = F.sum(F.length(F.coalesce("t", F.lit("")))).over(in_turn)
+    fits = (F.col("place") == 1) | ((F.col("place") <= wanted) & (F.col("chars") <= SAMPLE_CHARS // max(1, counts.count())))
+    chosen = once.withColumns({"place": F.row_number().over(in_turn), "chars": chars}).where(fits).orderBy("l", "h").select("l", "t").collect()
     return fit([r["t"] or "" for r in chosen], [r["l"] for r in chosen])
 
 
-def _predicted(model: LanguageModel, keep: list[str], rows: int = 128):
+def _predicted(model: LanguageModel, keep: list[str], text: str, rows: int = 128):
     model = LanguageModel(model.languages, model.table.astype("f4"), model.bias, model.temperature, model.least_score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +185,7 @@ def _predicted(model: LanguageModel, keep: list[str], rows: int = 128):
         for whole in batches:
             for k in range(0, whole.num_rows, rows):
                 b = whole.slice(k, rows)
-                language, score, rejected = model.predict(b.column("__text").to_pylist(), is_letter)
+                language, score, rejected = model.predict(b.column(text).to_pylist(), is_letter)
                 columns = [*(b.column(c) for c in keep), pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "rejected"])
 
@@ -192,9 +195,10 @@ def _predicted(model: LanguageModel, keep: list[str], rows: int = 128):
 def predict(df: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, lang_pred, score and rejected of each row."""
     keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_batches(rows, _predicted(model, keep), f"{kinds}, lang_pred string, score double, rejected boolean")
+    own = free_name(keep, "text_")
+    rows = df.select(*keep, F.col(text).alias(own))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return map_batches(rows, _predicted(model, keep, own), f"{kinds}lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -3,8 +3,9 @@
 The text view knows the words and byte trigrams of a text, hashed (log counts, unit length); the metadata view knows what
 the table says of a page beside its text: source, language and length, alone and in pairs. Both are naive Bayes, so a view
 is a sum over documents and all documents can teach it. In each round one pass over the whole table scores every document
-that is not in the labelled sample with both views; the documents that one view is sure of, at ``CONFIDENT``, go with that
-label into the other view's sums, in the tasks. A view is then fitted anew, its labelled and its passed-on documents with
+that is not in the labelled sample with both views; the documents that one view is most sure of, the ``CONFIDENT_SHARE`` of
+either end as the held labelled texts lie and all at ``CONFIDENT`` beyond, go with that label into the other view's sums, in
+the tasks, so each view teaches the other however weak it is. A view is then fitted anew, its labelled and its passed-on documents with
 half of the say each. In the end each view is calibrated by a logistic fit on labelled texts that it did not train on, and
 a third logistic fit on the same texts combines the two calibrated views into one score.
 
@@ -35,7 +36,8 @@ from boxsift.llm.shingles import text_chunks, word_hashes
 from boxsift.llm.sums import summed
 
 LABELLED = 6000
-ROUNDS, CONFIDENT = 2, 0.9
+#: A view passes on what it is sure of to this degree, and this share of either class however sure it is.
+ROUNDS, CONFIDENT, CONFIDENT_SHARE = 2, 0.9, 0.1
 WORD_DIMS = TRIGRAM_DIMS = 1 << 13
 TEXT_DIMS, META_DIMS = WORD_DIMS + TRIGRAM_DIMS, 1 << 12
 #: What each dimension's sum is raised by, as naive Bayes needs.
@@ -135,6 +137,7 @@ class QualityModel:
     meta: np.ndarray
     text_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))  # slope and intercept of the calibration
     meta_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
+    sure: np.ndarray = field(default_factory=lambda: np.array([[-np.inf, np.inf]] * 2))  # of each view, logits at and beyond which it passes labels on
     join: np.ndarray = field(default_factory=lambda: np.zeros(3))  # weights of the two calibrated logits, and a bias
     passed: list[dict[str, int]] = field(default_factory=list)  # of each round: documents that a view passed to the other
 
@@ -184,12 +187,9 @@ def _passed_sums(model: QualityModel, known: np.ndarray):
         for b, raw in chunks:
             rows, words = text_features(raw)
             meta = meta_features(b)
-            ids = b.column("doc_id").to_pandas().to_numpy("f8", na_value=np.nan)
-            free = (words > 0) & ~np.isin(ids, known)
-            sure = []
-            for z in model.calibrated(rows, meta):
-                p = sigmoid(z)
-                sure.append(np.where(free & (p >= CONFIDENT), 1, np.where(free & (p <= 1 - CONFIDENT), 0, -1)))
+            ids = b.column("doc_id")
+            free = (words > 0) & (ids.is_null().to_numpy(zero_copy_only=False) | ~np.isin(ids.fill_null(0).to_numpy(), known))
+            sure = [np.where(free & (z >= high), 1, np.where(free & (z <= low), 0, -1)) for z, (low, high) in zip(model.calibrated(rows, meta), model.sure)]
             _add(total, rows, meta, sure[1], sure[0])
         return total
 
@@ -214,7 +214,12 @@ def _calibrate(model: QualityModel, held: DataFrame) -> None:
         return
     spread = np.maximum(z.std(0), 1e-9)
     model.text_scale, model.meta_scale = (_logistic(z[:, k : k + 1] / spread[k], y, 1, 300, 0.2, 1e-3) / np.array([spread[k], 1]) for k in (0, 1))
-    both = np.stack([s[0] * z[:, k] + s[1] for k, s in enumerate((model.text_scale, model.meta_scale))], 1).clip(-12, 12)
+    both = np.stack([s[0] * z[:, k] + s[1] for k, s in enumerate((model.text_scale, model.meta_scale))], 1)
+    ends = np.quantile(both, [CONFIDENT_SHARE, 1 - CONFIDENT_SHARE], axis=0).T
+    at = np.log(CONFIDENT / (1 - CONFIDENT))
+    ends = np.stack([np.maximum(ends[:, 0], -at), np.minimum(ends[:, 1], at)], 1)
+    model.sure = np.where(ends[:, :1] < ends[:, 1:], ends, [-np.inf, np.inf])  # a view that says one thing of all passes nothing
+    both = both.clip(-12, 12)
     model.join = _logistic(both, y, 2, 300, 0.2, 1e-3)
 
 
@@ -242,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     text, meta = views(summed(rows, _labelled_sums, "f8", 4))
     model = QualityModel(_view(text, np.zeros_like(text), TEXT_FLOOR), _view(meta, np.zeros_like(meta), META_FLOOR))
     _calibrate(model, held)
-    known = np.sort(np.array([r["doc_id"] for r in chosen.select("doc_id").distinct().collect()], "f8"))
+    known = np.sort(np.array([r["doc_id"] for r in chosen.select("doc_id").distinct().collect()], "i8"))
     for _ in range(rounds):
         got = summed(docs, _passed_sums(model, known), "f8", 4)
         more_text, more_meta = views(got)

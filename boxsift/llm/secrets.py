@@ -8,7 +8,8 @@ underscored names, numbers, versions, paths of words) are left out first.
 Each text is scanned whole where it is read: one Arrow pass, no shuffle. Offsets count code points, end exclusive.
 
 Defined results: a null or empty text has no span; equal texts have equal spans; overlapping kinds are all reported; an
-empty table gives no rows; the columns named in ``keep`` pass through, no other column is read.
+empty table gives no rows; the columns named in ``keep`` pass through, except one called spans, whose name the output takes;
+no other column is read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxsift.llm.common import map_batches
+from boxsift.llm.common import free_name, map_batches
 
 KINDS = ("assign", "access", "hex", "random")
 #: The first three in the order of the contract: pattern, group whose length counts, least length.
@@ -75,12 +76,12 @@ def random_spans(text: str, encode, most: float = MAX_CHARS_PER_TOKEN) -> list[t
     return out
 
 
-def _scanned(path: str, most: float, keep: list[str]):
+def _scanned(path: str, most: float, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocabulary(path).encode_ordinary
         for b in batches:
             made = []
-            for t in b.column("__text").to_pylist():
+            for t in b.column(text).to_pylist():
                 spans = sorted(base_spans(t) + random_spans(t, encode, most)) if t else []
                 made.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
             spans = pa.array(made, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
@@ -94,9 +95,11 @@ def scan(df: DataFrame, ranks: str, text: str = "text", keep: tuple[str, ...] =
 
     ranks is the path of a tiktoken vocabulary file, which every executor can read.
     """
-    rows = df.select(*keep, F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_batches(rows, _scanned(ranks, most, list(keep)), f"{kinds}, spans array<struct<kind string, start bigint, end bigint>>")
+    keep = [c for c in keep if c != "spans"]
+    own = free_name(keep, "text_")
+    rows = df.select(*keep, F.col(text).alias(own))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return map_batches(rows, _scanned(ranks, most, keep, own), f"{kinds}spans array<struct<kind string, start bigint, end bigint>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

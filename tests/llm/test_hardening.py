@@ -255,6 +255,29 @@ def test_views_pass_labels_to_each_other(spark):
     assert spread(model) > 0.8 > spread(alone) + 0.2
 
 
+def test_views_pass_labels_in_the_given_tables(spark):
+    """Both views teach in every round, though the metadata says next to nothing of quality there, and no accuracy is lost by it."""
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
+    model = quality_classifier.train(read("documents"), read("labels").where(~held))
+    assert len(model.passed) == quality_classifier.ROUNDS and all(min(p.values()) > 0 for p in model.passed)
+    big = spark.createDataFrame([(2**60 + 1, "plain words of prose", "a", "en", 20), (2**60, "plain words of prose", "a", "en", 20)], "doc_id long, text string, source string, lang string, n_chars long")
+    marks = spark.createDataFrame([(2**60, 1)], "doc_id long, quality int")
+    known = np.array([2**60], "i8")
+    assert np.isin(np.array([r["doc_id"] for r in big.collect()]), known).sum() == 1 and marks.count() == 1
+    assert {r["doc_id"] for r in quality_classifier.score(big, model).collect()} == {2**60, 2**60 + 1}
+
+
+def test_clashing_names_of_kept_columns(spark):
+    df = spark.createDataFrame([(1, "the old stone bridge", "a", "b", "c")], "doc_id long, text string, spans string, __text string, text_ string")
+    ranks = token_file("byte_bpe_50k.tiktoken")
+    assert secrets.scan(df, ranks, keep=("doc_id", "spans", "__text", "text_")).columns == ["doc_id", "__text", "text_", "spans"]
+    assert secrets.scan(df, ranks, keep=("doc_id", "spans", "__text", "text_")).first()["text_"] == "c"
+    assert secrets.scan(df, ranks, keep=()).first()["spans"] == []
+    model = language_id.train(spark.createDataFrame([(k, "the old stone bridge", "en") for k in range(5)], "doc_id long, text string, lang string"))
+    assert language_id.predict(df, model, keep=("doc_id", "__text", "text_", "text")).first()["text"] == "the old stone bridge"
+
+
 def test_classifier_on_repeated_rows(spark):
     text = "the river and the old stone bridge were quiet that evening"
     rows = [(1, text, "a", "en")] * 300 + [(2, "buy $$$ now !!! ###", "b", "en")] * 300 + [(None, None, None, None)]
