@@ -43,7 +43,8 @@ FREQUENT, LOCAL_COUNT, STRETCH = 1 << 18, 4, 2_000_000
 #: A list up to this length is paired in full; pivots in the rounds over longer ones, few enough that Spark keeps the best
 #: of each task before it deals lists out (up to spark.sql.optimizer.windowGroupLimitThreshold, 1,000).
 SHORT_LIST, SECOND_PIVOTS, LATER_PIVOTS = 64, 16, 512
-#: Bits of a set's parity sketch, a power of two: sets differ in at least as many elements as their sketches in bits.
+#: Least bits of a set's parity sketch; it has half as many as the set has elements, rounded up to a power of two, as one
+#: of fixed size could not tell long sets apart. Sets differ in at least as many elements as their sketches in bits.
 SKETCH = 1024
 #: Ids up to this count (16 MB) are broadcast; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -87,7 +88,7 @@ def frequent_elements(docs: DataFrame, n: int, most: int = FREQUENT) -> tuple[np
 
 def _prefixes(n: int, percent: int, element: np.ndarray, count: np.ndarray):
     """(doc_id, n, set_key, rare, prefix, sketch): rare is the number of elements that are not frequent; sketch has a bit
-    for each of SKETCH classes of elements, set if the set has an odd number of them."""
+    for each class of elements, set if the set has an odd number of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, raw in text_chunks(batches):
@@ -95,7 +96,8 @@ def _prefixes(n: int, percent: int, element: np.ndarray, count: np.ndarray):
             keys, rare, prefix, sketch = [], [], [], []
             for s in sets:
                 keys.append(set_key(s) if len(s) else None)
-                odd = (np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).astype("u1")
+                bits = max(SKETCH, 1 << (max(len(s) // 2, 1) - 1).bit_length())
+                odd = (np.bincount(s & (bits - 1), minlength=bits) & 1).astype("u1")
                 sketch.append(np.packbits(odd, bitorder="little").view("<i8"))
                 weight = np.zeros(len(s), "i8")
                 if len(element) and len(s):
@@ -330,8 +332,14 @@ class _Join:
 
 
 def apart(a: Column, b: Column) -> Column:
-    """Bits in which two sketches differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    """Bits in which two sketches differ, at the length of the shorter one."""
+    k = F.least(F.size(a), F.size(b))
+
+    def folded(x: Column) -> Column:
+        at = lambda j: F.aggregate(F.sequence(j, F.size(x) - 1, k), F.lit(0).cast("long"), lambda total, i: total.bitwiseXOR(F.get(x, i)))
+        return F.when(F.size(x) > k, F.transform(F.sequence(F.lit(0), k - 1), at)).otherwise(x)
+
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
 
 
 def small(table: DataFrame) -> DataFrame:

@@ -429,3 +429,21 @@ def test_url_scores_plain(spark):
     assert got["badly-wonder.x"][0] == "badly wonder thing new"
     assert abs(got["badly-wonder.x"][1] - 1 / (1 + math.exp(-bias - score("badly wonder thing new".split())))) < 1e-9
     assert abs(got["x.y"][1] - 1 / (1 + math.exp(-bias - score(["x"])))) < 1e-9
+
+
+def test_sketches_of_long_sets(spark):
+    """Sketches of different lengths are met at the shorter one, and never say that sets differ in more than they do."""
+    rng = np.random.default_rng(9)
+    rows, sets = [], []
+    base = rng.integers(-(2**62), 2**62, 5000)
+    for k in range(30):
+        s = np.unique(np.concatenate([base[: rng.integers(1200, 5000)], rng.integers(-(2**62), 2**62, rng.integers(1, 2500))]))
+        bits = max(ngram_join.SKETCH, 1 << (max(len(s) // 2, 1) - 1).bit_length())
+        odd = (np.bincount(s & (bits - 1), minlength=bits) & 1).astype("u1")
+        rows.append((k, np.packbits(odd, bitorder="little").view("<i8").tolist()))
+        sets.append(set(s.tolist()))
+    assert len({len(r[1]) for r in rows}) > 1
+    df = spark.createDataFrame(rows, "k int, s array<long>")
+    both = df.alias("a").join(df.alias("b"), F.col("a.k") < F.col("b.k")).select(F.col("a.k").alias("x"), F.col("b.k").alias("y"), ngram_join.apart(F.col("a.s"), F.col("b.s")).alias("d"))
+    for r in both.collect():
+        assert 0 < r["d"] <= len(sets[r["x"]] ^ sets[r["y"]])
