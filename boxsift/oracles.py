@@ -524,7 +524,8 @@ md1 AS (SELECT request_id, unnest(kept) AS r, unnest(range(len(kept))) AS place
 md2 AS MATERIALIZED (SELECT request_id, r.i AS i, r.norm AS norm, r.confidence AS confidence, r.x1 AS x1, r.y1 AS y1, r.x2 AS x2, r.y2 AS y2, row_number() OVER (PARTITION BY request_id ORDER BY r.confidence DESC, place) AS n FROM md1),
 st2 AS (SELECT request_id, list_filter(list({_READING}), lambda x: false) AS kept FROM md2 c GROUP BY request_id), {_merge("mf2", "md2", "st2", _SAME)},
 mg AS MATERIALIZED (SELECT request_id, unnest(kept) AS r, unnest(range(len(kept))) AS place FROM {_last("mf2")}),
-box AS MATERIALIZED (SELECT g.request_id, CAST(g.place AS INT) AS block_index, b.text, b.x1, b.y1, b.x2, b.y2, g.r.confidence AS confidence FROM mg g JOIN vs v ON v.request_id = g.request_id JOIN rd0 b ON b.id = v.id AND b.block_index = g.r.i % 1000)"""
+mk AS MATERIALIZED (SELECT g.request_id, v.id, g.r.i % 1000 AS block_index, g.place, g.r.confidence AS confidence FROM mg g JOIN vs v ON v.request_id = g.request_id),
+box AS MATERIALIZED (SELECT k.request_id, CAST(k.place AS INT) AS block_index, b.text, b.x1, b.y1, b.x2, b.y2, k.confidence FROM mk k JOIN rd0 b ON b.id = k.id AND b.block_index = k.block_index)"""
 _CARDS_OF_TRIES = "cd AS (SELECT v.request_id, c.card, c.x1, c.y1, c.x2, c.y2 FROM (SELECT request_id AS id, unnest(cards) AS c FROM one) o JOIN vs v ON v.id = o.id),\ncwide AS"
 _SECOND = _carded(FEATURES).replace(CARDS[: CARDS.index("cwide AS") + len("cwide AS")], _CARDS_OF_TRIES, 1).replace(BOXES, f"{_PLAN},{_TRIES}", 1)
 SQL["retry_run"] = f"""WITH RECURSIVE {_SECOND}, {_KNOWN},
@@ -549,8 +550,8 @@ g AS (SELECT *, CAST(greatest(32, floor(greatest(sqrt((ub - ua) ** 2 + (vb - va)
   WHERE ((ub - ua) * (vc - va) - (vb - va) * (uc - ua)) <> 0 AND ((ub - ua) * (ve - va) - (vb - va) * (ue - ua)) <> 0 AND ((uc - ua) * (ve - va) - (vc - va) * (ue - ua)) <> 0 AND ((uc - ub) * (ve - vb) - (vc - vb) * (ue - ub)) <> 0),
 k AS (SELECT *, (sx * (ve - vc) - (ue - uc) * sy) / det AS gg, ((ub - uc) * sy - sx * (vb - vc)) / det AS hh FROM g),
 m AS (SELECT p_partkey, w, h, [(ub - ua + gg * ub) / (w - 1), (ue - ua + hh * ue) / (h - 1), ua, (vb - va + gg * vb) / (w - 1), (ve - va + hh * ve) / (h - 1), va, gg / (w - 1), hh / (h - 1), 1.0] AS m FROM k),
-p AS (SELECT p_partkey, 300 + p_partkey % 500 AS w, 200 + p_partkey % 700 AS h FROM part)
-SELECT p_partkey, 'pre_card_0' AS name, 1.8::DOUBLE AS scale, 0 AS quadrants, w AS crop_width, h AS crop_height, array_to_string(list_transform(m, lambda v: printf('%.4f', v + 1.2345678e-5::DOUBLE)), ' ') AS matrix, NULL AS x, NULL AS y FROM m
+p AS (SELECT p_partkey, CAST(300 + p_partkey % 500 AS INT) AS w, CAST(200 + p_partkey % 700 AS INT) AS h FROM part)
+SELECT p_partkey, 'pre_card_0' AS name, 1.8::DOUBLE AS scale, 0 AS quadrants, w AS crop_width, h AS crop_height, array_to_string(list_transform(m, lambda v: printf('%.4f', v + 1.2345678e-5::DOUBLE)), ' ') AS matrix, CAST(NULL AS INT) AS x, CAST(NULL AS INT) AS y FROM m
 UNION ALL SELECT p_partkey, 'full_rotate_90', 1.0, 1, w, h, '', 27, h - 18 FROM p UNION ALL SELECT p_partkey, 'full_rotate_180', 1.0, 2, w, h, '', w - 18, h - 27 FROM p UNION ALL SELECT p_partkey, 'full_rotate_270', 1.0, 3, w, h, '', w - 27, 18 FROM p"""
 
 _STARTS = "list_sort(list_distinct([{}]))"
