@@ -506,13 +506,14 @@ _VARIANTS = """list_concat(['normal'], CASE WHEN low AND contact AND words = 0 T
   CASE WHEN (y2 - y1) / greatest(x2 - x1, 1) >= 1.45 AND shape <> 'irregular' AND low AND (contact OR partial_contact OR words <= 1) THEN ['rotate_90', 'rotate_270'] ELSE [] END,
   CASE WHEN shape = 'trapezoid' THEN ['perspective'] WHEN abs(angle) BETWEEN 8 AND 20 THEN ['deskew'] ELSE [] END, CASE WHEN src = 1 AND scant THEN ['deskew', 'perspective'] ELSE [] END)"""
 _PLAN = f"""one AS MATERIALIZED (WITH RECURSIVE {_FIRST}, {_KNOWN}, sm AS (SELECT *, {_MEANING} AS score FROM sh),
-rr AS (SELECT h.*, x.src, x.shape, x.angle AS turn, x.card AS on_card, x.x1 AS fx1, x.y1 AS fy1, x.x2 AS fx2, x.y2 AS fy2, t.scant, t.oblique, t.card AS carded, CASE WHEN risk_score >= 69 AND h.contact AND h.words >= 2 THEN ''
+rr AS (SELECT h.*, x.src, x.shape, x.angle AS turn, q.cut <= q.y2 - q.y1 AS straight, x.x1 AS fx1, x.y1 AS fy1, x.x2 AS fx2, x.y2 AS fy2, t.scant, t.oblique, t.card AS carded, CASE WHEN risk_score >= 69 AND h.contact AND h.words >= 2 THEN ''
     WHEN h.words < 1 AND NOT h.contact AND NOT t.card AND NOT t.oblique THEN '' WHEN t.card AND h.words < 1 AND NOT h.contact AND t.scant THEN 'card_candidate_low_text_recall' WHEN h.words >= 2 AND NOT h.contact THEN 'high_risk_keywords_missing_contact'
     WHEN t.oblique AND h.words < 1 AND NOT h.contact THEN 'oblique_small_text' WHEN len(texts) <= 5 AND chars <= 40 AND h.words >= 1 AND t.card THEN 'sparse_text_with_risk_words' WHEN risk_score BETWEEN 40 AND 69 AND h.words >= 1 AND t.card THEN 'mid_risk_with_card_region'
-    WHEN h.contact AND t.card AND h.words < 1 AND h.low THEN 'contact_only_low_semantic' ELSE '' END AS reason FROM sm h JOIN ft2 t ON t.request_id = h.request_id LEFT JOIN fx x ON x.request_id = h.request_id),
+    WHEN h.contact AND t.card AND h.words < 1 AND h.low THEN 'contact_only_low_semantic' ELSE '' END AS reason FROM sm h JOIN ft2 t ON t.request_id = h.request_id LEFT JOIN fx x ON x.request_id = h.request_id
+  LEFT JOIN kc q ON q.request_id = x.request_id AND q.card = x.card),
 rv AS (SELECT *, CASE WHEN reason <> '' AND src IS NOT NULL THEN {_VARIANTS.replace("angle", "turn").replace("y2", "fy2").replace("y1", "fy1").replace("x2", "fx2").replace("x1", "fx1")} ELSE [] END AS steps FROM rr),
 rw2 AS (SELECT *, list_filter(steps, lambda s, i: list_position(steps, s) = i)[1:5] AS five FROM rv)
-SELECT request_id, reason, score, hit_keywords, list_filter(five, lambda s: s <> 'perspective' OR on_card IS NOT NULL) AS variants, (SELECT list(struct_pack(card := c.card, x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2) ORDER BY c.card) FROM cd c WHERE c.request_id = rw2.request_id) AS cards FROM rw2)"""
+SELECT request_id, reason, score, hit_keywords, list_filter(five, lambda s: s <> 'perspective' OR coalesce(straight, false)) AS variants, (SELECT list(struct_pack(card := c.card, x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2) ORDER BY c.card) FROM cd c WHERE c.request_id = rw2.request_id) AS cards FROM rw2)"""
 _TRIES = rf"""{_BOX0},
 vs AS MATERIALIZED (SELECT request_id * 10 + k AS request_id, request_id AS id, k, variants[k + 1] AS variant FROM (SELECT request_id, variants, unnest(range(len(variants))) AS k FROM one)),
 rd0 AS MATERIALIZED (SELECT request_id AS id, block_index, CASE WHEN block_index % 2 = 0 THEN block_index // 2 ELSE 1000 END AS place, text, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS norm, confidence, x1, y1, x2, y2 FROM box0),
@@ -578,11 +579,11 @@ SELECT request_id, round(degrees(atan(uy / ux)), 6) AS angle, round(w, 6) AS wid
   {_POLYGON.format("list_transform(" + _corners("greatest(w, 24) * 1.55::DOUBLE", "greatest(h, 24) * 1.8::DOUBLE") + ", lambda p: [least(greatest(0, p[1]), 399), least(greatest(0, p[2]), 299)])")} AS clipped,
   CASE WHEN least(w, h) <= 1 OR greatest(w, h) / greatest(1.0::DOUBLE, least(w, h)) > 4.5 THEN 'irregular' ELSE 'rectangle' END AS shape FROM rect"""
 SQL["nested_results"] = SQL["recognised_boxes"]
-SQL["semantic_entities"] = f"""WITH RECURSIVE {FEATURES} SELECT request_id, {_joined(_hits((*NOISE, *NOISE_OF_READINGS)))} AS noise_hits, odd AS odd_blocks, len(texts) AS block_count FROM fn"""
+SQL["semantic_entities"] = f"""WITH RECURSIVE {FEATURES} SELECT request_id, {_joined(_hits((*NOISE, *NOISE_OF_READINGS)))} AS noise_hits, CAST(odd AS INT) AS odd_blocks, CAST(len(texts) AS INT) AS block_count FROM fn"""
 SQL["annotation_sizes"] = """WITH p AS (SELECT p_partkey, CAST(300 + (p_partkey * 37) % 2200 AS INT) AS w, CAST(300 + (p_partkey * 53) % 2400 AS INT) AS h FROM part), l AS (SELECT *, greatest(w, h) AS m, greatest(4, least(8, greatest(w, h) // 180)) AS line FROM p)
 SELECT p_partkey, line AS line_width, line + 1 AS ad_line_width, greatest(20, least(42, m // 28)) AS font_size, CASE WHEN m > 1800 THEN CAST(trunc(w * (1800.0::DOUBLE / m)) AS INT) ELSE w END AS kept_width, CASE WHEN m > 1800 THEN CAST(trunc(h * (1800.0::DOUBLE / m)) AS INT) ELSE h END AS kept_height FROM l"""
 SQL["encoded_files"] = "SELECT page_id, md5(base64(encode(CASE WHEN page_id % 10 <> 0 THEN html END))) AS encoded_md5 FROM pages"
-SQL["normalized_texts"] = rf"WITH {TEXTS}, n AS (SELECT kind, id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS t FROM t) SELECT kind, id, length(t) AS length, md5(t) AS digest FROM n"
+SQL["normalized_texts"] = rf"WITH {TEXTS}, n AS (SELECT kind, id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]', '', 'g') AS t FROM t) SELECT kind, id, CAST(length(t) AS INT) AS length, md5(t) AS digest FROM n"
 SQL["turn_noise"] = rf"""WITH c AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '\S'))) AS text FROM conversations),
 w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word FROM c)
 SELECT conv_id, turn, count(*) AS words, count(*) FILTER (trim(word, ' ' || chr(9) || chr(11) || chr(12)) <> '' AND NOT regexp_matches(word, '[\x{{4e00}}-\x{{9fff}}A-Za-z0-9]')) AS noise_words FROM w GROUP BY conv_id, turn"""
