@@ -165,6 +165,21 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+ORACLE_SQL["op3_ngram_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rid,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, rid, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shingles FROM d),
+e AS MATERIALIZED (SELECT rid, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM e a JOIN e b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM p JOIN s x ON x.rid = p.x JOIN s y ON y.rid = p.y WHERE 100 * k >= 85 * (len(x.shingles) + len(y.shingles) - k)),
+u AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s WHERE len(shingles) > 0 UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, CASE WHEN len(shingles) > 0 THEN coalesce(c.component_id, doc_id) ELSE doc_id END AS component_id FROM s LEFT JOIN c ON c.a = s.doc_id
+"""
+
+
 @query
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
