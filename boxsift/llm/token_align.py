@@ -5,7 +5,7 @@ A transducer walks both token sequences of a text. Its state is the side that le
 bytes that the other side has not matched; the lagging side's next token shortens the suffix or takes the lead. When
 nothing dangles, both sides end at one byte and a group closes. A step depends on suffix and token alone, so the states
 form an automaton that is built as it is met. Each step with something dangling is a link: a token meets the one token
-whose suffix dangles. Tokens that do not spell the text have no step, and the text has no tokens.
+whose suffix dangles. Short pairs of sequences walk through the automaton side by side, one step of all of them at a time. Tokens that do not spell the text have no step, and the text has no tokens.
 
 White space begins a new token in both vocabularies wherever it follows another character (``Pieces`` checks that of the
 vocabulary, and falls back on whole texts), so a text is aligned as the units between such places and a distinct unit is
@@ -43,6 +43,8 @@ UNIT_STORE, UNIT_CHARS = 300_000, 48
 STEPS = 1_000_000
 #: New units encoded in one go.
 RUN = 256
+#: Most tokens of two sequences that walk beside others; longer ones walk alone.
+SIDE_BY_SIDE = 64
 #: Id pairs that are broadcast; about 50 bytes each.
 HEAVY = 1 << 19
 _SPACE = r"\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{2581}"
@@ -98,18 +100,22 @@ class Pieces:
 
 
 class Transducer:
-    """States are (leader, suffix, steps): leader 0 for nobody, 1 for side A, 2 for side B; steps by the next token's id."""
+    """States are (leader, suffix, steps, number): leader 0 for nobody, 1 for side A, 2 for side B; steps by the next token's
+    id. Numbers are 0 for nobody, odd where side A leads and even where side B does."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
-        self.a, self.b, self.size_b = a, b, len(b)
+        self.a, self.b, self.size_b, self.width = a, b, len(b), max(len(a), len(b))
         self.forget()
 
     def forget(self) -> None:
-        self.root, self.states, self.made = (0, b"", {}), {}, 0
+        self.root, self.states, self.made = (0, b"", {}, 0), {}, 0
+        self.numbered, self.fresh = {0: self.root}, {}
+        #: Steps as arrays: number * width + token, in order, and the number of the state after it, -1 for none.
+        self.keys, self.nexts = np.array([-1]), np.array([-1])
 
     def step(self, state: tuple, token: int) -> tuple | None:
         """The state after the lagging side's token; None if it spells other bytes."""
-        leader, suffix, steps = state
+        leader, suffix, steps, _ = state
         new = self.b[token] if leader == 1 else self.a[token]
         if not new:
             return None
@@ -121,11 +127,78 @@ class Transducer:
             return None
         out = self.root if not after[1] else self.states.get(after)
         if out is None:
-            out = self.states[after] = (*after, {})
+            number = 2 * len(self.numbered) + (after[0] == 1)
+            out = self.states[after] = self.numbered[number] = (*after, {}, number)
         steps[token] = out
         self.made += 1
         return out
 
+    def _after(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Numbers of the states after one step each, -1 for none."""
+        keys = states * self.width + tokens
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        out, lacking = self.nexts[at], np.flatnonzero(self.keys[at] != keys)
+        if len(lacking):
+            new, where = np.unique(keys[lacking], return_inverse=True)
+            for k in new.tolist():
+                if k not in self.fresh:
+                    state, token = self.numbered[k // self.width], k % self.width
+                    after = state[2].get(token) or self.step(state, token)
+                    self.fresh[k] = -1 if after is None else after[3]
+            out[lacking] = np.array([self.fresh[k] for k in new.tolist()])[where]
+        return out
+
+    def align_many(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``align`` of the pairs a[cut_a[k]:cut_a[k + 1]] and b likewise: which tokens of a and of b end a group, links (those of
+        a pair from cut_a[k] + cut_b[k] on), and pairs that do not spell the same."""
+        if self.made > STEPS:
+            self.forget()
+        end_a, end_b, links = np.zeros(len(a), bool), np.zeros(len(b), bool), np.empty(len(a) + len(b), "i8")
+        i, j, n, m = cut_a[:-1], cut_b[:-1], cut_a[1:], cut_b[1:]
+        bad, slot = np.zeros(len(i), bool), i + j
+        long = n - i + m - j > SIDE_BY_SIDE
+        for k in np.flatnonzero(long).tolist():
+            found = self.align(a[i[k] : n[k]].tolist(), b[j[k] : m[k]].tolist())
+            if found is None:
+                bad[k] = True
+            else:
+                x, y = np.array(found[0], "i8").reshape(-1, 2).T
+                end_a[i[k] + x - 1] = end_b[j[k] + y - 1] = True
+                links[slot[k] : slot[k] + len(found[1])] = found[1]
+        # One row for each pair under way: pair, state, token that leads, i, j, their ends, place of the next link.
+        live = np.flatnonzero(~long)
+        rows = np.stack([live, np.zeros_like(live), np.zeros_like(live), *(x[live] for x in (i, j, n, m, slot))])
+        while True:
+            k, state, lead, i, j, n, m, slot = rows
+            of_b = state & 1 == 1  # side A leads
+            out = np.where(of_b, j == m, i == n)
+            if out.any():
+                bad[k[out & ((state > 0) | (j < m))]] = True
+                rows, of_b = rows[:, ~out], of_b[~out]
+                k, state, lead, i, j, n, m, slot = rows
+            if not rows.shape[1]:
+                break
+            token = np.where(of_b, b.take(j, mode="clip"), a.take(i, mode="clip"))
+            linked = state > 0
+            links[slot[linked]] = np.where(of_b, lead * self.size_b + token, token * self.size_b + lead)[linked]
+            slot += linked
+            i += ~of_b
+            j += of_b
+            after = self._after(state, token)
+            closed = after == 0
+            end_a[i[closed] - 1] = end_b[j[closed] - 1] = True
+            turned = (after > 0) & ((state == 0) | ((after ^ state) & 1 == 1))
+            lead[turned] = token[turned]
+            state[:] = after
+            if (after < 0).any():
+                bad[k[after < 0]] = True
+                rows = rows[:, after >= 0]
+        if self.fresh:
+            keys, nexts = np.append(self.keys, list(self.fresh)), np.append(self.nexts, list(self.fresh.values()))
+            order = np.argsort(keys)
+            self.keys, self.nexts, self.fresh = keys[order], nexts[order], {}
+        return end_a, end_b, links, bad
+
     def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]] | None:
         """Ends (in a, in b) of the groups and the links as numbers a * size_b + b; None if both do not spell the same."""
         if self.made > STEPS:
@@ -159,70 +232,138 @@ class Transducer:
         return (ends, links) if j == m else None
 
 
-#: A unit's or text's alignment: tokens of A and of B, groups, the groups as text, links as bytes of int64.
-Alignment = tuple[int, int, int, str, bytes]
-NOTHING: Alignment = (0, 0, 0, "", b"")
+#: Alignments of units or texts, a row each: tokens of A and of B, groups, whether it has none by itself, the groups as text (each
+#: with a semicolon behind it), links as bytes of int64.
+ALIGNMENTS = pa.schema([("n_a", "i8"), ("n_b", "i8"), ("n_groups", "i8"), ("bad", "bool"), ("text", pa.large_binary()), ("links", pa.large_binary())])
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def spread(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes of a binary column."""
+    edges = np.frombuffer(column.buffers()[1], "i8")[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, "i8")
+    return edges, memoryview(column.buffers()[2] or b"")
+
+
+def binary(edges: np.ndarray, data) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, "i8")), pa.py_buffer(data)])
+
+
+def stacked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(k) for p in parts]) for k in range(len(ALIGNMENTS))], schema=ALIGNMENTS)
+
+
+NO_ALIGNMENTS = pa.RecordBatch.from_pylist([], schema=ALIGNMENTS)
 
 
 class Aligner:
     def __init__(self, byte_file: str, piece_file: str):
         self.a, self.b = ByteLevel(byte_file), Pieces(piece_file)
         self.transducer = Transducer(self.a.bytes, self.b.bytes)
-        self.size_a, self.size_b = (np.array([len(x) for x in side.bytes], "i8") for side in (self.a, self.b))
-        self.store: dict[str, Alignment | None] = {}
-        self.older: dict[str, Alignment | None] = {}
-
-    def _alignment(self, a: list[int], b: list[int]) -> Alignment | None:
-        found = self.transducer.align(a, b)
-        if found is None:
-            return None
-        groups, i, j = [], 0, 0
-        for x, y in found[0]:
-            groups.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            i, j = x, y
-        return len(a), len(b), len(groups), ";".join(groups), np.array(found[1], "i8").tobytes()
+        self.spelled = [pa.array(side.bytes, pa.large_binary()) for side in (self.a, self.b)]
+        #: Ids as text with what follows them: inside and at the end of a group, of A and then of B.
+        self.names = pa.array([f"{i}{c}".encode() for side, cs in ((self.a, ",|"), (self.b, ",;")) for i in range(len(side.bytes)) for c in cs], pa.large_binary())
+        #: Rows of units in the tables beside them; the older half.
+        self.rows, self.table = {}, NO_ALIGNMENTS
+        self.older: tuple[dict[str, int], pa.RecordBatch] = ({}, NO_ALIGNMENTS)
+
+    def _alignments(self, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> pa.RecordBatch:
+        """ALIGNMENTS of the pairs a[cut_a[k]:cut_a[k + 1]] and b likewise."""
+        end_a, end_b, links, bad = self.transducer.align_many(a, b, cut_a, cut_b)
+        n_a, n_b = np.diff(cut_a), np.diff(cut_b)
+        if bad.any():
+            held = np.repeat(~bad, n_a), np.repeat(~bad, n_b), np.repeat(~bad, n_a + n_b)
+            a, end_a, b, end_b, links = a[held[0]], end_a[held[0]], b[held[1]], end_b[held[1]], links[held[2]]
+            n_a, n_b = n_a * ~bad, n_b * ~bad
+        after_a, after_b = (np.concatenate([[0], np.flatnonzero(end) + 1]) for end in (end_a, end_b))  # tokens up to each group
+        # A group's tokens of A stand behind the tokens of B of the groups before it, those of B behind its own tokens of A.
+        names = np.empty(len(a) + len(b), "i8")
+        names[np.arange(len(a)) + after_b[np.cumsum(end_a) - end_a]] = 2 * a + end_a
+        names[np.arange(len(b)) + after_a[np.cumsum(end_b) - end_b + 1]] = 2 * (b + len(self.a.bytes)) + end_b
+        edges, text = spread(self.names.take(pa.array(names)))
+        n_groups = np.diff(np.searchsorted(after_a[1:], np.concatenate([[0], np.cumsum(n_a)]), "right"))
+        n, n_links = n_a + n_b, n_a + n_b - n_groups
+        first = np.cumsum(n) - n
+        links = links[np.arange(n.sum()) - np.repeat(first, n) < np.repeat(n_links, n)]
+        columns = [n_a, n_b, n_groups, bad, binary(edges[np.append(first, n.sum())], text), binary(np.concatenate([[0], np.cumsum(n_links)]) * 8, links)]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=ALIGNMENTS)
+
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[bytes, list[tuple[np.ndarray, np.ndarray]] | None]]:
+        """Of each text its bytes and, of both sides, ids and where they end; None if one spells other bytes."""
+        for text, *ids in zip(texts, self.a.encode(texts), self.b.encode(texts)):
+            spelled, sides = text.encode(), []
+            for x, known in zip(ids, self.spelled):
+                x = np.array(x, "i8")
+                edges, data = spread(known.take(pa.array(x)))
+                if edges[-1] != len(spelled) or bytes(data[: len(spelled)]) != spelled:
+                    break
+                sides.append((x, edges[1:]))
+            yield spelled, sides if len(sides) == 2 else None
 
-    def text(self, text: str) -> Alignment:
+    def text(self, text: str) -> pa.RecordBatch:
         """A text encoded whole."""
-        a, b = self.a.encode([f" {text}"])[0], self.b.encode([f" {text}"])[0]
-        spelled = f" {text}".encode()
-        if b"".join(self.a.bytes[i] for i in a) != spelled:
-            return NOTHING
-        return self._alignment(a, b) or NOTHING
-
-    def _units(self, units: list[str]) -> list[Alignment | None]:
-        """Alignments of units (a line break or the blank left out, then no place to part) by runs of them; None for a unit
-        that has none by itself."""
+        _, sides = next(self._encoded([f" {text}"]))
+        if sides is None:
+            return NO_ALIGNMENTS
+        (a, _), (b, _) = sides
+        found = self._alignments(a, b, np.array([0, len(a)]), np.array([0, len(b)]))
+        return NO_ALIGNMENTS if found.column("bad")[0].as_py() else found
+
+    def _units(self, units: list[str], run: int = RUN) -> pa.RecordBatch:
+        """Alignments of units (a line break or the blank left out, then no place to part) by runs of them; bad where a unit
+        has none by itself."""
         # A run begins with a unit of its own, so that each of the others stands behind one.
         whole = [u if u[:1] == "\n" else f" {u}" for u in units]
-        runs = [" x" + "".join(whole[k : k + RUN]) for k in range(0, len(whole), RUN)]
-        out: list[Alignment | None] = []
-        for k, run, a, b in zip(range(0, len(whole), RUN), runs, self.a.encode(runs), self.b.encode(runs)):
-            part, spelled = whole[k : k + RUN], run.encode()
-            ends = 2 + np.cumsum([0, *(len(u.encode()) for u in part)])
-            cuts = []
-            for ids, size, known in ((a, self.size_a, self.a.bytes), (b, self.size_b, self.b.bytes)):
-                at = np.cumsum(size[ids])
-                cut = np.searchsorted(at, ends)
-                if b"".join([known[i] for i in ids]) != spelled or (at[cut] != ends).any():
-                    break
-                cuts.append((cut + 1).tolist())
-            if len(cuts) == 2:
-                ca, cb = cuts
-                out += [self._alignment(a[ca[q] : ca[q + 1]], b[cb[q] : cb[q + 1]]) for q in range(len(part))]
-            else:
-                out += [self._units([u])[0] for u in units[k : k + RUN]] if len(part) > 1 else [None]
-        return out
-
-    def look_up(self, units: list[str]) -> list[Alignment | None]:
-        """Alignments of distinct units, from the store where it has them."""
-        if len(self.store) > UNIT_STORE // 2:
-            self.store, self.older = {}, self.store
-        found = {u: self.older[u] for u in units if u not in self.store and u in self.older}
-        new = [u for u in units if u not in self.store and u not in found]
-        found.update(zip(new, self._units(new)))
-        self.store.update({u: x for u, x in found.items() if len(u) <= UNIT_CHARS})
-        return [self.store[u] if u in self.store else found[u] for u in units]
+        sizes = np.array([len(u.encode()) for u in whole], "i8")
+        starts = range(0, len(whole), run)
+        ids, cuts, left, n = ([], []), ([], []), np.zeros(len(units), bool), [0, 0]
+        for k, (_, sides) in zip(starts, self._encoded([" x" + "".join(whole[k : k + run]) for k in starts])):
+            part = slice(k, k + run)
+            ends = 2 + np.concatenate([[0], np.cumsum(sizes[part])])
+            at = [np.searchsorted(edges, ends) for _, edges in sides or ()]
+            if not at or any((edges[cut] != ends).any() for (_, edges), cut in zip(sides, at)):
+                left[part] = True
+                continue
+            for side, ((x, _), cut) in enumerate(zip(sides, at)):
+                ids[side].append(x[cut[0] + 1 : cut[-1] + 1])
+                cuts[side].append(cut[:-1] - cut[0] + n[side])
+                n[side] += cut[-1] - cut[0]
+        a, b = (np.concatenate([np.empty(0, "i8"), *x]) for x in ids)
+        out = self._alignments(a, b, *(np.concatenate([*x, [all_]]) for x, all_ in zip(cuts, n)))
+        if not left.any():
+            return out
+        again = np.flatnonzero(left)
+        if run > 1:
+            rest = self._units([units[k] for k in again.tolist()], 1)
+        else:
+            none = pa.RecordBatch.from_pylist([{"n_a": 0, "n_b": 0, "n_groups": 0, "bad": True, "text": b"", "links": b""}], schema=ALIGNMENTS)
+            rest = none.take(pa.array(np.zeros(len(again), "i8")))
+        place = np.empty(len(units), "i8")
+        place[np.concatenate([np.flatnonzero(~left), again])] = np.arange(len(units))
+        return stacked([out, rest]).take(pa.array(place))
+
+    def look_up(self, units: list[str]) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Alignments and the rows in them of distinct units, from the store where it has them."""
+        if len(self.rows) > UNIT_STORE // 2:
+            self.older, self.rows, self.table = (self.rows, self.table), {}, NO_ALIGNMENTS
+        known, aged = self.rows.get, self.older[0].get
+        found = list(map(known, units))
+        lacking = [u for u, r in zip(units, found) if r is None]
+        if not lacking:
+            return self.table, np.array(found, "i8")
+        old = [u for u in lacking if aged(u) is not None]
+        new = sorted((u for u in lacking if aged(u) is None), key=lambda u: len(u) > UNIT_CHARS)
+        table = stacked([self.table, self.older[1].take(pa.array([aged(u) for u in old], pa.int64())), self._units(new)])
+        rows = dict(zip(old + new, range(len(self.table), len(table))))
+        found = np.array([rows[u] if r is None else r for u, r in zip(units, found)], "i8")
+        # Long units are not kept.
+        while new and len(new[-1]) > UNIT_CHARS:
+            del rows[new.pop()]
+        self.rows.update(rows)
+        self.table = table.slice(0, len(self.rows))
+        return table, found
 
 
 @lru_cache(1)
@@ -240,35 +381,33 @@ class Rows:
         self.keys: list[np.ndarray] = [np.empty(0, "i8")]  # place of the text
         self.codes: list[np.ndarray] = [np.empty(0, "i8")]  # links
 
-    def one(self, k: int, x: Alignment) -> None:
-        self.n[:, k] = x[:3]
-        if x[0]:
-            self.sha[k] = hashlib.sha256(x[3].encode()).hexdigest()
-            self.codes.append(np.frombuffer(x[4], "i8"))
-            self.keys.append(np.full(len(x[4]) // 8, k))
+    def one(self, k: int, x: pa.RecordBatch) -> None:
+        """A text by its own alignment; without a row it has no tokens."""
+        self.n[:, k], self.sha[k] = 0, ""
+        if len(x):
+            self.n[:, k] = [x.column(c)[0].as_py() for c in range(3)]
+            self.sha[k] = hashlib.sha256(x.column("text")[0].as_py()[:-1]).hexdigest()
+            self.codes.append(np.frombuffer(x.column("links")[0].as_py(), "i8"))
+            self.keys.append(np.full(len(self.codes[-1]), k))
 
     def many(self, places: np.ndarray, units: pa.ListArray, look_up) -> list[int]:
         """Texts given as lists of units; returns the places of those that have a unit without alignment."""
         words = units.flatten().dictionary_encode()
-        found = look_up(words.dictionary.to_pylist())
-        index = words.indices.to_numpy()
-        edges = (units.offsets.to_numpy() - units.offsets[0].as_py()).tolist()
-        bad = np.array([x is None for x in found], bool)
-        left = [int(k) for k, a, z in zip(places, edges, edges[1:]) if bad[index[a:z]].any()] if bad.any() else []
-        found = [x or NOTHING for x in found]
-        counts = np.array([x[:3] for x in found], "i8").reshape(-1, 3)
-        sums = np.concatenate([np.zeros((1, 3), "i8"), np.cumsum(counts[index], axis=0)])
-        self.n[:, places] = np.diff(sums[edges], axis=0).T
-        texts, listed = [x[3] for x in found], index.tolist()
-        for k, a, z in zip(places.tolist(), edges, edges[1:]):
-            self.sha[k] = hashlib.sha256(";".join([texts[i] for i in listed[a:z]]).encode()).hexdigest()
-        size = np.array([len(x[4]) // 8 for x in found], "i8")
-        flat, first = np.frombuffer(b"".join(x[4] for x in found), "i8"), np.cumsum(size) - size
-        n = size[index]
-        source = np.repeat(first[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        key = np.repeat(np.repeat(places, np.diff(edges)), n)
+        found, rows = look_up(words.dictionary.to_pylist())
+        index = rows[words.indices.to_numpy()]
+        edges = units.offsets.to_numpy() - units.offsets[0].as_py()
+        bad = numbers(found.column("bad"))[index]
+        left = places[np.add.reduceat(bad, edges[:-1]) > 0].tolist() if bad.any() else []
+        for c in range(3):
+            self.n[c, places] = np.add.reduceat(numbers(found.column(c))[index], edges[:-1])
+        index = pa.array(index)
+        at, text = spread(found.column("text").take(index))
+        for k, a, z in zip(places.tolist(), at[edges].tolist(), at[edges[1:]].tolist()):
+            self.sha[k] = hashlib.sha256(text[a : max(a, z - 1)]).hexdigest()
+        at, links = spread(found.column("links").take(index))
+        key = np.repeat(places, np.diff(at[edges]) // 8)
         keep = ~np.isin(key, left) if left else slice(None)
-        self.codes.append(flat[source][keep])
+        self.codes.append(np.frombuffer(links, "i8", int(at[-1]) // 8)[keep])
         self.keys.append(key[keep])
         return left
 

@@ -98,3 +98,49 @@ def test_transducer(monkeypatch):
         monkeypatch.setattr(L, "STEPS", 1_000_000)
         assert machine.align(a, b[:-1]) is None and machine.align(a[:-1], b) is None and machine.align(a, [*b, 0]) is None
     assert machine.align([], []) == ([], [])
+
+
+def test_pairs_side_by_side(monkeypatch):
+    """Many pairs in one go give what each gives alone: short ones, one over the bound, empty ones, and such as spell other bytes."""
+    rng = np.random.default_rng(4)
+    parts = [bytes(p) for n in range(1, 4) for p in rng.integers(97, 99, (12, n)).tolist()] + [b""]
+    at = {p: i for i, p in enumerate(parts)}
+
+    def cut(text):
+        out, k = [], 0
+        while k < len(text):
+            n = next(n for n in rng.permutation([1, 2, 3]).tolist() + [1] if text[k : k + n] in at)
+            out.append(at[text[k : k + n]])
+            k += n
+        return out
+
+    texts = [bytes(rng.integers(97, 99, n).tolist()) for n in [0, 1, 2, 400, *rng.integers(1, 30, 300).tolist()]]
+    pairs = [(cut(t), cut(t)) for t in texts]
+    pairs += [([*a, at[b"a"]], b) for a, b in pairs[:40]] + [(a, [*b, at[b"a"]]) for a, b in pairs[:40]] + [(a[::-1], b) for a, b in pairs[:40]] + [([len(parts) - 1, *a], b) for a, b in pairs[:4]]
+    alone = L.Transducer(parts, parts)
+    want = [alone.align(a, b) for a, b in pairs]
+    cuts = [np.cumsum([0, *(len(p[side]) for p in pairs)]) for side in (0, 1)]
+    flat = [np.array([i for p in pairs for i in p[side]]) for side in (0, 1)]
+    machine = L.Transducer(parts, parts)
+    for steps in (1_000_000, 1_000_000, 0):
+        monkeypatch.setattr(L, "STEPS", steps)
+        end_a, end_b, links, bad = machine.align_many(*flat, *cuts)
+        assert bad.tolist() == [w is None for w in want] and bad.any()
+        for k, w in enumerate(want):
+            if w is not None:
+                (i, n), (j, m) = cuts[0][k : k + 2].tolist(), cuts[1][k : k + 2].tolist()
+                ends = zip((np.flatnonzero(end_a[i:n]) + 1).tolist(), (np.flatnonzero(end_b[j:m]) + 1).tolist(), strict=True)
+                assert (list(ends), links[i + j : i + j + len(w[1])].tolist()) == w
+
+
+def test_units_do_not_walk_alone(monkeypatch):
+    """Units of ordinary length cost no walk of their own, whether new or kept; the store's halves give the same alignments."""
+    monkeypatch.setattr(L.Transducer, "align", None)
+    monkeypatch.setattr(L, "UNIT_STORE", 4)
+    worker = L.Aligner(token_file(A), token_file(B))
+    units = ["stone", "bridge", "\nunquietly", "x" * 60, "123", "don't"]
+    first = [r for t, k in [worker.look_up(units)] for r in t.take(k).to_pylist()]
+    assert not any(r["bad"] for r in first) and first[0]["text"].endswith(b";") and "x" * 60 not in worker.rows
+    for some in (units[:3], ["new", *units[2:]], units, units[::-1]):
+        table, rows = worker.look_up(some)
+        assert [r for u, r in zip(some, table.take(rows).to_pylist()) if u != "new"] == [first[units.index(u)] for u in some if u != "new"]
