@@ -11,6 +11,10 @@ def lines(spark, name, node):
     return [x for x in plan.split("\n") if x.lstrip(" :+-").startswith(node)]
 
 
-@pytest.mark.parametrize("name", ["focus_regions"])
+@pytest.mark.parametrize("name", ["focus_regions", "draw_commands"])
 def test_no_fold_in_a_filter(spark, name):
     assert not [x for x in lines(spark, name, "Filter") if "aggregate(" in x]
+
+
+def test_boxes_are_read_once(spark):
+    assert len(lines(spark, "draw_commands", "Relation")) == 1
