@@ -11,7 +11,7 @@ def lines(spark, name, node):
     return [x for x in plan.split("\n") if x.lstrip(" :+-").startswith(node)]
 
 
-@pytest.mark.parametrize("name", ["focus_regions", "draw_commands"])
+@pytest.mark.parametrize("name", ["focus_regions", "draw_commands", "ad_polygons"])
 def test_no_fold_in_a_filter(spark, name):
     assert not [x for x in lines(spark, name, "Filter") if "aggregate(" in x]
 
