@@ -1,8 +1,12 @@
 """What a query works out stands once in its plan: no filter repeats the folds of the projection above it."""
 
+import random
+
 import pytest
 from helpers import SF
+from pyspark.sql import functions as F
 
+from boxsift.functions import text as T
 from boxsift.queries import QUERIES
 
 
@@ -18,3 +22,26 @@ def test_no_fold_in_a_filter(spark, name):
 
 def test_boxes_are_read_once(spark):
     assert len(lines(spark, "draw_commands", "Relation")) == 1
+
+
+def test_similar_names_meet_without_lambdas(spark):
+    joins = lines(spark, "similar_part_names", "Join")
+    assert joins and not [x for x in joins if "lambda" in x]
+
+
+def test_coded_texts_are_similar_alike(spark):
+    """Packed words and sets behind them say what is_similar says: short, long, within one another, beyond the first plane."""
+    rng = random.Random(4)
+    texts = ["", "a", "ab", "ba", "abc", "xabc", "\U00020000bc", "\U00020000b", "abd"]
+    for n in (3, 5, 14, 23, 24, 25, 31, 60):
+        one = [rng.choice("abc保\U00020001") for _ in range(n)]
+        texts += ["".join(one), "".join(one[1:])]
+        for share in (0.2, 0.33, 0.36, 0.5):
+            texts += ["".join(c if rng.random() > share else rng.choice("xyz") for c in one + list("12")[: rng.randrange(3)])]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = rows.select("t", T.coded(F.col("t")).alias("c")).select("t", "c.*")
+    a, b = rows.alias("a"), rows.alias("b")
+    of = lambda side: {c: F.col(f"{side}.{c}") for c in rows.columns}
+    told = a.crossJoin(b).select("a.t", F.col("b.t").alias("u"), T.is_similar(F.col("a.t"), F.col("b.t")).alias("x"), T.is_similar_coded(of("a"), of("b")).alias("y")).collect()
+    assert [r for r in told if r.x != r.y] == []
+    assert {r.x for r in told} == {True, False}
