@@ -7,7 +7,9 @@ from helpers import SF
 from pyspark.sql import functions as F
 
 from boxsift.functions import text as T
-from boxsift.queries import QUERIES
+from boxsift.operators import planning as P
+from boxsift.operators import selection as S
+from boxsift.queries import QUERIES, RULES, evaluated
 
 
 def lines(spark, name, node):
@@ -45,3 +47,18 @@ def test_coded_texts_are_similar_alike(spark):
     told = a.crossJoin(b).select("a.t", F.col("b.t").alias("u"), T.is_similar(F.col("a.t"), F.col("b.t")).alias("x"), T.is_similar_coded(of("a"), of("b")).alias("y")).collect()
     assert [r for r in told if r.x != r.y] == []
     assert {r.x for r in told} == {True, False}
+
+
+def test_frames_are_looked_for_where_due(spark):
+    """Requests that are not due have no frame, and the others the one that they have without the gate."""
+    rows = focused_features(spark).withColumn("due", F.col("request_id") % 2 == 0)
+    free = {r.request_id: r.focus for r in S.with_focus(rows, RULES).select("request_id", "focus").collect()}
+    gated = {r.request_id: r.focus for r in S.with_focus(rows, RULES, F.col("due")).select("request_id", "focus").collect()}
+    assert gated == {k: v if k % 2 == 0 else None for k, v in free.items()}
+    assert any(gated.values()) and any(v for k, v in free.items() if k % 2)
+
+
+def focused_features(spark):
+    rows = evaluated(spark, SF).nested.where("request_id < 60")
+    rows = S.with_card_lists(rows, None).withColumns({"image_width": F.lit(900), "image_height": F.lit(1000)})
+    return P.round_features(rows, F.size("cards") > 0, RULES)
