@@ -62,3 +62,7 @@ def focused_features(spark):
     rows = evaluated(spark, SF).nested.where("request_id < 60")
     rows = S.with_card_lists(rows, None).withColumns({"image_width": F.lit(900), "image_height": F.lit(1000)})
     return P.round_features(rows, F.size("cards") > 0, RULES)
+
+
+def test_json_requests_meet_no_join(spark):
+    assert not lines(spark, "json_requests", "Join") and len(lines(spark, "json_requests", "Relation")) == 3
